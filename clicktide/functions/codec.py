@@ -23,6 +23,28 @@ def _event_time() -> Column:
     return F.try_to_timestamp(F.col("e.event_time"))
 
 
+def _reason(keep_null_campaign: bool) -> Column:
+    """Why a parsed message cannot be used; NULL when it can."""
+    nothing = F.lit(True)
+    for name in EVENT_SCHEMA.names:
+        nothing = nothing & F.col(f"e.{name}").isNull()
+    reason = (
+        F.when(nothing, "not_an_event")
+        .when(F.col("e.event_time").isNull(), "no_event_time")
+        .when(F.col("event_time").isNull(), "bad_event_time")
+    )
+    return reason if keep_null_campaign else reason.when(F.col("e.campaign_id").isNull(), "no_campaign")
+
+
+def _rows_where(condition: Column, *fields: Column | str) -> Column:
+    """The fields as a row where the condition holds, and no row elsewhere.
+
+    A plain filter would be pushed below the projection and parse each message again, once per
+    column it looks at; a generator keeps it at one parse.
+    """
+    return F.inline(F.when(condition, F.array(F.struct(*fields))))
+
+
 def decode_events(
     raw: DataFrame, carry: Sequence[str] = (), keep_null_campaign: bool = False
 ) -> DataFrame:
@@ -32,34 +54,21 @@ def decode_events(
     campaign, which the aggregate table's key does not allow (``keep_null_campaign`` lets them
     through). ``decode_rejects`` returns exactly the messages left out.
     """
-    events = _parse(raw, carry).select(
-        *carry,
-        _event_time().alias("event_time"),
-        "e.user_id",
-        "e.campaign_id",
-        "e.ad_id",
-        "e.clicked",
-    )
-    needed = ["event_time"] if keep_null_campaign else ["event_time", "campaign_id"]
-    return events.dropna(subset=needed)
+    parsed = _parse(raw, carry).select(*carry, "e", _event_time().alias("event_time"))
+    usable = F.col("event_time").isNotNull()
+    if not keep_null_campaign:
+        usable = usable & F.col("e.campaign_id").isNotNull()
+    others = [f"e.{name}" for name in EVENT_SCHEMA.names if name != "event_time"]
+    return parsed.select(*carry, _rows_where(usable, "event_time", *others))
 
 
 def decode_rejects(
     raw: DataFrame, carry: Sequence[str] = (), keep_null_campaign: bool = False
 ) -> DataFrame:
     """The messages that ``decode_events`` leaves out, with the reason."""
-    nothing = F.lit(True)
-    for name in EVENT_SCHEMA.names:
-        nothing = nothing & F.col(f"e.{name}").isNull()
-    reason = (
-        F.when(nothing, "not_an_event")
-        .when(F.col("e.event_time").isNull(), "no_event_time")
-        .when(_event_time().isNull(), "bad_event_time")
-    )
-    if not keep_null_campaign:
-        reason = reason.when(F.col("e.campaign_id").isNull(), "no_campaign")
-    parsed = _parse(raw, carry).select(*carry, "value", reason.alias("reason"))
-    return parsed.where(F.col("reason").isNotNull())
+    parsed = _parse(raw, carry).select("*", _event_time().alias("event_time"))
+    judged = parsed.select(*carry, "value", _reason(keep_null_campaign).alias("reason"))
+    return judged.select(*carry, _rows_where(F.col("reason").isNotNull(), "value", "reason"))
 
 
 def encode_events(events: DataFrame, carry: Sequence[str] = ()) -> DataFrame:

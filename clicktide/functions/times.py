@@ -7,14 +7,22 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-_DURATION = re.compile(r"(\d+ (second|minute|hour|day)s?)( \d+ (second|minute|hour|day)s?)*")
+_UNIT_MICROS = {"second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
+_PART = r"(\d+) (second|minute|hour|day)s?"
 
 
-def duration(text: str) -> Column:
-    """Interval column for text such as ``10 seconds`` or ``1 hour 30 minutes``."""
-    if not _DURATION.fullmatch(text):
+def micros(text: str) -> int:
+    """Length of a duration such as ``10 seconds`` or ``1 hour 30 minutes``."""
+    if not re.fullmatch(rf"{_PART}( {_PART})*", text):
         raise ValueError(f"not a duration: {text!r}")
+    return sum(int(count) * _UNIT_MICROS[unit] for count, unit in re.findall(_PART, text))
+
+
+def duration(text: str) -> Column:
+    """The duration as an interval column."""
+    micros(text)
     return F.expr(f"interval {text}")
 
 
@@ -43,11 +51,28 @@ def moment_before(as_of: datetime | Column | DataFrame | None, ago: str) -> Colu
     return moment(as_of) - duration(ago)
 
 
-def window_floor(column: Column | str, width: str) -> Column:
-    """Start of the epoch-aligned window that holds the time."""
-    return F.window(column, width)["start"]
+def floor_point(point: Column, width: str) -> Column:
+    """One point in time floored to the window boundary; folds to a literal when the point does."""
+    since_epoch = F.unix_micros(point.cast("timestamp"))
+    return F.timestamp_micros(since_epoch - F.pmod(since_epoch, F.lit(micros(width))))
 
 
 def align_to_window(df: DataFrame, column: str, width: str = "10 seconds") -> DataFrame:
     """Add ``window_start``, the time floored to the window boundary."""
-    return df.withColumn("window_start", window_floor(column, width))
+    return df.withColumn("window_start", F.window(column, width)["start"])
+
+
+def first_start(
+    as_of: datetime | Column | DataFrame | None, ago: str, width: str, kind: DataType
+) -> Column:
+    """Start of the oldest window that ends later than ``ago`` before ``as_of``.
+
+    A window ends after a point exactly when it holds the point or starts after it, so this is the
+    point floored. Comparing raw event times with it is the same as comparing window ends with the
+    point, and reaches the scan.
+    """
+    if isinstance(as_of, DataFrame):
+        (name,) = as_of.columns
+        start = floor_point(F.col(name) - duration(ago), width)
+        return as_of.select(start.cast(kind).alias(name)).scalar()
+    return floor_point(moment(as_of) - duration(ago), width).cast(kind)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import closing
 from dataclasses import dataclass
+from functools import partial
 from itertools import batched, chain
 from typing import Any
 
@@ -57,3 +58,16 @@ class DatabaseUpsert:
         for chunk in batched(rows, self.flush_rows):
             cursor.executemany(statement, [tuple(row) for row in chunk])
         connection.commit()
+
+
+def postgres_upsert(url: str, **options: Any) -> DatabaseUpsert:
+    """Upsert sink for PostgreSQL; the executors need the ``psycopg`` package."""
+    return DatabaseUpsert(partial(_connect_postgres, url), placeholder="%s", **options)
+
+
+def _connect_postgres(url: str) -> Any:
+    try:
+        import psycopg
+    except ImportError as missing:
+        raise RuntimeError("install psycopg on every executor to write to PostgreSQL") from missing
+    return psycopg.connect(url)

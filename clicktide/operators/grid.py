@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clicktide.contracts import AGG_KEYS
-from clicktide.functions.times import duration, moment, window_floor
+from clicktide.functions.times import duration, floor_point, moment
 from clicktide.operators.windows import WINDOW_WIDTH
 
 
@@ -27,7 +27,7 @@ def window_grid(
     steps = F.explode(F.sequence(F.lit(0), F.lit(windows - 1))).alias("step")
     names = campaigns.select("campaign_id").where(F.col("campaign_id").isNotNull()).distinct()
     grid = names.select("campaign_id", moment(as_of).alias("as_of"), steps)
-    end = window_floor("as_of", width) - duration(width) * F.col("step")
+    end = floor_point(F.col("as_of"), width) - duration(width) * F.col("step")
     return grid.select("campaign_id", end.alias("window_end")).select(
         (F.col("window_end") - duration(width)).alias("window_start"), "window_end", "campaign_id"
     )
@@ -36,8 +36,8 @@ def window_grid(
 def fill_grid(grid: DataFrame, aggregates: DataFrame) -> DataFrame:
     """Grid rows with the aggregates found for them; zero where there are none.
 
-    Both sides have at most one row per key, so no key can be hot, and AQE broadcasts the grid if it
-    turns out small.
+    Both sides have at most one row per key, so no key can be hot. Spark broadcasts the aggregates
+    only when it knows them to be small, and otherwise shuffles both sides on the whole key.
     """
     found = grid.join(aggregates, list(AGG_KEYS), "left")
     counts = [

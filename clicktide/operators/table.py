@@ -56,18 +56,26 @@ class CampaignTable:
         """Write full values for the keys in ``df``; later versions win over earlier ones.
 
         ``df`` holds each key once, as an aggregate does; ``check`` verifies that first, at the cost
-        of a second pass. ``files`` spreads the rows by key over that many files per date.
+        of a second pass. ``files`` is the number of files per date, see ``_write``.
         """
         if check:
             require_contract(df)
         self._write(conform(df), version_of(run_epoch, batch_id), files)
 
     def _write(self, df: DataFrame, version: int, files: int | None) -> None:
+        """Bring the rows of a date together, so that not every task writes a file for every date.
+
+        With ``files`` a date is spread by key over that many tasks, whatever its size; that suits a
+        stream, where AQE is off. Without, AQE sizes the tasks, and splits a large date.
+        """
         rows = df.withColumn("window_date", F.to_date("window_end")).withColumn(
             "version", F.lit(version).cast("long")
         )
         if files:
-            rows = rows.repartition(files, *AGG_KEYS)
+            salt = F.pmod(F.xxhash64(*AGG_KEYS), F.lit(files))
+            rows = rows.repartition("window_date", salt)
+        else:
+            rows = rows.hint("rebalance", "window_date")
         (
             rows.sortWithinPartitions("window_date", "version", "window_end", "campaign_id")
             .write.mode("overwrite")

@@ -12,10 +12,11 @@ from clicktide.contracts import AGG_KEYS
 from clicktide.functions.codec import decode_events, decode_rejects, encode_events
 from clicktide.functions.times import align_to_window
 from clicktide.operators.checks import contract_violations
-from clicktide.operators.grid import fill_grid, window_grid
+from clicktide.operators.grid import window_grid
 from clicktide.operators.table import CampaignTable
 from clicktide.operators.windows import campaign_windows, latest_window_end
 from clicktide.plans import serving
+from clicktide.plans.backfill import backfill
 from clicktide.session import fresh_folder, use_utc
 from clicktide.sources.events import as_events, event_batch, event_table, event_table_stream
 from clicktide.sources.events import landed_stream
@@ -143,8 +144,9 @@ def clicks_over_time_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def latest_window_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = latest_window_end(event_batch(spark, sf_dir), SERVING_WIDTH)
-    return serving.latest_window_ranked(_trailing(spark, sf_dir), newest)
+    events = event_batch(spark, sf_dir)
+    newest = serving.latest_from_events(events, SERVING_WIDTH, users="exact").drop("ctr")
+    return serving.ranked(newest)
 
 
 # --- messages --------------------------------------------------------------------------------
@@ -264,15 +266,15 @@ def agg_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_batch(spark, sf_dir)
     newest = latest_window_end(events, SERVING_WIDTH)
-    return window_grid(events, GRID_WINDOWS, SERVING_WIDTH, newest)
+    grid = window_grid(events, GRID_WINDOWS, SERVING_WIDTH, newest)
+    return _without_zone(grid)
 
 
 def _backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_batch(spark, sf_dir)
     newest = latest_window_end(events, SERVING_WIDTH)
-    span = f"{GRID_WINDOWS} hours"
-    recent = serving.recent_windows(events, SERVING_WIDTH, span, newest, users="exact")
-    return fill_grid(_grid(spark, sf_dir), recent)
+    rows = backfill(events, None, GRID_WINDOWS, SERVING_WIDTH, newest, users="exact")
+    return _without_zone(rows)
 
 
 @_query

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktide.functions.times import moment_before
+from clicktide.functions.times import first_start, moment_before
 from clicktide.operators.rank import global_rank
 from clicktide.operators.table import CampaignTable
 from clicktide.operators.windows import campaign_windows, latest_window_end
@@ -42,14 +42,9 @@ def newest_end(aggregates: DataFrame) -> DataFrame:
     return aggregates.agg(F.max("window_end").alias("window_end"))
 
 
-def latest_window(aggregates: DataFrame, newest: DataFrame | None = None) -> DataFrame:
-    """All rows of the newest window; none when the table is empty.
-
-    ``newest`` is a one-row frame with the newest end, for callers that know a cheaper way to it
-    than reading ``aggregates`` a second time.
-    """
-    end = newest_end(aggregates) if newest is None else newest
-    return aggregates.where(F.col("window_end") == end.scalar())
+def latest_window(aggregates: DataFrame) -> DataFrame:
+    """All rows of the newest window; none when the table is empty."""
+    return aggregates.where(F.col("window_end") == newest_end(aggregates).scalar())
 
 
 def trailing_windows(
@@ -58,10 +53,12 @@ def trailing_windows(
     as_of: datetime | Column | DataFrame | None = None,
 ) -> DataFrame:
     """Windows that end later than ``ago`` before ``as_of`` (now by default), oldest first."""
-    recent = aggregates.where(F.col("window_end") > moment_before(as_of, ago))
-    return recent.select(
-        "window_start", "window_end", "campaign_id", "clicks", "unique_users"
-    ).orderBy("window_start")
+    return _served(aggregates.where(F.col("window_end") > moment_before(as_of, ago)))
+
+
+def _served(rows: DataFrame) -> DataFrame:
+    columns = ["window_start", "window_end", "campaign_id", "clicks", "unique_users"]
+    return rows.select(*columns).orderBy("window_start")
 
 
 def stored_trailing_windows(
@@ -76,29 +73,30 @@ def stored_trailing_windows(
 
 
 def recent_windows(
-    events: DataFrame, width: str, ago: str, as_of: datetime | Column | DataFrame, **how: object
+    events: DataFrame,
+    width: str,
+    ago: str,
+    as_of: datetime | Column | DataFrame | None = None,
+    **how: object,
 ) -> DataFrame:
-    """Aggregate just the events that can be in the trailing slice.
+    """Aggregate of the windows that end later than ``ago`` before ``as_of``, from raw events.
 
-    An event of a window that ends after ``as_of - ago`` is itself later than that minus one width;
-    this bound on the raw time column reaches the scan, so a long history is not aggregated.
+    Only the events of those windows are read and aggregated, not the whole history.
     """
-    cutoff = moment_before(as_of, f"{ago} {width}")
-    needed = events.where(F.col("event_time") > cutoff)
-    return campaign_windows(needed, width, **how)
+    start = first_start(as_of, ago, width, events.schema["event_time"].dataType)
+    return campaign_windows(events.where(F.col("event_time") >= start), width, **how)
 
 
 def trailing_from_events(events: DataFrame, width: str, ago: str, **how: object) -> DataFrame:
     """``trailing_windows`` up to the newest window, from raw events."""
     newest = latest_window_end(events, width)
-    return trailing_windows(recent_windows(events, width, ago, newest, **how), ago, newest)
+    rows = recent_windows(events, width, ago, newest, **how)
+    return _served(rows)
 
 
 def latest_from_events(events: DataFrame, width: str, **how: object) -> DataFrame:
-    """``latest_window`` from raw events."""
-    newest = latest_window_end(events, width)
-    aggregates = recent_windows(events, width, width, newest, **how)
-    return latest_window(aggregates, newest)
+    """``latest_window`` from raw events: the newest window is the one within its own width."""
+    return recent_windows(events, width, width, latest_window_end(events, width), **how)
 
 
 def dashboard_kpis(frame: DataFrame) -> DataFrame:
@@ -137,13 +135,17 @@ def clicks_over_time(frame: DataFrame, campaigns: Sequence[str] | None = None) -
     return wide.withColumnRenamed("window_start", "time").orderBy("time")
 
 
-def latest_window_ranked(frame: DataFrame, newest: DataFrame | None = None) -> DataFrame:
-    """Campaigns of the newest window in the frame, most clicks first, with their position."""
-    rows = latest_window(frame, newest)
+def ranked(rows: DataFrame) -> DataFrame:
+    """Rows of one window, most clicks first, with their position."""
     order = [F.desc("clicks"), F.asc("campaign_id")]
     return global_rank(rows, order, "position").orderBy("position")
 
 
+def latest_window_ranked(frame: DataFrame) -> DataFrame:
+    """Campaigns of the newest window in the frame, most clicks first, with their position."""
+    return ranked(latest_window(frame))
+
+
 def register_views(spark: SparkSession, table: CampaignTable, prefix: str = "") -> None:
     """Temp views over the table as it is now: files are listed again, nothing is computed."""
     current = table.latest(spark)

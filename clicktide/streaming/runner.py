@@ -100,9 +100,12 @@ def finish(query: StreamingQuery, timeout: float | None = None) -> None:
 
 
 def table_sink(
-    table: CampaignTable, run_epoch: int = 0, files: int | None = None, then: BatchSink | None = None
+    table: CampaignTable, run_epoch: int = 0, files: int = 2, then: BatchSink | None = None
 ) -> BatchSink:
-    """Sink into the file table; ``then`` runs after each batch, for example a serving refresh."""
+    """Sink into the file table, with ``files`` files per batch and date.
+
+    ``then`` runs after each batch, for example a serving refresh.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         table.upsert(batch, run_epoch, batch_id, files)

@@ -1,0 +1,40 @@
+"""Small builders shared by the tests."""
+
+import json
+from datetime import datetime, timezone
+
+UTC = timezone.utc
+
+
+def at(text):
+    """A UTC time of 2025-10-04, such as ``23:44:01``."""
+    return datetime.fromisoformat(f"2025-10-04T{text}").replace(tzinfo=UTC)
+
+
+def message(time, user="u-1", campaign="cmp-001", **more):
+    event = {
+        "event_time": f"2025-10-04T{time}+00:00",
+        "user_id": user,
+        "campaign_id": campaign,
+        "ad_id": "ad-1",
+        "clicked": True,
+        **more,
+    }
+    return json.dumps({key: value for key, value in event.items() if value is not ...})
+
+
+def agg_rows(spark, rows):
+    """Aggregate frame from (start, end, campaign, clicks, users)."""
+    schema = (
+        "window_start timestamp, window_end timestamp, campaign_id string, clicks bigint, "
+        "unique_users bigint, ctr double"
+    )
+    return spark.createDataFrame([(*row, None) for row in rows], schema)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def tuples(df):
+    return sorted(tuple(row) for row in df.collect())

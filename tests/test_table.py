@@ -1,0 +1,255 @@
+import json
+from datetime import date, timedelta
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from clicktide.contracts import CAMPAIGN_AGG_SCHEMA, conform, create_table_sql, upsert_sql
+from clicktide.operators.checks import contract_violations, require_contract
+from clicktide.operators.database import DatabaseUpsert, postgres_upsert
+from clicktide.operators.table import CampaignTable, version_of
+from clicktide.plans.serving import register_views, stored_trailing_windows
+from helpers import agg_rows, at, plan, tuples
+from journal import Connect, notes
+
+W1, W2 = at("10:00:00"), at("10:00:10")
+STEP = timedelta(seconds=10)
+DAY = timedelta(days=1)
+
+
+@pytest.fixture()
+def table(tmp_path):
+    return CampaignTable(str(tmp_path / "agg"))
+
+
+def _rows(spark, *rows):
+    return agg_rows(spark, [(start, start + STEP, c, n, u) for start, c, n, u in rows])
+
+
+def _clicks(df):
+    return sorted((r.window_start.second, r.campaign_id, r.clicks) for r in df.collect())
+
+
+def test_versions_are_ordered_and_leave_room_for_compaction():
+    versions = [version_of(0, 0), version_of(0, 1), version_of(1, 0), version_of(2, 5)]
+    assert versions == sorted(versions) and all(v % 2 == 0 for v in versions)
+    assert version_of(2**30 - 1, 2**32 - 1) < 2**63
+    for wrong in ((-1, 0), (0, -1), (2**30, 0), (0, 2**32)):
+        with pytest.raises(ValueError):
+            version_of(*wrong)
+
+
+def test_missing_table_is_empty(spark, table):
+    assert table.latest(spark).count() == 0
+    assert table.vacuum(spark) == []
+
+
+def test_last_write_wins(spark, table):
+    table.upsert(_rows(spark, (W1, "x", 5, 3), (W2, "x", 1, 1)), 0, 0)
+    table.upsert(_rows(spark, (W1, "x", 8, 4)), 0, 1)
+    assert _clicks(table.latest(spark)) == [(0, "x", 8), (10, "x", 1)]
+    # A new run may write a smaller value: it replaces, it does not add.
+    table.upsert(_rows(spark, (W1, "x", 2, 2)), 1, 0)
+    assert _clicks(table.latest(spark)) == [(0, "x", 2), (10, "x", 1)]
+    assert table.latest(spark).columns == CAMPAIGN_AGG_SCHEMA.names
+
+
+def test_batches_may_arrive_in_any_order(spark, table):
+    table.upsert(_rows(spark, (W1, "x", 8, 4)), 0, 1)
+    table.upsert(_rows(spark, (W1, "x", 5, 3)), 0, 0)
+    assert _clicks(table.latest(spark)) == [(0, "x", 8)]
+
+
+def test_replayed_batch_replaces_itself(spark, table):
+    for _ in range(2):
+        table.upsert(_rows(spark, (W1, "x", 5, 3), (W1 + DAY, "y", 1, 1)), 0, 0, files=2)
+    assert table.changelog(spark).count() == 2
+    assert table.latest(spark).count() == 2
+
+
+def test_empty_batch_is_harmless(spark, table):
+    table.upsert(_rows(spark, (W1, "x", 5, 3)), 0, 0)
+    table.upsert(_rows(spark).where("false"), 0, 1)
+    assert _clicks(table.latest(spark)) == [(0, "x", 5)]
+
+
+def test_null_keys_fail_the_write(spark, table):
+    with pytest.raises(Exception, match="campaign_id must not be NULL"):
+        table.upsert(_rows(spark, (W1, None, 5, 3)), 0, 0)
+    assert table.latest(spark).count() == 0
+
+
+def test_files_bound_the_number_of_files(spark, table):
+    rows = spark.range(400).select(
+        (F.lit(W1) + F.expr("make_dt_interval(id % 3, 0, 0, 0)")).alias("window_start"),
+        F.concat(F.lit("c"), "id").alias("campaign_id"),
+    )
+    rows = rows.select(
+        "window_start",
+        (F.col("window_start") + F.expr("interval 10 seconds")).alias("window_end"),
+        "campaign_id",
+        F.lit(1).alias("clicks"),
+        F.lit(1).alias("unique_users"),
+        F.lit(None).alias("ctr"),
+    ).repartition(16)
+    table.upsert(rows, 0, 0, files=2)
+    files = spark.read.parquet(table.root).select(F.input_file_name()).distinct().count()
+    assert files <= 6
+    assert table.latest(spark).count() == 400
+
+
+def test_compaction_keeps_rows_and_makes_files_needless(spark, table):
+    table.upsert(_rows(spark, (W1, "x", 5, 3), (W1 - DAY, "x", 1, 1)), 0, 0)
+    table.upsert(_rows(spark, (W1, "x", 8, 4), (W2, "y", 2, 2)), 0, 1)
+    before = tuples(table.latest(spark))
+    table.compact(spark, 0, 1)
+    assert tuples(table.latest(spark)) == before
+    removed = table.vacuum(spark)
+    assert len(removed) == 3
+    assert tuples(table.latest(spark)) == before
+    assert table.changelog(spark).count() == len(before)
+    table.upsert(_rows(spark, (W1, "x", 9, 5)), 0, 2)
+    assert (0, "x", 9) in _clicks(table.latest(spark))
+
+
+def test_compaction_leaves_later_batches_alone(spark, table):
+    for batch, clicks in enumerate((5, 8, 13)):
+        table.upsert(_rows(spark, (W1, "x", clicks, 1)), 0, batch)
+    table.compact(spark, 0, 1, since=date(2025, 10, 4))
+    table.vacuum(spark)
+    assert _clicks(table.latest(spark)) == [(0, "x", 13)]
+    assert table.changelog(spark).count() == 2
+
+
+def test_trailing_read_prunes_dates_and_stays_a_hash_aggregate(spark, table):
+    table.upsert(_rows(spark, *[(W1 - DAY * i, "x", i, i) for i in range(5)]), 0, 0)
+    rows = stored_trailing_windows(spark, table, "1 hour", at("10:30:00"))
+    text = plan(rows)
+    assert "PartitionFilters: [isnotnull(window_date" in text
+    assert "GreaterThan(window_end," in text
+    assert "HashAggregate" in text and "SortAggregate" not in text and "Python" not in text
+    assert rows.count() == 1
+
+
+def test_slice_over_midnight(spark, table):
+    midnight = at("00:00:00")
+    table.upsert(_rows(spark, (midnight - STEP * 2, "x", 1, 1), (midnight, "x", 2, 1)), 0, 0)
+    rows = stored_trailing_windows(spark, table, "1 hour", midnight + STEP)
+    assert rows.count() == 2
+
+
+def test_views(spark, table):
+    table.upsert(_rows(spark, (W1, "x", 5, 3), (W2, "y", 7, 1)), 0, 0)
+    register_views(spark, table, "t_")
+    assert spark.table("t_campaign_agg").count() == 2
+    assert [r.campaign_id for r in spark.table("t_latest_campaign_window").collect()] == ["y"]
+    rows = spark.sql("select campaign_id, clicks from t_campaign_totals").collect()
+    assert [tuple(r) for r in rows] == [("y", 7), ("x", 5)]
+
+
+def test_violations_are_counted(spark):
+    rows = agg_rows(
+        spark,
+        [
+            (W1, W2, "x", 5, 3),
+            (W1, W2, "x", 6, 3),
+            (W1, W2, "x", 7, 3),
+            (W1, W2, None, 1, 1),
+            (W1, W2, None, 1, 1),
+            (W1, W1, "y", -1, None),
+        ],
+    )
+    found = {r.violation: r.n_rows for r in contract_violations(rows).collect() if r.n_rows}
+    assert found == {
+        "duplicate_key": 2,
+        "null_campaign_id": 2,
+        "empty_window": 1,
+        "negative_clicks": 1,
+        "null_unique_users": 1,
+    }
+    with pytest.raises(ValueError, match="duplicate_key=2"):
+        require_contract(rows)
+    require_contract(rows.where("clicks = 5"))
+
+
+def test_checked_upsert_refuses_duplicates(spark, table):
+    twice = _rows(spark, (W1, "x", 5, 3), (W1, "x", 6, 3))
+    with pytest.raises(ValueError):
+        table.upsert(twice, 0, 0, check=True)
+
+
+def test_conform_casts_and_orders(spark):
+    rows = _rows(spark, (W1, "x", 5, 3)).withColumn("clicks", F.col("clicks").cast("int"))
+    shaped = conform(rows.select(*reversed(rows.columns)))
+    assert shaped.schema.names == CAMPAIGN_AGG_SCHEMA.names
+    assert [f.dataType for f in shaped.schema] == [f.dataType for f in CAMPAIGN_AGG_SCHEMA]
+
+
+# --- relational database -----------------------------------------------------------------------
+
+
+def _many(spark, rows, partitions):
+    frame = spark.range(rows).select(
+        F.lit(W1).alias("window_start"),
+        F.lit(W2).alias("window_end"),
+        F.concat(F.lit("c"), "id").alias("campaign_id"),
+        F.col("id").alias("clicks"),
+        F.lit(1).alias("unique_users"),
+        F.lit(None).cast("double").alias("ctr"),
+    )
+    return frame.repartition(partitions)
+
+
+def test_one_transaction_per_partition_in_chunks(spark, tmp_path):
+    sink = DatabaseUpsert(Connect(str(tmp_path)), flush_rows=100)
+    sink.write(_many(spark, 1000, 3))
+    commits = notes(tmp_path, "commit")
+    assert len(commits) == len(notes(tmp_path, "open")) == len(notes(tmp_path, "close")) == 3
+    chunks = [len(c["rows"]) for commit in commits for c in commit]
+    assert sum(chunks) == 1000 and max(chunks) == 100
+    assert {c["sql"] for commit in commits for c in commit} == {upsert_sql()}
+    assert notes(tmp_path, "rollback") == []
+
+
+def test_empty_partitions_open_no_connection(spark, tmp_path):
+    DatabaseUpsert(Connect(str(tmp_path))).write(_many(spark, 1, 8))
+    assert len(notes(tmp_path, "open")) == 1
+
+
+def test_connections_are_limited(spark, tmp_path):
+    DatabaseUpsert(Connect(str(tmp_path)), max_connections=2).write(_many(spark, 500, 16))
+    assert len(notes(tmp_path, "open")) == 2
+
+
+def test_failure_rolls_back_closes_and_is_raised(spark, tmp_path):
+    sink = DatabaseUpsert(Connect(str(tmp_path), fail_on="c7"), flush_rows=10)
+    with pytest.raises(Exception, match="refused"):
+        sink.write(_many(spark, 100, 1))
+    assert notes(tmp_path, "commit") == []
+    assert len(notes(tmp_path, "rollback")) == len(notes(tmp_path, "close")) >= 1
+
+
+def test_statements_mean_upsert(spark, tmp_path):
+    """What was sent, applied in order by a real engine inside this process, replaces by key."""
+    folder = tmp_path / "notes"
+    folder.mkdir()
+    sink = DatabaseUpsert(Connect(str(folder)))
+    sink.ensure_table()
+    sink.write(_rows(spark, (W1, "x", 5, 3), (W2, "x", 1, 1)))
+    sink.write(_rows(spark, (W1, "x", 8, 4)))
+    engine = duckdb.connect()
+    files = sorted(folder.glob("commit-*"), key=lambda f: f.stat().st_mtime_ns)
+    for statement in [s for f in files for s in json.loads(f.read_text())]:
+        if statement["rows"] is None:
+            assert statement["sql"] == create_table_sql()
+            engine.execute(statement["sql"])
+        else:
+            engine.executemany(statement["sql"], statement["rows"])
+    got = engine.execute("SELECT clicks, unique_users, ctr FROM campaign_agg ORDER BY clicks")
+    assert got.fetchall() == [(1, 1, None), (8, 4, None)]
+
+
+def test_postgres_sink_uses_its_placeholder():
+    sink = postgres_upsert("postgresql://host/db", max_connections=4)
+    assert sink.placeholder == "%s" and sink.max_connections == 4
