@@ -39,7 +39,9 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
             )
         raw = kafka_stream(spark, settings)
     if args.table:
-        sink = table_sink(CampaignTable(args.table), args.run_epoch)
+        sink = table_sink(
+            CampaignTable(args.table), args.run_epoch, compact_every=args.compact_every
+        )
     else:
         database = postgres_upsert(database_url(), max_connections=args.max_connections)
         database.ensure_table()
@@ -104,6 +106,7 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--rate", type=float, help="events per second to take from the topic")
     stream.add_argument("--max-files", type=int, help="files per micro-batch")
     stream.add_argument("--state-partitions", type=int)
+    stream.add_argument("--compact-every", type=int, help="batches between compactions")
     stream.add_argument("--large-state", action="store_true", help="keep state in RocksDB")
     stream.set_defaults(run=_stream)
 
@@ -126,7 +129,7 @@ def parser() -> argparse.ArgumentParser:
 
     compact = commands.add_parser("compact", help="fold the changelog into one version per date")
     compact.add_argument("--table", required=True)
-    compact.add_argument("--vacuum", action="store_true", help="delete what was folded")
+    compact.add_argument("--vacuum", action="store_true", help="delete what was folded an hour ago")
     compact.set_defaults(run=_compact)
 
     for command in (stream, fill, compact):

@@ -2,13 +2,16 @@
 
 Layout ``<root>/window_date=D/version=V/part-*``. A version belongs to one batch of one run, so a
 batch that is replayed replaces its own files. Dates give partition pruning, and rows are sorted by
-window end inside each file so that row-group statistics prune further.
+window end inside each file so that row-group statistics prune further; the campaign column is
+dictionary-encoded, which lets the reader skip row groups without a wanted campaign.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import date, datetime
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,51 +112,65 @@ class CampaignTable:
         return rows.groupBy(*AGG_KEYS).agg(*newest)
 
     def compact(
-        self,
-        spark: SparkSession,
-        run_epoch: int,
-        batch_id: int,
-        since: date | None = None,
-        files: int | None = None,
-    ) -> None:
-        """Write the current rows, as of that batch, of all dates from ``since`` on as one version.
+        self, spark: SparkSession, run_epoch: int, batch_id: int, files: int | None = None
+    ) -> list[date]:
+        """Fold the versions up to that batch into one, for each date that has several.
 
-        The result sorts after the batch and before the next one, so it may run beside the stream.
-        Older files stay until ``vacuum``; readers get the same rows at any moment.
+        The folded version sorts after the batch and before the next one, so this may run beside the
+        stream. Readers get the same rows at any moment; the folded files stay until ``vacuum``.
+        A date already folded at this batch is left alone: its inputs may be gone.
         """
         through = version_of(run_epoch, batch_id)
-        rows = self.changelog(spark).where(F.col("version") <= through)
-        if since is not None:
-            rows = rows.where(F.col("window_date") >= F.lit(since))
-        self._write(self._newest(rows), through + 1, files)
-
-    def vacuum(self, spark: SparkSession) -> list[str]:
+        days = [
+            day
+            for day, versions in self._folders(spark).items()
+            if through + 1 not in versions and sum(v <= through for v in versions) > 1
+        ]
+        if days:
+            rows = self.changelog(spark).where(
+                F.col("window_date").isin(days) & (F.col("version") <= through)
+            )
+            self._write(self._newest(rows), through + 1, files)
+        return sorted(days)
+
+    def vacuum(self, spark: SparkSession, retention_seconds: float = 3600) -> list[str]:
         """Delete the version folders that a compaction of the same date has made needless.
 
-        Run it once no reader still uses a file list from before the compaction. Works on folder
-        names only.
+        Folders go once the compaction is older than ``retention_seconds``, which is the time a
+        reader has to finish with the file list it started from. Works on folder names only.
         """
-        if not self._exists(spark):
-            return []
-        fs, root = self._file_system(spark)
+        fs, _ = self._file_system(spark)
         removed = []
-        for day in fs.listStatus(root):
-            if not day.getPath().getName().startswith("window_date="):
+        for versions in self._folders(spark).values():
+            folded = max((v for v in versions if v % 2), default=None)
+            if folded is None:
+                continue
+            age = time.time() - fs.getFileStatus(versions[folded]).getModificationTime() / 1000
+            if age < retention_seconds:
                 continue
-            found = {}
-            for entry in fs.listStatus(day.getPath()):
-                name = entry.getPath().getName()
-                if name.startswith("version="):
-                    found[int(name.removeprefix("version="))] = entry.getPath()
-            compacted = max((v for v in found if v % 2), default=-1)
-            for version, path in found.items():
-                if version < compacted:
+            for version, path in versions.items():
+                if version < folded:
                     fs.delete(path, True)
                     removed.append(path.toString())
         return removed
 
-    def _file_system(self, spark: SparkSession):
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+    def _folders(self, spark: SparkSession) -> dict[date, dict[int, Any]]:
+        """Path of each version of each date, by their folder names."""
+        fs, _ = self._file_system(spark)
+        found: dict[date, dict[int, Any]] = {}
+        for folder in fs.globStatus(self._path(spark, f"{self.root}/window_date=*/version=*")):
+            path = folder.getPath()
+            day = date.fromisoformat(path.getParent().getName().removeprefix("window_date="))
+            version = int(path.getName().removeprefix("version="))
+            found.setdefault(day, {})[version] = path
+        return found
+
+    @staticmethod
+    def _path(spark: SparkSession, path: str) -> Any:
+        return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _file_system(self, spark: SparkSession) -> tuple[Any, Any]:
+        path = self._path(spark, self.root)
         return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
     def _exists(self, spark: SparkSession) -> bool:

@@ -227,7 +227,7 @@ def upsert_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compacted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _written_in_parts(spark, sf_dir)
     table.compact(spark, 0, len(UPSERT_CUTS))
-    table.vacuum(spark)
+    table.vacuum(spark, retention_seconds=0)
     return _without_zone(table.changelog(spark).select(*AGG_KEYS, "clicks", "unique_users"))
 
 

@@ -100,15 +100,23 @@ def finish(query: StreamingQuery, timeout: float | None = None) -> None:
 
 
 def table_sink(
-    table: CampaignTable, run_epoch: int = 0, files: int = 2, then: BatchSink | None = None
+    table: CampaignTable,
+    run_epoch: int = 0,
+    files: int = 2,
+    compact_every: int | None = None,
+    then: BatchSink | None = None,
 ) -> BatchSink:
     """Sink into the file table, with ``files`` files per batch and date.
 
-    ``then`` runs after each batch, for example a serving refresh.
+    ``compact_every`` folds the changelog after each so many batches and deletes files folded an
+    hour before. ``then`` runs after each batch, for example a serving refresh.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         table.upsert(batch, run_epoch, batch_id, files)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            table.compact(batch.sparkSession, run_epoch, batch_id, files)
+            table.vacuum(batch.sparkSession)
         if then:
             then(batch, batch_id)
 

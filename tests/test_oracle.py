@@ -2,7 +2,6 @@
 
 import os
 from collections import Counter
-from datetime import datetime
 
 import duckdb
 import pytest
@@ -14,22 +13,17 @@ QUERIES = driver.queries()
 ORACLE = driver.oracle_sql()
 
 
-def _plain(value):
-    if isinstance(value, datetime):
-        assert value.tzinfo is None
-        return value
-    return value
-
-
 def _rows(names, rows):
     order = sorted(range(len(names)), key=names.__getitem__)
-    return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
+    return Counter(tuple(row[i] for i in order) for row in rows)
 
 
 @pytest.fixture(scope="module")
 def oracle():
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{SF_DIR}/events.parquet'")
+    files = f"{SF_DIR}/events.parquet"
+    files += "/*.parquet" if os.path.isdir(files) else ""
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{files}'")
     return connection
 
 

@@ -228,6 +228,15 @@ def test_database_sink(spark, landing, settings, tmp_path):
     assert sorted((row[2], row[3]) for row in rows) == [("cmp-001", "1"), ("cmp-002", "1")]
 
 
+def test_stream_compacts_now_and_then(spark, landing, table, settings):
+    for second in range(1, 5):
+        landing.put(message(f"10:00:0{second}"))
+    _run(spark, landing, table_sink(table, compact_every=2), settings)
+    versions = {r.version for r in table.changelog(spark).collect()}
+    assert version_of(0, 1) + 1 in versions and version_of(0, 3) + 1 in versions
+    assert _clicks(table.latest(spark)) == [(0, "cmp-001", 4)]
+
+
 def test_rejects_stream(spark, landing, tmp_path):
     landing.put(message("10:00:01"), "garbage", message("10:00:01", campaign=None))
     settings = StreamSettings(str(tmp_path / "checkpoint"), trigger=None)
