@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +24,7 @@ from clicktide.streaming.runner import (
     database_sink,
     finish,
     start_campaign_stream,
+    start_rejects_stream,
     table_sink,
 )
 
@@ -34,9 +36,7 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
         settings = KafkaSettings.from_env()
         if args.rate:
             limit = throttle(args.rate, float(args.trigger.split()[0]))
-            settings = KafkaSettings(
-                settings.bootstrap_servers, settings.topic, settings.starting_offsets, limit
-            )
+            settings = replace(settings, max_offsets_per_trigger=limit)
         raw = kafka_stream(spark, settings)
     if args.table:
         sink = table_sink(
@@ -53,7 +53,13 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
         state_partitions=args.state_partitions,
         large_state=args.large_state,
     )
+    rejects = None
+    if args.rejects:
+        own = replace(settings, checkpoint=f"{args.checkpoint}-rejects")
+        rejects = start_rejects_stream(raw, args.rejects, own)
     finish(start_campaign_stream(decode_events(raw), sink, settings))
+    if rejects:
+        finish(rejects)
 
 
 def _publish(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -100,6 +106,7 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--events", help="folder of JSON lines; the topic when not given")
     stream.add_argument("--table", help="folder of the file table; the database when not given")
     stream.add_argument("--checkpoint", required=True)
+    stream.add_argument("--rejects", help="folder for messages that cannot be decoded")
     stream.add_argument("--watermark", default=WATERMARK)
     stream.add_argument("--trigger", default=TRIGGER)
     stream.add_argument("--drain", action="store_true", help="stop when all input is taken")
