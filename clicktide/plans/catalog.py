@@ -36,6 +36,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 SERVING_WIDTH = "1 hour"
 SERVING_HORIZON = "24 hours"
 GRID_WINDOWS = 12
+# The stream's own width, with the longest horizon of the dashboard.
+STREAM_WIDTH = "10 seconds"
+STREAM_HORIZON = serving.horizon(serving.HORIZON_MAX)
 CAMPAIGNS = ("cmp-001", "cmp-002", "cmp-003", "cmp-004")
 REPLAY_SLICES = 3
 
@@ -83,7 +86,7 @@ def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def campaign_windows_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exact(spark, sf_dir, "10 seconds")
+    return _exact(spark, sf_dir, STREAM_WIDTH)
 
 
 @_query
@@ -111,7 +114,7 @@ def campaign_windows_approx_users(spark: SparkSession, sf_dir: str) -> DataFrame
 @_query
 def _align_to_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_batch(spark, sf_dir, carry=["event_id"]).select("event_id", "event_time")
-    return align_to_window(events, "event_time", "10 seconds")
+    return align_to_window(events, "event_time", STREAM_WIDTH)
 
 
 # --- serving ---------------------------------------------------------------------------------
@@ -149,6 +152,36 @@ def latest_window_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.ranked(newest)
 
 
+def _trailing_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = event_batch(spark, sf_dir)
+    return serving.trailing_from_events(events, STREAM_WIDTH, STREAM_HORIZON, users="exact")
+
+
+@_query
+def campaign_totals_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.campaign_totals(_exact(spark, sf_dir, STREAM_WIDTH))
+
+
+@_query
+def latest_campaign_window_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.latest_from_events(event_batch(spark, sf_dir), STREAM_WIDTH, users="exact")
+
+
+@_query
+def trailing_window_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trailing_10s(spark, sf_dir)
+
+
+@_query
+def dashboard_kpis_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.dashboard_kpis(_trailing_10s(spark, sf_dir))
+
+
+@_query
+def clicks_over_time_pivot_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.clicks_over_time(_trailing_10s(spark, sf_dir), CAMPAIGNS)
+
+
 # --- messages --------------------------------------------------------------------------------
 
 
@@ -325,7 +358,7 @@ def _replayed(spark: SparkSession, sf_dir: str, width: str) -> CampaignTable:
 @_query
 def upsert_stream_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table left by the replayed JSON stream, with 30 s of allowed lateness."""
-    latest = _replayed(spark, sf_dir, "10 seconds").latest(spark)
+    latest = _replayed(spark, sf_dir, STREAM_WIDTH).latest(spark)
     return _without_zone(latest.select(*AGG_KEYS, "clicks"))
 
 

@@ -23,10 +23,26 @@ def _agg(width: str) -> str:
 
 
 _HOUR = _agg("1 hour")
-_TRAILING = f"""{_HOUR}, newest AS (SELECT MAX(window_end) AS top FROM agg),
+
+
+def _trailing(width: str, ago: str) -> str:
+    """``slice``: windows that end later than ``ago`` before the newest end, ``top``."""
+    return f"""{_agg(width)}, newest AS (SELECT MAX(window_end) AS top FROM agg),
 slice AS (
   SELECT window_start, window_end, campaign_id, clicks, unique_users
-  FROM agg, newest WHERE window_end > top - INTERVAL '24 hours')"""
+  FROM agg, newest WHERE window_end > top - INTERVAL '{ago}')"""
+
+
+_TRAILING = _trailing("1 hour", "24 hours")
+_TRAILING_10S = _trailing("10 seconds", "120 minutes")
+_TOTALS = """SELECT campaign_id, CAST(SUM(clicks) AS BIGINT) AS clicks,
+       CAST(SUM(unique_users) AS BIGINT) AS unique_users
+FROM agg GROUP BY campaign_id"""
+_LATEST = """SELECT agg.* FROM agg
+JOIN (SELECT MAX(window_end) AS window_end FROM agg) USING (window_end)"""
+_KPIS = """SELECT COUNT(*) AS total_rows, CAST(SUM(clicks) AS BIGINT) AS clicks,
+       CAST(SUM(unique_users) FILTER (WHERE window_end = top) AS BIGINT) AS latest_unique_users
+FROM slice, newest HAVING COUNT(*) > 0"""
 _GRID = f"""{_HOUR}, grid AS (
   SELECT e - INTERVAL '1 hour' AS window_start, e AS window_end, campaign_id
   FROM (SELECT UNNEST(generate_series(MAX(window_end) - INTERVAL '{GRID_WINDOWS - 1} hours',
@@ -40,10 +56,11 @@ _MS = "strftime(event_time, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 _CUT1, _CUT2 = [cut.isoformat(sep=" ") for cut in UPSERT_CUTS]
 _REASON = """CASE event_type WHEN 'error' THEN 'not_an_event' WHEN 'signup' THEN 'bad_event_time'
              WHEN 'purchase' THEN 'no_campaign' END"""
-_PIVOT = ", ".join(
+_COLUMNS = ", ".join(
     f"""CAST(COALESCE(SUM(clicks) FILTER (WHERE campaign_id = '{name}'), 0) AS BIGINT) AS "{name}\""""
     for name in CAMPAIGNS
 )
+_PIVOT = f"SELECT window_start AS time, {_COLUMNS} FROM slice GROUP BY window_start"
 
 
 def _changed(version: int, condition: str) -> str:
@@ -70,19 +87,16 @@ SELECT window_start, window_end, campaign_id, clicks, TRUE AS users_close FROM a
 SELECT event_id, event_time,
        time_bucket(INTERVAL '10 seconds', event_time, TIMESTAMP '1970-01-01') AS window_start
 FROM ev WHERE event_time IS NOT NULL""",
-    "campaign_totals": f"""{_HOUR}
-SELECT campaign_id, CAST(SUM(clicks) AS BIGINT) AS clicks,
-       CAST(SUM(unique_users) AS BIGINT) AS unique_users
-FROM agg GROUP BY campaign_id""",
-    "latest_campaign_window": f"""{_HOUR}
-SELECT agg.* FROM agg JOIN (SELECT MAX(window_end) AS window_end FROM agg) USING (window_end)""",
+    "campaign_totals": f"{_HOUR} {_TOTALS}",
+    "campaign_totals_10s": f"{_agg('10 seconds')} {_TOTALS}",
+    "latest_campaign_window": f"{_HOUR} {_LATEST}",
+    "latest_campaign_window_10s": f"{_agg('10 seconds')} {_LATEST}",
     "trailing_window": f"{_TRAILING} SELECT * FROM slice",
-    "dashboard_kpis": f"""{_TRAILING}
-SELECT COUNT(*) AS total_rows, CAST(SUM(clicks) AS BIGINT) AS clicks,
-       CAST(SUM(unique_users) FILTER (WHERE window_end = top) AS BIGINT) AS latest_unique_users
-FROM slice, newest HAVING COUNT(*) > 0""",
-    "clicks_over_time_pivot": f"""{_TRAILING}
-SELECT window_start AS time, {_PIVOT} FROM slice GROUP BY window_start""",
+    "trailing_window_10s": f"{_TRAILING_10S} SELECT * FROM slice",
+    "dashboard_kpis": f"{_TRAILING} {_KPIS}",
+    "dashboard_kpis_10s": f"{_TRAILING_10S} {_KPIS}",
+    "clicks_over_time_pivot": f"{_TRAILING} {_PIVOT}",
+    "clicks_over_time_pivot_10s": f"{_TRAILING_10S} {_PIVOT}",
     "latest_window_ranked": f"""{_TRAILING}
 SELECT slice.*, ROW_NUMBER() OVER (ORDER BY clicks DESC, campaign_id) AS position
 FROM slice, newest WHERE window_end = top""",

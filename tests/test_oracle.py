@@ -13,6 +13,15 @@ QUERIES = driver.queries()
 ORACLE = driver.oracle_sql()
 
 
+TYPES = {
+    "bigint": "BIGINT",
+    "string": "VARCHAR",
+    "timestamp_ntz": "TIMESTAMP",
+    "boolean": "BOOLEAN",
+    "double": "DOUBLE",
+}
+
+
 def _rows(names, rows):
     order = sorted(range(len(names)), key=names.__getitem__)
     return Counter(tuple(row[i] for i in order) for row in rows)
@@ -36,7 +45,7 @@ def test_same_rows(spark, oracle, name):
     ours = QUERIES[name](spark, SF_DIR)
     theirs = oracle.execute(ORACLE[name])
     columns = [d[0] for d in theirs.description]
-    assert sorted(ours.columns) == sorted(columns)
+    assert {n: TYPES[t] for n, t in ours.dtypes} == {d[0]: str(d[1]) for d in theirs.description}
     expected = _rows(columns, theirs.fetchall())
     assert expected, "the twin should return rows"
     assert _rows(ours.columns, ours.collect()) == expected

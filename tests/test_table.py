@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import date, timedelta
 
 import duckdb
@@ -132,6 +133,41 @@ def test_replay_after_compaction_and_vacuum_loses_nothing(spark, table):
         assert _clicks(table.latest(spark)) == [(0, "x", 8), (10, "y", 1)]
 
 
+def test_any_order_of_writes_replays_and_compactions(spark, table):
+    """Random batches against a dictionary that keeps the newest value of each key."""
+    chance = random.Random(7)
+    written, newest = {}, {}
+
+    def write(version):
+        if version not in written:
+            keys = {(chance.randrange(4), chance.choice("xyz")) for _ in range(4)}
+            written[version] = {key: chance.randrange(100) for key in keys}
+        for key, value in written[version].items():
+            if key not in newest or version >= newest[key][0]:
+                newest[key] = (version, value)
+        rows = [
+            (W1 + STEP * slot + DAY * (slot % 2), campaign, value, 1)
+            for (slot, campaign), value in written[version].items()
+        ]
+        table.upsert(_rows(spark, *rows), *version, files=1)
+
+    def check():
+        want = sorted((slot * 10, c, value) for (slot, c), (_, value) in newest.items())
+        assert _clicks(table.latest(spark)) == want
+
+    for _ in range(8):
+        write((chance.randrange(2), chance.randrange(4)))
+    check()
+    table.compact(spark, *max(written))
+    check()
+    table.vacuum(spark, retention_seconds=0)
+    check()
+    write(max(written))
+    for _ in range(4):
+        write((2, chance.randrange(3)))
+    check()
+
+
 def test_one_campaign_is_looked_up_in_the_files(spark, table):
     table.upsert(_rows(spark, (W1, "x", 5, 3), (W1, "y", 1, 1)), 0, 0)
     rows = table.latest(spark).where("campaign_id = 'y'")
