@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import closing
+from contextlib import closing, suppress
 from dataclasses import dataclass
 from functools import partial
 from itertools import batched, chain
@@ -49,7 +49,9 @@ class DatabaseUpsert:
             try:
                 self._send(connection, chain([first], source))
             except BaseException:
-                connection.rollback()
+                # A lost connection cannot roll back; the first error is the one to report.
+                with suppress(Exception):
+                    connection.rollback()
                 raise
 
     def _send(self, connection: Any, rows: Iterator[Row]) -> None:

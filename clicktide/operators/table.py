@@ -68,8 +68,8 @@ class CampaignTable:
     def _write(self, df: DataFrame, version: int, files: int | None) -> None:
         """Bring the rows of a date together, so that not every task writes a file for every date.
 
-        With ``files`` a date is spread by key over that many tasks, whatever its size; that suits a
-        stream, where AQE is off. Without, AQE sizes the tasks, and splits a large date.
+        AQE sizes the tasks: it joins small dates and splits large ones. With ``files`` a date is
+        spread by key over that many tasks instead, whatever its size.
         """
         rows = df.withColumn("window_date", F.to_date("window_end")).withColumn(
             "version", F.lit(version).cast("long")

@@ -41,7 +41,7 @@ class StreamSettings:
 
 @contextmanager
 def _session_options(spark: SparkSession, options: dict[str, str | None]) -> Iterator[None]:
-    """Set options while a query starts; it copies the session's settings at that moment."""
+    """Set options for a while. A stream copies its session's settings when it starts."""
     wanted = {key: value for key, value in options.items() if value is not None}
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
@@ -102,21 +102,26 @@ def finish(query: StreamingQuery, timeout: float | None = None) -> None:
 def table_sink(
     table: CampaignTable,
     run_epoch: int = 0,
-    files: int = 2,
+    files: int | None = None,
     compact_every: int | None = None,
     then: BatchSink | None = None,
 ) -> BatchSink:
-    """Sink into the file table, with ``files`` files per batch and date.
+    """Sink into the file table; ``files`` as in ``CampaignTable.upsert``.
+
+    Streams run without AQE. The batch's aggregate is done when it gets here, so AQE is switched on
+    for what the sink does with it: few files for a usual batch, many tasks for a large backlog.
 
     ``compact_every`` folds the changelog after each so many batches and deletes files folded an
     hour before. ``then`` runs after each batch, for example a serving refresh.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.upsert(batch, run_epoch, batch_id, files)
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            table.compact(batch.sparkSession, run_epoch, batch_id, files)
-            table.vacuum(batch.sparkSession)
+        spark = batch.sparkSession
+        with _session_options(spark, {"spark.sql.adaptive.enabled": "true"}):
+            table.upsert(batch, run_epoch, batch_id, files)
+            if compact_every and (batch_id + 1) % compact_every == 0:
+                table.compact(spark, run_epoch, batch_id, files)
+                table.vacuum(spark)
         if then:
             then(batch, batch_id)
 

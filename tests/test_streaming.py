@@ -169,6 +169,16 @@ def test_state_partitions_are_frozen_and_the_session_is_left_alone(spark, landin
     assert sorted(n for n in os.listdir(state) if n.isdigit()) == ["0", "1"]
 
 
+def test_a_batch_makes_one_small_file_per_date(spark, landing, table, tmp_path):
+    lines = [message("10:00:01", campaign=f"c{i}") for i in range(50)]
+    landing.put(*lines, *(line.replace("10-04", "10-05") for line in lines))
+    settings = StreamSettings(str(tmp_path / "checkpoint"), trigger=None, state_partitions=4)
+    _run(spark, landing, table_sink(table), settings)
+    files = spark.read.parquet(table.root).select(F.input_file_name()).distinct().count()
+    assert files == 2
+    assert table.latest(spark).count() == 100
+
+
 def test_state_on_disk_gives_the_same(spark, landing, table, tmp_path):
     landing.put(message("10:00:01"))
     landing.put(message("10:00:02", user="u-2"))
