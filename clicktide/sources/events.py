@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,12 @@ def throttle(events_per_second: float, trigger_seconds: float) -> int:
     return max(1, int(events_per_second * trigger_seconds))
 
 
+def _three_digits(number: Column) -> Column:
+    """Zero-padded to at least three digits; several times faster than ``format_string``."""
+    text = number.cast("string")
+    return F.when(number < 1000, F.lpad(text, 3, "0")).otherwise(text)
+
+
 def as_events(table: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Give the ``events`` table the shape of decoded click events; works for batch and stream.
 
@@ -64,9 +70,8 @@ def as_events(table: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         *carry,
         F.col("ts").alias("event_time"),
         F.col("user_id").cast("string").alias("user_id"),
-        # The numbers 1 to 4 in three digits; several times faster than format_string.
-        F.concat(F.lit("cmp-"), F.lpad((k % 4 + 1).cast("string"), 3, "0")).alias("campaign_id"),
-        F.format_string("ad-%03d", k).alias("ad_id"),
+        F.concat(F.lit("cmp-"), _three_digits(k % 4 + 1)).alias("campaign_id"),
+        F.concat(F.lit("ad-"), _three_digits(k)).alias("ad_id"),
         (F.col("event_type") == "click").alias("clicked"),
     )
 
