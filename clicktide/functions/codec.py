@@ -33,7 +33,9 @@ def _reason(keep_null_campaign: bool) -> Column:
         .when(F.col("e.event_time").isNull(), "no_event_time")
         .when(F.col("event_time").isNull(), "bad_event_time")
     )
-    return reason if keep_null_campaign else reason.when(F.col("e.campaign_id").isNull(), "no_campaign")
+    if keep_null_campaign:
+        return reason
+    return reason.when(F.col("e.campaign_id").isNull(), "no_campaign")
 
 
 def _rows_where(condition: Column, *fields: Column | str) -> Column:

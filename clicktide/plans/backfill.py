@@ -21,7 +21,7 @@ def backfill(
     as_of: datetime | Column | DataFrame | None = None,
     **how: object,
 ) -> DataFrame:
-    """A row for each of the last ``windows`` windows and each campaign, zero where nothing happened.
+    """A row for each of the last ``windows`` windows and each campaign, zero where none happened.
 
     ``campaigns`` is a frame with ``campaign_id``; without it the names come from all of the events,
     which costs a pass over that one column.

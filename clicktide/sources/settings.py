@@ -86,7 +86,8 @@ class DatabaseSettings:
     def url(self) -> str:
         """One-string form, with user and password safe for a URL."""
         login = f"{quote_plus(self.user)}:{quote_plus(self.password)}"
-        return f"postgresql://{login}@{self.host}:{self.port}/{self.database}?sslmode={self.ssl_mode}"
+        place = f"{self.host}:{self.port}/{self.database}"
+        return f"postgresql://{login}@{place}?sslmode={self.ssl_mode}"
 
 
 def database_url(env: Mapping[str, str] = os.environ) -> str:
