@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clicktide.llm import bpe, mixing, quality_rules
+from clicktide.llm import bpe, jaccard_join, mixing, quality_gam, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,9 +42,26 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("broken_rule")
 
 
+@_query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents")).drop("copies")
 
 
+@_query
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
+    return quality_gam.score(docs, model).select(
+        "doc_id",
+        quality_gam.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= quality_gam.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 ORACLE = {"op8_mixing": mixing.DECIDE_SQL}
