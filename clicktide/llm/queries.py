@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktide.llm import bpe, jaccard_join, mixing, quality_gam, quality_rules
+from clicktide.llm import bpe, jaccard_join, mixing, quality_gam, quality_rules, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
+# The rules that op5 applies.
+URL_RULES = [
+    url_filters.Rule("allow", "com", "/"),
+    url_filters.Rule("block", "example.com", "/en/"),
+    url_filters.Rule("allow", "www.example.com", "/en/"),
+    url_filters.Rule("block", "net", "/es/"),
+    url_filters.Rule("block", "net", "/fr/"),
+]
+
 _registered: dict[str, Query] = {}
 
 
@@ -47,6 +56,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_classes(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @_query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents")).drop("copies")
@@ -64,4 +78,7 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE = {"op8_mixing": mixing.DECIDE_SQL}
+ORACLE = {
+    "op5_url_filters": url_filters.oracle_sql(URL_RULES),
+    "op8_mixing": mixing.DECIDE_SQL,
+}
