@@ -8,7 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktide.llm import bpe, jaccard_join, mixing, quality_gam, quality_rules, url_filters
+from clicktide.llm import (
+    bpe,
+    jaccard_join,
+    language_crf,
+    mixing,
+    quality_gam,
+    quality_rules,
+    url_filters,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +49,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_crf.identify(docs, language_crf.train(docs))
+    held_out = language_crf.held_out("doc_id").alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 @_query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
