@@ -16,6 +16,7 @@ from clicktide.llm import (
     quality_gam,
     quality_rules,
     url_filters,
+    wrappers,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +78,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@_query
+def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decide(table(spark, sf_dir, "documents")).drop("copies")
