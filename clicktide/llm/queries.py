@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from clicktide.llm import (
     bpe,
+    hash_forest,
     jaccard_join,
     language_crf,
     mixing,
@@ -78,6 +79,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@_query
+def op6_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.search(table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(table(spark, sf_dir, "pages"))
