@@ -16,6 +16,7 @@ from clicktide.llm import (
     mixing,
     quality_gam,
     quality_rules,
+    quotation,
     url_filters,
     wrappers,
 )
@@ -106,7 +107,22 @@ def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op10_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.reply_order(table(spark, sf_dir, "conversations"))
+
+
+@_query
+def quotation_of_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations rewritten as mail in which each message quotes the two before it."""
+    mail = quotation.as_quoting_mail(table(spark, sf_dir, "conversations"))
+    found = quotation.reply_order(mail)
+    return found.select("conv_id", "turn", "root_turn", "depth", "reply_to", "linked", "text")
+
+
 ORACLE = {
     "op5_url_filters": url_filters.oracle_sql(URL_RULES),
     "op8_mixing": mixing.DECIDE_SQL,
+    "op10_quotation": quotation.ORDER_SQL,
+    "quotation_of_mail": quotation.MAIL_SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clicktide.llm import bpe, mixing, quality_rules
+from clicktide.llm import bpe, jaccard_join, mixing, quality_gam, quality_rules
 from clicktide.llm.queries import BYTE_BPE
 from clicktide.session import materialize
 
@@ -18,6 +18,18 @@ def good_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def good_score(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labelled documents of the table."""
+    everything = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality_gam.train(everything, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_gam.keep_good(docs, model)
+
+
+def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.keep_one(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its source's target asks for."""
     return mixing.mix(docs)
@@ -30,11 +42,13 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", good_rules),
-    ("mixing", mixed),
-    ("bpe", encoded),
+    ("quality classifier", good_score),
+    ("n-gram Jaccard join", different),
+    ("mixing sources to target weights", mixed),
+    ("BPE encoding and decoding", encoded),
 ]
 
-# The stages in Python can't be written in SQL; tests compare run() with a brute-force version.
+# The stages in Python can't be written in SQL; a test compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
@@ -42,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = materialize(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
