@@ -79,7 +79,7 @@ def source_targets(sizes: DataFrame, source: str, size: str) -> DataFrame:
 
 def _draw(id_col: str, text: str) -> Column:
     """A number in [0, 1) from the first 32 bits of a hash."""
-    own = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text)))
+    own = F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text)), F.lit(""))
     digits = F.substring(F.md5(F.concat(F.lit(SEED + ":"), own)), 1, 8)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(2**32))
 
@@ -149,7 +149,7 @@ DECIDE_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '{WORD_PATTERN}')), 0)::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(text))) AS digest
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(text), '')) AS digest
   FROM documents
 ), totals AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source

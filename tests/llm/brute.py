@@ -1,0 +1,41 @@
+"""Plain versions of operators, for small tables."""
+
+from collections import defaultdict
+
+
+def shingles(text):
+    """Sets of five words in a row, or of all words if they are fewer."""
+    words = (text or "").encode().split()
+    width = min(5, len(words))
+    return frozenset(
+        tuple(words[at : at + width]) for at in range(len(words) - width + 1 if words else 0)
+    )
+
+
+def near_classes(texts):
+    """Per text: number of its class, size of the class, number of links; every pair is compared."""
+    sets = [shingles(text) for text in texts]
+    links, parent = [0] * len(texts), list(range(len(texts)))
+
+    def find(at):
+        while parent[at] != at:
+            at = parent[at]
+        return at
+
+    having = defaultdict(list)
+    for at, own in enumerate(sets):
+        counts = defaultdict(int)
+        for shingle in own:
+            for other in having[shingle]:
+                counts[other] += 1
+            having[shingle].append(at)
+        for other, common in counts.items():
+            if 5 * common >= 4 * (len(own) + len(sets[other]) - common):
+                links[at] += 1
+                links[other] += 1
+                parent[max(find(at), find(other))] = min(find(at), find(other))
+    roots = [find(at) for at in range(len(texts))]
+    sizes = defaultdict(int)
+    for root in roots:
+        sizes[root] += 1
+    return [(root, sizes[root], links[at]) for at, root in enumerate(roots)]

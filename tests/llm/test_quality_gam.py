@@ -1,0 +1,82 @@
+import numpy as np
+import pytest
+
+from clicktide.llm import quality_gam as gam
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    return gam.train(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+
+
+def test_held_out_accuracy(spark, model):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    scored = gam.score(docs, model).join(labels, "doc_id").where(gam.held_out("doc_id"))
+    rows = scored.select("score", "quality").collect()
+    right = sum((row["score"] >= gam.THRESHOLD) == (row["quality"] == 1) for row in rows)
+    assert len(rows) > 50 and right / len(rows) > 0.95
+    assert all(0 <= row["score"] <= 1 for row in rows)
+
+
+def test_learning_an_interaction():
+    """Neither feature alone says anything; a cut in both does."""
+    random = np.random.default_rng(1)
+    rows = random.random((4_000, 2))
+    labels = ((rows[:, 0] > 0.5) ^ (rows[:, 1] > 0.5)).astype(float)
+    model = gam.fit(rows[:3_000], labels[:3_000])
+    assert model.pairs
+    right = (model.score(rows[3_000:]) > 0.5) == labels[3_000:]
+    assert right.mean() > 0.9
+
+
+def test_score_is_the_sum_of_bins():
+    random = np.random.default_rng(2)
+    rows = random.random((600, 3))
+    model = gam.fit(rows, (rows[:, 0] + rows[:, 1] > 1).astype(float))
+    for row, score in zip(rows[:50], model.score(rows[:50])):
+        total = model.base
+        for value, cuts, table in zip(row, model.cuts, model.tables):
+            total += table[sum(value >= cut for cut in cuts)]
+        for a, b, cuts_a, cuts_b, table in model.pairs:
+            total += table[sum(row[a] >= c for c in cuts_a), sum(row[b] >= c for c in cuts_b)]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_held_out_labels_are_never_learned(spark):
+    """Turning the labels of the held-out rows around changes nothing."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    turned = labels.selectExpr(
+        "doc_id",
+        "CASE WHEN pmod(crc32(cast(doc_id AS string)), 5) = 0 THEN 1 - quality ELSE quality END AS quality",
+    )
+    same = [gam.train(docs, frame, rows=120) for frame in (labels, turned)]
+    values = np.random.default_rng(3).random((20, len(gam.FEATURES)))
+    assert (same[0].score(values) == same[1].score(values)).all()
+
+
+def test_edge_tables(spark, model):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    docs = spark.createDataFrame(
+        [(1, "some text", 0.5), (1, "some text", 0.5), (2, None, None), (None, "", None)],
+        "doc_id long, text string, score double",
+    )
+    nothing = gam.train(docs, labels.where("false"))
+    assert {row["score"] for row in gam.score(docs, nothing).collect()} == {0.5}
+    one_kind = gam.train(docs, labels)
+    assert all(0 <= row["score"] <= 1 for row in gam.score(docs, one_kind).collect())
+    assert gam.score(docs.where("false"), model).collect() == []
+    scores = gam.score(docs, model).collect()
+    assert len(scores) == 4 and len({row["score"] for row in scores if row["doc_id"] == 1}) == 1
+    kept = gam.keep_good(docs, nothing, threshold=0.5)
+    assert kept.schema == docs.schema and kept.count() == 4
+    assert gam.keep_good(docs, nothing, threshold=0.6).count() == 0
+
+
+def test_features_of_edge_texts():
+    assert gam.features(None) == gam.features(" \n") == [0.0] * len(gam.FEATURES)
+    assert len(gam.features("x " * 300_000)) == len(gam.FEATURES)
