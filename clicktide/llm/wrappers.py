@@ -11,9 +11,9 @@ of ``CHUNK`` pages, each chunk with a reference of its own, so no task and no ho
 hosts above a share of all pages are listed for that, so the list has at most ``MAX_LISTED`` rows,
 and is broadcast; smaller ones are read as a stream and cut into chunks.
 
-A copy of the reference says nothing about the template. So a page whose content is mostly that of
-the reference has no vote, a text is part of the template only if ``MIN_VOTES`` pages vote so, and
-at least ``MIN_SAME`` of all that vote on its place.
+A copy of the reference says nothing about the template. So a page that has the reference's title,
+or most of its long texts, has no vote; a text is part of the template only if ``MIN_VOTES`` pages
+vote so, and at least ``MIN_SAME`` of all that vote on its place.
 
 Defined cases: a null page counts as empty; a page without main text has an empty text; a page whose
 host has no others, or that has no host, is read by its own tags alone; repeated rows get a row
@@ -42,6 +42,7 @@ MAX_LISTED = 100_000
 MIN_VOTES = 3
 MIN_SAME = 0.6
 COPY_SHARE = 0.5
+LONG_TEXT = 80
 
 # Elements, roles and names that aren't part of an article.
 DROPPED = frozenset(
@@ -151,6 +152,11 @@ def _plain(node: Node) -> str:
     return " ".join(node.text.split())
 
 
+def _title(tree: Node) -> str:
+    found = next((node for node in tree.walk() if node.tag == "title"), None)
+    return "".join(_plain(kid) for kid in found.kids) if found else ""
+
+
 def extract_site(trees: list[Node], voters: list[Node] | None = None) -> list[str]:
     """The main text of pages of one host; ``voters`` are further pages of the host."""
     contents = [article_texts(tree) for tree in trees]
@@ -160,18 +166,24 @@ def extract_site(trees: list[Node], voters: list[Node] | None = None) -> list[st
     reference = sorted(everyone, key=lambda tree: tree.size)[len(everyone) // 2]
     own = {id(node): _plain(node) for node in reference.walk() if node.tag == TEXT}
     content_of = {id(node) for node, _ in article_texts(reference)}
+    title = _title(reference)
     votes, same = Counter(), Counter()
     aligned: list[dict[int, Node]] = []
     for at, tree in enumerate(everyone):
+        if tree is reference:
+            if at < len(trees):
+                aligned.append({id(node): node for node, _ in contents[at]})
+            continue
         pairs = [(a, b) for a, b in Matching(tree, reference).pairs() if a.tag == TEXT]
         if at < len(trees):
             aligned.append({id(a): b for a, b in pairs})
         equal = [(b, _plain(a) == own[id(b)]) for a, b in pairs if own[id(b)]]
-        inside = [(len(own[id(b)]), is_same) for b, is_same in equal if id(b) in content_of]
-        mass = sum(size for size, _ in inside)
-        if tree is reference or (
-            mass and sum(size for size, is_same in inside if is_same) > COPY_SHARE * mass
-        ):
+        long = [
+            is_same
+            for node, is_same in equal
+            if id(node) in content_of and len(own[id(node)]) >= LONG_TEXT
+        ]
+        if (title and _title(tree) == title) or sum(long) > COPY_SHARE * len(long):
             continue
         for node, is_same in equal:
             votes[id(node)] += 1
