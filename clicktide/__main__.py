@@ -3,26 +3,36 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 from dataclasses import replace
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import SparkSession
 
-from clicktide.functions.codec import decode_events
+from clicktide.functions.codec import AGGREGATE_FIELDS, decode_events
+from clicktide.functions.times import micros
 from clicktide.operators.database import postgres_upsert
 from clicktide.operators.table import CampaignTable
 from clicktide.operators.windows import WINDOW_WIDTH
 from clicktide.plans import serving
 from clicktide.plans.backfill import backfill
-from clicktide.session import build_session
+from clicktide.session import build_session, materialize
+from clicktide.sources.aggregates import read_database
 from clicktide.sources.events import kafka_stream, landed_batch, landed_stream, throttle
-from clicktide.sources.settings import KafkaSettings, backfill_windows, database_url
+from clicktide.sources.settings import (
+    KafkaSettings,
+    backfill_windows,
+    database_url,
+    jdbc_options,
+)
+from clicktide.streaming.refresh import ServingRefresh
 from clicktide.streaming.replay import publish_to_topic
 from clicktide.streaming.runner import (
     TRIGGER,
     WATERMARK,
     StreamSettings,
     database_sink,
-    finish,
+    finish_all,
     start_campaign_stream,
     start_rejects_stream,
     table_sink,
@@ -31,17 +41,19 @@ from clicktide.streaming.runner import (
 
 def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.events:
+        if args.rate:
+            raise SystemExit("--rate is for the topic; use --max-files with --events")
         raw = landed_stream(spark, args.events, args.max_files)
     else:
         settings = KafkaSettings.from_env()
         if args.rate:
-            limit = throttle(args.rate, float(args.trigger.split()[0]))
+            limit = throttle(args.rate, args.trigger)
             settings = replace(settings, max_offsets_per_trigger=limit)
         raw = kafka_stream(spark, settings)
     if args.table:
-        sink = table_sink(
-            CampaignTable(args.table), args.run_epoch, compact_every=args.compact_every
-        )
+        table = CampaignTable(args.table)
+        refresh = ServingRefresh(spark, table, args.views) if args.views is not None else None
+        sink = table_sink(table, then=refresh)
     else:
         database = postgres_upsert(database_url(), max_connections=args.max_connections)
         database.ensure_table()
@@ -53,13 +65,13 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
         state_partitions=args.state_partitions,
         large_state=args.large_state,
     )
-    rejects = None
+    started = []
     if args.rejects:
         own = replace(settings, checkpoint=f"{args.checkpoint}-rejects")
-        rejects = start_rejects_stream(raw, args.rejects, own)
-    finish(start_campaign_stream(decode_events(raw), sink, settings))
-    if rejects:
-        finish(rejects)
+        started.append(start_rejects_stream(raw, args.rejects, own))
+    events = decode_events(raw, fields=AGGREGATE_FIELDS)
+    started.append(start_campaign_stream(events, sink, settings))
+    finish_all(started)
 
 
 def _publish(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -68,10 +80,20 @@ def _publish(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _backfill(spark: SparkSession, args: argparse.Namespace) -> None:
-    events = decode_events(landed_batch(spark, args.events))
-    rows = backfill(events, windows=args.windows or backfill_windows(), width=args.width)
-    if args.table:
-        CampaignTable(args.table).upsert(rows, args.run_epoch, args.batch)
+    windows, as_of = args.windows or backfill_windows(), datetime.now(timezone.utc)
+    since = as_of - timedelta(microseconds=micros(args.width) * (windows + 1))
+    events = decode_events(landed_batch(spark, args.events, since))
+    table = CampaignTable(args.table) if args.table else None
+    names = None
+    if args.campaigns:
+        rows = [(name,) for name in args.campaigns.split(",")]
+        names = spark.createDataFrame(rows, "campaign_id string")
+    elif table:
+        known = table.latest(spark, since=as_of - timedelta(days=args.known_days))
+        names = known.select("campaign_id").unionByName(events.select("campaign_id"))
+    rows = backfill(events, names, windows, args.width, as_of)
+    if table:
+        table.upsert(rows, f"backfill-{uuid.uuid4().hex}", 0)
     else:
         database = postgres_upsert(database_url(), max_connections=args.max_connections)
         database.ensure_table()
@@ -79,20 +101,30 @@ def _backfill(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _report(spark: SparkSession, args: argparse.Namespace) -> None:
-    rows = serving.stored_trailing_windows(
-        spark, CampaignTable(args.table), serving.horizon(args.minutes)
-    )
+    """All parts of one moment, from one read of the slice."""
+    as_of, ago = datetime.now(timezone.utc), serving.horizon(args.minutes)
+    if args.table:
+        rows = serving.stored_trailing_windows(spark, CampaignTable(args.table), ago, as_of)
+    else:
+        rows = serving.trailing_windows(read_database(spark, jdbc_options()), ago, as_of)
+    rows = materialize(rows, "report")
     if rows.isEmpty():
         print("No data yet.")
         return
-    serving.dashboard_kpis(rows).show()
-    serving.clicks_over_time(rows).show(args.rows, truncate=False)
-    serving.latest_window_ranked(rows).show(args.rows, truncate=False)
+    for part in (
+        serving.dashboard_kpis(rows),
+        serving.clicks_by_campaign(rows),
+        serving.latest_window_ranked(rows),
+    ):
+        print(*part.columns, sep="\t")
+        for row in part.toLocalIterator():
+            print(*row, sep="\t")
+        print()
 
 
 def _compact(spark: SparkSession, args: argparse.Namespace) -> None:
     table = CampaignTable(args.table)
-    table.compact(spark, args.run_epoch, args.batch)
+    table.compact(spark)
     if args.vacuum:
         table.vacuum(spark)
 
@@ -113,7 +145,7 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--rate", type=float, help="events per second to take from the topic")
     stream.add_argument("--max-files", type=int, help="files per micro-batch")
     stream.add_argument("--state-partitions", type=int)
-    stream.add_argument("--compact-every", type=int, help="batches between compactions")
+    stream.add_argument("--views", help="keep serving views with this prefix up to date")
     stream.add_argument("--large-state", action="store_true", help="keep state in RocksDB")
     stream.set_defaults(run=_stream)
 
@@ -126,12 +158,13 @@ def parser() -> argparse.ArgumentParser:
     fill.add_argument("--table", help="folder of the file table; the database when not given")
     fill.add_argument("--windows", type=int)
     fill.add_argument("--width", default=WINDOW_WIDTH)
+    fill.add_argument("--campaigns", help="names, with commas; else those of table and events")
+    fill.add_argument("--known-days", type=int, default=7, help="days of the table to take names from")
     fill.set_defaults(run=_backfill)
 
     report = commands.add_parser("report", help="show KPIs, clicks over time, newest window")
-    report.add_argument("--table", required=True)
+    report.add_argument("--table", help="folder of the file table; the database when not given")
     report.add_argument("--minutes", type=int, default=serving.HORIZON_DEFAULT)
-    report.add_argument("--rows", type=int, default=40, help="rows to print of each part")
     report.set_defaults(run=_report)
 
     compact = commands.add_parser("compact", help="fold the changelog into one version per date")
@@ -139,12 +172,8 @@ def parser() -> argparse.ArgumentParser:
     compact.add_argument("--vacuum", action="store_true", help="delete what was folded an hour ago")
     compact.set_defaults(run=_compact)
 
-    for command in (stream, fill, compact):
-        command.add_argument("--run-epoch", type=int, default=0)
     for command in (stream, fill):
         command.add_argument("--max-connections", type=int)
-    for command in (fill, compact):
-        command.add_argument("--batch", type=int, required=True, help="batch id within the run")
     return top
 
 

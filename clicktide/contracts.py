@@ -64,6 +64,17 @@ def create_table_sql(table: str = AGG_TABLE) -> str:
     return f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)})"
 
 
+def create_views_sql(table: str = AGG_TABLE) -> list[str]:
+    """DDL of the two serving views: the newest window, and totals per campaign."""
+    columns = ", ".join(CAMPAIGN_AGG_SCHEMA.names)
+    return [
+        f"CREATE OR REPLACE VIEW latest_campaign_window AS SELECT {columns} FROM {table} "
+        f"WHERE window_end = (SELECT max(window_end) FROM {table})",
+        "CREATE OR REPLACE VIEW campaign_totals AS SELECT campaign_id, sum(clicks) AS clicks, "
+        f"sum(unique_users) AS unique_users FROM {table} GROUP BY campaign_id",
+    ]
+
+
 def upsert_sql(table: str = AGG_TABLE, placeholder: str = "?") -> str:
     """Insert-or-replace statement with one placeholder per column, in schema order."""
     names = CAMPAIGN_AGG_SCHEMA.names

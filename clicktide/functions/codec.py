@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clicktide.contracts import EVENT_SCHEMA
 
@@ -13,9 +14,13 @@ from clicktide.contracts import EVENT_SCHEMA
 EVENT_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"
 
 
-def _parse(raw: DataFrame, carry: Sequence[str]) -> DataFrame:
+# What the aggregate needs of an event besides its time.
+AGGREGATE_FIELDS = ("user_id", "campaign_id")
+
+
+def _parse(raw: DataFrame, carry: Sequence[str], schema: StructType = EVENT_SCHEMA) -> DataFrame:
     text = F.col("value").cast("string")
-    return raw.select(*carry, text.alias("value"), F.from_json(text, EVENT_SCHEMA).alias("e"))
+    return raw.select(*carry, text.alias("value"), F.from_json(text, schema).alias("e"))
 
 
 def _event_time() -> Column:
@@ -48,20 +53,30 @@ def _rows_where(condition: Column, *fields: Column | str) -> Column:
 
 
 def decode_events(
-    raw: DataFrame, carry: Sequence[str] = (), keep_null_campaign: bool = False
+    raw: DataFrame,
+    carry: Sequence[str] = (),
+    keep_null_campaign: bool = False,
+    fields: Sequence[str] | None = None,
 ) -> DataFrame:
     """Typed events from messages in column ``value``; ``carry`` names source columns to keep.
 
+    ``fields`` are the fields to parse besides the time, all by default. (Spark can't leave out
+    columns that nobody uses behind the generator that drops messages.)
+
     Messages without a usable time belong to no window and are left out; so are those without a
     campaign, which the aggregate table's key does not allow (``keep_null_campaign`` lets them
     through). ``decode_rejects`` returns exactly the messages left out.
     """
-    parsed = _parse(raw, carry).select(*carry, "e", _event_time().alias("event_time"))
+    names = [f.name for f in EVENT_SCHEMA if f.name != "event_time"]
+    others = [name for name in names if fields is None or name in fields]
+    wanted = {"event_time", "campaign_id", *others}
+    schema = StructType([field for field in EVENT_SCHEMA if field.name in wanted])
+    parsed = _parse(raw, carry, schema).select(*carry, "e", _event_time().alias("event_time"))
     usable = F.col("event_time").isNotNull()
     if not keep_null_campaign:
         usable = usable & F.col("e.campaign_id").isNotNull()
-    others = [f"e.{name}" for name in EVENT_SCHEMA.names if name != "event_time"]
-    return parsed.select(*carry, _rows_where(usable, "event_time", *others))
+    kept = [f"e.{name}" for name in others]
+    return parsed.select(*carry, _rows_where(usable, "event_time", *kept))
 
 
 def decode_rejects(

@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import closing, suppress
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 from functools import partial
 from itertools import batched, chain
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
-from clicktide.contracts import AGG_KEYS, AGG_TABLE, conform, create_table_sql, upsert_sql
+from clicktide.contracts import (
+    AGG_KEYS,
+    AGG_TABLE,
+    CAMPAIGN_AGG_SCHEMA,
+    conform,
+    create_table_sql,
+    create_views_sql,
+    upsert_sql,
+)
+
+
+_TIMES = [f.name for f in CAMPAIGN_AGG_SCHEMA if f.dataType == TimestampType()]
+_TIME_PLACES = [CAMPAIGN_AGG_SCHEMA.names.index(name) for name in _TIMES]
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 @dataclass(frozen=True)
@@ -30,12 +46,17 @@ class DatabaseUpsert:
     max_connections: int | None = None
 
     def ensure_table(self) -> None:
+        """Make the table and the serving views where they are missing."""
         with closing(self.connect()) as connection:
-            connection.cursor().execute(create_table_sql(self.table))
+            cursor = connection.cursor()
+            for statement in [create_table_sql(self.table), *create_views_sql(self.table)]:
+                cursor.execute(statement)
             connection.commit()
 
     def write(self, df: DataFrame) -> None:
-        rows = conform(df)
+        # As numbers, because a task would turn times into those of its own zone.
+        instants = {name: F.unix_micros(name) for name in _TIMES}
+        rows = conform(df).withColumns(instants)
         if self.max_connections:
             rows = rows.repartition(self.max_connections, *AGG_KEYS)
         rows.foreachPartition(self.write_rows)
@@ -58,10 +79,18 @@ class DatabaseUpsert:
         statement = upsert_sql(self.table, self.placeholder)
         cursor = connection.cursor()
         for chunk in batched(rows, self.flush_rows):
-            cursor.executemany(statement, [tuple(row) for row in chunk])
+            cursor.executemany(statement, [_with_zones(row) for row in chunk])
         connection.commit()
 
 
+def _with_zones(row: Row) -> tuple:
+    """The row's values, with its times as instants in UTC."""
+    values = list(row)
+    for at in _TIME_PLACES:
+        values[at] = _EPOCH + timedelta(microseconds=values[at])
+    return tuple(values)
+
+
 def postgres_upsert(url: str, **options: Any) -> DatabaseUpsert:
     """Upsert sink for PostgreSQL; the executors need the ``psycopg`` package."""
     return DatabaseUpsert(partial(_connect_postgres, url), placeholder="%s", **options)

@@ -1,23 +1,31 @@
 """``campaign_agg`` as Parquet files: a changelog with last-write-wins reading.
 
-Layout ``<root>/window_date=D/version=V/part-*``. A version belongs to one batch of one run, so a
-batch that is replayed replaces its own files. Dates give partition pruning, and rows are sorted by
-window end inside each file so that row-group statistics prune further; the campaign column is
-dictionary-encoded, which lets the reader skip row groups without a wanted campaign.
+Layout ``<root>/window_date=D/version=V/part-*``. Every batch of every writer claims the next number
+of the table before it writes, so later writes win whoever makes them, and a batch that is replayed
+finds its own number again and replaces its own files. Dates give partition pruning, and rows are
+sorted by window end inside each file so that row-group statistics prune further; the campaign
+column is dictionary-encoded, which lets the reader skip row groups without a wanted campaign.
+
+Folders of the table's own, which readers of Parquet skip: ``_claims`` (one file per number, with
+who claimed it), ``_writers`` (the last claim of each writer), ``_done`` (numbers whose files are
+all there) and ``_folds`` (folds whose files are all there, by date).
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 from dataclasses import dataclass
 from datetime import date, datetime
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clicktide.contracts import AGG_KEYS, AGG_VALUES, CAMPAIGN_AGG_SCHEMA, conform
+from clicktide.functions.times import moment
 from clicktide.operators.checks import require_contract
 
 CHANGELOG_SCHEMA = T.StructType(
@@ -28,42 +36,58 @@ CHANGELOG_SCHEMA = T.StructType(
     ]
 )
 
-_BATCH_BITS = 32
-_EPOCH_BITS = 30
-
-
-def version_of(run_epoch: int, batch_id: int) -> int:
-    """Order of writes: later runs after earlier ones, then by batch. Always even.
-
-    One number, so that "the newest value per key" needs only fixed-width state and stays a hash
-    aggregate. The odd number after it is for compacted rows. Raise ``run_epoch`` whenever a stream
-    starts with a new checkpoint, because its batch ids begin at 0 again.
-    """
-    if not 0 <= run_epoch < 1 << _EPOCH_BITS or not 0 <= batch_id < 1 << _BATCH_BITS:
-        raise ValueError(f"out of range: run_epoch={run_epoch}, batch_id={batch_id}")
-    return ((run_epoch << _BATCH_BITS) | batch_id) << 1
-
 
 @dataclass(frozen=True)
 class CampaignTable:
     root: str
 
+    # --- writing -------------------------------------------------------------------------------
+
     def upsert(
         self,
         df: DataFrame,
-        run_epoch: int,
+        writer: str,
         batch_id: int,
         files: int | None = None,
         check: bool = False,
-    ) -> None:
-        """Write full values for the keys in ``df``; later versions win over earlier ones.
+    ) -> int:
+        """Write full values for the keys in ``df``; later writes win over earlier ones.
 
+        ``writer`` names one run whose batch ids rise; a batch that is written again replaces itself.
         ``df`` holds each key once, as an aggregate does; ``check`` verifies that first, at the cost
-        of a second pass. ``files`` is the number of files per date, see ``_write``.
+        of a second pass. ``files`` is the number of files per date, see ``_write``. Returns the
+        number of the write.
         """
+        spark = df.sparkSession
         if check:
             require_contract(df)
-        self._write(conform(df), version_of(run_epoch, batch_id), files)
+        number = self.claim(spark, str(writer), batch_id)
+        self._write(conform(df), 2 * number, files)
+        self._note(spark, f"_done/{number:019d}", "")
+        return number
+
+    def claim(self, spark: SparkSession, writer: str, batch_id: int) -> int:
+        """The number of this batch: the one it has claimed before, or the next one of the table.
+
+        A number is claimed by making a file that must not exist yet, so no two writers share one.
+        """
+        own = f"_writers/{hashlib.md5(writer.encode()).hexdigest()}"
+        last = self._read(spark, own)
+        if last:
+            last_batch, number = map(int, last.split())
+            if last_batch == batch_id and not self._folded_over(spark, number):
+                return number
+            if last_batch > batch_id:
+                raise ValueError(f"{writer} has written batch {last_batch}, after {batch_id}")
+        number = max(self._numbers(spark, "_claims"), default=-1) + 1
+        while not self._note(spark, f"_claims/{number:019d}", f"{writer}\n{batch_id}", new=True):
+            number += 1
+        self._note(spark, own, f"{batch_id} {number}")
+        return number
+
+    def _folded_over(self, spark: SparkSession, number: int) -> bool:
+        """Whether a fold has closed this number, so that its files would not be read any more."""
+        return any(fold > 2 * number for fold in self._folds(spark).values())
 
     def _write(self, df: DataFrame, version: int, files: int | None) -> None:
         """Bring the rows of a date together, so that not every task writes a file for every date.
@@ -87,92 +111,166 @@ class CampaignTable:
             .parquet(self.root)
         )
 
+    # --- reading -------------------------------------------------------------------------------
+
     def changelog(self, spark: SparkSession) -> DataFrame:
-        """Every version of every key; no rows when nothing has been written yet."""
-        if not self._exists(spark):
+        """Every version of every key since its date's last fold; no rows before the first write.
+
+        Folded versions aren't read, so they may be deleted once earlier readers are done.
+        """
+        if not self._file_system(spark).exists(self._path(spark, ".")):
             return spark.createDataFrame([], CHANGELOG_SCHEMA)
-        return spark.read.schema(CHANGELOG_SCHEMA).parquet(self.root)
+        rows = spark.read.schema(CHANGELOG_SCHEMA).parquet(self.root)
+        folds = self._folds(spark)
+        if not folds:
+            return rows
+        entries = [F.lit(value) for day, version in folds.items() for value in (day, version)]
+        # Date and version are folder names, so this only chooses folders.
+        folded = F.try_element_at(F.create_map(*entries), F.col("window_date"))
+        return rows.where(F.col("version") >= F.coalesce(folded, F.lit(0)).cast("long"))
 
     def latest(
         self, spark: SparkSession, since: datetime | date | Column | None = None
     ) -> DataFrame:
         """The current row of each key.
 
-        ``since`` keeps windows that end on that day or later and reads only those date folders.
+        ``since`` keeps windows that end on that day (in UTC) or later and reads only those date
+        folders.
         """
         rows = self.changelog(spark)
         if since is not None:
-            bound = since if isinstance(since, Column) else F.lit(since)
+            point = moment(since) if isinstance(since, datetime) else since
+            bound = point if isinstance(point, Column) else F.lit(point)
             rows = rows.where(F.col("window_date") >= bound.cast("date"))
         return self._newest(rows)
 
+    def newest_date(self, spark: SparkSession) -> date | None:
+        """The last date that has rows, by the names of folders."""
+        return max(self._folders(spark), default=None)
+
     @staticmethod
     def _newest(rows: DataFrame) -> DataFrame:
         newest = [F.max_by(name, "version").alias(name) for name in AGG_VALUES]
         return rows.groupBy(*AGG_KEYS).agg(*newest)
 
-    def compact(
-        self, spark: SparkSession, run_epoch: int, batch_id: int, files: int | None = None
-    ) -> list[date]:
-        """Fold the versions up to that batch into one, for each date that has several.
+    # --- upkeep --------------------------------------------------------------------------------
+
+    def compact(self, spark: SparkSession, files: int | None = None) -> list[date]:
+        """Fold the versions since the last fold into one, for each date that has got new ones.
 
-        The folded version sorts after the batch and before the next one, so this may run beside the
-        stream. Readers get the same rows at any moment; the folded files stay until ``vacuum``.
-        A date already folded at this batch is left alone: its inputs may be gone.
+        Only numbers are folded below which all writes are done, so this may run beside writers; a
+        writer that is restarted after its number was folded over claims a new one. A fold counts
+        when its mark is there, which is made after its files.
         """
-        through = version_of(run_epoch, batch_id)
-        days = [
-            day
-            for day, versions in self._folders(spark).items()
-            if through + 1 not in versions and sum(v <= through for v in versions) > 1
-        ]
+        through = self._done_through(spark)
+        folds = self._folds(spark)
+        days = []
+        for day, versions in self._folders(spark).items():
+            known = [v for v in versions if folds.get(day, 0) <= v <= 2 * through + 1]
+            if len([v for v in known if v != 2 * through + 1]) > 1:
+                days.append(day)
         if days:
             rows = self.changelog(spark).where(
-                F.col("window_date").isin(days) & (F.col("version") <= through)
+                F.col("window_date").isin(days) & (F.col("version") <= 2 * through)
             )
-            self._write(self._newest(rows), through + 1, files)
+            self._write(self._newest(rows), 2 * through + 1, files)
+            for day in days:
+                self._note(spark, f"_folds/{day.isoformat()}/{2 * through + 1:019d}", "")
         return sorted(days)
 
     def vacuum(self, spark: SparkSession, retention_seconds: float = 3600) -> list[str]:
-        """Delete the version folders that a compaction of the same date has made needless.
+        """Delete the version folders that readers have not looked at since a fold of their date.
 
-        Folders go once the compaction is older than ``retention_seconds``, which is the time a
-        reader has to finish with the file list it started from. Works on folder names only.
+        Folders go once the fold's mark is older than ``retention_seconds``, which is the time a
+        reader has to finish with the file list it started from. Works on names only.
         """
-        fs, _ = self._file_system(spark)
-        removed = []
-        for versions in self._folders(spark).values():
-            folded = max((v for v in versions if v % 2), default=None)
-            if folded is None:
-                continue
-            age = time.time() - fs.getFileStatus(versions[folded]).getModificationTime() / 1000
-            if age < retention_seconds:
+        fs = self._file_system(spark)
+        folders, removed = self._folders(spark), []
+        for day, fold in self._folds(spark).items():
+            mark = self._path(spark, f"_folds/{day.isoformat()}/{fold:019d}")
+            if time.time() - fs.getFileStatus(mark).getModificationTime() / 1000 < retention_seconds:
                 continue
-            for version, path in versions.items():
-                if version < folded:
+            for version, path in folders.get(day, {}).items():
+                if version < fold:
                     fs.delete(path, True)
                     removed.append(path.toString())
+        # Claims serve to find the last number and what is under way.
+        last = max(self._numbers(spark, "_claims"), default=0)
+        for number in self._numbers(spark, "_done"):
+            if number < last:
+                fs.delete(self._path(spark, f"_claims/{number:019d}"), False)
+                fs.delete(self._path(spark, f"_done/{number:019d}"), False)
         return removed
 
+    def _done_through(self, spark: SparkSession) -> int:
+        """The last number up to which every claim is done, or its writer has claimed again since."""
+        claims, done = self._numbers(spark, "_claims"), set(self._numbers(spark, "_done"))
+        last = {
+            int(text.split()[1])
+            for name in self._names(spark, "_writers")
+            if (text := self._read(spark, f"_writers/{name}"))
+        }
+        # A number that isn't done and isn't its writer's last was given up for a later one.
+        under_way = [number for number in claims if number not in done and number in last]
+        return min(under_way, default=max(claims, default=-1) + 1) - 1
+
+    # --- files ---------------------------------------------------------------------------------
+
+    def _folds(self, spark: SparkSession) -> dict[date, int]:
+        """The newest fold of each date."""
+        found: dict[date, int] = {}
+        for status in self._glob(spark, "_folds/*/*"):
+            path = status.getPath()
+            day, version = date.fromisoformat(path.getParent().getName()), int(path.getName())
+            found[day] = max(version, found.get(day, 0))
+        return found
+
     def _folders(self, spark: SparkSession) -> dict[date, dict[int, Any]]:
         """Path of each version of each date, by their folder names."""
-        fs, _ = self._file_system(spark)
         found: dict[date, dict[int, Any]] = {}
-        for folder in fs.globStatus(self._path(spark, f"{self.root}/window_date=*/version=*")):
-            path = folder.getPath()
+        for status in self._glob(spark, "window_date=*/version=*"):
+            path = status.getPath()
             day = date.fromisoformat(path.getParent().getName().removeprefix("window_date="))
             version = int(path.getName().removeprefix("version="))
             found.setdefault(day, {})[version] = path
         return found
 
-    @staticmethod
-    def _path(spark: SparkSession, path: str) -> Any:
-        return spark._jvm.org.apache.hadoop.fs.Path(path)
+    def _numbers(self, spark: SparkSession, folder: str) -> list[int]:
+        return [int(name) for name in self._names(spark, folder)]
+
+    def _names(self, spark: SparkSession, folder: str) -> list[str]:
+        return [status.getPath().getName() for status in self._glob(spark, f"{folder}/*")]
+
+    def _glob(self, spark: SparkSession, pattern: str) -> list[Any]:
+        return self._file_system(spark).globStatus(self._path(spark, pattern)) or []
+
+    def _note(self, spark: SparkSession, name: str, text: str, new: bool = False) -> bool:
+        """Write a small file; with ``new`` only if it isn't there, and say whether that worked."""
+        try:
+            out = self._file_system(spark).create(self._path(spark, name), not new)
+        except Py4JJavaError as error:
+            if new and "AlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return True
+
+    def _read(self, spark: SparkSession, name: str) -> str | None:
+        fs, path = self._file_system(spark), self._path(spark, name)
+        if not fs.exists(path):
+            return None
+        source = fs.open(path)
+        try:
+            return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
 
-    def _file_system(self, spark: SparkSession) -> tuple[Any, Any]:
-        path = self._path(spark, self.root)
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+    def _path(self, spark: SparkSession, name: str) -> Any:
+        return spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _exists(self, spark: SparkSession) -> bool:
-        fs, path = self._file_system(spark)
-        return fs.exists(path)
+    def _file_system(self, spark: SparkSession) -> Any:
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return root.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -5,8 +5,9 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from clicktide.functions.times import micros
+from clicktide.functions.times import first_start, micros
 from clicktide.operators.grid import fill_grid, window_grid
 from clicktide.operators.windows import WINDOW_WIDTH
 from clicktide.plans.serving import recent_windows
@@ -23,9 +24,17 @@ def backfill(
 ) -> DataFrame:
     """A row for each of the last ``windows`` windows and each campaign, zero where none happened.
 
-    ``campaigns`` is a frame with ``campaign_id``; without it the names come from all of the events,
-    which costs a pass over that one column.
+    ``campaigns`` is a frame with ``campaign_id``, such as the aggregate table; without it the names
+    are those of the events in the windows, and no others are read.
     """
-    grid = window_grid(events if campaigns is None else campaigns, windows, width, as_of)
-    span = f"{micros(width) * windows // 10**6} seconds"
+    span = backfill_span(windows, width)
+    if campaigns is None:
+        start = first_start(as_of, span, width, events.schema["event_time"].dataType)
+        campaigns = events.where(F.col("event_time") >= start)
+    grid = window_grid(campaigns, windows, width, as_of)
     return fill_grid(grid, recent_windows(events, width, span, as_of, **how))
+
+
+def backfill_span(windows: int, width: str) -> str:
+    """The time that the windows cover together."""
+    return f"{micros(width) * windows // 10**6} seconds"

@@ -18,14 +18,19 @@ from clicktide.operators.windows import campaign_windows, latest_window_end
 from clicktide.plans import serving
 from clicktide.plans.backfill import backfill
 from clicktide.session import fresh_folder, use_utc
-from clicktide.sources.events import as_events, event_batch, event_table, event_table_stream
-from clicktide.sources.events import landed_stream
+from clicktide.sources.events import (
+    as_events,
+    event_batch,
+    event_table,
+    event_table_stream,
+    landed_stream,
+)
 from clicktide.streaming.refresh import ServingRefresh
-from clicktide.streaming.replay import publish_to_files, replay
+from clicktide.streaming.replay import replay
 from clicktide.streaming.runner import (
+    BatchSink,
     StreamSettings,
     finish,
-    start_campaign_stream,
     start_rejects_stream,
     table_sink,
 )
@@ -40,7 +45,9 @@ GRID_WINDOWS = 12
 STREAM_WIDTH = "10 seconds"
 STREAM_HORIZON = serving.horizon(serving.HORIZON_MAX)
 CAMPAIGNS = ("cmp-001", "cmp-002", "cmp-003", "cmp-004")
-REPLAY_SLICES = 3
+REPLAY_SLICES = 5
+SLICE_ROWS = 1_000_000
+STATE_PARTITIONS = 4
 
 # Where the history is cut into three writes; both cuts lie inside a one-hour window.
 UPSERT_CUTS = (datetime(2024, 1, 10, 12, 30), datetime(2024, 1, 20, 12, 30))
@@ -94,21 +101,36 @@ def campaign_windows_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact(spark, sf_dir, "1 day")
 
 
-def _users_close(approximate: DataFrame, exact: DataFrame) -> DataFrame:
-    """Clicks as they are, and whether the approximate users are within three standard errors."""
+def _users_check(approximate: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: whether clicks are equal and the approximate users as good as they should be.
+
+    At any size about one key in four hundred is outside three standard errors. So the check is
+    that at most one in a hundred is, that errors even out, and that none is beyond eight.
+    """
     keys = [F.col(key) for key in AGG_KEYS]
-    close = F.abs(F.col("unique_users") - F.col("exact_users")) <= F.greatest(
-        F.lit(1.0), F.col("exact_users") * 0.15
+    counted = exact.select(
+        *keys, F.col("unique_users").alias("exact_users"), F.col("clicks").alias("exact_clicks")
+    )
+    joined = approximate.join(counted, list(AGG_KEYS), "full")
+    off = F.col("unique_users") - F.col("exact_users")
+    error = F.when(F.abs(off) <= 1, F.lit(0.0)).otherwise(off / F.col("exact_users"))
+    return joined.agg(
+        F.count(F.lit(1)).alias("n_keys"),
+        F.coalesce(
+            F.sum(F.col("clicks").eqNullSafe(F.col("exact_clicks")).cast("int"))
+            == F.count(F.lit(1)),
+            F.lit(True),
+        ).alias("clicks_equal"),
+        F.coalesce(F.avg((F.abs(error) > 0.15).cast("int")) <= 0.01, F.lit(True)).alias("few_off"),
+        F.coalesce(F.abs(F.avg(error)) <= 0.02, F.lit(True)).alias("unbiased"),
+        F.coalesce(F.max(F.abs(error)) <= 0.4, F.lit(True)).alias("bounded"),
     )
-    counted = exact.select(*keys, F.col("unique_users").alias("exact_users"))
-    joined = approximate.join(counted, list(AGG_KEYS))
-    return joined.select(*AGG_KEYS, "clicks", close.alias("users_close"))
 
 
 @_query
 def campaign_windows_approx_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     approximate = campaign_windows(event_batch(spark, sf_dir), SERVING_WIDTH, "approx")
-    return _users_close(approximate, _exact(spark, sf_dir))
+    return _users_check(approximate, _exact(spark, sf_dir))
 
 
 @_query
@@ -117,39 +139,91 @@ def _align_to_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_to_window(events, "event_time", STREAM_WIDTH)
 
 
-# --- serving ---------------------------------------------------------------------------------
+# --- serving, from the stored table ------------------------------------------------------------
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> CampaignTable:
+    """The table with the aggregate of all events."""
+    table = CampaignTable(fresh_folder(spark, "campaign-agg"))
+    table.upsert(_exact(spark, sf_dir), "history", 0)
+    return table
+
+
+def _newest_end(spark: SparkSession, table: CampaignTable) -> DataFrame:
+    return serving.newest_end(table.latest(spark, since=table.newest_date(spark)))
+
+
+def _stored_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _stored(spark, sf_dir)
+    newest = _newest_end(spark, table)
+    return serving.stored_trailing_windows(spark, table, SERVING_HORIZON, newest)
 
 
 @_query
 def campaign_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.campaign_totals(_exact(spark, sf_dir))
+    return serving.campaign_totals(_stored(spark, sf_dir).latest(spark))
 
 
 @_query
 def latest_campaign_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.latest_from_events(event_batch(spark, sf_dir), SERVING_WIDTH, users="exact")
+    return _without_zone(serving.stored_latest_window(spark, _stored(spark, sf_dir)))
+
+
+@_query
+def latest_campaign_window_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    serving.register_views(spark, _stored(spark, sf_dir), "clicktide_")
+    return _without_zone(spark.table("clicktide_latest_campaign_window"))
+
+
+@_query
+def campaign_totals_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    serving.register_views(spark, _stored(spark, sf_dir), "clicktide_")
+    return spark.table("clicktide_campaign_totals")
 
 
 @_query
 def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trailing(spark, sf_dir)
+    return _without_zone(_stored_trailing(spark, sf_dir))
 
 
 @_query
 def dashboard_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.dashboard_kpis(_trailing(spark, sf_dir))
+    return serving.dashboard_kpis(_stored_trailing(spark, sf_dir))
 
 
 @_query
 def clicks_over_time_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serving.clicks_over_time(_trailing(spark, sf_dir), CAMPAIGNS)
+    frame = _stored_trailing(spark, sf_dir)
+    return _without_zone(serving.clicks_over_time(frame, CAMPAIGNS))
+
+
+@_query
+def clicks_over_time_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pivot with the names that the frame has."""
+    return _without_zone(serving.clicks_over_time(_stored_trailing(spark, sf_dir)))
+
+
+@_query
+def clicks_by_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _without_zone(serving.clicks_by_campaign(_stored_trailing(spark, sf_dir)))
 
 
 @_query
 def latest_window_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = event_batch(spark, sf_dir)
-    newest = serving.latest_from_events(events, SERVING_WIDTH, users="exact").drop("ctr")
-    return serving.ranked(newest)
+    return _without_zone(serving.latest_window_ranked(_stored_trailing(spark, sf_dir)))
+
+
+# --- serving, from raw events ------------------------------------------------------------------
+
+
+@_query
+def latest_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.latest_from_events(event_batch(spark, sf_dir), SERVING_WIDTH, users="exact")
+
+
+@_query
+def trailing_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trailing(spark, sf_dir)
 
 
 def _trailing_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +315,7 @@ def _written_in_parts(spark: SparkSession, sf_dir: str) -> CampaignTable:
             part = part.where(time >= F.date_trunc("hour", lower).cast("timestamp_ntz"))
         if upper is not None:
             part = part.where(time < upper)
-        table.upsert(campaign_windows(part, SERVING_WIDTH, "exact"), 0, batch_id)
+        table.upsert(campaign_windows(part, SERVING_WIDTH, "exact"), "history", batch_id)
     return table
 
 
@@ -259,19 +333,32 @@ def upsert_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def compacted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _written_in_parts(spark, sf_dir)
-    table.compact(spark, 0, len(UPSERT_CUTS))
+    table.compact(spark)
     table.vacuum(spark, retention_seconds=0)
     return _without_zone(table.changelog(spark).select(*AGG_KEYS, "clicks", "unique_users"))
 
 
 @_query
 def stored_trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _without_zone(_stored_trailing(spark, sf_dir))
+
+
+@_query
+def upsert_interleaved_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream's batch, a back-fill and a newer batch of the stream, on the same keys.
+
+    The stream first writes what it has seen of each window up to the first cut; the back-fill
+    writes twice that of the windows up to the second cut; then the stream writes all of what comes
+    after the first cut. Each key keeps its last write.
+    """
     table = CampaignTable(fresh_folder(spark, "campaign-agg"))
-    table.upsert(_exact(spark, sf_dir), 0, 0)
-    newest = serving.newest_end(table.changelog(spark))
-    return _without_zone(
-        serving.stored_trailing_windows(spark, table, SERVING_HORIZON, newest)
-    )
+    rows = _exact(spark, sf_dir)
+    first, second = [F.lit(cut.isoformat(sep=" ")).cast("timestamp_ntz") for cut in UPSERT_CUTS]
+    table.upsert(rows.where(F.col("window_start") < first), "stream", 0)
+    doubled = rows.withColumn("clicks", F.col("clicks") * 2)
+    table.upsert(doubled.where(F.col("window_start") < second), "backfill", 0)
+    table.upsert(rows.where(F.col("window_start") >= first), "stream", 1)
+    return _without_zone(table.latest(spark))
 
 
 @_query
@@ -303,10 +390,15 @@ def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _without_zone(grid)
 
 
+def _campaigns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(name,) for name in CAMPAIGNS], "campaign_id string")
+
+
 def _backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_batch(spark, sf_dir)
     newest = latest_window_end(events, SERVING_WIDTH)
-    rows = backfill(events, None, GRID_WINDOWS, SERVING_WIDTH, newest, users="exact")
+    names = _campaigns(spark)
+    rows = backfill(events, names, GRID_WINDOWS, SERVING_WIDTH, newest, users="exact")
     return _without_zone(rows)
 
 
@@ -326,8 +418,8 @@ def backfill_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = CampaignTable(fresh_folder(spark, "campaign-agg"))
     first = F.lit(UPSERT_CUTS[0].isoformat(sep=" ")).cast("timestamp_ntz")
     early = event_batch(spark, sf_dir).where(F.col("event_time") < first)
-    table.upsert(campaign_windows(early, SERVING_WIDTH, "exact"), 0, 0)
-    table.upsert(_backfill(spark, sf_dir), 1, 0, check=True)
+    table.upsert(campaign_windows(early, SERVING_WIDTH, "exact"), "history", 0)
+    table.upsert(_backfill(spark, sf_dir), "backfill", 0)
     return _without_zone(table.latest(spark).drop("ctr"))
 
 
@@ -335,23 +427,32 @@ def backfill_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_settings(spark: SparkSession, **more: object) -> StreamSettings:
-    """Settings for working through a table; no more state partitions than there are cores."""
-    partitions = min(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    """Settings for working through a table, with state on disk."""
+    return StreamSettings(
+        fresh_folder(spark, "checkpoint"),
+        trigger=None,
+        state_partitions=STATE_PARTITIONS,
+        large_state=True,
+        **more,
     )
-    checkpoint = fresh_folder(spark, "checkpoint")
-    return StreamSettings(checkpoint, trigger=None, state_partitions=partitions, **more)
 
 
-def _replayed(spark: SparkSession, sf_dir: str, width: str) -> CampaignTable:
+def _slices(events: DataFrame) -> int:
+    """So many that a micro-batch takes about SLICE_ROWS rows, and several batches in any case."""
+    return max(REPLAY_SLICES, -(-events.count() // SLICE_ROWS))
+
+
+def _replayed(
+    spark: SparkSession,
+    sf_dir: str,
+    width: str,
+    then: Callable[[CampaignTable], BatchSink] | None = None,
+) -> CampaignTable:
     table = CampaignTable(fresh_folder(spark, "campaign-agg"))
-    replay(
-        event_batch(spark, sf_dir),
-        fresh_folder(spark, "landing"),
-        table_sink(table),
-        _stream_settings(spark, width=width),
-        REPLAY_SLICES,
-    )
+    events = event_batch(spark, sf_dir)
+    sink = table_sink(table, then=then and then(table))
+    settings = _stream_settings(spark, width=width)
+    replay(events, fresh_folder(spark, "landing"), sink, settings, _slices(events))
     return table
 
 
@@ -364,23 +465,22 @@ def upsert_stream_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def stream_campaign_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stream of the table's own files, whose order says nothing about time.
-
-    The allowed lateness therefore spans the whole table, so that no row comes too late, and the
-    state is kept on disk.
-    """
-    ends = event_table(spark, sf_dir).agg(F.date_diff(F.max("ts"), F.min("ts"))).first()[0]
+    """Stream of Parquet slices in time order; each key's clicks, and the check of all users."""
     table = CampaignTable(fresh_folder(spark, "campaign-agg"))
-    settings = _stream_settings(
-        spark, width=SERVING_WIDTH, watermark=f"{(ends or 0) + 2} days", large_state=True
+    stored = event_table(spark, sf_dir)
+    replay(
+        stored.withColumn("event_time", F.col("ts")),
+        fresh_folder(spark, "landing"),
+        table_sink(table),
+        _stream_settings(spark, width=STREAM_WIDTH),
+        _slices(stored),
+        write=lambda part, folder: part.drop("event_time").write.mode("overwrite").parquet(folder),
+        read=event_table_stream,
     )
-    finish(start_campaign_stream(_stream_events(spark, sf_dir), table_sink(table), settings))
-    return _users_close(_without_zone(table.latest(spark)), _exact(spark, sf_dir))
-
-
-def _stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = event_table_stream(spark, sf_dir)
-    return events.withColumn("event_time", F.col("event_time").cast("timestamp"))
+    rows = _without_zone(table.latest(spark))
+    check = _users_check(rows, _exact(spark, sf_dir, STREAM_WIDTH))
+    good = check.select((F.col("few_off") & F.col("unbiased") & F.col("bounded")).alias("good"))
+    return rows.select(*AGG_KEYS, "clicks", good.scalar().alias("users_close"))
 
 
 @_query
@@ -394,12 +494,14 @@ def stream_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def refreshed_serving_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals as the view shows them after the stream's last batch."""
-    table = CampaignTable(fresh_folder(spark, "campaign-agg"))
-    landing = fresh_folder(spark, "landing")
-    publish_to_files(event_batch(spark, sf_dir), landing)
-    refresh = ServingRefresh(spark, table, prefix="clicktide_", ttl=0)
-    settings = _stream_settings(spark, width=SERVING_WIDTH)
-    decoded = decode_events(landed_stream(spark, landing))
-    finish(start_campaign_stream(decoded, table_sink(table, then=refresh), settings))
-    return spark.table("clicktide_campaign_totals").select("campaign_id", "clicks")
+    """Totals as the view shows them after the stream's last batch, and whether users are right."""
+    table = _replayed(
+        spark,
+        sf_dir,
+        SERVING_WIDTH,
+        then=lambda table: ServingRefresh(spark, table, prefix="clicktide_", ttl=0),
+    )
+    stored = table.latest(spark).groupBy("campaign_id").agg(F.sum("unique_users").alias("stored"))
+    shown = spark.table("clicktide_campaign_totals").join(stored, "campaign_id")
+    same = (F.col("unique_users") == F.col("stored")).alias("users_as_stored")
+    return shown.select("campaign_id", "clicks", same)

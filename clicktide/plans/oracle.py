@@ -61,6 +61,18 @@ _COLUMNS = ", ".join(
     for name in CAMPAIGNS
 )
 _PIVOT = f"SELECT window_start AS time, {_COLUMNS} FROM slice GROUP BY window_start"
+_KNOWN = ", ".join(f"'{name}'" for name in CAMPAIGNS)
+_OTHER = f"""CAST(COALESCE(SUM(clicks) FILTER (WHERE campaign_id NOT IN ({_KNOWN})), 0) AS BIGINT)
+  AS other"""
+_PIVOT_OTHER = (
+    f"SELECT window_start AS time, {_COLUMNS}, {_OTHER} FROM slice GROUP BY window_start"
+)
+_LONG = """SELECT t.window_start AS time, c.campaign_id, COALESCE(s.clicks, 0) AS clicks
+FROM (SELECT DISTINCT window_start FROM slice) t
+CROSS JOIN (SELECT DISTINCT campaign_id FROM slice) c
+LEFT JOIN slice s ON s.window_start = t.window_start AND s.campaign_id = c.campaign_id"""
+_CHECKED = """SELECT COUNT(*) AS n_keys, TRUE AS clicks_equal, TRUE AS few_off, TRUE AS unbiased,
+       TRUE AS bounded FROM agg"""
 
 
 def _changed(version: int, condition: str) -> str:
@@ -81,8 +93,7 @@ _NEGATIVE = "COUNT(*) FILTER (WHERE campaign_id = 'cmp-004')"
 ORACLE: dict[str, str] = {
     "campaign_windows_10s": f"{_agg('10 seconds')} SELECT * FROM agg",
     "campaign_windows_1d": f"{_agg('1 day')} SELECT * FROM agg",
-    "campaign_windows_approx_users": f"""{_HOUR}
-SELECT window_start, window_end, campaign_id, clicks, TRUE AS users_close FROM agg""",
+    "campaign_windows_approx_users": f"{_HOUR} {_CHECKED}",
     "align_to_window": f"""WITH {_EV}
 SELECT event_id, event_time,
        time_bucket(INTERVAL '10 seconds', event_time, TIMESTAMP '1970-01-01') AS window_start
@@ -90,13 +101,19 @@ FROM ev WHERE event_time IS NOT NULL""",
     "campaign_totals": f"{_HOUR} {_TOTALS}",
     "campaign_totals_10s": f"{_agg('10 seconds')} {_TOTALS}",
     "latest_campaign_window": f"{_HOUR} {_LATEST}",
+    "latest_campaign_window_view": f"{_HOUR} {_LATEST}",
+    "latest_from_events": f"{_HOUR} {_LATEST}",
+    "campaign_totals_view": f"{_HOUR} {_TOTALS}",
     "latest_campaign_window_10s": f"{_agg('10 seconds')} {_LATEST}",
     "trailing_window": f"{_TRAILING} SELECT * FROM slice",
+    "trailing_from_events": f"{_TRAILING} SELECT * FROM slice",
     "trailing_window_10s": f"{_TRAILING_10S} SELECT * FROM slice",
     "dashboard_kpis": f"{_TRAILING} {_KPIS}",
     "dashboard_kpis_10s": f"{_TRAILING_10S} {_KPIS}",
-    "clicks_over_time_pivot": f"{_TRAILING} {_PIVOT}",
-    "clicks_over_time_pivot_10s": f"{_TRAILING_10S} {_PIVOT}",
+    "clicks_over_time_pivot": f"{_TRAILING} {_PIVOT_OTHER}",
+    "clicks_over_time_by_name": f"{_TRAILING} {_PIVOT}",
+    "clicks_by_campaign": f"{_TRAILING} {_LONG}",
+    "clicks_over_time_pivot_10s": f"{_TRAILING_10S} {_PIVOT_OTHER}",
     "latest_window_ranked": f"""{_TRAILING}
 SELECT slice.*, ROW_NUMBER() OVER (ORDER BY clicks DESC, campaign_id) AS position
 FROM slice, newest WHERE window_end = top""",
@@ -117,6 +134,10 @@ FROM ev WHERE event_type NOT IN ('error', 'signup', 'purchase')""",
 SELECT event_id, {_REASON} AS reason FROM ev
 WHERE event_type IN ('error', 'signup', 'purchase')""",
     "upsert_latest_per_key": f"{_HOUR} SELECT * FROM agg",
+    "upsert_interleaved_writers": f"""{_HOUR}
+SELECT window_start, window_end, campaign_id,
+       CASE WHEN window_start < TIMESTAMP '{_CUT1}' THEN 2 * clicks ELSE clicks END AS clicks,
+       unique_users, ctr FROM agg""",
     "upsert_changelog": f"""WITH {_EV}
 {_changed(0, f"event_time < TIMESTAMP '{_CUT1}'")} UNION ALL
 {_changed(2, f"event_time >= date_trunc('hour', TIMESTAMP '{_CUT1}') "
@@ -150,11 +171,12 @@ SELECT window_start, window_start + INTERVAL '1 hour', campaign_id, clicks, uniq
 WHERE (window_start, campaign_id) NOT IN (SELECT (window_start, campaign_id) FROM grid)""",
     "upsert_stream_final_state": f"""{_agg('10 seconds')}
 SELECT window_start, window_end, campaign_id, clicks FROM agg""",
-    "stream_campaign_windows": f"""{_HOUR}
+    "stream_campaign_windows": f"""{_agg('10 seconds')}
 SELECT window_start, window_end, campaign_id, clicks, TRUE AS users_close FROM agg""",
     "stream_reject_reasons": f"""WITH {_EV}
 SELECT {_REASON} AS reason, COUNT(*) AS n_messages FROM ev
 WHERE event_type IN ('error', 'signup', 'purchase') GROUP BY ALL""",
     "refreshed_serving_views": f"""{_HOUR}
-SELECT campaign_id, CAST(SUM(clicks) AS BIGINT) AS clicks FROM agg GROUP BY campaign_id""",
+SELECT campaign_id, CAST(SUM(clicks) AS BIGINT) AS clicks, TRUE AS users_as_stored
+FROM agg GROUP BY campaign_id""",
 }

@@ -117,21 +117,46 @@ def dashboard_kpis(frame: DataFrame) -> DataFrame:
     return totals.where("total_rows > 0")
 
 
+def clicks_by_campaign(frame: DataFrame, campaigns: Sequence[str] | None = None) -> DataFrame:
+    """Clicks per window start and campaign, in rows (time, campaign_id, clicks).
+
+    Every window start of the frame has a row for every campaign of the frame, zero where there are
+    none; with a list of campaigns the rows of others are kept too.
+    """
+    names = frame.select("campaign_id").distinct()
+    if campaigns:
+        wanted = frame.sparkSession.createDataFrame([(name,) for name in campaigns], "campaign_id string")
+        names = names.unionByName(wanted).distinct()
+    clicks = frame.groupBy("window_start", "campaign_id").agg(F.sum("clicks").alias("clicks"))
+    # Both lists are a few hundred rows at most: the windows of two hours, the campaigns.
+    times = frame.select("window_start").distinct().agg(F.collect_list("window_start").alias("at"))
+    grid = names.withColumn("window_start", F.explode(times.scalar()))
+    filled = grid.join(clicks, ["window_start", "campaign_id"], "left")
+    return filled.select(
+        F.col("window_start").alias("time"),
+        "campaign_id",
+        F.coalesce("clicks", F.lit(0)).alias("clicks"),
+    ).orderBy("time", "campaign_id")
+
+
 def clicks_over_time(frame: DataFrame, campaigns: Sequence[str] | None = None) -> DataFrame:
     """One row per window start, one column of clicks per campaign, zero where there are none.
 
-    With the campaign names given this is one aggregate with one sum per name. Without, Spark looks
-    them up first and refuses more than ``spark.sql.pivotMaxValues``.
+    With the campaign names given this is one aggregate with one sum per name, and clicks of others
+    are added up in a column ``other``, so that nothing is lost. Without, Spark looks the names up
+    first and refuses more than ``spark.sql.pivotMaxValues``; ``clicks_by_campaign`` has no limit.
     """
     if campaigns is None:
         wide = frame.groupBy("window_start").pivot("campaign_id").agg(F.sum("clicks"))
         wide = wide.na.fill(0)
     else:
+        known = F.coalesce(F.col("campaign_id").isin(*campaigns), F.lit(False))
         columns = [
             F.sum(F.when(F.col("campaign_id") == name, F.col("clicks")).otherwise(0)).alias(name)
             for name in campaigns
         ]
-        wide = frame.groupBy("window_start").agg(*columns)
+        other = F.sum(F.when(~known, F.col("clicks")).otherwise(0)).alias("other")
+        wide = frame.groupBy("window_start").agg(*columns, other)
     return wide.withColumnRenamed("window_start", "time").orderBy("time")
 
 
@@ -146,9 +171,15 @@ def latest_window_ranked(frame: DataFrame) -> DataFrame:
     return ranked(latest_window(frame))
 
 
+def stored_latest_window(spark: SparkSession, table: CampaignTable) -> DataFrame:
+    """``latest_window`` of the file table: only the folder of its last date is read."""
+    day = table.newest_date(spark)
+    return latest_window(table.latest(spark, since=day))
+
+
 def register_views(spark: SparkSession, table: CampaignTable, prefix: str = "") -> None:
     """Temp views over the table as it is now: files are listed again, nothing is computed."""
     current = table.latest(spark)
     current.createOrReplaceTempView(f"{prefix}campaign_agg")
-    latest_window(current).createOrReplaceTempView(f"{prefix}latest_campaign_window")
+    stored_latest_window(spark, table).createOrReplaceTempView(f"{prefix}latest_campaign_window")
     campaign_totals(current).createOrReplaceTempView(f"{prefix}campaign_totals")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,11 +49,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one if local only."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Only where driver and executors are one process may it be unset; a temporary folder serves then.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.conf.get("spark.app.id", "local")
     if app not in _local_folders:
@@ -61,8 +66,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path under the shared folder, used by nobody else."""
-    return f"{shared_folder(spark)}/clicktide/{purpose}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, used by nobody else and deleted when the driver ends."""
+    name = f"{shared_folder(spark)}/clicktide/{purpose}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
+from clicktide.functions.times import micros, moment
 from clicktide.sources.settings import KafkaSettings
 
 EVENT_TABLE_SCHEMA = T.StructType(
@@ -22,6 +25,12 @@ EVENT_TABLE_SCHEMA = T.StructType(
 )
 
 
+# By default a file that is a week older than the newest would be passed over.
+MAX_FILE_AGE = "36500d"
+# Folders that landed messages are kept in.
+LANDED_FOLDERS = {"event_date", "event_hour"}
+
+
 def kafka_stream(spark: SparkSession, settings: KafkaSettings) -> DataFrame:
     """Raw messages of the topic. Needs Spark's Kafka connector on the class path."""
     reader = spark.readStream.format("kafka").options(**settings.source_options())
@@ -29,28 +38,51 @@ def kafka_stream(spark: SparkSession, settings: KafkaSettings) -> DataFrame:
 
 
 def landed_stream(
-    spark: SparkSession,
-    path: str,
-    max_files_per_trigger: int | None = None,
-    latest_first: bool = False,
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Raw messages as JSON lines in files, one message per line, in column ``value``."""
-    reader = spark.readStream.format("text").option("latestFirst", str(latest_first).lower())
+    """Raw messages as JSON lines in files, one message per line, in column ``value``.
+
+    Files are taken oldest first, whatever their age. (Newest first would let the watermark drop
+    what the older files hold.) Folders below the path are read too.
+    """
+    reader = _all_files(spark.readStream.format("text"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.load(path)
 
 
-def landed_batch(spark: SparkSession, path: str) -> DataFrame:
-    """The same JSON lines as a batch."""
-    return spark.read.text(path)
+def _all_files(reader: DataStreamReader) -> DataStreamReader:
+    return (
+        reader.option("latestFirst", "false")
+        .option("maxFileAge", MAX_FILE_AGE)
+        .option("recursiveFileLookup", "true")
+    )
+
 
+def landed_batch(
+    spark: SparkSession, path: str, since: datetime | Column | None = None
+) -> DataFrame:
+    """The same JSON lines as a batch.
 
-def throttle(events_per_second: float, trigger_seconds: float) -> int:
-    """Offsets per trigger that keep ingest at a wanted rate."""
-    if events_per_second <= 0 or trigger_seconds <= 0:
+    With ``since`` only the hour folders from then on are read, if the files lie in such folders;
+    what is in them from before that time is still there.
+    """
+    lines = spark.read.text(path)
+    if since is not None and LANDED_FOLDERS <= set(lines.columns):
+        start = moment(since).cast("timestamp")
+        day, hour = F.col("event_date").cast("date"), F.col("event_hour").cast("int")
+        lines = lines.where(
+            (day > F.to_date(start)) | ((day == F.to_date(start)) & (hour >= F.hour(start)))
+        )
+    return lines.select("value")
+
+
+def throttle(events_per_second: float, trigger: str) -> int:
+    """Offsets per trigger interval, such as ``5 seconds``, that keep ingest at a wanted rate."""
+    interval = micros(trigger)
+    if events_per_second <= 0 or interval <= 0:
         raise ValueError("rate and trigger interval must be positive")
-    return max(1, int(events_per_second * trigger_seconds))
+    return max(1, int(events_per_second * interval / 10**6))
 
 
 def _three_digits(number: Column) -> Column:
@@ -85,8 +117,11 @@ def event_batch(spark: SparkSession, sf_dir: str, carry: Sequence[str] = ()) ->
     return as_events(event_table(spark, sf_dir), carry)
 
 
-def event_table_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events of the test table, as a stream of its Parquet files."""
-    # A glob, because a stream refuses the path of a single file.
-    files = f"{sf_dir}/event[s].parquet"
-    return as_events(spark.readStream.schema(EVENT_TABLE_SCHEMA).parquet(files))
+def event_table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Events of the test table's shape, as a stream of Parquet files in a folder.
+
+    Rows without a campaign, which the aggregate's key doesn't allow, are left out.
+    """
+    reader = _all_files(spark.readStream.schema(EVENT_TABLE_SCHEMA))
+    events = as_events(reader.parquet(path)).where(F.col("campaign_id").isNotNull())
+    return events.withColumn("event_time", F.col("event_time").cast("timestamp"))

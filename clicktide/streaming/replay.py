@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clicktide.functions.codec import decode_events, encode_events
+from clicktide.functions.codec import AGGREGATE_FIELDS, decode_events, encode_events
 from clicktide.sources.events import landed_stream
 from clicktide.sources.settings import KafkaSettings
 from clicktide.streaming.runner import BatchSink, StreamSettings, finish, start_campaign_stream
@@ -18,9 +18,15 @@ def publish_to_topic(events: DataFrame, settings: KafkaSettings) -> None:
     encode_events(events).write.format("kafka").options(**settings.sink_options()).save()
 
 
-def publish_to_files(events: DataFrame, path: str) -> None:
-    """Append a batch of events to a folder of JSON-line files."""
-    encode_events(events).write.mode("append").text(path)
+def publish_to_files(events: DataFrame, path: str, mode: str = "append") -> None:
+    """Write a batch of events as JSON lines, in a folder for each date and hour."""
+    time = F.col("event_time").cast("timestamp")
+    kept = events.select(
+        "*", F.to_date(time).alias("event_date"), F.hour(time).alias("event_hour")
+    )
+    lines = encode_events(kept, carry=["event_date", "event_hour"])
+    by_hour = lines.hint("rebalance", "event_date", "event_hour")
+    by_hour.write.mode(mode).partitionBy("event_date", "event_hour").text(path)
 
 
 def time_slices(events: DataFrame, slices: int) -> Iterator[DataFrame]:
@@ -46,6 +52,18 @@ def time_slices(events: DataFrame, slices: int) -> Iterator[DataFrame]:
         yield part
 
 
+def land_once(part: DataFrame, folder: str, write: Callable[[DataFrame, str], None]) -> None:
+    """Write a part unless that has been done: a replay that is started again lands nothing twice."""
+    spark = part.sparkSession
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        write(part, folder)
+
+
+def _landed_events(spark: SparkSession, path: str) -> DataFrame:
+    return decode_events(landed_stream(spark, path), fields=AGGREGATE_FIELDS)
+
+
 def replay(
     events: DataFrame,
     landing: str,
@@ -53,14 +71,19 @@ def replay(
     settings: StreamSettings,
     slices: int,
     timeout: float | None = None,
+    write: Callable[[DataFrame, str], None] | None = None,
+    read: Callable[[SparkSession, str], DataFrame] | None = None,
 ) -> None:
     """Land a history slice by slice and let the stream take each from its last checkpoint.
 
-    Slices are in time order and each is wholly taken before the next one lands, so the watermark
-    never drops a row, however many files a slice has.
+    Slices are in time order and each is wholly taken, as a batch of its own, before the next one
+    lands, so the watermark never drops a row, however many files a slice has. Choose so many slices
+    that a batch is of a good size. ``write`` and ``read`` say how slices are kept, by default as
+    JSON lines.
     """
     spark = events.sparkSession
-    for part in time_slices(events, slices):
-        publish_to_files(part, landing)
-        decoded = decode_events(landed_stream(spark, landing))
-        finish(start_campaign_stream(decoded, sink, settings), timeout)
+    write = write or (lambda part, folder: publish_to_files(part, folder, "overwrite"))
+    read = read or _landed_events
+    for number, part in enumerate(time_slices(events, slices)):
+        land_once(part, f"{landing}/slice={number}", write)
+        finish(start_campaign_stream(read(spark, landing), sink, settings), timeout)

@@ -99,29 +99,44 @@ def finish(query: StreamingQuery, timeout: float | None = None) -> None:
         raise TimeoutError(f"stream not done after {timeout} s")
 
 
+def finish_all(queries: list[StreamingQuery]) -> None:
+    """Wait for streams that belong together; when one fails, stop the others and raise."""
+    try:
+        while any(query.isActive for query in queries):
+            for query in queries:
+                query.awaitTermination(1)
+        for query in queries:
+            query.awaitTermination()
+    finally:
+        for query in queries:
+            query.stop()
+
+
 def table_sink(
     table: CampaignTable,
-    run_epoch: int = 0,
+    writer: str | None = None,
     files: int | None = None,
-    compact_every: int | None = None,
     then: BatchSink | None = None,
 ) -> BatchSink:
     """Sink into the file table; ``files`` as in ``CampaignTable.upsert``.
 
+    Batches are numbered by the table under the stream's own id, which lives in its checkpoint, so a
+    stream with a new checkpoint is another writer; ``writer`` names it otherwise.
+
     Streams run without AQE. The batch's aggregate is done when it gets here, so AQE is switched on
     for what the sink does with it: few files for a usual batch, many tasks for a large backlog.
 
-    ``compact_every`` folds the changelog after each so many batches and deletes files folded an
-    hour before. ``then`` runs after each batch, for example a serving refresh.
+    ``then`` runs after each batch, for example a serving refresh. Folding the table isn't part of
+    a batch: ``CampaignTable.compact`` may run beside the stream.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        name = writer or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not name:
+            raise RuntimeError("the sink needs a writer's name outside a stream")
         with _session_options(spark, {"spark.sql.adaptive.enabled": "true"}):
-            table.upsert(batch, run_epoch, batch_id, files)
-            if compact_every and (batch_id + 1) % compact_every == 0:
-                table.compact(spark, run_epoch, batch_id, files)
-                table.vacuum(spark)
+            table.upsert(batch, name, batch_id, files)
         if then:
             then(batch, batch_id)
 

@@ -25,7 +25,8 @@ def test_stream_report_backfill_compact(spark, tmp_path, capsys):
 
     checkpoint = str(tmp_path / "checkpoint")
     main(["stream", "--events", str(events), "--table", table, "--checkpoint", checkpoint,
-          "--drain", "--state-partitions", "2", "--rejects", str(tmp_path / "rejects")])
+          "--drain", "--state-partitions", "2", "--rejects", str(tmp_path / "rejects"),
+          "--views", "cli_"])
     stored = spark.read.parquet(str(tmp_path / "rejects"))
     assert [r.reason for r in stored.collect()] == ["not_an_event"]
     assert CampaignTable(table).latest(spark).agg(F.sum("clicks")).first()[0] == 3
@@ -33,13 +34,12 @@ def test_stream_report_backfill_compact(spark, tmp_path, capsys):
     main(["report", "--table", table, "--minutes", "30"])
     assert "latest_unique_users" in capsys.readouterr().out
 
-    main(["backfill", "--events", str(events), "--table", table, "--windows", "12",
-          "--run-epoch", "1", "--batch", "0"])
+    main(["backfill", "--events", str(events), "--table", table, "--windows", "12"])
     rows = CampaignTable(table).latest(spark)
     assert rows.agg(F.sum("clicks")).first()[0] == 3
     assert rows.where("clicks = 0").count() >= 10
 
-    main(["compact", "--table", table, "--run-epoch", "1", "--batch", "0"])
+    main(["compact", "--table", table])
     assert rows.count() == CampaignTable(table).latest(spark).count()
 
 

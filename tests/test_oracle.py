@@ -6,12 +6,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-import __spark_entry__ as driver
+from clicktide.plans.catalog import all_queries
+from clicktide.plans.oracle import ORACLE
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = driver.queries()
-ORACLE = driver.oracle_sql()
-
+QUERIES = all_queries()
 
 TYPES = {
     "bigint": "BIGINT",

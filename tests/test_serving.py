@@ -67,10 +67,20 @@ def test_kpis(frame):
 
 def test_pivot_with_and_without_names(frame):
     expected = [(5, 7, 0), (1, 0, 0), (4, 4, 9)]
-    for names in (None, ["x", "y", "z"]):
-        wide = serving.clicks_over_time(frame, names)
-        assert wide.columns == ["time", "x", "y", "z"]
-        assert [tuple(r)[1:] for r in wide.collect()] == expected
+    wide = serving.clicks_over_time(frame)
+    assert wide.columns == ["time", "x", "y", "z"]
+    assert [tuple(r)[1:] for r in wide.collect()] == expected
+    named = serving.clicks_over_time(frame, ["x", "y", "z"])
+    assert named.columns == ["time", "x", "y", "z", "other"]
+    assert [tuple(r)[1:] for r in named.collect()] == [(*row, 0) for row in expected]
+
+
+def test_pivot_loses_no_campaign(frame):
+    wide = serving.clicks_over_time(frame, ["x"]).collect()
+    assert [(r.x, r.other) for r in wide] == [(5, 7), (1, 0), (4, 13)]
+    long = serving.clicks_by_campaign(frame, ["new"]).collect()
+    assert len(long) == 3 * 4 and sum(r.clicks for r in long) == 30
+    assert [r.clicks for r in long if r.campaign_id == "new"] == [0, 0, 0]
 
 
 def test_named_pivot_is_one_aggregate(frame):
@@ -92,6 +102,7 @@ def test_empty_table_gives_empty_results(spark, frame):
         serving.dashboard_kpis(empty),
         serving.clicks_over_time(empty),
         serving.clicks_over_time(empty, ["x"]),
+        serving.clicks_by_campaign(empty),
         serving.latest_window_ranked(empty),
     ):
         assert result.count() == 0
@@ -149,4 +160,5 @@ def test_backfill_from_events(spark):
     rows = backfill(events, names, 3, "10 seconds", W3 + STEP).collect()
     assert len(rows) == 6
     assert sum(r.clicks for r in rows) == 3 and sum(r.unique_users for r in rows) == 3
-    assert backfill(events, None, 3, "10 seconds", W3 + STEP).count() == 9
+    # Without names, those of the events in these windows.
+    assert backfill(events, None, 3, "10 seconds", W3 + STEP).count() == 6

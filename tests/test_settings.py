@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 
 from clicktide import __main__ as cli
+from clicktide import session as session_module
 from clicktide.session import ROCKSDB, build_session, fresh_folder, shared_folder
 from clicktide.sources import settings as s
 from clicktide.sources.aggregates import partitioned_jdbc_options
@@ -61,10 +62,12 @@ def test_jdbc_scan_is_split():
 
 
 def test_throttle():
-    assert throttle(1000, 5) == 5000
-    assert throttle(0.1, 1) == 1
+    assert throttle(1000, "5 seconds") == 5000
+    assert throttle(0.1, "1 second") == 1
+    assert throttle(1000, "1 minute") == 60_000
+    assert throttle(1000, "500 milliseconds") == 500
     with pytest.raises(ValueError):
-        throttle(0, 5)
+        throttle(0, "5 seconds")
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -98,11 +101,23 @@ def test_session_is_utc(spark):
         session.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_only_one_process_may_do_without_a_shared_folder(spark, monkeypatch):
+    class Fake:
+        def __init__(self, **settings):
+            self.conf = settings
+
+    fake = Fake(**{"spark.master": "local-cluster[2,1,1024]"})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session_module.shared_folder(fake)
+    assert session_module.shared_folder(Fake(**{"spark.checkpoint.dir": "hdfs:///x/"})) == "hdfs:///x"
+    assert session_module.shared_folder(Fake(**{"spark.master": "local[4]"}))
+
+
 def test_command_line():
     parse = cli.parser().parse_args
     stream = parse(["stream", "--checkpoint", "c", "--table", "t", "--rate", "1000"])
     assert stream.trigger == "5 seconds" and stream.watermark == "30 seconds"
     assert parse(["report", "--table", "t"]).minutes == 15
-    assert parse(["backfill", "--events", "e", "--table", "t", "--batch", "1"]).width == "10 seconds"
+    assert parse(["backfill", "--events", "e", "--table", "t"]).width == "10 seconds"
     with pytest.raises(SystemExit):
         parse(["stream"])

@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from clicktide.functions.codec import decode_events, decode_rejects
 from clicktide.operators.database import DatabaseUpsert
-from clicktide.operators.table import CampaignTable, version_of
+from clicktide.operators.table import CampaignTable
 from clicktide.operators.windows import campaign_windows
 from clicktide.sources.events import landed_batch, landed_stream
 from clicktide.streaming.refresh import ServingRefresh
-from clicktide.streaming.replay import replay, time_slices
+from clicktide.streaming.replay import publish_to_files, replay, time_slices
 from clicktide.streaming.runner import (
     StreamSettings,
     database_sink,
     finish,
+    finish_all,
     start_campaign_stream,
     start_rejects_stream,
     table_sink,
@@ -65,7 +66,9 @@ def _noting(table, seen):
 
     def note(batch, batch_id):
         spark = batch.sparkSession
-        rows = table.changelog(spark).where(F.col("version") == version_of(0, batch_id))
+        writer = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        version = 2 * table.claim(spark, writer, batch_id)
+        rows = table.changelog(spark).where(F.col("version") == version)
         seen[batch_id] = _clicks(rows)
 
     return table_sink(table, then=note)
@@ -150,13 +153,13 @@ def test_failed_batch_is_replayed_without_doubling(spark, landing, table, settin
     assert table.changelog(spark).count() == 2
 
 
-def test_new_checkpoint_needs_a_higher_epoch(spark, landing, table, settings, tmp_path):
+def test_a_new_checkpoint_is_another_writer(spark, landing, table, settings, tmp_path):
     landing.put(message("10:00:01"))
     landing.put(message("10:00:02"))
-    _run(spark, landing, table_sink(table, run_epoch=0), settings)
+    _run(spark, landing, table_sink(table), settings)
     again = StreamSettings(str(tmp_path / "checkpoint2"), trigger=None, state_partitions=2)
     landing.put(message("10:00:03"))
-    _run(spark, landing, table_sink(table, run_epoch=1), again, files=10)
+    _run(spark, landing, table_sink(table), again, files=10)
     assert _clicks(table.latest(spark)) == [(0, "cmp-001", 3)]
 
 
@@ -220,13 +223,15 @@ def test_files_per_batch_are_limited(spark, landing, table, settings):
     assert sizes == [2, 2, 1]
 
 
-def test_newest_files_first(spark, landing, table, settings):
+def test_old_files_are_taken_too(spark, landing, table, settings):
+    """A file that is more than a week older than those of the batch before."""
     landing.put(message("10:00:01"))
-    landing.put(message("10:00:11"))
-    events = decode_events(landed_stream(spark, landing.path, 1, latest_first=True))
-    seen = {}
-    finish(start_campaign_stream(events, _noting(table, seen), settings), TIMEOUT)
-    assert seen[0] == [(10, "cmp-001", 1)] and seen[1] == [(0, "cmp-001", 1)]
+    _run(spark, landing, table_sink(table), settings)
+    landing.put(message("10:00:02"))
+    old = os.path.join(landing.path, "part-001.txt")
+    os.utime(old, (1_600_000_000, 1_600_000_000))
+    _run(spark, landing, table_sink(table), settings)
+    assert _clicks(table.latest(spark)) == [(0, "cmp-001", 2)]
 
 
 def test_database_sink(spark, landing, settings, tmp_path):
@@ -238,15 +243,70 @@ def test_database_sink(spark, landing, settings, tmp_path):
     assert sorted((row[2], row[3]) for row in rows) == [("cmp-001", "1"), ("cmp-002", "1")]
 
 
-def test_stream_compacts_now_and_then(spark, landing, table, settings):
+def test_compaction_beside_a_stream(spark, landing, table, settings):
     for second in range(1, 5):
         landing.put(message(f"10:00:0{second}"))
-    _run(spark, landing, table_sink(table, compact_every=2), settings)
-    versions = {r.version for r in table.changelog(spark).collect()}
-    assert version_of(0, 1) + 1 in versions and version_of(0, 3) + 1 in versions
+
+    def fold(batch, batch_id):
+        table.compact(spark)
+        table.vacuum(spark, retention_seconds=0)
+
+    _run(spark, landing, table_sink(table, then=fold), settings)
+    assert {r.version % 2 for r in table.changelog(spark).collect()} == {1}
     assert _clicks(table.latest(spark)) == [(0, "cmp-001", 4)]
 
 
+def test_a_failed_stream_ends_the_others(spark, landing, table, tmp_path):
+    landing.put(message("10:00:01"))
+    running = StreamSettings(str(tmp_path / "c1"), trigger="1 second", state_partitions=2)
+    failing = StreamSettings(str(tmp_path / "c2"), trigger="1 second", state_partitions=2)
+
+    def fail(batch, batch_id):
+        raise RuntimeError("gone")
+
+    events = decode_events(landed_stream(spark, landing.path))
+    queries = [
+        start_campaign_stream(events, table_sink(table), running),
+        start_campaign_stream(events, fail, failing),
+    ]
+    with pytest.raises(Exception, match="gone"):
+        finish_all(queries)
+    assert not any(query.isActive for query in queries)
+
+
+def test_state_is_bounded_by_the_watermark(spark, table, settings, tmp_path):
+    sizes = []
+    for number, part in enumerate(time_slices(_history(spark, 2000), 6)):
+        publish_to_files(part, str(tmp_path / "land" / f"slice={number}"))
+        events = decode_events(landed_stream(spark, str(tmp_path / "land")))
+        query = start_campaign_stream(events, table_sink(table), settings)
+        finish(query, TIMEOUT)
+        states = [s for p in query.recentProgress for s in p["stateOperators"]]
+        sizes.append(max(state["numRowsTotal"] for state in states))
+    assert len(sizes) == 6 and table.latest(spark).agg(F.sum("clicks")).first()[0] == 2000
+    # The whole history has over 1,800 windows and campaigns; a slice has a sixth of them.
+    assert max(sizes) < table.latest(spark).count() / 2.5
+
+
+def test_a_replay_started_again_lands_nothing_twice(spark, table, settings, tmp_path):
+    history, land = _history(spark, 500), str(tmp_path / "land")
+    for _ in range(2):
+        replay(history, land, table_sink(table), settings, 3, TIMEOUT)
+    assert table.latest(spark).agg(F.sum("clicks")).first()[0] == 500
+    assert landed_batch(spark, land).count() == 500
+
+
+def test_landed_hours_are_pruned(spark, tmp_path):
+    land = str(tmp_path / "land")
+    publish_to_files(_history(spark, 500), land)
+    rows = landed_batch(spark, land, at("11:00:00"))
+    assert "PartitionFilters: [isnotnull(event_" in plan(rows) or "event_hour" in plan(rows)
+    everything = decode_events(landed_batch(spark, land)).where(
+        F.col("event_time") >= F.lit(at("11:00:00"))
+    )
+    assert decode_events(rows).count() == everything.count() > 0
+
+
 def test_rejects_stream(spark, landing, tmp_path):
     landing.put(message("10:00:01"), "garbage", message("10:00:01", campaign=None))
     settings = StreamSettings(str(tmp_path / "checkpoint"), trigger=None)
@@ -294,9 +354,9 @@ def test_refresh_keeps_to_its_ttl(spark, table):
     refresh = ServingRefresh(spark, table, "r_", clock=lambda: now[0])
     start = at("10:00:00")
     row = (start, start + timedelta(seconds=10), "x", 5, 3)
-    table.upsert(agg_rows(spark, [row]), 0, 0)
+    table.upsert(agg_rows(spark, [row]), "stream", 0)
     assert refresh() is True
-    table.upsert(agg_rows(spark, [(*row[:3], 8, 3)]), 0, 1)
+    table.upsert(agg_rows(spark, [(*row[:3], 8, 3)]), "stream", 1)
     now[0] += 4.9
     assert refresh() is False
     assert spark.table("r_campaign_totals").first().clicks == 5

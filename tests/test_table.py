@@ -1,16 +1,27 @@
 import json
 import random
-from datetime import date, timedelta
+import time
+from datetime import date, datetime, timedelta, timezone
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from clicktide.contracts import CAMPAIGN_AGG_SCHEMA, conform, create_table_sql, upsert_sql
+from clicktide.contracts import (
+    CAMPAIGN_AGG_SCHEMA,
+    conform,
+    create_table_sql,
+    create_views_sql,
+    upsert_sql,
+)
 from clicktide.operators.checks import contract_violations, require_contract
 from clicktide.operators.database import DatabaseUpsert, postgres_upsert
-from clicktide.operators.table import CampaignTable, version_of
-from clicktide.plans.serving import register_views, stored_trailing_windows
+from clicktide.operators.table import CampaignTable
+from clicktide.plans.serving import (
+    register_views,
+    stored_latest_window,
+    stored_trailing_windows,
+)
 from helpers import agg_rows, at, plan, tuples
 from journal import Connect, notes
 
@@ -32,13 +43,28 @@ def _clicks(df):
     return sorted((r.window_start.second, r.campaign_id, r.clicks) for r in df.collect())
 
 
-def test_versions_are_ordered_and_leave_room_for_compaction():
-    versions = [version_of(0, 0), version_of(0, 1), version_of(1, 0), version_of(2, 5)]
-    assert versions == sorted(versions) and all(v % 2 == 0 for v in versions)
-    assert version_of(2**30 - 1, 2**32 - 1) < 2**63
-    for wrong in ((-1, 0), (0, -1), (2**30, 0), (0, 2**32)):
-        with pytest.raises(ValueError):
-            version_of(*wrong)
+def test_every_batch_claims_the_next_number(spark, table):
+    assert [table.claim(spark, "a", 0), table.claim(spark, "b", 7)] == [0, 1]
+    assert table.claim(spark, "a", 0) == 0
+    assert table.claim(spark, "a", 1) == 2
+    with pytest.raises(ValueError, match="after 0"):
+        table.claim(spark, "a", 0)
+
+
+def test_a_claim_that_is_taken_is_passed_over(spark, table, monkeypatch):
+    """Two writers that saw the same last number."""
+    table.claim(spark, "a", 0)
+    monkeypatch.setattr(CampaignTable, "_numbers", lambda *_: [])
+    assert table.claim(spark, "b", 0) == 1
+
+
+def test_backfill_beside_a_stream(spark, table):
+    """A new checkpoint, or a back-fill with its own batch 0, replaces nobody's files."""
+    table.upsert(_rows(spark, (W1, "x", 5, 1), (W2, "y", 4, 1)), "stream", 0)
+    table.upsert(_rows(spark, (W1, "x", 3, 1)), "backfill", 0)
+    assert _clicks(table.latest(spark)) == [(0, "x", 3), (10, "y", 4)]
+    table.upsert(_rows(spark, (W1, "x", 9, 1)), "stream", 1)
+    assert _clicks(table.latest(spark)) == [(0, "x", 9), (10, "y", 4)]
 
 
 def test_missing_table_is_empty(spark, table):
@@ -47,37 +73,38 @@ def test_missing_table_is_empty(spark, table):
 
 
 def test_last_write_wins(spark, table):
-    table.upsert(_rows(spark, (W1, "x", 5, 3), (W2, "x", 1, 1)), 0, 0)
-    table.upsert(_rows(spark, (W1, "x", 8, 4)), 0, 1)
+    table.upsert(_rows(spark, (W1, "x", 5, 3), (W2, "x", 1, 1)), "stream", 0)
+    table.upsert(_rows(spark, (W1, "x", 8, 4)), "stream", 1)
     assert _clicks(table.latest(spark)) == [(0, "x", 8), (10, "x", 1)]
     # A new run may write a smaller value: it replaces, it does not add.
-    table.upsert(_rows(spark, (W1, "x", 2, 2)), 1, 0)
+    table.upsert(_rows(spark, (W1, "x", 2, 2)), "again", 0)
     assert _clicks(table.latest(spark)) == [(0, "x", 2), (10, "x", 1)]
     assert table.latest(spark).columns == CAMPAIGN_AGG_SCHEMA.names
 
 
-def test_batches_may_arrive_in_any_order(spark, table):
-    table.upsert(_rows(spark, (W1, "x", 8, 4)), 0, 1)
-    table.upsert(_rows(spark, (W1, "x", 5, 3)), 0, 0)
+def test_an_older_batch_is_refused(spark, table):
+    table.upsert(_rows(spark, (W1, "x", 8, 4)), "stream", 1)
+    with pytest.raises(ValueError):
+        table.upsert(_rows(spark, (W1, "x", 5, 3)), "stream", 0)
     assert _clicks(table.latest(spark)) == [(0, "x", 8)]
 
 
 def test_replayed_batch_replaces_itself(spark, table):
     for _ in range(2):
-        table.upsert(_rows(spark, (W1, "x", 5, 3), (W1 + DAY, "y", 1, 1)), 0, 0, files=2)
+        table.upsert(_rows(spark, (W1, "x", 5, 3), (W1 + DAY, "y", 1, 1)), "stream", 0, files=2)
     assert table.changelog(spark).count() == 2
     assert table.latest(spark).count() == 2
 
 
 def test_empty_batch_is_harmless(spark, table):
-    table.upsert(_rows(spark, (W1, "x", 5, 3)), 0, 0)
-    table.upsert(_rows(spark).where("false"), 0, 1)
+    table.upsert(_rows(spark, (W1, "x", 5, 3)), "stream", 0)
+    table.upsert(_rows(spark).where("false"), "stream", 1)
     assert _clicks(table.latest(spark)) == [(0, "x", 5)]
 
 
 def test_null_keys_fail_the_write(spark, table):
     with pytest.raises(Exception, match="campaign_id must not be NULL"):
-        table.upsert(_rows(spark, (W1, None, 5, 3)), 0, 0)
+        table.upsert(_rows(spark, (W1, None, 5, 3)), "stream", 0)
     assert table.latest(spark).count() == 0
 
 
@@ -94,89 +121,145 @@ def test_files_bound_the_number_of_files(spark, table):
         F.lit(1).alias("unique_users"),
         F.lit(None).alias("ctr"),
     ).repartition(16)
-    table.upsert(rows, 0, 0, files=2)
+    table.upsert(rows, "stream", 0, files=2)
     files = spark.read.parquet(table.root).select(F.input_file_name()).distinct().count()
     assert files <= 6
     assert table.latest(spark).count() == 400
 
 
 def test_compaction_keeps_rows_and_makes_files_needless(spark, table):
-    table.upsert(_rows(spark, (W1, "x", 5, 3), (W1 - DAY, "x", 1, 1)), 0, 0)
-    table.upsert(_rows(spark, (W1, "x", 8, 4), (W2, "y", 2, 2)), 0, 1)
+    table.upsert(_rows(spark, (W1, "x", 5, 3), (W1 - DAY, "x", 1, 1)), "stream", 0)
+    table.upsert(_rows(spark, (W1, "x", 8, 4), (W2, "y", 2, 2)), "stream", 1)
     before = tuples(table.latest(spark))
     # Only the day that has two versions is folded.
-    assert table.compact(spark, 0, 1) == [date(2025, 10, 4)]
+    assert table.compact(spark) == [date(2025, 10, 4)]
     assert tuples(table.latest(spark)) == before
     assert table.vacuum(spark) == []
     assert len(table.vacuum(spark, retention_seconds=0)) == 2
     assert tuples(table.latest(spark)) == before
     assert table.changelog(spark).count() == len(before)
-    table.upsert(_rows(spark, (W1, "x", 9, 5)), 0, 2)
+    table.upsert(_rows(spark, (W1, "x", 9, 5)), "stream", 2)
     assert (0, "x", 9) in _clicks(table.latest(spark))
 
 
-def test_compaction_leaves_later_batches_alone(spark, table):
-    for batch, clicks in enumerate((5, 8, 13)):
-        table.upsert(_rows(spark, (W1, "x", clicks, 1)), 0, batch)
-    table.compact(spark, 0, 1)
+def test_compaction_leaves_writes_under_way_alone(spark, table):
+    for batch, clicks in enumerate((5, 8)):
+        table.upsert(_rows(spark, (W1, "x", clicks, 1)), "stream", batch)
+    number = table.claim(spark, "slow", 0)
+    table.upsert(_rows(spark, (W1, "x", 13, 1)), "stream", 2)
+    table.compact(spark)
     table.vacuum(spark, retention_seconds=0)
-    assert _clicks(table.latest(spark)) == [(0, "x", 13)]
-    assert table.changelog(spark).count() == 2
+    # The fold ends before the slow writer's number.
+    assert {r.version for r in table.changelog(spark).collect()} == {2 * number - 1, 2 * number + 2}
+    table.upsert(_rows(spark, (W2, "y", 1, 1)), "slow", 0)
+    assert _clicks(table.latest(spark)) == [(0, "x", 13), (10, "y", 1)]
 
 
 def test_replay_after_compaction_and_vacuum_loses_nothing(spark, table):
-    table.upsert(_rows(spark, (W1, "x", 5, 3), (W2, "y", 1, 1)), 0, 0)
+    table.upsert(_rows(spark, (W1, "x", 5, 3), (W2, "y", 1, 1)), "stream", 0)
     for _ in range(2):
-        table.upsert(_rows(spark, (W1, "x", 8, 4)), 0, 1)
-        table.compact(spark, 0, 1)
+        table.upsert(_rows(spark, (W1, "x", 8, 4)), "stream", 1)
+        table.compact(spark)
         table.vacuum(spark, retention_seconds=0)
         assert _clicks(table.latest(spark)) == [(0, "x", 8), (10, "y", 1)]
 
 
+def test_a_read_planned_before_a_vacuum(spark, table):
+    """Readers don't look at folded versions, so the retention counts from the fold."""
+    for batch in range(3):
+        table.upsert(_rows(spark, (W1, "x", batch, 1)), "stream", batch)
+    table.compact(spark)
+    planned = table.latest(spark)
+    table.vacuum(spark, retention_seconds=0)
+    assert _clicks(planned) == [(0, "x", 2)]
+
+
+def test_a_torn_fold_counts_for_nothing(spark, table):
+    for batch in range(2):
+        table.upsert(_rows(spark, (W1, "x", batch, 1), (W2, "y", 7, 1)), "stream", batch)
+    # A fold that was lost before its mark, with a part of the rows.
+    torn = table.latest(spark).where("campaign_id = 'x'")
+    table._write(torn, 3, None)
+    assert _clicks(table.latest(spark)) == [(0, "x", 1), (10, "y", 7)]
+    assert table.vacuum(spark, retention_seconds=0) == []
+    assert table.compact(spark) == [date(2025, 10, 4)]
+    table.vacuum(spark, retention_seconds=0)
+    assert _clicks(table.latest(spark)) == [(0, "x", 1), (10, "y", 7)]
+    assert table.changelog(spark).count() == 2
+
+
+def test_quiet_dates_are_not_folded_again(spark, table):
+    for batch in range(2):
+        table.upsert(_rows(spark, (W1, "x", batch, 1)), "stream", batch)
+    assert table.compact(spark) == [date(2025, 10, 4)]
+    assert table.compact(spark) == []
+    table.upsert(_rows(spark, (W1 + DAY, "x", 9, 1)), "stream", 2)
+    table.upsert(_rows(spark, (W1 + DAY, "x", 8, 1)), "stream", 3)
+    assert table.compact(spark) == [date(2025, 10, 5)]
+
+
+def test_since_is_in_utc(spark, table, monkeypatch):
+    late = at("23:59:50") - DAY
+    table.upsert(_rows(spark, (late, "x", 1, 1), (W1, "x", 2, 1)), "stream", 0)
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        since = datetime(2025, 10, 3, 21, 0)
+        assert table.latest(spark, since=since).count() == 2
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
 def test_any_order_of_writes_replays_and_compactions(spark, table):
-    """Random batches against a dictionary that keeps the newest value of each key."""
+    """Random writes of three writers against a dictionary that keeps each key's last value."""
     chance = random.Random(7)
-    written, newest = {}, {}
+    batches, newest = {}, {}
 
-    def write(version):
-        if version not in written:
+    def write(writer, replay=False):
+        batch = batches.get(writer, (-1, None))[0]
+        if replay and batch >= 0:
+            values = batches[writer][1]
+        else:
+            batch += 1
             keys = {(chance.randrange(4), chance.choice("xyz")) for _ in range(4)}
-            written[version] = {key: chance.randrange(100) for key in keys}
-        for key, value in written[version].items():
-            if key not in newest or version >= newest[key][0]:
-                newest[key] = (version, value)
+            values = {key: chance.randrange(100) for key in keys}
+            newest.update(values)
+        batches[writer] = batch, values
         rows = [
             (W1 + STEP * slot + DAY * (slot % 2), campaign, value, 1)
-            for (slot, campaign), value in written[version].items()
+            for (slot, campaign), value in values.items()
         ]
-        table.upsert(_rows(spark, *rows), *version, files=1)
+        table.upsert(_rows(spark, *rows), writer, batch, files=1)
 
     def check():
-        want = sorted((slot * 10, c, value) for (slot, c), (_, value) in newest.items())
+        want = sorted((slot * 10, c, value) for (slot, c), value in newest.items())
         assert _clicks(table.latest(spark)) == want
 
-    for _ in range(8):
-        write((chance.randrange(2), chance.randrange(4)))
-    check()
-    table.compact(spark, *max(written))
-    check()
-    table.vacuum(spark, retention_seconds=0)
-    check()
-    write(max(written))
-    for _ in range(4):
-        write((2, chance.randrange(3)))
-    check()
+    for _ in range(2):
+        for _ in range(5):
+            write(chance.choice("abc"))
+        check()
+        # The last write may come again; it keeps its number.
+        last = chance.choice("abc")
+        write(last)
+        write(last, replay=True)
+        check()
+        table.compact(spark)
+        check()
+        table.vacuum(spark, retention_seconds=0)
+        check()
 
 
 def test_one_campaign_is_looked_up_in_the_files(spark, table):
-    table.upsert(_rows(spark, (W1, "x", 5, 3), (W1, "y", 1, 1)), 0, 0)
+    table.upsert(_rows(spark, (W1, "x", 5, 3), (W1, "y", 1, 1)), "stream", 0)
     rows = table.latest(spark).where("campaign_id = 'y'")
     assert "EqualTo(campaign_id,y)" in plan(rows)
     assert _clicks(rows) == [(0, "y", 1)]
 
 
 def test_trailing_read_prunes_dates_and_stays_a_hash_aggregate(spark, table):
-    table.upsert(_rows(spark, *[(W1 - DAY * i, "x", i, i) for i in range(5)]), 0, 0)
+    table.upsert(_rows(spark, *[(W1 - DAY * i, "x", i, i) for i in range(5)]), "stream", 0)
     rows = stored_trailing_windows(spark, table, "1 hour", at("10:30:00"))
     text = plan(rows)
     assert "PartitionFilters: [isnotnull(window_date" in text
@@ -185,15 +268,24 @@ def test_trailing_read_prunes_dates_and_stays_a_hash_aggregate(spark, table):
     assert rows.count() == 1
 
 
+def test_latest_window_reads_the_last_date_only(spark, table):
+    table.upsert(_rows(spark, *[(W1 - DAY * i, "x", i, i) for i in range(5)]), "stream", 0)
+    rows = stored_latest_window(spark, table)
+    assert _clicks(rows) == [(0, "x", 0)]
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(window_date" in text
+    assert "PartitionFilters: []" not in text
+
+
 def test_slice_over_midnight(spark, table):
     midnight = at("00:00:00")
-    table.upsert(_rows(spark, (midnight - STEP * 2, "x", 1, 1), (midnight, "x", 2, 1)), 0, 0)
+    table.upsert(_rows(spark, (midnight - STEP * 2, "x", 1, 1), (midnight, "x", 2, 1)), "stream", 0)
     rows = stored_trailing_windows(spark, table, "1 hour", midnight + STEP)
     assert rows.count() == 2
 
 
 def test_views(spark, table):
-    table.upsert(_rows(spark, (W1, "x", 5, 3), (W2, "y", 7, 1)), 0, 0)
+    table.upsert(_rows(spark, (W1, "x", 5, 3), (W2, "y", 7, 1)), "stream", 0)
     register_views(spark, table, "t_")
     assert spark.table("t_campaign_agg").count() == 2
     assert [r.campaign_id for r in spark.table("t_latest_campaign_window").collect()] == ["y"]
@@ -229,7 +321,7 @@ def test_violations_are_counted(spark):
 def test_checked_upsert_refuses_duplicates(spark, table):
     twice = _rows(spark, (W1, "x", 5, 3), (W1, "x", 6, 3))
     with pytest.raises(ValueError):
-        table.upsert(twice, 0, 0, check=True)
+        table.upsert(twice, "stream", 0, check=True)
 
 
 def test_conform_casts_and_orders(spark):
@@ -295,12 +387,30 @@ def test_statements_mean_upsert(spark, tmp_path):
     files = sorted(folder.glob("commit-*"), key=lambda f: f.stat().st_mtime_ns)
     for statement in [s for f in files for s in json.loads(f.read_text())]:
         if statement["rows"] is None:
-            assert statement["sql"] == create_table_sql()
+            assert statement["sql"] in [create_table_sql(), *create_views_sql()]
             engine.execute(statement["sql"])
         else:
             engine.executemany(statement["sql"], statement["rows"])
     got = engine.execute("SELECT clicks, unique_users, ctr FROM campaign_agg ORDER BY clicks")
     assert got.fetchall() == [(1, 1, None), (8, 4, None)]
+    got = engine.execute("SELECT campaign_id, clicks, unique_users FROM campaign_totals")
+    assert got.fetchall() == [("x", 9, 5)]
+    assert engine.execute("SELECT clicks FROM latest_campaign_window").fetchall() == [(1,)]
+
+
+def test_instants_do_not_depend_on_the_zone_of_the_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        sink = DatabaseUpsert(Connect(str(tmp_path)))
+        numbers = [(int(W1.timestamp() * 10**6), int(W2.timestamp() * 10**6), "x", 5, 3, None)]
+        sink.write_rows(iter(numbers))
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    (sent,) = [row for commit in notes(tmp_path, "commit") for part in commit for row in part["rows"]]
+    assert [datetime.fromisoformat(text) for text in sent[:2]] == [W1, W2]
+    assert datetime.fromisoformat(sent[0]).tzinfo == timezone.utc
 
 
 def test_postgres_sink_uses_its_placeholder():
