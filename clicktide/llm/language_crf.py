@@ -315,7 +315,11 @@ def train(
         & (F.length("text") <= TRAIN_CHARS)
         & ~held_out("id")
     )
-    sample = known.orderBy(F.xxhash64("id"), "id", "text").limit(rows).collect()
+    # Ids first, so that no more texts than needed are moved; at most ``rows`` ids are broadcast.
+    chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+    once = known.join(F.broadcast(chosen), "id").groupBy("id")
+    texts = once.agg(F.min(F.struct("text", "language")).alias("one")).orderBy("id")
+    sample = texts.select("one.text", "one.language").collect()
     return fit([(row["text"], row["language"]) for row in sample])
 
 
