@@ -85,7 +85,9 @@ def test_edge_rows(spark, model):
     rows = [(1, None), (2, ""), (3, "12 345 !!"), (4, "the"), (4, "the"), (None, "und der die")]
     docs = spark.createDataFrame([(*row, "x") for row in rows], "doc_id long, text string, score string")
     found = sorted(map(tuple, crf.identify(docs, model).collect()), key=repr)
-    assert [row[:2] for row in found] == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (None, "de")]
+    assert [row[:2] for row in found] == [
+        (1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (None, "de"),
+    ]
     assert found[3] == found[4]
     assert crf.identify(docs.where("false"), model).collect() == []
     nothing = crf.fit([])
