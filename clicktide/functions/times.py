@@ -9,7 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-_UNIT_MICROS = {"millisecond": 10**3, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
+_UNIT_MICROS = {
+    "millisecond": 10**3,
+    "second": 10**6,
+    "minute": 60 * 10**6,
+    "hour": 3600 * 10**6,
+    "day": 86400 * 10**6,
+}
 _PART = r"(\d+) (millisecond|second|minute|hour|day)s?"
 
 

@@ -142,11 +142,17 @@ def _align_to_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- serving, from the stored table ------------------------------------------------------------
 
 
+_stored_tables: dict[tuple[str, str], CampaignTable] = {}
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> CampaignTable:
-    """The table with the aggregate of all events."""
-    table = CampaignTable(fresh_folder(spark, "campaign-agg"))
-    table.upsert(_exact(spark, sf_dir), "history", 0)
-    return table
+    """The table with the aggregate of all events, written once in an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored_tables:
+        table = CampaignTable(fresh_folder(spark, "campaign-agg"))
+        table.upsert(_exact(spark, sf_dir), "history", 0)
+        _stored_tables[key] = table
+    return _stored_tables[key]
 
 
 def _newest_end(spark: SparkSession, table: CampaignTable) -> DataFrame:

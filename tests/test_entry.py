@@ -1,0 +1,41 @@
+"""The driver's contract holds without the operators for training data."""
+
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parents[1]
+
+WITHOUT = """
+import sys
+for name in {missing}:
+    sys.modules[name] = None
+import __spark_entry__ as entry
+names = entry.queries()
+assert "campaign_windows_10s" in names and "pipeline" not in names
+assert not any(name.startswith("op") for name in names)
+assert set(names) == set(entry.oracle_sql())
+"""
+
+
+def _run(missing):
+    code = WITHOUT.format(missing=missing)
+    return subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+
+
+def test_entry_without_the_operators():
+    for missing in (["corpus_pipeline"], ["clicktide.llm"], ["corpus_pipeline", "clicktide.llm"]):
+        done = _run(missing)
+        assert done.returncode == 0, done.stderr
+
+
+def test_other_import_errors_are_seen():
+    done = _run(["tokenizers", "tiktoken", "xxhash"])
+    if "No module named 'corpus_pipeline'" not in done.stderr and (ROOT / "corpus_pipeline.py").exists():
+        assert done.returncode != 0
+
+
+def test_nothing_else_imports_the_operators():
+    for path in (ROOT / "clicktide").rglob("*.py"):
+        if "llm" not in path.parts:
+            assert "clicktide.llm" not in path.read_text(), path
