@@ -206,40 +206,40 @@ def _reply_links(parsed: DataFrame) -> DataFrame:
 
 
 def _with_depths(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Add ``root`` and ``depth``, following ``reply_to`` in steps that double."""
+    """Add ``root`` and ``depth``, following ``reply_to`` in steps that double.
+
+    Places that have reached the first message of their thread rest; only the others are joined.
+    """
     now = materialize(
         links.select(
             "*",
             F.coalesce("reply_to", "turn").alias("root"),
             F.col("reply_to").isNotNull().cast("long").alias("depth"),
+            F.col("reply_to").isNull().alias("there"),
         ),
         "replies",
     )
     for _ in range(max_rounds):
-        far = now.select(
+        under_way = now.where(~F.col("there"))
+        if under_way.isEmpty():
+            return now.drop("there")
+        ends = now.select(
             "conv",
             F.col("turn").alias("root"),
             F.col("root").alias("next_root"),
             F.col("depth").alias("next_depth"),
-        ).where("next_depth > 0")
-        if far.isEmpty():
-            return now
-        joined = now.join(far, ["conv", "root"], "left")
-        moved = joined.where("next_depth is not null and depth > 0")
-        step = joined.select(
+            F.col("there").alias("next_there"),
+        )
+        moved = under_way.join(ends, ["conv", "root"]).select(
             "conv",
             "turn",
             "reply_to",
             "linked",
-            F.coalesce(F.when(F.col("depth") > 0, F.col("next_root")), "root").alias("root"),
-            (
-                F.col("depth")
-                + F.when(F.col("depth") > 0, F.coalesce("next_depth", F.lit(0))).otherwise(0)
-            ).alias("depth"),
+            F.col("next_root").alias("root"),
+            (F.col("depth") + F.col("next_depth")).alias("depth"),
+            F.col("next_there").alias("there"),
         )
-        if moved.isEmpty():
-            return now
-        now = materialize(step, "replies")
+        now = materialize(now.where("there").unionByName(moved), "replies")
     raise RuntimeError("replies don't end")
 
 
