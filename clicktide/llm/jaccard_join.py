@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clicktide.llm.arrow import Batches, groups
@@ -55,7 +55,6 @@ BLOCK_SHINGLES = 1 << 20
 
 _RANDOM = np.random.default_rng(20_240_613)
 _FACTORS = _RANDOM.integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACES = mixed(np.arange(1, TOKENS + 1, dtype=np.uint64))
 
 
 def runs_needed(target: float = TARGET_RECALL, depth: int = DEPTH) -> int:
@@ -83,14 +82,14 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     for at in range(0, len(shingles), 4096):
         part = shingles[at : at + 4096]
         least = np.minimum(least, (part[None, :] * _FACTORS[:, None]).min(axis=1))
-    return (least >> np.uint64(32)).astype(np.uint32)
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, text): doc_id, hash of the text, key and size of the set, sketch."""
     schema = (
         f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
-        "text_key binary, set_key binary, size long, sketch binary"
+        "text_key binary, set_key binary, size long, sketch array<int>"
     )
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -105,11 +104,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
                         hashlib.md5(text.encode()).digest(),
                         set_key(shingles),
                         len(shingles),
-                        sketch(shingles).tobytes() if len(shingles) else None,
+                        sketch(shingles) if len(shingles) else None,
                     )
                 )
             columns = list(zip(*made)) or [[], [], [], []]
-            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary()]
+            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
                 names=["doc_id", "text_key", "set_key", "size", "sketch"],
@@ -120,57 +119,28 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 # --- chosen paths ----------------------------------------------------------------------------
 
+# Of the hashes of 64 bits with a sign, the share that is below this is 1 / (SPREAD * TOKENS).
+_CHOSEN_BELOW = int(2**64 / (SPREAD * TOKENS)) - 2**63
 
-def children(node: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sets at nodes: which of them go on (row numbers), and to which child nodes."""
-    tokens = mixed(sketches.astype(np.uint64) + _PLACES[None, :])
-    hashes = mixed(tokens ^ mixed(node)[:, None])
-    limit = np.uint64(int(2**64 / (SPREAD * TOKENS)))
-    rows, places = np.nonzero(hashes < limit)
-    return rows, mixed(hashes[rows, places] + np.uint64(1))
 
-
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    values = b"".join(column.to_pylist())
-    return np.frombuffer(values, dtype=np.uint32).reshape(-1, TOKENS)
-
-
-_NODE_ROW = "node long, set_id long"
+def children(node: Column, sketch: Column) -> Column:
+    """The child nodes that a set goes on to from a node, by the tokens of its sketch."""
+    hashes = F.transform(sketch, lambda value, place: F.xxhash64(node, place, value))
+    chosen = F.filter(hashes, lambda value: value < F.lit(_CHOSEN_BELOW))
+    return F.transform(chosen, lambda value: F.xxhash64(value))
 
 
 def _first_step(sets: DataFrame, runs: int) -> DataFrame:
     """Rows (node, set_id) of all runs' first step."""
-
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        roots = mixed(np.arange(1, runs + 1, dtype=np.uint64))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, own = part.column("set_id").to_numpy(), _matrix(part.column("sketch"))
-                for root in roots:
-                    rows, nodes = children(np.full(len(own), root), own)
-                    yield _node_rows(nodes, ids[rows])
-
-    return sets.mapInArrow(run, _NODE_ROW)
+    roots = F.sequence(F.lit(1).cast("long"), F.lit(runs).cast("long"))
+    nodes = F.flatten(F.transform(roots, lambda root: children(root, F.col("sketch"))))
+    return sets.select(F.explode(nodes).alias("node"), "set_id")
 
 
 def _next_step(members: DataFrame) -> DataFrame:
     """Rows (node, set_id) of the children of rows (node, set_id, sketch)."""
-
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                node = part.column("node").to_numpy().view(np.uint64)
-                rows, nodes = children(node, _matrix(part.column("sketch")))
-                yield _node_rows(nodes, part.column("set_id").to_numpy()[rows])
-
-    return members.mapInArrow(run, _NODE_ROW)
-
-
-def _node_rows(nodes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(nodes.view(np.int64)), pa.array(ids)], names=["node", "set_id"]
+    return members.select(
+        F.explode(children(F.col("node"), F.col("sketch"))).alias("node"), "set_id"
     )
 
 
@@ -192,7 +162,8 @@ def _small_nodes(members: DataFrame) -> DataFrame:
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["group"]):
-            ids, own = table.column("set_id").to_numpy(), _matrix(table.column("sketch"))
+            ids = table.column("set_id").to_numpy()
+            own = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
             agreeing = (own[:, None, :] == own[None, :, :]).sum(axis=2)
             left, right = np.nonzero(np.triu(agreeing >= MIN_AGREEING, 1))
             root = spanning(len(ids), left, right)
