@@ -43,7 +43,9 @@ THRESHOLD = (4, 5)
 
 TOKENS = 64
 SPREAD = 0.7
-SMALL = 100
+SMALL = 4_096
+# Places of sketches that are compared at once in a small node.
+COMPARED = 1 << 23
 DEPTH = 6
 TARGET_RECALL = 0.999
 # Sketches that agree in fewer places are below the threshold by more than five standard errors.
@@ -144,9 +146,8 @@ def _next_step(members: DataFrame) -> DataFrame:
     )
 
 
-def spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest member of each member's component, for n members and links among them."""
-    root = np.arange(n)
+def spanning(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest member of each member's component, given those so far and further links."""
     while True:
         low = np.minimum(root[left], root[right])
         before = root.copy()
@@ -157,6 +158,18 @@ def spanning(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
+def _similar_sketches(own: np.ndarray) -> np.ndarray:
+    """For each row of sketches the first row that it is connected with by similar ones."""
+    n = len(own)
+    root, rows = np.arange(n), max(1, COMPARED // (n * TOKENS))
+    for start in range(0, n, rows):
+        part = own[start : start + rows]
+        agreeing = (part[:, None, :] == own[None, start:, :]).sum(axis=2, dtype=np.uint8)
+        left, right = np.nonzero(agreeing >= MIN_AGREEING)
+        root = spanning(root, left + start, right + start)
+    return root
+
+
 def _small_nodes(members: DataFrame) -> DataFrame:
     """Links (a, b) that span the similar sets of each small node, by brute force on sketches."""
 
@@ -164,9 +177,7 @@ def _small_nodes(members: DataFrame) -> DataFrame:
         for table in groups(batches, ["group"]):
             ids = table.column("set_id").to_numpy()
             own = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, TOKENS)
-            agreeing = (own[:, None, :] == own[None, :, :]).sum(axis=2)
-            left, right = np.nonzero(np.triu(agreeing >= MIN_AGREEING, 1))
-            root = spanning(len(ids), left, right)
+            root = _similar_sketches(own)
             linked = np.flatnonzero(root != np.arange(len(ids)))
             if len(linked):
                 yield _edges(ids[linked], ids[root[linked]])
@@ -312,7 +323,7 @@ def _compare_blocks(rows: DataFrame) -> DataFrame:
             if not same:
                 links[right] += copies[left] @ linked
             a, b = np.nonzero(linked)
-            root = spanning(len(ids), left[a], right[b])
+            root = spanning(np.arange(len(ids)), left[a], right[b])
             found = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[found]), pa.array(links[found]), pa.array(ids[root[found]])],
