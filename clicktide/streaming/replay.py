@@ -60,6 +60,11 @@ def land_once(part: DataFrame, folder: str, write: Callable[[DataFrame, str], No
         write(part, folder)
 
 
+def _write_slice(part: DataFrame, folder: str) -> None:
+    # A slice is short in time already, so its files aren't split by hour.
+    encode_events(part).write.mode("overwrite").text(folder)
+
+
 def _landed_events(spark: SparkSession, path: str) -> DataFrame:
     return decode_events(landed_stream(spark, path), fields=AGGREGATE_FIELDS)
 
@@ -82,7 +87,7 @@ def replay(
     JSON lines.
     """
     spark = events.sparkSession
-    write = write or (lambda part, folder: publish_to_files(part, folder, "overwrite"))
+    write = write or _write_slice
     read = read or _landed_events
     for number, part in enumerate(time_slices(events, slices)):
         land_once(part, f"{landing}/slice={number}", write)
