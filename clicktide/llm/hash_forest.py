@@ -3,13 +3,16 @@
 Every tree gives every vector a long string of bits, the sides of random planes that it lies on, and
 keeps the vectors sorted by it. A query looks in each tree for the vectors whose strings share the
 longest prefix with its own, and then goes up in all trees at once, a bit at a time, to shorter
-prefixes with more vectors, until it has enough candidates or is at the floor. Candidates are
-compared exactly, by the inner product in double precision.
+prefixes with more vectors, until it has enough candidates or is at the floor. If no tree has ``k``
+others for it there, it goes on above the floor until one has, at last to all vectors. Candidates
+are compared exactly, by the inner product in double precision; a query's own vector is always one.
 
 As the inner product also grows with length, indexed vectors get one more coordinate that makes all
 of them equally long; queries have zero there. Planes don't depend on the data. The floor and the
-number of candidates do: on up to ``TUNING_QUERIES`` queries, compared with all vectors, the deepest
-floor and the fewest candidates are chosen that find the target share of the true neighbours.
+number of candidates do, for each dimension: on up to ``TUNING_QUERIES`` queries, compared with all
+vectors, the deepest floor and the fewest candidates are chosen that find the target share of the
+true neighbours. That is done for the ``TUNED`` dimensions with most vectors; in others every query
+is compared with all vectors.
 
 The trees are dealt out by their first bits, up to the floor, and into blocks of at most
 ``BLOCK`` vectors; a block is held by one task, queries pass by in a stream. Equal vectors are one,
@@ -42,6 +45,7 @@ BITS = 32
 MAX_FLOOR = 10
 BLOCK = 32_768
 TUNING_QUERIES = 100
+TUNED = 16
 TARGET = 0.96
 SEED = 17
 
@@ -193,24 +197,48 @@ class Plan:
     enough: int
 
 
-def _tune(vectors: DataFrame, k: int, target: float) -> Plan:
-    """Choose the floor and the number of candidates by comparing some queries with all vectors."""
-    longest = vectors.agg(F.max("norm")).first()[0] or 1.0
-    chosen = (
-        vectors.where("is_query")
-        .orderBy(F.xxhash64("key"), "key")
-        .limit(TUNING_QUERIES)
-        .select("number", "dim", "vector")
+@dataclass(frozen=True)
+class Plans:
+    """The plans of the tuned dimensions; in others all vectors are candidates."""
+
+    tuned: dict[int, Plan]
+
+    def of(self, dim: int) -> Plan:
+        return self.tuned.get(dim, Plan(1.0, 0, 1 << 62))
+
+    def column(self, name: str) -> Column:
+        """A number of the plan that belongs to a row's ``dim``."""
+        found = F.lit(getattr(self.of(-1), name))
+        for dim, plan in self.tuned.items():
+            found = F.when(F.col("dim") == dim, F.lit(getattr(plan, name))).otherwise(found)
+        return found
+
+
+def _tune(vectors: DataFrame, k: int, target: float) -> Plans:
+    """Choose floors and numbers of candidates by comparing some queries with all vectors."""
+    longest = {
+        row["dim"]: row["longest"] or 1.0
+        for row in vectors.groupBy("dim")
+        .agg(F.max("norm").alias("longest"), F.count(F.lit(1)).alias("vectors"))
+        .orderBy(F.col("vectors").desc(), "dim")
+        .limit(TUNED)
         .collect()
-    )
-    # At most TUNING_QUERIES vectors go to the tasks.
-    asked = {
-        dim: (
-            np.array([r["number"] for r in chosen if r["dim"] == dim]),
-            np.array([np.frombuffer(r["vector"]) for r in chosen if r["dim"] == dim]),
-        )
-        for dim in {r["dim"] for r in chosen}
     }
+    # At most TUNED * TUNING_QUERIES vectors go to the tasks.
+    asked = {}
+    for dim in longest:
+        chosen = (
+            vectors.where(F.col("is_query") & (F.col("dim") == dim))
+            .orderBy(F.xxhash64("key"), "key")
+            .limit(TUNING_QUERIES)
+            .select("number", "vector")
+            .collect()
+        )
+        if chosen:
+            asked[dim] = (
+                np.array([row["number"] for row in chosen]),
+                np.array([np.frombuffer(row["vector"]) for row in chosen]),
+            )
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,8 +250,8 @@ def _tune(vectors: DataFrame, k: int, target: float) -> Plan:
                 own = part.column("number").to_numpy()
                 points = _matrix(part.column("vector"))
                 scores = queries @ points.T
-                query_codes = codes(queries, longest, queries=True)
-                point_codes = codes(points, longest, queries=False)
+                query_codes = codes(queries, longest[dim], queries=True)
+                point_codes = codes(points, longest[dim], queries=False)
                 for at, number in enumerate(numbers):
                     shared = shared_bits(query_codes[at][None, :], point_codes)
                     others = own != number
@@ -256,14 +284,17 @@ def _tune(vectors: DataFrame, k: int, target: float) -> Plan:
     )
     sums = [F.sum(F.col("counts")[at]).alias(f"c{at}") for at in range(BITS + 1)]
     counted = seen.where("counts is not null").groupBy("number").agg(*sums).collect()
-    if not nearest:
-        return Plan(longest, 0, 1)
     shared = {row["number"]: [] for row in counted}
     for row in nearest:
         shared[row["number"]].append(row["shared"])
     # Per query, how many candidates have a prefix of each length or more.
     found = {r["number"]: np.cumsum(list(r)[1:][::-1])[::-1] for r in counted}
-    return Plan(longest, *_choose(shared, found, target))
+    tuned = {}
+    for dim, (numbers, _) in asked.items():
+        own = {number: shared[number] for number in numbers.tolist()}
+        if any(own.values()):
+            tuned[dim] = Plan(longest[dim], *_choose(own, {n: found[n] for n in own}, target))
+    return Plans(tuned)
 
 
 def _choose(
@@ -295,13 +326,20 @@ def _choose(
 _PLACE = ["dim", "tree", "prefix", "block"]
 
 
-def _tree_rows(vectors: DataFrame, plan: Plan, queries: bool) -> DataFrame:
-    """A row for each vector and tree: its place up to the floor, and its whole code."""
+def _tree_rows(vectors: DataFrame, plans: Plans, queries: bool) -> DataFrame:
+    """A row for each vector and tree: its place up to the floor, and its whole code.
+
+    ``own`` is, for a query, how many bits its own vector shares with it in the tree.
+    """
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _by_dimension(batch):
-                made = codes(_matrix(part.column("vector")), plan.longest, queries)
+                plan, points = plans.of(part.column("dim")[0].as_py()), _matrix(part.column("vector"))
+                made = codes(points, plan.longest, queries)
+                own = np.zeros_like(made)
+                if queries:
+                    own = shared_bits(made, codes(points, plan.longest, queries=False))
                 for tree in range(TREES):
                     code = made[:, tree]
                     yield pa.RecordBatch.from_arrays(
@@ -312,24 +350,39 @@ def _tree_rows(vectors: DataFrame, plan: Plan, queries: bool) -> DataFrame:
                             pa.array(np.full(len(code), tree, dtype=np.int32)),
                             pa.array((code >> (BITS - plan.floor)).astype(np.int32)),
                             pa.array(code),
+                            pa.array(own[:, tree].astype(np.int32)),
                         ],
-                        names=["number", "dim", "vector", "tree", "prefix", "code"],
+                        names=["number", "dim", "vector", "tree", "prefix", "code", "own"],
                     )
 
-    schema = "number long, dim int, vector binary, tree int, prefix int, code long"
+    schema = "number long, dim int, vector binary, tree int, prefix int, code long, own int"
     return vectors.select("number", "dim", "vector").mapInArrow(run, schema)
 
 
-def _in_blocks(indexed: DataFrame, asked: DataFrame) -> DataFrame:
-    """Index rows and, behind them, query rows of the same place, by blocks."""
-    place = _PLACE[:3]
-    # One row for each tree and prefix up to the floor: TREES * 2 ** MAX_FLOOR for a dimension.
-    sizes = indexed.groupBy(*place).agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")
+def _sizes(indexed: DataFrame) -> DataFrame:
+    """How many vectors each place has: up to TREES * 2 ** MAX_FLOOR rows for a dimension."""
+    return materialize(
+        indexed.groupBy(*_PLACE[:3]).agg(F.count(F.lit(1)).alias("vectors")), "sizes"
     )
-    sizes = materialize(sizes, "blocks")
-    if sizes.count() <= TREES << MAX_FLOOR:
+
+
+def _in_blocks(indexed: DataFrame, asked: DataFrame, sizes: DataFrame, plans: Plans) -> DataFrame:
+    """Index rows and, behind them, query rows of the same place, by blocks.
+
+    A query whose level is above the floor goes to all places below its prefix.
+    """
+    place = _PLACE[:3]
+    few = sizes.count() <= TREES << MAX_FLOOR
+    sizes = sizes.select(*place, F.ceil(F.col("vectors") / BLOCK).cast("int").alias("blocks"))
+    if few:
         sizes = F.broadcast(sizes)
+    # At level 0 every tree has all vectors, so one is enough.
+    asked = (
+        asked.where((F.col("level") > 0) | (F.col("tree") == 0))
+        .withColumn("above", F.greatest(F.lit(0), plans.column("floor") - F.col("level")))
+        .withColumn("low", F.expr("shiftleft(shiftright(prefix, above), above)"))
+        .withColumn("prefix", F.expr("explode(sequence(low, low + shiftleft(1, above) - 1))"))
+    )
     points = indexed.join(sizes, place).select(
         *place,
         F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int").alias("block"),
@@ -338,6 +391,7 @@ def _in_blocks(indexed: DataFrame, asked: DataFrame) -> DataFrame:
         "code",
         "vector",
         F.lit(0).alias("level"),
+        "own",
     )
     queries = asked.join(sizes, place).select(
         *place,
@@ -347,6 +401,7 @@ def _in_blocks(indexed: DataFrame, asked: DataFrame) -> DataFrame:
         "code",
         "vector",
         "level",
+        "own",
     )
     both = points.unionByName(queries)
     # Queries stay in the order of their codes, so that equal ones need no more than a glance.
@@ -385,32 +440,107 @@ def _ranges(
     )
 
 
-def _levels(asked: DataFrame, indexed: DataFrame, plan: Plan) -> DataFrame:
+def _levels(
+    asked: DataFrame, indexed: DataFrame, sizes: DataFrame, plans: Plans, k: int
+) -> DataFrame:
     """Per query the length of prefix that it goes up to, in all trees alike."""
-    depths = list(range(plan.floor, BITS + 1))
+    depths = list(range(BITS + 1))
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for block, part in _passing_queries(batches):
             own, wanted = block.column("code").to_numpy(), part.column("code").to_numpy()
-            counts = [np.subtract(*_ranges(own, wanted, depth)[::-1]) for depth in depths]
+            floor = plans.of(part.column("dim")[0].as_py()).floor
+            # Above the floor a place has only a part of those with the prefix.
+            counts = [np.zeros(len(wanted), dtype=np.int64)] * floor + [
+                np.subtract(*_ranges(own, wanted, depth)[::-1]) for depth in depths[floor:]
+            ]
             yield pa.RecordBatch.from_arrays(
-                [part.column("number"), pa.array(np.column_stack(counts).tolist())],
-                names=["number", "counts"],
+                [
+                    *[part.column(name) for name in ("number", "dim", "tree", "own")],
+                    pa.array(np.column_stack(counts).tolist()),
+                ],
+                names=["number", "dim", "tree", "own", "counts"],
             )
 
     nothing = F.lit(None).cast("binary")
     blocks = _in_blocks(
         indexed.withColumn("vector", nothing),
-        asked.withColumn("vector", nothing).withColumn("level", F.lit(0)),
+        asked.withColumn("vector", nothing).withColumn("level", F.lit(BITS)),
+        sizes,
+        plans,
+    )
+    counted = blocks.mapInArrow(
+        run, "number long, dim int, tree int, own int, counts array<long>"
     )
-    counted = blocks.mapInArrow(run, "number long, counts array<long>")
-    # Each tree finds the query's own vector.
-    sums = [
-        F.when(F.sum(F.col("counts")[at]) - TREES >= plan.enough, F.lit(depth))
-        for at, depth in enumerate(depths)
+    # Others: without the query's own vector, in the trees that find it.
+    others = [
+        (F.sum(F.col("counts")[depth]) - F.when(F.col("own") >= depth, 1).otherwise(0)).alias(
+            f"c{depth}"
+        )
+        for depth in depths
+    ]
+    per_tree = counted.groupBy("number", "dim", "tree", "own").agg(*others)
+    floor, enough = plans.column("floor"), plans.column("enough")
+    stops = [
+        F.when(
+            (F.max(f"c{depth}") >= k)
+            & (floor <= depth)
+            & ((F.sum(f"c{depth}") >= enough) | (floor == depth)),
+            F.lit(depth),
+        )
+        for depth in depths
     ]
-    deepest = F.greatest(*sums, F.lit(plan.floor))
-    return counted.groupBy("number").agg(deepest.alias("level"))
+    # One tree with k others is enough to have k of them.
+    reached = per_tree.groupBy("number", "dim").agg(F.greatest(*stops).alias("reached"))
+    reached = materialize(reached.select("number", "reached"), "levels")
+    return reached.where("reached is not null").select(
+        "number", F.col("reached").alias("level")
+    ).unionByName(_levels_above(asked, reached, sizes, plans, k))
+
+
+def _levels_above(
+    asked: DataFrame, reached: DataFrame, sizes: DataFrame, plans: Plans, k: int
+) -> DataFrame:
+    """The lengths of prefix of queries for which no tree has k others at the floor."""
+    steps = F.explode(F.sequence(F.lit(0), plans.column("floor"))).alias("depth")
+    shorter = F.expr("shiftright(prefix, floor - depth)").alias("shorter")
+    wide = (
+        sizes.select("dim", "tree", "prefix", "vectors", plans.column("floor").alias("floor"), steps)
+        .select("dim", "tree", "depth", shorter, "vectors")
+        .groupBy("dim", "tree", "depth", "shorter")
+        .agg(F.sum("vectors").alias("vectors"))
+    )
+    short = asked.drop("vector").join(
+        reached.where("reached is not null"), "number", "left_anti"
+    )
+    others = F.col("vectors") - F.when(F.col("own") >= F.col("depth"), 1).otherwise(0)
+    return (
+        short.select(
+            "number", "dim", "tree", "prefix", "own", plans.column("floor").alias("floor"), steps
+        )
+        .select("number", "dim", "tree", "depth", shorter, "own")
+        .join(wide, ["dim", "tree", "depth", "shorter"], "left")
+        .groupBy("number")
+        .agg(
+            F.coalesce(F.max(F.when(others >= k, F.col("depth"))), F.lit(0)).cast("int").alias("level")
+        )
+    )
+
+
+def _own_scores(vectors: DataFrame) -> DataFrame:
+    """Queries as candidates of themselves, as other ids can have the same vector."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _by_dimension(batch):
+                points = _matrix(part.column("vector"))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("number")] * 2 + [pa.array(np.einsum("ij,ij->i", points, points))],
+                    names=["query", "number", "own"],
+                )
+
+    rows = vectors.where("is_query").select("number", "dim", "vector")
+    return rows.mapInArrow(run, "query long, number long, own double")
 
 
 def _nearest(blocks: DataFrame, k: int) -> DataFrame:
@@ -463,12 +593,19 @@ def search(
     )
     valid = materialize(_valid(rows), "valid")
     vectors = _distinct_vectors(valid, k + 1, every)
-    plan = _tune(vectors, k, target)
-    indexed = _tree_rows(vectors, plan, queries=False)
-    asked = _tree_rows(vectors.where("is_query"), plan, queries=True)
-    levels = _levels(asked, indexed, plan)
-    blocks = _in_blocks(indexed, asked.join(levels, "number"))
-    found = _nearest(blocks, k + 1).groupBy("query", "number").agg(F.max("score").alias("score"))
+    plans = _tune(vectors, k, target)
+    indexed = _tree_rows(vectors, plans, queries=False)
+    asked = _tree_rows(vectors.where("is_query"), plans, queries=True)
+    sizes = _sizes(indexed)
+    levels = _levels(asked, indexed, sizes, plans, k)
+    blocks = _in_blocks(indexed, asked.join(levels, "number"), sizes, plans)
+    found = (
+        _nearest(blocks, k + 1)
+        .withColumn("own", F.lit(None).cast("double"))
+        .unionByName(_own_scores(vectors), allowMissingColumns=True)
+        .groupBy("query", "number")
+        .agg(F.coalesce(F.max("score"), F.max("own")).alias("score"))
+    )
     near = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("ids")[0])
     # Of different vectors, k + 1 are enough; each brings its smallest ids.
     best = (

@@ -110,3 +110,46 @@ def test_tables_with_few_rows(spark):
 def test_shared_bits():
     a, b = np.array([0b1011 << 28, 5, 7]), np.array([0b1010 << 28, 5, 6])
     assert forest.shared_bits(a, b).tolist() == [3, 32, 31]
+
+
+def isolated_and_rare(random):
+    """Tight clusters, some vectors far from all, and a few of another dimension."""
+    centres = random.normal(size=(20, 16))
+    vectors = centres[random.integers(0, 20, 3_000)] + 0.01 * random.normal(size=(3_000, 16))
+    alone = np.arange(0, 3_000, 1_000)
+    vectors[alone] = -centres.mean(axis=0) + 0.1 * random.normal(size=(len(alone), 16))
+    rows = [(at, vector.tolist()) for at, vector in enumerate(vectors)]
+    rare = 0.1 ** np.arange(30)[:, None] * random.normal(size=(30, 5))
+    rows += [(4_000 + 4 * at, vector.tolist()) for at, vector in enumerate(rare)]
+    return rows + [(5_000 + 20 * at, [float(at), 1.0, 1.0]) for at in range(8)]
+
+
+@pytest.mark.parametrize("floor", [None, 8])
+def test_isolated_vectors_and_rare_dimensions_get_all_rows(spark, monkeypatch, floor):
+    rows = isolated_and_rare(np.random.default_rng(8))
+    if floor:
+        # As if the tuning queries had met none of them.
+        monkeypatch.setattr(forest, "_choose", lambda *_: (floor, 1))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found, expected = searched(frame), brute(rows)
+    assert {q: len(own) for q, own in found.items()} == {q: len(own) for q, own in expected.items()}
+    for query in range(5_000, 5_160, 20):
+        assert [v for v, _ in found[query]] == [v for v, _ in expected[query]]
+    if not floor:
+        assert recall(found, expected) >= 0.9
+
+
+def test_other_ids_of_a_short_query_vector(spark, monkeypatch):
+    """A short vector's point lies apart from its query, so no tree need find it."""
+    monkeypatch.setattr(forest, "_choose", lambda *_: (8, 1))
+    random = np.random.default_rng(9)
+    rows = [(at, vector.tolist()) for at, vector in enumerate(random.normal(size=(500, 8)))]
+    short = [0.5, *[0.0] * 7]
+    rows = [(at, v) for at, v in rows if at % 20] + [(at, short) for at in range(1_000, 1_021)]
+    rows += [(at + 2_000, (-np.abs(random.normal(size=8))).tolist()) for at in range(1, 20)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = searched(frame)
+    assert all(len(own) == 20 for own in found.values())
+    scores = [s for _, s in found[1_000]]
+    # Whatever else is found, nothing below the score of the vector's other ids is.
+    assert min(scores) >= 0.25
