@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Generator, Iterable, Iterator
 
 import numpy as np
 
@@ -35,7 +36,6 @@ _CLOSED_BY = {
 }
 
 TEXT = "#text"
-MAX_DEPTH = 200
 # Above this many pairs of children a row of the matching is computed at once, by shapes alone.
 FULL_PAIRS = 40_000
 
@@ -74,16 +74,37 @@ class Node:
             open_nodes.extend(reversed(node.kids))
 
 
+class _Stack:
+    """The open elements, with the places of each tag, so that deep pages take linear time."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self._places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self._places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place, and all in it."""
+        for node in self.nodes[at:]:
+            self._places[node.tag].pop()
+        del self.nodes[at:]
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        """The place of the last open element with one of the tags, or 0."""
+        return max((self._places[tag][-1] for tag in tags if self._places[tag]), default=0)
+
+
 def parse(page: str | None) -> Node:
     """The tree of a page; anything can be parsed, and no text is lost."""
     page = page or ""
     root = Node("#page")
-    stack = [root]
+    stack = _Stack(root)
     at, markup = 0, _MARKUP
     while at < len(page):
         found = page.find("<", at)
         if found < 0:
-            _add_text(stack[-1], page[at:])
+            _add_text(stack.nodes[-1], page[at:])
             break
         match = markup.match(page, found)
         if match is None and markup is _MARKUP and (match := _BROKEN_MARKUP.match(page, found)):
@@ -92,11 +113,11 @@ def parse(page: str | None) -> Node:
             # A "<" that opens nothing is text, up to the next one.
             end = page.find("<", found + 1)
             end = len(page) if end < 0 else end
-            _add_text(stack[-1], page[at:end])
+            _add_text(stack.nodes[-1], page[at:end])
             at = end
             continue
         if found > at:
-            _add_text(stack[-1], page[at:found])
+            _add_text(stack.nodes[-1], page[at:found])
         at = match.end()
         if match.group(2) is None:
             continue
@@ -126,33 +147,28 @@ def _add_text(parent: Node, raw: str) -> None:
         parent.kids.append(Node(TEXT, text=" "))
 
 
-def _open(stack: list[Node], tag: str, attributes: str) -> Node:
+def _open(stack: _Stack, tag: str, attributes: str) -> Node:
     if tag in _CLOSED_BY:
         closed, fence = _CLOSED_BY[tag]
-        for at in range(len(stack) - 1, 0, -1):
-            if stack[at].tag in closed:
-                del stack[at:]
-                break
-            if stack[at].tag in fence:
-                break
+        at = stack.innermost(closed)
+        if at > stack.innermost(fence):
+            stack.cut(at)
     values = {}
     if attributes.strip(" /\n\t\r"):
         for name, *found in _ATTRIBUTE.findall(attributes):
             values.setdefault(name.lower(), html.unescape(next(filter(None, found), "")))
     node = Node(tag, values)
-    stack[-1].kids.append(node)
-    if tag not in VOID and not attributes.endswith("/") and tag not in RAW and len(stack) < MAX_DEPTH:
-        stack.append(node)
+    stack.nodes[-1].kids.append(node)
+    if tag not in VOID and not attributes.endswith("/") and tag not in RAW:
+        stack.push(node)
     return node
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    for at in range(len(stack) - 1, 0, -1):
-        if stack[at].tag == tag:
-            del stack[at:]
-            return
-        if stack[at].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "body", "html"):
-            return
+def _close(stack: _Stack, tag: str) -> None:
+    at = stack.innermost((tag,))
+    fenced = tag not in ("table", "tr", "tbody", "body", "html")
+    if at and not (fenced and stack.innermost(("td", "th", "table")) > at):
+        stack.cut(at)
 
 
 def _measure(root: Node) -> None:
@@ -190,12 +206,34 @@ class Matching:
         """For nodes with the same label: aligned nodes below and with them, and aligned children."""
         if a.shape == b.shape:
             return a.size, list(zip(a.kids, b.kids))
+        # Alignments that wait for those of their children: trees can be deeper than Python's stack.
+        waiting = [((id(a), id(b)), self._align(a.kids, b.kids))]
+        while (id(a), id(b)) not in self._known:
+            key, steps = waiting[-1]
+            try:
+                x, y = next(steps)
+                waiting.append(((id(x), id(y)), self._align(x.kids, y.kids)))
+            except StopIteration as done:
+                self._known[key] = done.value
+                waiting.pop()
+        return self._known[id(a), id(b)]
+
+    def _weigh(self, a: Node, b: Node) -> Generator[tuple[Node, Node], None, int]:
+        """The number of aligned nodes, after asking for what isn't known."""
+        if a.label != b.label:
+            return 0
+        if a.shape == b.shape:
+            return a.size
+        if not a.kids or not b.kids:
+            return 1
         key = id(a), id(b)
         if key not in self._known:
-            self._known[key] = self._align(a.kids, b.kids)
-        return self._known[key]
+            yield a, b
+        return self._known[key][0]
 
-    def _align(self, a: list[Node], b: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
+    def _align(
+        self, a: list[Node], b: list[Node]
+    ) -> Generator[tuple[Node, Node], None, tuple[int, list[tuple[Node, Node]]]]:
         # What is equal at both ends stays aligned.
         low, high = 0, 0
         most = min(len(a), len(b))
@@ -209,7 +247,11 @@ class Matching:
         if not a or not b:
             return total, pairs
         if len(a) * len(b) <= FULL_PAIRS:
-            weights = np.array([[self.size(x, y) for y in b] for x in a], dtype=np.int64)
+            weights = np.zeros((len(a), len(b)), dtype=np.int64)
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    if x.label == y.label:
+                        weights[i, j] = yield from self._weigh(x, y)
             row_of = weights.__getitem__
         else:
             shapes = np.array([y.shape for y in b])

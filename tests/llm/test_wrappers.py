@@ -153,3 +153,17 @@ def test_large_host_and_edge_rows(spark):
         key=repr,
     )
     assert wrappers.main_texts(frame.where("false")).collect() == []
+
+
+def test_deep_nesting_keeps_its_article():
+    inside = "<div>" * 250 + "deep<nav>Menu</nav><div class='ad'>Buy</div>" + "</div>" * 250
+    deep = f"<div><article><p>first</p>{inside}<p>rest</p></article></div><p>outside</p>"
+    assert wrappers.extract_site([parse(deep)]) == ["first\n\ndeep\n\nrest"]
+
+
+def test_deep_pages_of_unequal_shapes():
+    def deep(tag):
+        return parse("<div>" * 5_000 + f"<{tag}>x</{tag}>" + "</div>" * 5_000)
+
+    a, b = deep("b"), deep("i")
+    assert Matching(a, b).size(a, b) == 5_001 == len(list(Matching(a, b).pairs()))
