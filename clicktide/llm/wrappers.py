@@ -11,9 +11,11 @@ of ``CHUNK`` pages, each chunk with a reference of its own, so no task and no ho
 hosts above a share of all pages are listed for that, so the list has at most ``MAX_LISTED`` rows,
 and is broadcast; smaller ones are read as a stream and cut into chunks.
 
-A copy of the reference says nothing about the template. So a page that has the reference's title,
-or most of its long texts, has no vote; a text is part of the template only if ``MIN_VOTES`` pages
-vote so, and at least ``MIN_SAME`` of all that vote on its place.
+A copy of the reference says nothing about the template. So a page that has the reference's content,
+or most of its long texts, has no vote; nor one with its title and most of its characters, if at
+least ``MIN_VOTES`` other pages have other titles. (A host can have one title for all pages.) A text
+is part of the template only if ``MIN_VOTES`` pages vote so, and at least ``MIN_SAME`` of all that
+vote on its place.
 
 Defined cases: a null page counts as empty; a page without main text has an empty text; a page whose
 host has no others, or that has no host, is read by its own tags alone; repeated rows get a row
@@ -165,9 +167,12 @@ def extract_site(trees: list[Node], voters: list[Node] | None = None) -> list[st
     everyone = [*trees, *(voters or [])]
     reference = sorted(everyone, key=lambda tree: tree.size)[len(everyone) // 2]
     own = {id(node): _plain(node) for node in reference.walk() if node.tag == TEXT}
-    content_of = {id(node) for node, _ in article_texts(reference)}
+    content = article_texts(reference)
+    content_of, whole = {id(node) for node, _ in content}, joined(content)
     title = _title(reference)
     votes, same = Counter(), Counter()
+    # Per voter: its votes, if it has the reference's title, and if most of its characters.
+    voting: list[tuple[list[tuple[Node, bool]], bool, bool]] = []
     aligned: list[dict[int, Node]] = []
     for at, tree in enumerate(everyone):
         if tree is reference:
@@ -183,7 +188,15 @@ def extract_site(trees: list[Node], voters: list[Node] | None = None) -> list[st
             for node, is_same in equal
             if id(node) in content_of and len(own[id(node)]) >= LONG_TEXT
         ]
-        if (title and _title(tree) == title) or sum(long) > COPY_SHARE * len(long):
+        texts = contents[at] if at < len(trees) else article_texts(tree)
+        if sum(long) > COPY_SHARE * len(long) or joined(texts) == whole:
+            continue
+        alike = [(len(own[id(node)]), is_same) for node, is_same in equal if id(node) in content_of]
+        most = sum(n for n, is_same in alike if is_same) > COPY_SHARE * sum(n for n, _ in alike)
+        voting.append((equal, bool(title) and _title(tree) == title, most))
+    telling = sum(not titled for _, titled, _ in voting) >= MIN_VOTES
+    for equal, titled, most in voting:
+        if telling and titled and most:
             continue
         for node, is_same in equal:
             votes[id(node)] += 1

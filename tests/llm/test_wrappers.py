@@ -167,3 +167,15 @@ def test_deep_pages_of_unequal_shapes():
 
     a, b = deep("b"), deep("i")
     assert Matching(a, b).size(a, b) == 5_001 == len(list(Matching(a, b).pairs()))
+
+
+def test_one_title_on_all_pages():
+    pages = [
+        f"<html><head><title>Untitled</title></head><body><div>Home News Shop</div>"
+        f"<div><p>{f'Article {at} has its own words. ' * (4 + at % 3)}</p><p>More {at}</p></div>"
+        f"<div>All rights reserved</div></body></html>"
+        for at in range(64)
+    ]
+    for at, text in enumerate(wrappers.extract_site([parse(p) for p in pages])):
+        article = " ".join((f"Article {at} has its own words. " * (4 + at % 3)).split())
+        assert text == f"{article}\n\nMore {at}"
