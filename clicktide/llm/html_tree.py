@@ -6,6 +6,7 @@ import html
 import re
 from collections import defaultdict
 from collections.abc import Generator, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 
@@ -36,8 +37,10 @@ _CLOSED_BY = {
 }
 
 TEXT = "#text"
-# Above this many pairs of children a row of the matching is computed at once, by shapes alone.
-FULL_PAIRS = 40_000
+# Cells of the tables that an alignment holds at once; longer lists are aligned half by half.
+FULL_PAIRS = 2_000_000
+# Sizes of unequal subtrees that are remembered.
+KNOWN_SIZES = 1_000_000
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)"
@@ -181,11 +184,16 @@ def _measure(root: Node) -> None:
 # --- simple tree matching --------------------------------------------------------------------
 
 
+# Steps of an alignment ask for the sizes of children's subtrees, as trees can be deeper than
+# Python's stack.
+Steps = Generator[tuple[Node, Node], int, Any]
+
+
 class Matching:
     """The largest top-down alignment of two trees that keeps the order of children."""
 
     def __init__(self, page: Node, reference: Node) -> None:
-        self._known: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
+        self._sizes: dict[tuple[int, int], int] = {}
         self.page, self.reference = page, reference
 
     def pairs(self) -> Iterator[tuple[Node, Node]]:
@@ -194,79 +202,83 @@ class Matching:
         while open_pairs:
             a, b = open_pairs.pop()
             yield a, b
-            open_pairs.extend(self._aligned(a, b)[1])
+            if a.shape == b.shape:
+                open_pairs.extend(zip(a.kids, b.kids))
+            else:
+                open_pairs.extend(self._run(self._align(a.kids, b.kids)))
 
     def size(self, a: Node, b: Node) -> int:
         """The number of aligned nodes of two subtrees."""
         if a.label != b.label:
             return 0
-        return a.size if a.shape == b.shape else self._aligned(a, b)[0]
-
-    def _aligned(self, a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-        """For nodes with the same label: aligned nodes below and with them, and aligned children."""
-        if a.shape == b.shape:
-            return a.size, list(zip(a.kids, b.kids))
-        # Alignments that wait for those of their children: trees can be deeper than Python's stack.
-        waiting = [((id(a), id(b)), self._align(a.kids, b.kids))]
-        while (id(a), id(b)) not in self._known:
-            key, steps = waiting[-1]
+        return a.size if a.shape == b.shape else self._run(self._measure(a, b))
+
+    def _run(self, steps: Steps) -> Any:
+        waiting, value = [steps], None
+        while waiting:
             try:
-                x, y = next(steps)
-                waiting.append(((id(x), id(y)), self._align(x.kids, y.kids)))
+                a, b = waiting[-1].send(value)
+                waiting.append(self._measure(a, b))
+                value = None
             except StopIteration as done:
-                self._known[key] = done.value
                 waiting.pop()
-        return self._known[id(a), id(b)]
-
-    def _weigh(self, a: Node, b: Node) -> Generator[tuple[Node, Node], None, int]:
-        """The number of aligned nodes, after asking for what isn't known."""
-        if a.label != b.label:
-            return 0
-        if a.shape == b.shape:
-            return a.size
-        if not a.kids or not b.kids:
-            return 1
-        key = id(a), id(b)
-        if key not in self._known:
-            yield a, b
-        return self._known[key][0]
-
-    def _align(
-        self, a: list[Node], b: list[Node]
-    ) -> Generator[tuple[Node, Node], None, tuple[int, list[tuple[Node, Node]]]]:
+                value = done.value
+        return value
+
+    def _measure(self, a: Node, b: Node) -> Steps:
+        """The size of the alignment of nodes with the same label and different shapes."""
+        low, high = _equal_ends(a.kids, b.kids)
+        total = 1 + sum(x.size for x in a.kids[:low]) + sum(x.size for x in a.kids[len(a.kids) - high :])
+        mine, others = a.kids[low : len(a.kids) - high], b.kids[low : len(b.kids) - high]
+        if mine and others:
+            weights = _Weights(others)
+            best = np.zeros(len(others) + 1, dtype=np.int64)
+            for x in mine:
+                best = _next_row(best, (yield from self._row(weights, x)))
+            total += int(best[-1])
+        if len(self._sizes) >= KNOWN_SIZES:
+            self._sizes.clear()
+        self._sizes[a.shape, b.shape] = total
+        return total
+
+    def _align(self, a: list[Node], b: list[Node]) -> Steps:
+        """The aligned children."""
         # What is equal at both ends stays aligned.
-        low, high = 0, 0
-        most = min(len(a), len(b))
-        while low < most and a[low].shape == b[low].shape:
-            low += 1
-        while high < most - low and a[-1 - high].shape == b[-1 - high].shape:
-            high += 1
+        low, high = _equal_ends(a, b)
         pairs = list(zip(a[:low], b[:low])) + list(zip(a[len(a) - high :], b[len(b) - high :]))
-        total = 1 + sum(x.size for x, _ in pairs)
         a, b = a[low : len(a) - high], b[low : len(b) - high]
-        if not a or not b:
-            return total, pairs
-        if len(a) * len(b) <= FULL_PAIRS:
-            weights = np.zeros((len(a), len(b)), dtype=np.int64)
-            for i, x in enumerate(a):
-                for j, y in enumerate(b):
-                    if x.label == y.label:
-                        weights[i, j] = yield from self._weigh(x, y)
-            row_of = weights.__getitem__
-        else:
-            shapes = np.array([y.shape for y in b])
-            sizes = np.array([y.size for y in b])
-            labels = np.array([hash(y.label) for y in b])
-
-            def row_of(at: int) -> np.ndarray:
-                same = shapes == a[at].shape
-                return np.where(same, sizes, labels == hash(a[at].label)).astype(np.int64)
-
-        best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int64)
-        for at in range(len(a)):
-            taken = np.maximum(best[at, 1:], best[at, :-1] + row_of(at))
-            best[at + 1, 1:] = np.maximum.accumulate(taken)
-        i, j = len(a), len(b)
+        if a and b:
+            weights, start = _Weights(b), np.zeros(len(b) + 1, dtype=np.int64)
+            found: list[tuple[int, int]] = []
+            yield from self._trace(a, weights, 0, len(a), start, found)
+            pairs.extend((a[i], b[j]) for i, j in found)
+        return pairs
+
+    def _trace(
+        self,
+        a: list[Node],
+        weights: _Weights,
+        low: int,
+        high: int,
+        start: np.ndarray,
+        found: list[tuple[int, int]],
+    ) -> Steps:
+        """Go back from the last column of row ``high`` to row ``low``, whose best sizes are known.
+
+        Returns the column that is reached there.
+        """
+        if high - low > 1 and (high - low) * len(start) > FULL_PAIRS:
+            middle, best = (low + high) // 2, start
+            for x in a[low:middle]:
+                best = _next_row(best, (yield from self._row(weights, x))[: len(start) - 1])
+            column = yield from self._trace(a, weights, middle, high, best, found)
+            return (yield from self._trace(a, weights, low, middle, start[: column + 1], found))
+        best = np.zeros((high - low + 1, len(start)), dtype=np.int64)
+        best[0] = start
+        for at, x in enumerate(a[low:high]):
+            row = yield from self._row(weights, x)
+            best[at + 1] = _next_row(best[at], row[: len(start) - 1])
+        i, j = high - low, len(start) - 1
         while i and j:
             if best[i, j] == best[i - 1, j]:
                 i -= 1
@@ -274,5 +286,57 @@ class Matching:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                pairs.append((a[i], b[j]))
-        return total + int(best[-1, -1]), pairs
+                found.append((low + i, j))
+        return j
+
+    def _row(self, weights: _Weights, x: Node) -> Steps:
+        """The sizes of alignments of a node with each of a list."""
+        row = weights.known.get(x.shape)
+        if row is None:
+            row = np.zeros(len(weights.kinds), dtype=np.int64)
+            for at in weights.labels.get(x.label, ()):
+                y = weights.kinds[at]
+                if x.shape == y.shape:
+                    row[at] = x.size
+                elif not x.kids or not y.kids:
+                    row[at] = 1
+                else:
+                    size = self._sizes.get((x.shape, y.shape))
+                    row[at] = (yield x, y) if size is None else size
+            if (len(weights.known) + 1) * len(row) > FULL_PAIRS:
+                weights.known.clear()
+            weights.known[x.shape] = row
+        return row[weights.kind_of]
+
+
+class _Weights:
+    """A list of nodes by their shapes, with the rows of weights that are remembered."""
+
+    def __init__(self, nodes: list[Node]) -> None:
+        places: dict[int, int] = {}
+        self.kinds: list[Node] = []
+        self.labels: dict[str, list[int]] = {}
+        for node in nodes:
+            if node.shape not in places:
+                places[node.shape] = len(self.kinds)
+                self.labels.setdefault(node.label, []).append(len(self.kinds))
+                self.kinds.append(node)
+        self.kind_of = np.array([places[node.shape] for node in nodes])
+        self.known: dict[int, np.ndarray] = {}
+
+
+def _equal_ends(a: list[Node], b: list[Node]) -> tuple[int, int]:
+    """How many children are equal at the start, and of the rest at the end."""
+    low, high = 0, 0
+    most = min(len(a), len(b))
+    while low < most and a[low].shape == b[low].shape:
+        low += 1
+    while high < most - low and a[-1 - high].shape == b[-1 - high].shape:
+        high += 1
+    return low, high
+
+
+def _next_row(best: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    taken = np.zeros_like(best)
+    np.maximum(best[1:], best[:-1] + weights, out=taken[1:])
+    return np.maximum.accumulate(taken)

@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import tracemalloc
 
 import pytest
 
@@ -179,3 +180,33 @@ def test_one_title_on_all_pages():
     for at, text in enumerate(wrappers.extract_site([parse(p) for p in pages])):
         article = " ".join((f"Article {at} has its own words. " * (4 + at % 3)).split())
         assert text == f"{article}\n\nMore {at}"
+
+
+def mixed_list(seed, length, ends="b"):
+    """A list of items of five shapes, with one at both ends that others needn't have."""
+    draw = random.Random(seed)
+    kinds = ["<li>x</li>", "<li><b>x</b></li>", "<li><b>x</b><i>y</i><u></u></li>", "<p>y</p>"]
+    kinds.append("<li><i>x</i><b>y</b><b>z</b></li>")
+    inside = "".join(draw.choice(kinds) for _ in range(length))
+    return parse(f"<ul><{ends}>x</{ends}>{inside}<{ends}>x</{ends}></ul>")
+
+
+@pytest.mark.parametrize("full", [None, 500])
+def test_long_mixed_lists_like_plain(monkeypatch, full):
+    a, b = mixed_list(1, 260), mixed_list(2, 240, "i")
+    whole = [(id(x), id(y)) for x, y in Matching(a, b).pairs()]
+    if full:
+        monkeypatch.setattr(html_tree, "FULL_PAIRS", full)
+    matching = Matching(a, b)
+    assert matching.size(a, b) == plain_match(a, b)
+    assert [(id(x), id(y)) for x, y in matching.pairs()] == whole
+    assert len(whole) == plain_match(a, b)
+
+
+def test_long_lists_take_little_memory():
+    a, b = mixed_list(3, 4_000), mixed_list(4, 4_000, "i")
+    tracemalloc.start()
+    found = len(list(Matching(a, b).pairs()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == Matching(a, b).size(a, b) and peak < 50_000_000
