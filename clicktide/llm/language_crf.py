@@ -6,9 +6,11 @@ weights of transitions between the languages of neighbouring words are learned w
 forward and backward pass gives each word's probabilities; a text's are the mean over its words
 that have letters. A chain is a line of text.
 
-Learning sees at most ``TRAIN_DOCS`` documents of up to ``TRAIN_CHARS`` characters, those with the
-smallest hash of their id, and no held-out ones. Their language is that of all their words; lines
-of different documents are spliced into chains, so that switches occur and their weights are learned.
+Learning sees the ``TRAIN_DOCS`` documents with the smallest hash of their id and, of each of the
+``LANGUAGES`` most frequent languages, the ``PER_LANGUAGE`` with the smallest, but no held-out ones.
+Of a document above ``TRAIN_CHARS`` characters it sees ``LONG_CHARS``, of lines from all over it.
+A document's language is that of all its words; lines of different documents are spliced into
+chains, so that switches occur and their weights are learned.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; without documents to
 learn from every text is; of equal probabilities the language first in the alphabet wins; repeated
@@ -22,7 +24,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
@@ -32,7 +34,10 @@ FOLDS, HELD_OUT_FOLD = 3, 1
 UNKNOWN = "und"
 
 TRAIN_DOCS = 1_200
+PER_LANGUAGE = 20
+LANGUAGES = 200
 TRAIN_CHARS = 20_000
+LONG_CHARS = 4_000
 LEXICON_COUNT = 5
 BUCKET_BITS = 17
 AFFIX = 4
@@ -299,6 +304,14 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.pmod(number, F.lit(FOLDS)) == HELD_OUT_FOLD, F.lit(False))
 
 
+def _excerpt() -> Column:
+    """Every n-th line of a long text that has words, up to ``LONG_CHARS`` characters."""
+    lines = F.filter(F.split("text", "\n"), lambda line: F.trim(line) != "")
+    step = F.ceil(F.length("text") / LONG_CHARS)
+    some = F.filter(lines, lambda _, at: at % step == 0)
+    return F.substring(F.array_join(some, "\n"), 1, LONG_CHARS)
+
+
 def train(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -306,18 +319,40 @@ def train(
     language: str = "lang",
     rows: int = TRAIN_DOCS,
 ) -> Crf:
-    """Learn from at most ``rows`` documents with a language that aren't held out."""
+    """Learn from ``rows`` documents with a language that aren't held out, and some of each language."""
     known = docs.select(
         F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(language).alias("language")
     ).where(
         F.col("id").isNotNull()
         & F.col("language").isNotNull()
-        & (F.length("text") <= TRAIN_CHARS)
+        & F.col("text").isNotNull()
         & ~held_out("id")
     )
-    # Ids first, so that no more texts than needed are moved; at most ``rows`` ids are broadcast.
+    languages = (
+        known.groupBy("language")
+        .agg(F.count(F.lit(1)).alias("docs"))
+        .orderBy(F.col("docs").desc(), "language")
+        .limit(LANGUAGES)
+        .select("language")
+    )
+    in_order = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
+    of_each = (
+        known.select("id", "language")
+        .distinct()
+        .join(F.broadcast(languages), "language")
+        .withColumn("place", F.row_number().over(in_order))
+        .where(F.col("place") <= PER_LANGUAGE)
+        .select("id")
+    )
+    # Ids first, so that no more texts than needed are moved; at most ``rows`` ids, and
+    # PER_LANGUAGE * LANGUAGES, are broadcast.
     chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
-    once = known.join(F.broadcast(chosen), "id").groupBy("id")
+    chosen = chosen.union(of_each).distinct()
+    once = (
+        known.join(F.broadcast(chosen), "id")
+        .withColumn("text", F.when(F.length("text") <= TRAIN_CHARS, F.col("text")).otherwise(_excerpt()))
+        .groupBy("id")
+    )
     texts = once.agg(F.min(F.struct("text", "language")).alias("one")).orderBy("id")
     sample = texts.select("one.text", "one.language").collect()
     return fit([(row["text"], row["language"]) for row in sample])

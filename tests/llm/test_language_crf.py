@@ -98,3 +98,17 @@ def test_edge_rows(spark, model):
 def test_long_text(model):
     found = crf.Labeller(model).text_languages(["the and of that with " * 40_000, "und der die"])
     assert [language for language, _ in found] == ["en", "de"]
+
+
+def test_rare_languages_and_those_of_long_documents_are_learned(spark):
+    rows = [(at, f"the house and garden number {at}", "en") for at in range(2_000)]
+    rows += [(at, f"das haus und der garten nummer {at}", "de") for at in range(2_000, 2_006)]
+    long = "\n".join(f"la maison et le jardin {at}" for at in range(2_000))
+    rows += [(at, long, "fr") for at in range(3_000, 3_006)]
+    rows += [(at, "casa giardino " * 2_000, "it") for at in range(4_000, 4_006)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = crf.train(docs, rows=60)
+    assert learned.languages == ["de", "en", "fr", "it"]
+    found = {r["doc_id"]: r["lang_pred"] for r in crf.identify(docs, learned).collect()}
+    assert sum(found[row] == language for row, _, language in rows) > 0.97 * len(rows)
+    assert all(found[row] == language for row, _, language in rows if row >= 2_000)
