@@ -17,6 +17,7 @@ from clicktide.llm import (
     quality_gam,
     quality_rules,
     quotation,
+    runs,
     url_filters,
     wrappers,
 )
@@ -112,6 +113,11 @@ def op10_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotation.reply_order(table(spark, sf_dir, "conversations"))
 
 
+@_query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 @_query
 def quotation_of_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations rewritten as mail in which each message quotes the two before it."""
