@@ -19,6 +19,7 @@ from clicktide.llm import (
     quotation,
     runs,
     url_filters,
+    vector_codes,
     wrappers,
 )
 
@@ -118,6 +119,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def quotation_of_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations rewritten as mail in which each message quotes the two before it."""
@@ -130,5 +136,6 @@ ORACLE = {
     "op5_url_filters": url_filters.oracle_sql(URL_RULES),
     "op8_mixing": mixing.DECIDE_SQL,
     "op10_quotation": quotation.ORDER_SQL,
+    "op12_vector_codes": vector_codes.CODES_SQL,
     "quotation_of_mail": quotation.MAIL_SQL,
 }

@@ -11,7 +11,7 @@ import __spark_entry__ as driver
 from clicktide.llm import queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "pages", "conversations")
+TABLES = ("documents", "embeddings", "pages", "conversations")
 
 
 @pytest.fixture(scope="module")
