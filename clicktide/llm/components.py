@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clicktide.llm.skew import join_counted
 from clicktide.session import materialize
 
 
@@ -17,22 +18,25 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["sum"]
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
+def _star(pairs: DataFrame, large: bool, purpose: str) -> DataFrame:
     """Each node's neighbours, itself included, hooked to the smallest of them.
 
-    ``large``: only those above the node are hooked, else those up to the node.
+    ``large``: only those above the node are hooked, else those up to the node. A node with many
+    neighbours is sent to their rows instead of the other way round.
     """
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if not large:
         both = both.where("b < a")
-    smallest = both.groupBy("a").agg(F.min("b").alias("low"))
+    counted = both.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
     # What is smallest may be the node itself.
-    smallest = smallest.select("a", F.least("a", "low").alias("low"))
+    smallest = materialize(counted.select("a", F.least("a", "low").alias("low"), "n"), purpose)
+    total = smallest.agg(F.sum("n")).first()[0] or 0
     if large:
-        hooked = both.where("b > a").join(smallest, "a").select(F.col("b").alias("a"), "low")
+        hooked = join_counted(both.where("b > a"), smallest, "a", total)
+        hooked = hooked.select(F.col("b").alias("a"), "low")
     else:
         hooked = (
-            both.join(smallest, "a")
+            join_counted(both, smallest, "a", total)
             .select(F.col("b").alias("a"), "low")
             .unionByName(smallest.select("a", "low"))
         )
@@ -56,7 +60,8 @@ def components(edges: DataFrame, purpose: str = "components", max_rounds: int =
     for _ in range(max_rounds):
         if not last[0]:
             break
-        now = materialize(_star(_star(now, large=True), large=False), purpose)
+        now = materialize(_star(now, True, purpose), purpose)
+        now = materialize(_star(now, False, purpose), purpose)
         found = _fingerprint(now)
         if found == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
