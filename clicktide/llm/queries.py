@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktide.llm import (
+    bottom_k,
     bpe,
     hash_forest,
     jaccard_join,
@@ -124,6 +125,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_digests(table(spark, sf_dir, "embeddings"))
 
 
+@_query
+def op13_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_components(table(spark, sf_dir, "documents"))
+
+
 @_query
 def quotation_of_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations rewritten as mail in which each message quotes the two before it."""
@@ -137,5 +143,6 @@ ORACLE = {
     "op8_mixing": mixing.DECIDE_SQL,
     "op10_quotation": quotation.ORDER_SQL,
     "op12_vector_codes": vector_codes.CODES_SQL,
+    "op13_bottom_k": bottom_k.COMPONENTS_SQL,
     "quotation_of_mail": quotation.MAIL_SQL,
 }

@@ -31,7 +31,7 @@ def _rows(names, rows):
 
 def test_every_operator_has_one_query():
     numbers = [int(m[1]) for name in driver.queries() if (m := re.match(r"op(\d+)_", name))]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert "pipeline" in driver.queries()
     assert set(queries.ORACLE) <= set(queries.all_queries())
 
