@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import uuid
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
@@ -93,7 +92,7 @@ def _backfill(spark: SparkSession, args: argparse.Namespace) -> None:
         names = known.select("campaign_id").unionByName(events.select("campaign_id"))
     rows = backfill(events, names, windows, args.width, as_of)
     if table:
-        table.upsert(rows, f"backfill-{uuid.uuid4().hex}", 0)
+        table.upsert(rows)
     else:
         database = postgres_upsert(database_url(), max_connections=args.max_connections)
         database.ensure_table()

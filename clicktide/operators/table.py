@@ -1,30 +1,36 @@
 """``campaign_agg`` as Parquet files: a changelog with last-write-wins reading.
 
-Layout ``<root>/window_date=D/version=V/part-*``. Every batch of every writer claims the next number
-of the table before it writes, so later writes win whoever makes them, and a batch that is replayed
-finds its own number again and replaces its own files. Dates give partition pruning, and rows are
-sorted by window end inside each file so that row-group statistics prune further; the campaign
-column is dictionary-encoded, which lets the reader skip row groups without a wanted campaign.
-
-Folders of the table's own, which readers of Parquet skip: ``_claims`` (one file per number, with
-who claimed it), ``_writers`` (the last claim of each writer), ``_done`` (numbers whose files are
-all there) and ``_folds`` (folds whose files are all there, by date).
+Every write is a folder of its own, ``version=N/window_date=D/part-*``, with the next number of the
+table: the number is taken by making ``version=N/_claim``, a file that must not exist yet, and the
+write counts from when ``version=N/_done`` is there. A write that fails, or is half done, is never
+seen and holds nothing up; done again, it gets a new number. Later numbers win, whoever writes.
+
+A fold brings the newest row of each key of the dates with new writes together in
+``folded/window_date=D/fold=F``; each row keeps the number that it was written with. ``folds/I`` says
+which writes and which fold of each date count, by their numbers. A write that isn't in that list,
+such as one that was under way during the fold, is read beside the folds whenever it gets done, and
+its number decides as ever. So writers and folds may run side by side in any order.
+
+Dates give partition pruning, and rows are sorted by window end inside each file so that row-group
+statistics prune further. Files have Bloom filters of the campaign: a reader that wants one campaign
+passes over row groups without it.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import time
-from dataclasses import dataclass
+import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 from datetime import date, datetime
-from typing import Any
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clicktide.contracts import AGG_KEYS, AGG_VALUES, CAMPAIGN_AGG_SCHEMA, conform
+from clicktide.functions.store import Store
 from clicktide.functions.times import moment
 from clicktide.operators.checks import require_contract
 
@@ -36,6 +42,49 @@ CHANGELOG_SCHEMA = T.StructType(
     ]
 )
 
+# Campaigns that a file's Bloom filter is made for, and the size of a row group in bytes.
+BLOOM_CAMPAIGNS = 100_000
+ROW_GROUP_BYTES = 16 << 20
+
+# The last number that this process knows to be taken, by table.
+_last_claims: dict[str, int] = {}
+
+
+@dataclass(frozen=True)
+class Versions:
+    """A set of write numbers: all up to one, without some."""
+
+    through: int = -1
+    without: frozenset[int] = frozenset()
+
+    def __contains__(self, number: int) -> bool:
+        return number <= self.through and number not in self.without
+
+    def and_also(self, numbers: Iterable[int]) -> Versions:
+        more = set(numbers)
+        through = max(more | {self.through})
+        missing = self.without | set(range(self.through + 1, through + 1))
+        return Versions(through, frozenset(missing - more))
+
+    def condition(self, column: Column) -> Column:
+        return (column <= self.through) & ~column.isin(*self.without)
+
+    def as_json(self) -> dict:
+        return {"through": self.through, "without": sorted(self.without)}
+
+    @staticmethod
+    def of_json(found: dict) -> Versions:
+        return Versions(found["through"], frozenset(found["without"]))
+
+
+@dataclass(frozen=True)
+class Fold:
+    """What a file in ``folds`` says: the writes that are folded and the fold of each date."""
+
+    number: int = -1
+    versions: Versions = Versions()
+    dates: dict[str, str] = field(default_factory=dict)
+
 
 @dataclass(frozen=True)
 class CampaignTable:
@@ -43,91 +92,86 @@ class CampaignTable:
 
     # --- writing -------------------------------------------------------------------------------
 
-    def upsert(
-        self,
-        df: DataFrame,
-        writer: str,
-        batch_id: int,
-        files: int | None = None,
-        check: bool = False,
-    ) -> int:
+    def upsert(self, df: DataFrame, files: int | None = None, check: bool = False) -> int:
         """Write full values for the keys in ``df``; later writes win over earlier ones.
 
-        ``writer`` names one run whose batch ids rise; a batch that is written again replaces itself.
         ``df`` holds each key once, as an aggregate does; ``check`` verifies that first, at the cost
-        of a second pass. ``files`` is the number of files per date, see ``_write``. Returns the
-        number of the write.
+        of a second pass. ``files`` is the number of files per date: AQE sizes them otherwise.
+        Returns the number of the write. The same rows written twice are harmless.
         """
-        spark = df.sparkSession
         if check:
             require_contract(df)
-        number = self.claim(spark, str(writer), batch_id)
-        self._write(conform(df), 2 * number, files)
-        self._note(spark, f"_done/{number:019d}", "")
+        number = self.claim(df.sparkSession)
+        self._write(conform(df), f"{self.root}/version={number}", ["window_date"], files)
+        self.finish(df.sparkSession, number)
         return number
 
-    def claim(self, spark: SparkSession, writer: str, batch_id: int) -> int:
-        """The number of this batch: the one it has claimed before, or the next one of the table.
-
-        A number is claimed by making a file that must not exist yet, so no two writers share one.
-        """
-        own = f"_writers/{hashlib.md5(writer.encode()).hexdigest()}"
-        last = self._read(spark, own)
-        if last:
-            last_batch, number = map(int, last.split())
-            if last_batch == batch_id and not self._folded_over(spark, number):
-                return number
-            if last_batch > batch_id:
-                raise ValueError(f"{writer} has written batch {last_batch}, after {batch_id}")
-        number = max(self._numbers(spark, "_claims"), default=-1) + 1
-        while not self._note(spark, f"_claims/{number:019d}", f"{writer}\n{batch_id}", new=True):
-            number += 1
-        self._note(spark, own, f"{batch_id} {number}")
+    def claim(self, spark: SparkSession) -> int:
+        """Take the next number of the table, which no other writer gets."""
+        store = Store(spark, self.root)
+        number = _last_claims.get(self.root)
+        if number is None:
+            number = max(self._numbers(store, "_claim"), default=-1)
+        while True:
+            # Below a fold's last number the folders of writes may have been deleted.
+            number = max(number, self.last_fold(spark).versions.through) + 1
+            if store.create(f"version={number}/_claim"):
+                if number > self.last_fold(spark).versions.through:
+                    break
+        _last_claims[self.root] = number
         return number
 
-    def _folded_over(self, spark: SparkSession, number: int) -> bool:
-        """Whether a fold has closed this number, so that its files would not be read any more."""
-        return any(fold > 2 * number for fold in self._folds(spark).values())
+    def finish(self, spark: SparkSession, number: int) -> None:
+        """From now on the write counts."""
+        Store(spark, self.root).create(f"version={number}/_done")
 
-    def _write(self, df: DataFrame, version: int, files: int | None) -> None:
+    @staticmethod
+    def _write(df: DataFrame, path: str, folders: list[str], files: int | None) -> None:
         """Bring the rows of a date together, so that not every task writes a file for every date.
 
         AQE sizes the tasks: it joins small dates and splits large ones. With ``files`` a date is
         spread by key over that many tasks instead, whatever its size.
         """
-        rows = df.withColumn("window_date", F.to_date("window_end")).withColumn(
-            "version", F.lit(version).cast("long")
-        )
+        rows = df.withColumn("window_date", F.to_date("window_end"))
         if files:
-            salt = F.pmod(F.xxhash64(*AGG_KEYS), F.lit(files))
-            rows = rows.repartition("window_date", salt)
+            rows = rows.repartition("window_date", F.pmod(F.xxhash64(*AGG_KEYS), F.lit(files)))
         else:
             rows = rows.hint("rebalance", "window_date")
+        writer = rows.sortWithinPartitions("window_date", "window_end", "campaign_id").write
         (
-            rows.sortWithinPartitions("window_date", "version", "window_end", "campaign_id")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("window_date", "version")
-            .parquet(self.root)
+            writer.mode("append")
+            .option("parquet.bloom.filter.enabled#campaign_id", "true")
+            .option("parquet.bloom.filter.expected.ndv#campaign_id", str(BLOOM_CAMPAIGNS))
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .option("parquet.block.size", str(ROW_GROUP_BYTES))
+            .partitionBy(*folders)
+            .parquet(path)
         )
 
     # --- reading -------------------------------------------------------------------------------
 
-    def changelog(self, spark: SparkSession) -> DataFrame:
-        """Every version of every key since its date's last fold; no rows before the first write.
+    def changelog(self, spark: SparkSession, dates: Iterable[date] | None = None) -> DataFrame:
+        """Rows of all writes since the folds, and of the folds; no rows before the first write.
 
-        Folded versions aren't read, so they may be deleted once earlier readers are done.
+        Folded writes aren't read, so they may be deleted once earlier readers are done. ``dates``
+        keeps the windows that end on these days and reads only their folders.
         """
-        if not self._file_system(spark).exists(self._path(spark, ".")):
-            return spark.createDataFrame([], CHANGELOG_SCHEMA)
-        rows = spark.read.schema(CHANGELOG_SCHEMA).parquet(self.root)
-        folds = self._folds(spark)
-        if not folds:
-            return rows
-        entries = [F.lit(value) for day, version in folds.items() for value in (day, version)]
-        # Date and version are folder names, so this only chooses folders.
-        folded = F.try_element_at(F.create_map(*entries), F.col("window_date"))
-        return rows.where(F.col("version") >= F.coalesce(folded, F.lit(0)).cast("long"))
+        fold, new = self.last_fold(spark), self.unfolded(spark)
+        rows = spark.createDataFrame([], CHANGELOG_SCHEMA)
+        if fold.dates:
+            folders = [f"window_date={day}/fold={name}" for day, name in fold.dates.items()]
+            rows = self._folders(spark, f"{self.root}/folded", folders).unionByName(rows)
+        if new:
+            folders = [f"version={number}" for number in new]
+            rows = self._folders(spark, self.root, folders).unionByName(rows)
+        if dates is not None:
+            rows = rows.where(F.col("window_date").isin(list(dates)))
+        return rows
+
+    @staticmethod
+    def _folders(spark: SparkSession, root: str, folders: list[str]) -> DataFrame:
+        reader = spark.read.schema(CHANGELOG_SCHEMA).option("basePath", root)
+        return reader.parquet(*[f"{root}/{name}" for name in folders]).select(*CHANGELOG_SCHEMA.names)
 
     def latest(
         self, spark: SparkSession, since: datetime | date | Column | None = None
@@ -142,135 +186,99 @@ class CampaignTable:
             point = moment(since) if isinstance(since, datetime) else since
             bound = point if isinstance(point, Column) else F.lit(point)
             rows = rows.where(F.col("window_date") >= bound.cast("date"))
-        return self._newest(rows)
+        return self._newest(rows).drop("version")
 
     def newest_date(self, spark: SparkSession) -> date | None:
         """The last date that has rows, by the names of folders."""
-        return max(self._folders(spark), default=None)
+        days = {date.fromisoformat(day) for day in self.last_fold(spark).dates}
+        return max(days | self.dates_of(spark, self.unfolded(spark)), default=None)
 
     @staticmethod
     def _newest(rows: DataFrame) -> DataFrame:
         newest = [F.max_by(name, "version").alias(name) for name in AGG_VALUES]
-        return rows.groupBy(*AGG_KEYS).agg(*newest)
+        return rows.groupBy(*AGG_KEYS).agg(*newest, F.max("version").alias("version"))
+
+    # --- what there is ---------------------------------------------------------------------------
+
+    def done(self, spark: SparkSession) -> list[int]:
+        """Numbers of the writes that count and whose folders are still there."""
+        return self._numbers(Store(spark, self.root), "_done")
+
+    def unfolded(self, spark: SparkSession) -> list[int]:
+        """Numbers of the writes that count and aren't in the last fold."""
+        folded = self.last_fold(spark).versions
+        return [number for number in self.done(spark) if number not in folded]
+
+    def dates_of(self, spark: SparkSession, numbers: Iterable[int]) -> set[date]:
+        """The dates of some writes, by the names of folders."""
+        wanted = set(numbers)
+        found = set()
+        for path in Store(spark, self.root).paths("version=*/window_date=*"):
+            version, day = [part.split("=")[1] for part in path.split("/")]
+            if int(version) in wanted:
+                found.add(date.fromisoformat(day))
+        return found
+
+    def last_fold(self, spark: SparkSession) -> Fold:
+        store = Store(spark, self.root)
+        number = max((int(path.split("/")[1]) for path in store.paths("folds/*")), default=None)
+        if number is None:
+            return Fold()
+        found = json.loads(store.read(f"folds/{number}"))
+        return Fold(number, Versions.of_json(found["versions"]), found["dates"])
+
+    @staticmethod
+    def _numbers(store: Store, mark: str) -> list[int]:
+        paths = store.paths(f"version=*/{mark}")
+        return sorted(int(path.split("/")[0].removeprefix("version=")) for path in paths)
 
     # --- upkeep --------------------------------------------------------------------------------
 
-    def compact(self, spark: SparkSession, files: int | None = None) -> list[date]:
-        """Fold the versions since the last fold into one, for each date that has got new ones.
+    def compact(
+        self, spark: SparkSession, files: int | None = None, within: Versions | None = None
+    ) -> list[date]:
+        """Fold the writes that are done, for the dates they have; returns these dates.
 
-        Only numbers are folded below which all writes are done, so this may run beside writers; a
-        writer that is restarted after its number was folded over claims a new one. A fold counts
-        when its mark is there, which is made after its files.
+        May run beside writers and other folds: of two folds that start from the same one, the first
+        to finish counts. ``within`` leaves other writes for later.
         """
-        through = self._done_through(spark)
-        folds = self._folds(spark)
-        days = []
-        for day, versions in self._folders(spark).items():
-            known = [v for v in versions if folds.get(day, 0) <= v <= 2 * through + 1]
-            if len([v for v in known if v != 2 * through + 1]) > 1:
-                days.append(day)
-        if days:
-            rows = self.changelog(spark).where(
-                F.col("window_date").isin(days) & (F.col("version") <= 2 * through)
-            )
-            self._write(self._newest(rows), 2 * through + 1, files)
+        store, before = Store(spark, self.root), self.last_fold(spark)
+        new = [n for n in self.unfolded(spark) if within is None or n in within]
+        days = self.dates_of(spark, new)
+        if len(new) < 2 and not {day.isoformat() for day in days} & set(before.dates):
+            return []
+        versions, name = before.versions.and_also(new), uuid.uuid4().hex
+        # Another fold may be done by now; only what this one names may go into it.
+        rows = self.changelog(spark, days).where(versions.condition(F.col("version")))
+        named = self._newest(rows).withColumn("fold", F.lit(name))
+        self._write(named, f"{self.root}/folded", ["window_date", "fold"], files)
+        dates = before.dates | {day.isoformat(): name for day in days}
+        text = json.dumps({"versions": versions.as_json(), "dates": dates})
+        if not store.create(f"folds/{before.number + 1}", text):
             for day in days:
-                self._note(spark, f"_folds/{day.isoformat()}/{2 * through + 1:019d}", "")
+                store.delete(f"folded/window_date={day.isoformat()}/fold={name}")
+            return []
         return sorted(days)
 
     def vacuum(self, spark: SparkSession, retention_seconds: float = 3600) -> list[str]:
-        """Delete the version folders that readers have not looked at since a fold of their date.
+        """Delete folders that readers have not looked at since a fold.
 
-        Folders go once the fold's mark is older than ``retention_seconds``, which is the time a
-        reader has to finish with the file list it started from. Works on names only.
+        They go once the fold's file is older than ``retention_seconds``, which is the time a reader
+        has to finish with the file list it started from. Works on names only.
         """
-        fs = self._file_system(spark)
-        folders, removed = self._folders(spark), []
-        for day, fold in self._folds(spark).items():
-            mark = self._path(spark, f"_folds/{day.isoformat()}/{fold:019d}")
-            if time.time() - fs.getFileStatus(mark).getModificationTime() / 1000 < retention_seconds:
-                continue
-            for version, path in folders.get(day, {}).items():
-                if version < fold:
-                    fs.delete(path, True)
-                    removed.append(path.toString())
-        # Claims serve to find the last number and what is under way.
-        last = max(self._numbers(spark, "_claims"), default=0)
-        for number in self._numbers(spark, "_done"):
-            if number < last:
-                fs.delete(self._path(spark, f"_claims/{number:019d}"), False)
-                fs.delete(self._path(spark, f"_done/{number:019d}"), False)
+        store, old = Store(spark, self.root), []
+        numbers = sorted(int(path.split("/")[1]) for path in store.paths("folds/*"))
+        for number in numbers:
+            if time.time() - store.seconds(f"folds/{number}") >= retention_seconds:
+                old.append(number)
+        if not old:
+            return []
+        folds = {n: json.loads(store.read(f"folds/{n}")) for n in numbers}
+        folded = Versions.of_json(folds[old[-1]]["versions"])
+        removed = [f"version={n}" for n in self.done(spark) if n in folded]
+        kept = {item for n in numbers if n >= old[-1] for item in folds[n]["dates"].items()}
+        gone = {item for n in old[:-1] for item in folds[n]["dates"].items()} - kept
+        removed += [f"folded/window_date={day}/fold={name}" for day, name in sorted(gone)]
+        for name in [*removed, *[f"folds/{n}" for n in old[:-1]]]:
+            store.delete(name)
         return removed
-
-    def _done_through(self, spark: SparkSession) -> int:
-        """The last number up to which every claim is done, or its writer has claimed again since."""
-        claims, done = self._numbers(spark, "_claims"), set(self._numbers(spark, "_done"))
-        last = {
-            int(text.split()[1])
-            for name in self._names(spark, "_writers")
-            if (text := self._read(spark, f"_writers/{name}"))
-        }
-        # A number that isn't done and isn't its writer's last was given up for a later one.
-        under_way = [number for number in claims if number not in done and number in last]
-        return min(under_way, default=max(claims, default=-1) + 1) - 1
-
-    # --- files ---------------------------------------------------------------------------------
-
-    def _folds(self, spark: SparkSession) -> dict[date, int]:
-        """The newest fold of each date."""
-        found: dict[date, int] = {}
-        for status in self._glob(spark, "_folds/*/*"):
-            path = status.getPath()
-            day, version = date.fromisoformat(path.getParent().getName()), int(path.getName())
-            found[day] = max(version, found.get(day, 0))
-        return found
-
-    def _folders(self, spark: SparkSession) -> dict[date, dict[int, Any]]:
-        """Path of each version of each date, by their folder names."""
-        found: dict[date, dict[int, Any]] = {}
-        for status in self._glob(spark, "window_date=*/version=*"):
-            path = status.getPath()
-            day = date.fromisoformat(path.getParent().getName().removeprefix("window_date="))
-            version = int(path.getName().removeprefix("version="))
-            found.setdefault(day, {})[version] = path
-        return found
-
-    def _numbers(self, spark: SparkSession, folder: str) -> list[int]:
-        return [int(name) for name in self._names(spark, folder)]
-
-    def _names(self, spark: SparkSession, folder: str) -> list[str]:
-        return [status.getPath().getName() for status in self._glob(spark, f"{folder}/*")]
-
-    def _glob(self, spark: SparkSession, pattern: str) -> list[Any]:
-        return self._file_system(spark).globStatus(self._path(spark, pattern)) or []
-
-    def _note(self, spark: SparkSession, name: str, text: str, new: bool = False) -> bool:
-        """Write a small file; with ``new`` only if it isn't there, and say whether that worked."""
-        try:
-            out = self._file_system(spark).create(self._path(spark, name), not new)
-        except Py4JJavaError as error:
-            if new and "AlreadyExists" in error.java_exception.getClass().getName():
-                return False
-            raise
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
-        return True
-
-    def _read(self, spark: SparkSession, name: str) -> str | None:
-        fs, path = self._file_system(spark), self._path(spark, name)
-        if not fs.exists(path):
-            return None
-        source = fs.open(path)
-        try:
-            return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
-        finally:
-            source.close()
-
-    def _path(self, spark: SparkSession, name: str) -> Any:
-        return spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _file_system(self, spark: SparkSession) -> Any:
-        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return root.getFileSystem(spark._jsc.hadoopConfiguration())

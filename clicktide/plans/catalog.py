@@ -150,7 +150,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> CampaignTable:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _stored_tables:
         table = CampaignTable(fresh_folder(spark, "campaign-agg"))
-        table.upsert(_exact(spark, sf_dir), "history", 0)
+        table.upsert(_exact(spark, sf_dir))
         _stored_tables[key] = table
     return _stored_tables[key]
 
@@ -315,13 +315,13 @@ def _written_in_parts(spark: SparkSession, sf_dir: str) -> CampaignTable:
     events = event_batch(spark, sf_dir)
     cuts = [F.lit(cut.isoformat(sep=" ")).cast("timestamp_ntz") for cut in UPSERT_CUTS]
     time = F.col("event_time")
-    for batch_id, (lower, upper) in enumerate(zip([None, *cuts], [*cuts, None])):
+    for lower, upper in zip([None, *cuts], [*cuts, None]):
         part = events
         if lower is not None:
             part = part.where(time >= F.date_trunc("hour", lower).cast("timestamp_ntz"))
         if upper is not None:
             part = part.where(time < upper)
-        table.upsert(campaign_windows(part, SERVING_WIDTH, "exact"), "history", batch_id)
+        table.upsert(campaign_windows(part, SERVING_WIDTH, "exact"))
     return table
 
 
@@ -332,8 +332,10 @@ def upsert_latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def upsert_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each write; ``version`` is twice its number."""
     rows = _written_in_parts(spark, sf_dir).changelog(spark)
-    return _without_zone(rows.groupBy("version").agg(F.count(F.lit(1)).alias("n_rows")))
+    version = (F.col("version") * 2).alias("version")
+    return rows.groupBy(version).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @_query
@@ -355,15 +357,19 @@ def upsert_interleaved_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The stream first writes what it has seen of each window up to the first cut; the back-fill
     writes twice that of the windows up to the second cut; then the stream writes all of what comes
-    after the first cut. Each key keeps its last write.
+    after the first cut. Each key keeps its last write. Between the last two a fold runs beside a
+    write that is under way.
     """
     table = CampaignTable(fresh_folder(spark, "campaign-agg"))
     rows = _exact(spark, sf_dir)
     first, second = [F.lit(cut.isoformat(sep=" ")).cast("timestamp_ntz") for cut in UPSERT_CUTS]
-    table.upsert(rows.where(F.col("window_start") < first), "stream", 0)
+    table.upsert(rows.where(F.col("window_start") < first))
     doubled = rows.withColumn("clicks", F.col("clicks") * 2)
-    table.upsert(doubled.where(F.col("window_start") < second), "backfill", 0)
-    table.upsert(rows.where(F.col("window_start") >= first), "stream", 1)
+    table.upsert(doubled.where(F.col("window_start") < second))
+    table.claim(spark)
+    table.compact(spark)
+    table.vacuum(spark, retention_seconds=0)
+    table.upsert(rows.where(F.col("window_start") >= first))
     return _without_zone(table.latest(spark))
 
 
@@ -424,8 +430,8 @@ def backfill_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = CampaignTable(fresh_folder(spark, "campaign-agg"))
     first = F.lit(UPSERT_CUTS[0].isoformat(sep=" ")).cast("timestamp_ntz")
     early = event_batch(spark, sf_dir).where(F.col("event_time") < first)
-    table.upsert(campaign_windows(early, SERVING_WIDTH, "exact"), "history", 0)
-    table.upsert(_backfill(spark, sf_dir), "backfill", 0)
+    table.upsert(campaign_windows(early, SERVING_WIDTH, "exact"))
+    table.upsert(_backfill(spark, sf_dir))
     return _without_zone(table.latest(spark).drop("ctr"))
 
 

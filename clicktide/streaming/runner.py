@@ -113,15 +113,11 @@ def finish_all(queries: list[StreamingQuery]) -> None:
 
 
 def table_sink(
-    table: CampaignTable,
-    writer: str | None = None,
-    files: int | None = None,
-    then: BatchSink | None = None,
+    table: CampaignTable, files: int | None = None, then: BatchSink | None = None
 ) -> BatchSink:
     """Sink into the file table; ``files`` as in ``CampaignTable.upsert``.
 
-    Batches are numbered by the table under the stream's own id, which lives in its checkpoint, so a
-    stream with a new checkpoint is another writer; ``writer`` names it otherwise.
+    A batch that is sent again writes the same totals once more.
 
     Streams run without AQE. The batch's aggregate is done when it gets here, so AQE is switched on
     for what the sink does with it: few files for a usual batch, many tasks for a large backlog.
@@ -132,11 +128,8 @@ def table_sink(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        name = writer or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        if not name:
-            raise RuntimeError("the sink needs a writer's name outside a stream")
         with _session_options(spark, {"spark.sql.adaptive.enabled": "true"}):
-            table.upsert(batch, name, batch_id, files)
+            table.upsert(batch, files)
         if then:
             then(batch, batch_id)
 
