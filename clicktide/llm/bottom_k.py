@@ -56,8 +56,10 @@ ERRORS = 4.5
 # Leaders per list, or per block of a long one.
 LEADERS = 8
 # A block has up to about so many sets, and so many shingles.
-BLOCK_SETS = 1_024
+BLOCK_SETS = 512
 BLOCK_SHINGLES = 1 << 20
+# Sketches, and values of them, that are compared at once.
+ROWS, COLUMNS = 512, 2_048
 # Confirmed together with a leader are up to about so many sets.
 CHUNK = 256
 
@@ -161,6 +163,34 @@ class Sketches:
         good[at] = False
         return np.flatnonzero(good)
 
+    def overlaps(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """How many values the sketches of ``left`` and ``right``, row numbers, have in common."""
+        found = np.zeros((len(left), len(right)), dtype=np.float32)
+        parts = [np.concatenate([self.values[at] for at in rows]) for rows in (left, right)]
+        shared = np.intersect1d(*parts)
+        for start in range(0, len(shared), COLUMNS):
+            columns = shared[start : start + COLUMNS]
+            found += self._incidence(left, columns) @ self._incidence(right, columns).T
+        return np.rint(found).astype(np.int64)
+
+    def _incidence(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Which sketch has which of the sorted values, as 0 and 1."""
+        flat = np.concatenate([self.values[at] for at in rows])
+        row = np.repeat(np.arange(len(rows)), self.lengths[rows])
+        place = np.minimum(np.searchsorted(columns, flat), len(columns) - 1)
+        hit = columns[place] == flat
+        found = np.zeros((len(rows), len(columns)), dtype=np.float32)
+        found[row[hit], place[hit]] = 1
+        return found
+
+    def near(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Which of ``left`` may be linked with which of ``right``, row numbers."""
+        common = self.overlaps(left, right)
+        of_left = [np.searchsorted(self.values[at], self.ends[right], "right") for at in left]
+        of_right = [np.searchsorted(self.values[at], self.ends[left], "right") for at in right]
+        sample = np.array(of_left) + np.array(of_right).T - common
+        return may_be_linked(common, sample, self.sizes[left][:, None], self.sizes[right][None, :])
+
 
 # --- lists -----------------------------------------------------------------------------------
 
@@ -347,16 +377,28 @@ def _across(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ids, root, block == table["i"][0].as_py(), block == table["j"][0].as_py(), table
 
 
-def _possible(own: Sketches, root: np.ndarray, left: np.ndarray, right: np.ndarray):
-    """For each set of the left side, those of the right side and of other groups to compare."""
-    for at in np.flatnonzero(left).tolist():
-        rows = right & (root != root[at])
-        if (left & right).any():
-            rows[: at + 1] = False
-        if rows.any():
-            near = own.similar(at, rows)
-            if len(near):
-                yield at, near
+def _possible(
+    own: Sketches, root: np.ndarray, left: np.ndarray, right: np.ndarray
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs of the two sides, of different groups, that may be linked: one set and its others.
+
+    Two sets of the largest group aren't compared, so a group that is nearly whole costs little.
+    """
+    roots, counts = np.unique(root, return_counts=True)
+    rest = root != roots[counts.argmax()]
+    sides = [(left & rest, right)]
+    if (left & right).any():
+        sides[0] = (left & rest, left)
+    else:
+        sides.append((left & ~rest, right & rest))
+    for one, other in sides:
+        others = np.flatnonzero(other)
+        rows = np.flatnonzero(one)
+        for start in range(0, len(rows) if len(others) else 0, ROWS):
+            part = rows[start : start + ROWS]
+            near = own.near(part, others) & (root[part][:, None] != root[others][None, :])
+            for at in np.flatnonzero(near.any(axis=1)).tolist():
+                yield int(part[at]), others[near[at]]
 
 
 def _undecided(rows: DataFrame) -> DataFrame:
