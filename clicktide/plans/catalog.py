@@ -45,8 +45,8 @@ GRID_WINDOWS = 12
 STREAM_WIDTH = "10 seconds"
 STREAM_HORIZON = serving.horizon(serving.HORIZON_MAX)
 CAMPAIGNS = ("cmp-001", "cmp-002", "cmp-003", "cmp-004")
-REPLAY_SLICES = 5
-SLICE_ROWS = 1_000_000
+REPLAY_BATCHES = 5
+BATCH_ROWS = 1_000_000
 STATE_PARTITIONS = 4
 
 # Where the history is cut into three writes; both cuts lie inside a one-hour window.
@@ -449,9 +449,9 @@ def _stream_settings(spark: SparkSession, **more: object) -> StreamSettings:
     )
 
 
-def _slices(events: DataFrame) -> int:
-    """So many that a micro-batch takes about SLICE_ROWS rows, and several batches in any case."""
-    return max(REPLAY_SLICES, -(-events.count() // SLICE_ROWS))
+def _batches(events: DataFrame) -> int:
+    """So many that a micro-batch takes about BATCH_ROWS rows, and several in any case."""
+    return max(REPLAY_BATCHES, -(-events.count() // BATCH_ROWS))
 
 
 def _replayed(
@@ -464,7 +464,7 @@ def _replayed(
     events = event_batch(spark, sf_dir)
     sink = table_sink(table, then=then and then(table))
     settings = _stream_settings(spark, width=width)
-    replay(events, fresh_folder(spark, "landing"), sink, settings, _slices(events))
+    replay(events, fresh_folder(spark, "landing"), sink, settings, _batches(event_table(spark, sf_dir)))
     return table
 
 
@@ -481,12 +481,13 @@ def stream_campaign_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = CampaignTable(fresh_folder(spark, "campaign-agg"))
     stored = event_table(spark, sf_dir)
     replay(
-        stored.withColumn("event_time", F.col("ts")),
+        stored,
         fresh_folder(spark, "landing"),
         table_sink(table),
         _stream_settings(spark, width=STREAM_WIDTH),
-        _slices(stored),
-        write=lambda part, folder: part.drop("event_time").write.mode("overwrite").parquet(folder),
+        _batches(stored),
+        order="ts",
+        write=lambda rows, folder: rows.write.mode("overwrite").parquet(folder),
         read=event_table_stream,
     )
     rows = _without_zone(table.latest(spark))

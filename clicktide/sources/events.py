@@ -117,11 +117,39 @@ def event_batch(spark: SparkSession, sf_dir: str, carry: Sequence[str] = ()) ->
     return as_events(event_table(spark, sf_dir), carry)
 
 
-def event_table_stream(spark: SparkSession, path: str) -> DataFrame:
+def event_table_stream(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+) -> DataFrame:
     """Events of the test table's shape, as a stream of Parquet files in a folder.
 
-    Rows without a campaign, which the aggregate's key doesn't allow, are left out.
+    Rows without a time or a campaign, which the aggregate's key doesn't allow, are left out;
+    ``event_table_rejects`` returns exactly these.
     """
+    events = as_events(_table_files(spark, path, max_files_per_trigger))
+    usable = events.where(_table_reason().isNull())
+    return usable.withColumn("event_time", F.col("event_time").cast("timestamp"))
+
+
+def event_table_rejects(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+) -> DataFrame:
+    """The rows that ``event_table_stream`` leaves out, as JSON in ``value`` with the reason."""
+    rows = _table_files(spark, path, max_files_per_trigger)
+    whole = F.to_json(F.struct(*[field.name for field in EVENT_TABLE_SCHEMA])).alias("row")
+    judged = as_events(rows.select("*", whole), carry=["row"])
+    judged = judged.select(F.col("row").alias("value"), _table_reason().alias("reason"))
+    return judged.where("reason is not null")
+
+
+def _table_reason() -> Column:
+    """Why an event of the table cannot be used; NULL when it can."""
+    return F.when(F.col("event_time").isNull(), "no_event_time").when(
+        F.col("campaign_id").isNull(), "no_campaign"
+    )
+
+
+def _table_files(spark: SparkSession, path: str, max_files_per_trigger: int | None) -> DataFrame:
     reader = _all_files(spark.readStream.schema(EVENT_TABLE_SCHEMA))
-    events = as_events(reader.parquet(path)).where(F.col("campaign_id").isNotNull())
-    return events.withColumn("event_time", F.col("event_time").cast("timestamp"))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return reader.parquet(path)

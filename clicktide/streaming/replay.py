@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from clicktide.functions.codec import AGGREGATE_FIELDS, decode_events, encode_events
+from clicktide.functions.store import Store
 from clicktide.sources.events import landed_stream
 from clicktide.sources.settings import KafkaSettings
 from clicktide.streaming.runner import BatchSink, StreamSettings, finish, start_campaign_stream
 
 
+# The date of the first landed file, in seconds since 1970.
+FIRST_FILE = 1_000_000_000
+
+
 def publish_to_topic(events: DataFrame, settings: KafkaSettings) -> None:
     """Send a batch of events to the topic. Needs Spark's Kafka connector."""
     encode_events(events).write.format("kafka").options(**settings.sink_options()).save()
@@ -29,44 +35,38 @@ def publish_to_files(events: DataFrame, path: str, mode: str = "append") -> None
     by_hour.write.mode(mode).partitionBy("event_date", "event_hour").text(path)
 
 
-def time_slices(events: DataFrame, slices: int) -> Iterator[DataFrame]:
-    """Cut events into equal stretches of time, oldest first; together they hold every event.
+def land_in_order(
+    events: DataFrame,
+    folder: str,
+    files: int,
+    order: str = "event_time",
+    write: Callable[[DataFrame, str], None] | None = None,
+) -> None:
+    """Land a history in ``files`` files of about the same size that follow each other in time.
 
-    Only the two ends of the time range come to the driver; the cuts are filters on the time column
-    and reach the scan.
+    One pass: a range partitioning by ``order`` gives every file a stretch of time, and the files are
+    dated in that order, which is how a stream takes them. (The store must let files be dated.) Done
+    once: a replay that is started again lands nothing twice. Rows without a time are not landed.
     """
-    time = F.col("event_time")
-    micros = F.unix_micros(time.cast("timestamp"))
-    lo, hi = events.agg(F.min(micros), F.max(micros)).first()
-    if lo is None:
+    spark = events.sparkSession
+    store = Store(spark, folder)
+    if store.paths("_landed"):
         return
-    kind = events.schema["event_time"].dataType
-    inner = [lo + (hi - lo) * i // slices for i in range(1, slices)]
-    cuts = [F.timestamp_micros(F.lit(cut)).cast(kind) for cut in inner]
-    for lower, upper in zip([None, *cuts], [*cuts, None]):
-        part = events.where(time.isNotNull())
-        if lower is not None:
-            part = part.where(time >= lower)
-        if upper is not None:
-            part = part.where(time < upper)
-        yield part
+    rows = events.where(F.col(order).isNotNull()).repartitionByRange(files, order)
+    (write or _write_lines)(rows, folder)
+    # A task's number is in the names of its files, so names are in the order of ranges.
+    for place, name in enumerate(store.paths("part-*")):
+        store.set_seconds(name, FIRST_FILE + place)
+    store.create("_landed")
 
 
-def land_once(part: DataFrame, folder: str, write: Callable[[DataFrame, str], None]) -> None:
-    """Write a part unless that has been done: a replay that is started again lands nothing twice."""
-    spark = part.sparkSession
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
-        write(part, folder)
+def _write_lines(rows: DataFrame, folder: str) -> None:
+    encode_events(rows).write.mode("overwrite").text(folder)
 
 
-def _write_slice(part: DataFrame, folder: str) -> None:
-    # A slice is short in time already, so its files aren't split by hour.
-    encode_events(part).write.mode("overwrite").text(folder)
-
-
-def _landed_events(spark: SparkSession, path: str) -> DataFrame:
-    return decode_events(landed_stream(spark, path), fields=AGGREGATE_FIELDS)
+def _landed_events(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
+    raw = landed_stream(spark, path, files_per_batch)
+    return decode_events(raw, fields=AGGREGATE_FIELDS)
 
 
 def replay(
@@ -74,21 +74,22 @@ def replay(
     landing: str,
     sink: BatchSink,
     settings: StreamSettings,
-    slices: int,
+    batches: int,
+    files_per_batch: int = 1,
     timeout: float | None = None,
+    order: str = "event_time",
     write: Callable[[DataFrame, str], None] | None = None,
-    read: Callable[[SparkSession, str], DataFrame] | None = None,
-) -> None:
-    """Land a history slice by slice and let the stream take each from its last checkpoint.
-
-    Slices are in time order and each is wholly taken, as a batch of its own, before the next one
-    lands, so the watermark never drops a row, however many files a slice has. Choose so many slices
-    that a batch is of a good size. ``write`` and ``read`` say how slices are kept, by default as
-    JSON lines.
+    read: Callable[[SparkSession, str, int], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Land a history in the order of time and let one stream work through it in batches.
+
+    A batch takes the next ``files_per_batch`` files, so it holds a stretch of time that follows the
+    one before, and the watermark drops nothing. Files of a batch are read side by side: choose as
+    many as there are cores, and so many batches that one is of a good size. ``write`` and ``read``
+    say how events are kept, by default as JSON lines. Returns the finished query.
     """
-    spark = events.sparkSession
-    write = write or _write_slice
-    read = read or _landed_events
-    for number, part in enumerate(time_slices(events, slices)):
-        land_once(part, f"{landing}/slice={number}", write)
-        finish(start_campaign_stream(read(spark, landing), sink, settings), timeout)
+    land_in_order(events, landing, batches * files_per_batch, order, write)
+    stream = (read or _landed_events)(events.sparkSession, landing, files_per_batch)
+    query = start_campaign_stream(stream, sink, settings)
+    finish(query, timeout)
+    return query

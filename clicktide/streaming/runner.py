@@ -85,8 +85,12 @@ def start_campaign_stream(
 
 def start_rejects_stream(raw: DataFrame, path: str, settings: StreamSettings) -> StreamingQuery:
     """Append messages that cannot be decoded, with the reason, to Parquet files."""
-    rejects = decode_rejects(raw)
-    writer = rejects.writeStream.outputMode("append").format("parquet").option("path", path)
+    return start_append_stream(decode_rejects(raw), path, settings)
+
+
+def start_append_stream(rows: DataFrame, path: str, settings: StreamSettings) -> StreamingQuery:
+    """Append a stream's rows to Parquet files, each once."""
+    writer = rows.writeStream.outputMode("append").format("parquet").option("path", path)
     return _triggered(writer, settings).start()
 
 
