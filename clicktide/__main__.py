@@ -14,7 +14,8 @@ from clicktide.operators.database import postgres_upsert
 from clicktide.operators.table import CampaignTable
 from clicktide.operators.windows import WINDOW_WIDTH
 from clicktide.plans import serving
-from clicktide.plans.backfill import backfill
+from clicktide.plans.backfill import backfill, reconcile
+from clicktide.plans.totals import CampaignTotals
 from clicktide.session import build_session, materialize
 from clicktide.sources.aggregates import read_database
 from clicktide.sources.events import kafka_stream, landed_batch, landed_stream, throttle
@@ -49,6 +50,7 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
             limit = throttle(args.rate, args.trigger)
             settings = replace(settings, max_offsets_per_trigger=limit)
         raw = kafka_stream(spark, settings)
+    refresh = None
     if args.table:
         table = CampaignTable(args.table)
         refresh = ServingRefresh(spark, table, args.views) if args.views is not None else None
@@ -70,7 +72,7 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
         started.append(start_rejects_stream(raw, args.rejects, own))
     events = decode_events(raw, fields=AGGREGATE_FIELDS)
     started.append(start_campaign_stream(events, sink, settings))
-    finish_all(started)
+    finish_all(started, refresh and refresh.by_clock)
 
 
 def _publish(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -81,18 +83,23 @@ def _publish(spark: SparkSession, args: argparse.Namespace) -> None:
 def _backfill(spark: SparkSession, args: argparse.Namespace) -> None:
     windows, as_of = args.windows or backfill_windows(), datetime.now(timezone.utc)
     since = as_of - timedelta(microseconds=micros(args.width) * (windows + 1))
-    events = decode_events(landed_batch(spark, args.events, since))
+    landed = landed_batch(spark, args.events, since)
+    # The few windows' events are looked at twice, for their campaigns and their counts.
+    events = materialize(decode_events(landed, fields=AGGREGATE_FIELDS), "events")
     table = CampaignTable(args.table) if args.table else None
     names = None
     if args.campaigns:
         rows = [(name,) for name in args.campaigns.split(",")]
         names = spark.createDataFrame(rows, "campaign_id string")
     elif table:
-        known = table.latest(spark, since=as_of - timedelta(days=args.known_days))
-        names = known.select("campaign_id").unionByName(events.select("campaign_id"))
+        # The kept totals have every campaign there ever was.
+        totals = CampaignTotals(table)
+        totals.refresh(spark)
+        names = totals.read(spark).select("campaign_id").unionByName(events.select("campaign_id"))
     rows = backfill(events, names, windows, args.width, as_of)
     if table:
-        table.upsert(rows)
+        states = reconcile(table, rows, since).groupBy("state").count().collect()
+        print(*sorted(f"{row['state']}: {row['count']}" for row in states), sep="\n")
     else:
         database = postgres_upsert(database_url(), max_connections=args.max_connections)
         database.ensure_table()
@@ -123,7 +130,7 @@ def _report(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def _compact(spark: SparkSession, args: argparse.Namespace) -> None:
     table = CampaignTable(args.table)
-    table.compact(spark)
+    CampaignTotals(table).compact(spark)
     if args.vacuum:
         table.vacuum(spark)
 
@@ -158,7 +165,6 @@ def parser() -> argparse.ArgumentParser:
     fill.add_argument("--windows", type=int)
     fill.add_argument("--width", default=WINDOW_WIDTH)
     fill.add_argument("--campaigns", help="names, with commas; else those of table and events")
-    fill.add_argument("--known-days", type=int, default=7, help="days of the table to take names from")
     fill.set_defaults(run=_backfill)
 
     report = commands.add_parser("report", help="show KPIs, clicks over time, newest window")

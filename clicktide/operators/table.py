@@ -66,6 +66,11 @@ class Versions:
         missing = self.without | set(range(self.through + 1, through + 1))
         return Versions(through, frozenset(missing - more))
 
+    def within(self, other: Versions) -> bool:
+        missing = {n for n in other.without if n in self}
+        missing |= {n for n in range(other.through + 1, self.through + 1) if n in self}
+        return not missing
+
     def condition(self, column: Column) -> Column:
         return (column <= self.through) & ~column.isin(*self.without)
 
@@ -101,7 +106,10 @@ class CampaignTable:
         """
         if check:
             require_contract(df)
-        number = self.claim(df.sparkSession)
+        return self.write_claimed(df, self.claim(df.sparkSession), files)
+
+    def write_claimed(self, df: DataFrame, number: int, files: int | None = None) -> int:
+        """The write itself, under a number that has been claimed before."""
         self._write(conform(df), f"{self.root}/version={number}", ["window_date"], files)
         self.finish(df.sparkSession, number)
         return number

@@ -7,10 +7,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clicktide.contracts import AGG_KEYS, AGG_VALUES, conform
 from clicktide.functions.times import first_start, micros
 from clicktide.operators.grid import fill_grid, window_grid
+from clicktide.operators.table import CampaignTable
 from clicktide.operators.windows import WINDOW_WIDTH
 from clicktide.plans.serving import recent_windows
+from clicktide.session import materialize
 from clicktide.sources.settings import DEFAULT_BACKFILL_WINDOWS
 
 
@@ -38,3 +41,33 @@ def backfill(
 def backfill_span(windows: int, width: str) -> str:
     """The time that the windows cover together."""
     return f"{micros(width) * windows // 10**6} seconds"
+
+
+def differences(recomputed: DataFrame, stored: DataFrame) -> DataFrame:
+    """``recomputed`` with a column ``state``: inserted, changed or same, against the stored rows.
+
+    Values are compared by a hash that tells null from zero. Both sides have each key once.
+    """
+    values = F.xxhash64(*[F.struct(F.col(name).isNull(), name) for name in AGG_VALUES])
+    was = stored.select(*AGG_KEYS, values.alias("__was"))
+    joined = recomputed.join(was, list(AGG_KEYS), "left")
+    state = (
+        F.when(F.col("__was").isNull(), "inserted")
+        .when(F.col("__was") == values, "same")
+        .otherwise("changed")
+    )
+    return joined.select(*AGG_KEYS, *AGG_VALUES, state.alias("state"))
+
+
+def reconcile(table: CampaignTable, recomputed: DataFrame, since: object = None) -> DataFrame:
+    """Write the recomputed rows that differ from the table, and no others; returns ``differences``.
+
+    Where nothing differs there is no write. ``since``, a day or a time, bounds what is read of the
+    table: the recomputed windows must end on that day or later.
+    """
+    spark = recomputed.sparkSession
+    found = materialize(differences(conform(recomputed), table.latest(spark, since)), "differences")
+    news = found.where("state <> 'same'")
+    if not news.isEmpty():
+        table.upsert(news.drop("state"))
+    return found

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from clicktide.contracts import AGG_KEYS
 from clicktide.functions.codec import decode_events, decode_rejects, encode_events
-from clicktide.functions.times import align_to_window
+from clicktide.functions.times import align_to_window, moment_before
 from clicktide.operators.checks import contract_violations
 from clicktide.operators.grid import window_grid
 from clicktide.operators.table import CampaignTable
 from clicktide.operators.windows import campaign_windows, latest_window_end
 from clicktide.plans import serving
-from clicktide.plans.backfill import backfill
+from clicktide.plans.backfill import backfill, reconcile
+from clicktide.plans.totals import CampaignTotals
 from clicktide.session import fresh_folder, use_utc
 from clicktide.sources.events import (
     as_events,
@@ -373,6 +374,27 @@ def upsert_interleaved_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _without_zone(table.latest(spark))
 
 
+@_query
+def campaign_totals_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals kept write by write while a stream and a back-fill write the same keys in turn.
+
+    As in ``upsert_interleaved_writers``; the back-fill gets done after the stream's last write.
+    """
+    table = CampaignTable(fresh_folder(spark, "campaign-agg"))
+    totals = CampaignTotals(table)
+    rows = _exact(spark, sf_dir)
+    first, second = [F.lit(cut.isoformat(sep=" ")).cast("timestamp_ntz") for cut in UPSERT_CUTS]
+    table.upsert(rows.where(F.col("window_start") < first))
+    totals.refresh(spark)
+    doubled = rows.withColumn("clicks", F.col("clicks") * 2)
+    late = table.claim(spark)
+    table.upsert(rows.where(F.col("window_start") >= first))
+    totals.compact(spark)
+    table.write_claimed(doubled.where(F.col("window_start") < second), late)
+    totals.refresh(spark)
+    return totals.read(spark)
+
+
 @_query
 def agg_contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each campaign's rows get a second, broken copy; which rule it breaks goes by campaign."""
@@ -435,6 +457,28 @@ def backfill_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _without_zone(table.latest(spark).drop("ctr"))
 
 
+@_query
+def backfill_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a back-fill of the last windows finds in a table that ends inside one of them.
+
+    The table has the events up to six and a half hours before the end, and every campaign's oldest
+    window of the back-fill twice. A second back-fill must find nothing to write.
+    """
+    table = CampaignTable(fresh_folder(spark, "campaign-agg"))
+    events = event_batch(spark, sf_dir)
+    newest = latest_window_end(events, SERVING_WIDTH)
+    cut = moment_before(newest, "6 hours 30 minutes").cast("timestamp_ntz")
+    table.upsert(campaign_windows(events.where(F.col("event_time") < cut), SERVING_WIDTH, "exact"))
+    rows = _backfill(spark, sf_dir)
+    oldest = rows.where(F.col("window_end") == rows.agg(F.min("window_end").alias("e")).scalar())
+    table.upsert(oldest.withColumn("clicks", F.col("clicks") * 2 + 1))
+    found = reconcile(table, rows)
+    again = reconcile(table, rows)
+    writes = F.lit(len(table.done(spark)) == 3 and again.where("state <> 'same'").isEmpty())
+    counts = found.groupBy("state").agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.select("state", "n_rows", writes.alias("second_writes_nothing"))
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 

@@ -138,6 +138,12 @@ WHERE event_type IN ('error', 'signup', 'purchase')""",
 SELECT window_start, window_end, campaign_id,
        CASE WHEN window_start < TIMESTAMP '{_CUT1}' THEN 2 * clicks ELSE clicks END AS clicks,
        unique_users, ctr FROM agg""",
+    "campaign_totals_incremental": f"""{_HOUR}
+SELECT campaign_id,
+       CAST(SUM(CASE WHEN window_start < TIMESTAMP '{_CUT1}' THEN 2 * clicks ELSE clicks END) AS BIGINT)
+         AS clicks,
+       CAST(SUM(unique_users) AS BIGINT) AS unique_users
+FROM agg GROUP BY campaign_id""",
     "upsert_changelog": f"""WITH {_EV}
 {_changed(0, f"event_time < TIMESTAMP '{_CUT1}'")} UNION ALL
 {_changed(2, f"event_time >= date_trunc('hour', TIMESTAMP '{_CUT1}') "
@@ -169,6 +175,18 @@ SELECT window_start, window_end, campaign_id, clicks, unique_users FROM agg""",
 SELECT * FROM filled UNION ALL
 SELECT window_start, window_start + INTERVAL '1 hour', campaign_id, clicks, unique_users FROM early
 WHERE (window_start, campaign_id) NOT IN (SELECT (window_start, campaign_id) FROM grid)""",
+    "backfill_differences": f"""{_GRID}, top AS (SELECT MAX(window_end) AS top FROM agg),
+early AS (
+  SELECT time_bucket(INTERVAL '1 hour', event_time, TIMESTAMP '1970-01-01') AS window_start,
+         campaign_id, COUNT(*) AS clicks, COUNT(DISTINCT user_id) AS unique_users
+  FROM ev, top WHERE event_time < top - INTERVAL '6 hours 30 minutes' GROUP BY ALL),
+judged AS (
+  SELECT CASE WHEN window_start = (SELECT MIN(window_start) FROM filled) THEN 'changed'
+              WHEN e.campaign_id IS NULL THEN 'inserted'
+              WHEN e.clicks = f.clicks AND e.unique_users = f.unique_users THEN 'same'
+              ELSE 'changed' END AS state
+  FROM filled f LEFT JOIN early e USING (window_start, campaign_id))
+SELECT state, COUNT(*) AS n_rows, TRUE AS second_writes_nothing FROM judged GROUP BY state""",
     "upsert_stream_final_state": f"""{_agg('10 seconds')}
 SELECT window_start, window_end, campaign_id, clicks FROM agg""",
     "stream_campaign_windows": f"""{_agg('10 seconds')}

@@ -177,9 +177,18 @@ def stored_latest_window(spark: SparkSession, table: CampaignTable) -> DataFrame
     return latest_window(table.latest(spark, since=day))
 
 
-def register_views(spark: SparkSession, table: CampaignTable, prefix: str = "") -> None:
-    """Temp views over the table as it is now: files are listed again, nothing is computed."""
+def register_views(
+    spark: SparkSession,
+    table: CampaignTable,
+    prefix: str = "",
+    totals: DataFrame | None = None,
+) -> None:
+    """Temp views over the table as it is now: files are listed again, nothing is computed.
+
+    ``totals`` are kept totals per campaign; without them the view adds up the whole table.
+    """
     current = table.latest(spark)
     current.createOrReplaceTempView(f"{prefix}campaign_agg")
     stored_latest_window(spark, table).createOrReplaceTempView(f"{prefix}latest_campaign_window")
-    campaign_totals(current).createOrReplaceTempView(f"{prefix}campaign_totals")
+    shown = campaign_totals(current if totals is None else totals)
+    shown.createOrReplaceTempView(f"{prefix}campaign_totals")

@@ -103,12 +103,19 @@ def finish(query: StreamingQuery, timeout: float | None = None) -> None:
         raise TimeoutError(f"stream not done after {timeout} s")
 
 
-def finish_all(queries: list[StreamingQuery]) -> None:
-    """Wait for streams that belong together; when one fails, stop the others and raise."""
+def finish_all(
+    queries: list[StreamingQuery], idle: Callable[[], object] | None = None
+) -> None:
+    """Wait for streams that belong together; when one fails, stop the others and raise.
+
+    ``idle`` is called about once a second meanwhile.
+    """
     try:
         while any(query.isActive for query in queries):
             for query in queries:
                 query.awaitTermination(1)
+            if idle:
+                idle()
         for query in queries:
             query.awaitTermination()
     finally:
@@ -134,8 +141,8 @@ def table_sink(
         spark = batch.sparkSession
         with _session_options(spark, {"spark.sql.adaptive.enabled": "true"}):
             table.upsert(batch, files)
-        if then:
-            then(batch, batch_id)
+            if then:
+                then(batch, batch_id)
 
     return write
 
