@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +57,13 @@ def decode_events(
     carry: Sequence[str] = (),
     keep_null_campaign: bool = False,
     fields: Sequence[str] | None = None,
+    watch: Callable[[DataFrame, Column], DataFrame] | None = None,
 ) -> DataFrame:
     """Typed events from messages in column ``value``; ``carry`` names source columns to keep.
 
     ``fields`` are the fields to parse besides the time, all by default. (Spark can't leave out
-    columns that nobody uses behind the generator that drops messages.)
+    columns that nobody uses behind the generator that drops messages.) ``watch`` gets the parsed
+    messages and which of them are usable, before the others are dropped.
 
     Messages without a usable time belong to no window and are left out; so are those without a
     campaign, which the aggregate table's key does not allow (``keep_null_campaign`` lets them
@@ -75,6 +77,8 @@ def decode_events(
     usable = F.col("event_time").isNotNull()
     if not keep_null_campaign:
         usable = usable & F.col("e.campaign_id").isNotNull()
+    if watch:
+        parsed = watch(parsed, usable)
     kept = [f"e.{name}" for name in others]
     return parsed.select(*carry, _rows_where(usable, "event_time", *kept))
 

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clicktide.contracts import AGG_KEYS
-from clicktide.functions.codec import decode_events, decode_rejects, encode_events
+from clicktide.functions.codec import (
+    AGGREGATE_FIELDS,
+    decode_events,
+    decode_rejects,
+    encode_events,
+)
+from clicktide.functions.store import Store
 from clicktide.functions.times import align_to_window, moment_before
 from clicktide.operators.checks import contract_violations
 from clicktide.operators.grid import window_grid
@@ -18,7 +24,7 @@ from clicktide.operators.windows import campaign_windows, latest_window_end
 from clicktide.plans import serving
 from clicktide.plans.backfill import backfill, reconcile
 from clicktide.plans.totals import CampaignTotals
-from clicktide.session import fresh_folder, use_utc
+from clicktide.session import ROCKSDB, fresh_folder, materialize, use_utc
 from clicktide.sources.events import (
     as_events,
     event_batch,
@@ -26,15 +32,19 @@ from clicktide.sources.events import (
     event_table_stream,
     landed_stream,
 )
+from clicktide.streaming.accounts import RowAccounts, observed, row_accounts
 from clicktide.streaming.refresh import ServingRefresh
-from clicktide.streaming.replay import replay
+from clicktide.streaming.replay import FIRST_FILE, replay
 from clicktide.streaming.runner import (
     BatchSink,
     StreamSettings,
     finish,
+    session_options,
+    start_campaign_stream,
     start_rejects_stream,
     table_sink,
 )
+from clicktide.streaming.state import windows_in_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +59,8 @@ CAMPAIGNS = ("cmp-001", "cmp-002", "cmp-003", "cmp-004")
 REPLAY_BATCHES = 5
 BATCH_ROWS = 1_000_000
 STATE_PARTITIONS = 4
+# Wide enough that the stream's end leaves windows open.
+STATE_WIDTH = "1 hour"
 
 # Where the history is cut into three writes; both cuts lie inside a one-hour window.
 UPSERT_CUTS = (datetime(2024, 1, 10, 12, 30), datetime(2024, 1, 20, 12, 30))
@@ -540,6 +552,53 @@ def stream_campaign_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*AGG_KEYS, "clicks", good.scalar().alias("users_close"))
 
 
+# Where the history is cut into deliveries; some rows come two deliveries late, some one.
+DELIVERY_DAYS = 6
+DELIVERIES = 7
+
+
+def _delivered(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of messages, a file for each delivery, in the order of their dates."""
+    own = event_table(spark, sf_dir).select(
+        "event_id",
+        F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01")) / DELIVERY_DAYS).alias("part"),
+        F.when(F.col("user_id") % 10 == 0, 2).when(F.col("user_id") % 10 == 1, 1).otherwise(0).alias("by"),
+    )
+    sent = _messages(spark, sf_dir).join(own, "event_id")
+    sent = sent.select("value", (F.col("part") + F.col("by")).alias("delivery"))
+    folder = fresh_folder(spark, "landing")
+    sent.repartition("delivery").write.partitionBy("delivery").text(folder)
+    store = Store(spark, folder)
+    for number in range(DELIVERIES):
+        for path in store.paths(f"delivery={number}/part-*"):
+            store.set_seconds(path, FIRST_FILE + number)
+    return folder
+
+
+@_query
+def stream_row_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of messages of which some come too late and some can't be used."""
+    table = CampaignTable(fresh_folder(spark, "campaign-agg"))
+    raw = landed_stream(spark, _delivered(spark, sf_dir), max_files_per_trigger=1)
+    events = decode_events(raw, fields=AGGREGATE_FIELDS, watch=observed)
+    books = fresh_folder(spark, "accounts")
+    with RowAccounts(spark, books) as accounts:
+        settings = _stream_settings(spark, width=STREAM_WIDTH)
+        finish(accounts.follow(start_campaign_stream(events, table_sink(table), settings)))
+    return row_accounts(spark, books, table)
+
+
+@_query
+def stream_state_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows and campaigns in the stream's state after the replay's last batch."""
+    table = CampaignTable(fresh_folder(spark, "campaign-agg"))
+    settings = _stream_settings(spark, width=STATE_WIDTH)
+    batches = _batches(event_table(spark, sf_dir))
+    replay(event_batch(spark, sf_dir), fresh_folder(spark, "landing"), table_sink(table), settings, batches)
+    with session_options(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+        return _without_zone(materialize(windows_in_state(spark, settings.checkpoint), "state"))
+
+
 @_query
 def stream_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing, rejects = fresh_folder(spark, "landing"), fresh_folder(spark, "rejects")

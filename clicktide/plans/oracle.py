@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clicktide.plans.catalog import CAMPAIGNS, GRID_WINDOWS, UPSERT_CUTS
+from clicktide.plans.catalog import CAMPAIGNS, DELIVERY_DAYS, GRID_WINDOWS, UPSERT_CUTS
 
 _EV = """ev AS (
   SELECT event_id, event_type, ts AS event_time, CAST(user_id AS VARCHAR) AS user_id,
@@ -194,6 +194,28 @@ SELECT window_start, window_end, campaign_id, clicks, TRUE AS users_close FROM a
     "stream_reject_reasons": f"""WITH {_EV}
 SELECT {_REASON} AS reason, COUNT(*) AS n_messages FROM ev
 WHERE event_type IN ('error', 'signup', 'purchase') GROUP BY ALL""",
+    "stream_row_accounts": f"""WITH {_EV},
+sent AS (
+  SELECT e.*, date_trunc('milliseconds', event_time) AS ms, {_REASON} IS NOT NULL AS rejected,
+         (CAST(event_time AS DATE) - DATE '2024-01-01') // {DELIVERY_DAYS}
+         + CASE CAST(user_id AS BIGINT) % 10 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS delivery
+  FROM ev e),
+marks AS (
+  SELECT delivery, (SELECT MAX(ms) FROM sent p WHERE NOT p.rejected AND p.delivery <= d.delivery - 2)
+         - INTERVAL '30 seconds' AS mark
+  FROM (SELECT DISTINCT delivery FROM sent) d),
+judged AS (
+  SELECT rejected, NOT rejected AND COALESCE(
+           time_bucket(INTERVAL '10 seconds', ms, TIMESTAMP '1970-01-01') + INTERVAL '10 seconds'
+           <= mark, FALSE) AS late
+  FROM sent JOIN marks USING (delivery))
+SELECT COUNT(*) AS messages, COUNT(*) FILTER (WHERE rejected) AS rejected,
+       COUNT(*) FILTER (WHERE late) AS late,
+       COUNT(*) FILTER (WHERE NOT rejected AND NOT late) AS kept
+FROM judged""",
+    "stream_state_keys": f"""{_HOUR}
+SELECT window_start, window_end, campaign_id FROM agg
+WHERE window_end > (SELECT MAX(date_trunc('milliseconds', event_time)) FROM ev) - INTERVAL '30 seconds'""",
     "refreshed_serving_views": f"""{_HOUR}
 SELECT campaign_id, CAST(SUM(clicks) AS BIGINT) AS clicks, TRUE AS users_as_stored
 FROM agg GROUP BY campaign_id""",

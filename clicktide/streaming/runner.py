@@ -40,7 +40,7 @@ class StreamSettings:
 
 
 @contextmanager
-def _session_options(spark: SparkSession, options: dict[str, str | None]) -> Iterator[None]:
+def session_options(spark: SparkSession, options: dict[str, str | None]) -> Iterator[None]:
     """Set options for a while. A stream copies its session's settings when it starts."""
     wanted = {key: value for key, value in options.items() if value is not None}
     before = {key: spark.conf.get(key, None) for key in wanted}
@@ -79,7 +79,7 @@ def start_campaign_stream(
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB if settings.large_state else None,
     }
     writer = windowed_stream(events, settings).writeStream.outputMode("update").foreachBatch(sink)
-    with _session_options(events.sparkSession, options):
+    with session_options(events.sparkSession, options):
         return _triggered(writer, settings).start()
 
 
@@ -139,7 +139,7 @@ def table_sink(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        with _session_options(spark, {"spark.sql.adaptive.enabled": "true"}):
+        with session_options(spark, {"spark.sql.adaptive.enabled": "true"}):
             table.upsert(batch, files)
             if then:
                 then(batch, batch_id)

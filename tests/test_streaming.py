@@ -5,7 +5,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from clicktide.functions.codec import decode_events, decode_rejects
+from clicktide.functions.codec import AGGREGATE_FIELDS, decode_events, decode_rejects
 from clicktide.operators.database import DatabaseUpsert
 from clicktide.operators.table import CampaignTable
 from clicktide.operators.windows import campaign_windows
@@ -16,6 +16,7 @@ from clicktide.sources.events import (
     landed_batch,
     landed_stream,
 )
+from clicktide.streaming.accounts import ACCOUNTS_SCHEMA, RowAccounts, observed, row_accounts
 from clicktide.streaming.refresh import ServingRefresh
 from clicktide.streaming.replay import land_in_order, publish_to_files, replay
 from clicktide.streaming.runner import (
@@ -29,6 +30,7 @@ from clicktide.streaming.runner import (
     table_sink,
     windowed_stream,
 )
+from clicktide.streaming.state import state_operators, windows_in_state
 from helpers import agg_rows, at, message, plan, tuples
 from journal import Connect, notes
 
@@ -406,3 +408,46 @@ def test_stream_has_no_python_and_reads_each_message_once(spark, landing, settin
     landing.put(message("10:00:01"))
     text = plan(windowed_stream(decode_events(landed_batch(spark, landing.path)), settings))
     assert "Python" not in text and text.count("from_json") == 1
+
+
+def test_every_message_is_accounted_for(spark, landing, table, settings, tmp_path):
+    landing.put(message("23:44:01"), message("23:44:09.999"), "garbage")
+    landing.put(message("23:44:02"), message("23:44:55"), message("23:44:02", campaign=None))
+    landing.put(message("23:44:03"), message("23:44:21"), message("23:44:56"))
+    # Two late events of one window and campaign are one group for the state, yet two events.
+    landing.put(message("23:44:04"), message("23:44:04", user="u-2"), message("23:44:57"))
+    books = str(tmp_path / "books")
+    with RowAccounts(spark, books) as accounts:
+        raw = landed_stream(spark, landing.path, 1)
+        events = decode_events(raw, fields=AGGREGATE_FIELDS, watch=observed)
+        finish(accounts.follow(start_campaign_stream(events, table_sink(table), settings)), TIMEOUT)
+    row = row_accounts(spark, books, table).first()
+    assert row.asDict() == {"messages": 12, "rejected": 2, "late": 2, "kept": 8}
+    by_batch = spark.read.schema(ACCOUNTS_SCHEMA).json(books).orderBy("batch_id").collect()
+    assert [r.messages for r in by_batch if r.messages] == [3, 3, 3, 3]
+    assert [r.rejected for r in by_batch if r.messages] == [1, 1, 0, 0]
+    assert [r.groups_dropped for r in by_batch if r.messages] == [0, 0, 0, 1]
+    text = plan(decode_events(landed_batch(spark, landing.path), watch=observed))
+    assert text.count("from_json") == 1
+
+
+def test_accounts_of_a_stream_that_starts_again(spark, landing, table, settings, tmp_path):
+    books = str(tmp_path / "books")
+    for second in (1, 2):
+        landing.put(message(f"10:00:0{second}"), "garbage")
+        with RowAccounts(spark, books) as accounts:
+            events = decode_events(landed_stream(spark, landing.path), watch=observed)
+            finish(accounts.follow(start_campaign_stream(events, table_sink(table), settings)), TIMEOUT)
+    row = row_accounts(spark, books, table).first()
+    assert row.asDict() == {"messages": 4, "rejected": 2, "late": 0, "kept": 2}
+
+
+def test_state_is_read_from_the_checkpoint(spark, landing, table, settings):
+    landing.put(message("10:00:01"), message("10:00:41", campaign="cmp-002"))
+    landing.put(message("10:00:45", campaign="cmp-003"))
+    _run(spark, landing, table_sink(table), settings)
+    rows = windows_in_state(spark, settings.checkpoint).collect()
+    # The watermark, 10:00:15, has closed the first window.
+    assert sorted((r.window_end.second, r.campaign_id) for r in rows) == [(50, "cmp-002"), (50, "cmp-003")]
+    operator = state_operators(spark, settings.checkpoint).first()
+    assert operator.operatorName == "stateStoreSave" and operator.numPartitions == 2
