@@ -61,7 +61,7 @@ BLOCK_SHINGLES = 1 << 20
 # Sketches, and values of them, that are compared at once.
 ROWS, COLUMNS = 512, 2_048
 # Confirmed together with a leader are up to about so many sets.
-CHUNK = 256
+CHUNK = 64
 
 
 # --- sets and sketches -----------------------------------------------------------------------
