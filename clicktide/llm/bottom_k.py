@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clicktide.llm.arrow import Batches, groups
@@ -196,7 +196,7 @@ class Sketches:
 
 
 def _lists(sets: DataFrame) -> DataFrame:
-    """Rows (value, set_id, n, low, blocks): each list's members, its length and smallest member."""
+    """Rows (value, set_id, size, n, low, blocks): each list's members, its length, the smallest."""
     exploded = sets.select("set_id", "size", F.explode("listed").alias("value"))
     counted = exploded.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(counted, "shared")
@@ -211,16 +211,15 @@ def _lists(sets: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"),
         F.first(places - least + 1).alias("places"),
         F.first(places).alias("all"),
+        F.first("size").alias("size"),
     )
     left = F.col("places") - (F.col("all") - F.size("values"))
     chosen = rarest.where(left > 0).select(
-        "set_id", F.explode(F.slice("values", F.lit(1), left.cast("int"))).alias("one")
+        "set_id", "size", F.explode(F.slice("values", F.lit(1), left.cast("int"))).alias("one")
     )
-    chosen = materialize(chosen.select("set_id", F.col("one.value").alias("value")), "lists")
-    own = sets.select("set_id", "size")
+    chosen = materialize(chosen.select("set_id", "size", F.col("one.value").alias("value")), "lists")
     lists = (
-        chosen.join(own, "set_id")
-        .groupBy("value")
+        chosen.groupBy("value")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("set_id").alias("low"),
@@ -231,10 +230,8 @@ def _lists(sets: DataFrame) -> DataFrame:
         .where("n > 1")
     )
     once = lists.groupBy("n", "low", "shingles", "members", "more").agg(F.min("value").alias("value"))
-    blocks = F.greatest(
-        F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)
-    ).cast("int")
-    once = materialize(once.select("value", "n", "low", blocks.alias("blocks")), "lists")
+    blocks = _blocks(F.col("n"), F.col("shingles")).alias("blocks")
+    once = materialize(once.select("value", "n", "low", blocks), "lists")
     return materialize(join_counted(chosen, once, "value", chosen.count()), "members")
 
 
@@ -269,17 +266,25 @@ def _columns(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
-def _block(of: str = "set_id"):
-    return F.pmod(F.xxhash64(of), F.col("blocks")).cast("int")
+def _blocks(n: Column, shingles: Column) -> Column:
+    """How many blocks so many sets with so many shingles make."""
+    return F.greatest(F.ceil(n / BLOCK_SETS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("set_id"), blocks).cast("int")
+
+
+def _all(blocks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), blocks - 1))
 
 
 def _by_leaders(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (leader, set_id) of all lists. A list's smallest member leads all its blocks."""
-    own = sets.select("set_id", "size", "sketch")
-    others = lists.select("value", _block().alias("block"), "set_id")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    lows = lists.where("set_id = low and blocks > 1").select("value", every.alias("block"), "set_id")
-    members = others.unionByName(lows).join(own, "set_id")
+    blocks = F.col("blocks")
+    others = lists.select("value", _block(blocks).alias("block"), "set_id")
+    lows = lists.where("set_id = low and blocks > 1").select("value", _all(blocks).alias("block"), "set_id")
+    members = others.unionByName(lows).join(sets.select("set_id", "size", "sketch"), "set_id")
     keys = ["value", "block"]
     rows = members.repartition(*keys).sortWithinPartitions(*keys)
     return _leader_pairs(rows).distinct()
@@ -356,15 +361,43 @@ def _confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
 # --- what leaders leave ----------------------------------------------------------------------
 
 
-def _pairs_of_blocks(rows: DataFrame) -> DataFrame:
-    """Rows with ``blocks`` for each pair (i, j) of blocks that their block is in."""
-    own = rows.withColumn("block", _block())
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return own.select("*", other).select(
-        *[name for name in rows.columns if name != "blocks"],
+def _pairs_of_blocks(labelled: DataFrame) -> DataFrame:
+    """Rows (value, i, j, block, set_id, root) for each pair (i, j) of blocks that a set is in.
+
+    Sets of a list's largest group are only compared with the rest, so they make blocks of their
+    own, 0 and up, and meet the rest's blocks, -1 and down; those meet each other too. Lists with
+    one group only have no pairs.
+    """
+    by_root = labelled.groupBy("value", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")
+    )
+    largest = by_root.groupBy("value").agg(
+        F.max(F.struct("n", "shingles", "root")).alias("top"),
+        F.sum("n").alias("n"),
+        F.sum("shingles").alias("shingles"),
+    )
+    top = F.col("top")
+    mixed = largest.where(F.col("n") > top["n"]).select(
+        "value",
+        "n",
+        top["root"].alias("largest"),
+        _blocks(top["n"], top["shingles"]).alias("blocks"),
+        _blocks(F.col("n") - top["n"], F.col("shingles") - top["shingles"]).alias("rest"),
+    )
+    mixed = materialize(mixed, "mixed")
+    rows = join_counted(labelled, mixed, "value", labelled.count())
+    of_largest, blocks, rest = F.col("root") == F.col("largest"), F.col("blocks"), F.col("rest")
+    block = F.when(of_largest, _block(blocks)).otherwise(-1 - _block(rest)).alias("block")
+    whole = rows.select("value", "set_id", "root", block, blocks, rest)
+    last = F.when(F.col("block") >= 0, F.lit(-1)).otherwise(blocks - 1)
+    other = F.explode(F.sequence(-rest, last)).alias("other")
+    return whole.select("value", "set_id", "root", "block", other).select(
+        "value",
+        "set_id",
+        "root",
         "block",
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
+        F.greatest("block", "other").alias("i"),
+        F.least("block", "other").alias("j"),
     )
 
 
@@ -446,19 +479,11 @@ def _joining(rows: DataFrame) -> DataFrame:
 
 def _by_blocks(lists: DataFrame, sets: DataFrame, roots: DataFrame, full: DataFrame) -> DataFrame:
     """Links (a, b) between groups that share a list."""
-    labelled = (
-        lists.select("value", "blocks", "set_id", "n")
-        .join(roots, "set_id", "left")
-        .withColumn("root", F.coalesce("root", "set_id"))
-    )
-    labelled = materialize(labelled, "members")
-    mixed = labelled.groupBy("value").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.first("n").alias("n")
-    )
-    mixed = materialize(mixed.where("low <> high").select("value", "n"), "mixed")
-    rows = join_counted(labelled.drop("n"), mixed, "value", labelled.count()).drop("n")
+    labelled = lists.select("value", "set_id", "size").join(roots, "set_id", "left")
+    labelled = materialize(labelled.withColumn("root", F.coalesce("root", "set_id")), "members")
+    pairs = _pairs_of_blocks(labelled)
+    members = pairs.join(sets.select("set_id", "size", "sketch"), "set_id")
     keys = ["value", "i", "j"]
-    members = _pairs_of_blocks(rows.join(sets.select("set_id", "size", "sketch"), "set_id"))
     members = members.repartition(*keys).sortWithinPartitions(*keys)
     undecided = materialize(_undecided(members), "undecided")
     whole = undecided.join(full, "set_id").repartition(*keys).sortWithinPartitions(*keys)
