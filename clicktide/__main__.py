@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from clicktide.functions.codec import AGGREGATE_FIELDS, decode_events
 from clicktide.functions.times import micros
 from clicktide.operators.database import postgres_upsert
+from clicktide.operators.staged import StagedUpsert
 from clicktide.operators.table import CampaignTable
 from clicktide.operators.windows import WINDOW_WIDTH
 from clicktide.plans import serving
@@ -56,7 +57,7 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
         refresh = ServingRefresh(spark, table, args.views) if args.views is not None else None
         sink = table_sink(table, then=refresh)
     else:
-        database = postgres_upsert(database_url(), max_connections=args.max_connections)
+        database = StagedUpsert(postgres_upsert(database_url(), max_connections=args.max_connections))
         database.ensure_table()
         sink = database_sink(database)
     settings = StreamSettings(
@@ -101,7 +102,7 @@ def _backfill(spark: SparkSession, args: argparse.Namespace) -> None:
         states = reconcile(table, rows, since).groupBy("state").count().collect()
         print(*sorted(f"{row['state']}: {row['count']}" for row in states), sep="\n")
     else:
-        database = postgres_upsert(database_url(), max_connections=args.max_connections)
+        database = StagedUpsert(postgres_upsert(database_url(), max_connections=args.max_connections))
         database.ensure_table()
         database.write(rows)
 

@@ -54,9 +54,7 @@ class DatabaseUpsert:
             connection.commit()
 
     def write(self, df: DataFrame) -> None:
-        # As numbers, because a task would turn times into those of its own zone.
-        instants = {name: F.unix_micros(name) for name in _TIMES}
-        rows = conform(df).withColumns(instants)
+        rows = with_instants(df)
         if self.max_connections:
             rows = rows.repartition(self.max_connections, *AGG_KEYS)
         rows.foreachPartition(self.write_rows)
@@ -79,11 +77,16 @@ class DatabaseUpsert:
         statement = upsert_sql(self.table, self.placeholder)
         cursor = connection.cursor()
         for chunk in batched(rows, self.flush_rows):
-            cursor.executemany(statement, [_with_zones(row) for row in chunk])
+            cursor.executemany(statement, [with_zones(row) for row in chunk])
         connection.commit()
 
 
-def _with_zones(row: Row) -> tuple:
+def with_instants(df: DataFrame) -> DataFrame:
+    """The table's columns; times as numbers, as a task would turn them into those of its own zone."""
+    return conform(df).withColumns({name: F.unix_micros(name) for name in _TIMES})
+
+
+def with_zones(row: Row) -> tuple:
     """The row's values, with its times as instants in UTC."""
     values = list(row)
     for at in _TIME_PLACES:

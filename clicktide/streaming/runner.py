@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from clicktide.functions.codec import decode_rejects
 from clicktide.operators.database import DatabaseUpsert
+from clicktide.operators.staged import StagedUpsert
 from clicktide.operators.table import CampaignTable
 from clicktide.operators.windows import USERS_RSD, WINDOW_WIDTH, campaign_windows
 from clicktide.session import ROCKSDB
@@ -147,8 +148,11 @@ def table_sink(
     return write
 
 
-def database_sink(database: DatabaseUpsert) -> BatchSink:
-    """Sink into a relational database; the keyed upsert makes a repeated batch harmless."""
+def database_sink(database: DatabaseUpsert | StagedUpsert) -> BatchSink:
+    """Sink into a relational database; the keyed upsert makes a repeated batch harmless.
+
+    ``StagedUpsert`` shows readers all rows of a batch at once, ``DatabaseUpsert`` those of a task.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         database.write(batch)
