@@ -43,8 +43,8 @@ from clicktide.streaming.runner import (
 def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.events:
         if args.rate:
-            raise SystemExit("--rate is for the topic; use --max-files with --events")
-        raw = landed_stream(spark, args.events, args.max_files)
+            raise SystemExit("--rate is for the topic; use --max-files or --max-bytes with --events")
+        raw = landed_stream(spark, args.events, args.max_files, args.max_bytes)
     else:
         settings = KafkaSettings.from_env()
         if args.rate:
@@ -151,6 +151,7 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--drain", action="store_true", help="stop when all input is taken")
     stream.add_argument("--rate", type=float, help="events per second to take from the topic")
     stream.add_argument("--max-files", type=int, help="files per micro-batch")
+    stream.add_argument("--max-bytes", type=int, help="bytes of files per micro-batch")
     stream.add_argument("--state-partitions", type=int)
     stream.add_argument("--views", help="keep serving views with this prefix up to date")
     stream.add_argument("--large-state", action="store_true", help="keep state in RocksDB")

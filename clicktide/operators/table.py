@@ -11,9 +11,10 @@ which writes and which fold of each date count, by their numbers. A write that i
 such as one that was under way during the fold, is read beside the folds whenever it gets done, and
 its number decides as ever. So writers and folds may run side by side in any order.
 
-Dates give partition pruning, and rows are sorted by window end inside each file so that row-group
-statistics prune further. Files have Bloom filters of the campaign: a reader that wants one campaign
-passes over row groups without it.
+Dates give partition pruning. Inside a file rows are sorted by window end, so that statistics of row
+groups prune a recent slice; folds of dates before the newest, which nobody asks for by the minute,
+are sorted by campaign, so that one campaign's history is a row group per date. All files have Bloom
+filters of the campaign too: a reader passes over row groups that a campaign isn't in.
 """
 
 from __future__ import annotations
@@ -42,9 +43,10 @@ CHANGELOG_SCHEMA = T.StructType(
     ]
 )
 
-# Campaigns that a file's Bloom filter is made for, and the size of a row group in bytes.
+# Campaigns that a file's Bloom filter is made for, the size of a row group and rows of a page.
 BLOOM_CAMPAIGNS = 100_000
 ROW_GROUP_BYTES = 16 << 20
+PAGE_ROWS = 1_000
 
 # The last number that this process knows to be taken, by table.
 _last_claims: dict[str, int] = {}
@@ -134,7 +136,14 @@ class CampaignTable:
         Store(spark, self.root).create(f"version={number}/_done")
 
     @staticmethod
-    def _write(df: DataFrame, path: str, folders: list[str], files: int | None) -> None:
+    def _write(
+        df: DataFrame,
+        path: str,
+        folders: list[str],
+        files: int | None,
+        order: tuple[str, str] = ("window_end", "campaign_id"),
+        row_group_bytes: int = ROW_GROUP_BYTES,
+    ) -> None:
         """Bring the rows of a date together, so that not every task writes a file for every date.
 
         AQE sizes the tasks: it joins small dates and splits large ones. With ``files`` a date is
@@ -145,13 +154,14 @@ class CampaignTable:
             rows = rows.repartition("window_date", F.pmod(F.xxhash64(*AGG_KEYS), F.lit(files)))
         else:
             rows = rows.hint("rebalance", "window_date")
-        writer = rows.sortWithinPartitions("window_date", "window_end", "campaign_id").write
+        writer = rows.sortWithinPartitions("window_date", *order).write
         (
             writer.mode("append")
             .option("parquet.bloom.filter.enabled#campaign_id", "true")
             .option("parquet.bloom.filter.expected.ndv#campaign_id", str(BLOOM_CAMPAIGNS))
             .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .option("parquet.block.size", str(ROW_GROUP_BYTES))
+            .option("parquet.block.size", str(row_group_bytes))
+            .option("parquet.page.row.count.limit", str(PAGE_ROWS))
             .partitionBy(*folders)
             .parquet(path)
         )
@@ -259,7 +269,14 @@ class CampaignTable:
         # Another fold may be done by now; only what this one names may go into it.
         rows = self.changelog(spark, days).where(versions.condition(F.col("version")))
         named = self._newest(rows).withColumn("fold", F.lit(name))
-        self._write(named, f"{self.root}/folded", ["window_date", "fold"], files)
+        newest = self.newest_date(spark)
+        for some, order in (
+            (days & {newest}, ("window_end", "campaign_id")),
+            (days - {newest}, ("campaign_id", "window_end")),
+        ):
+            if some:
+                part = named.where(F.to_date("window_end").isin(list(some)))
+                self._write(part, f"{self.root}/folded", ["window_date", "fold"], files, order)
         dates = before.dates | {day.isoformat(): name for day in days}
         text = json.dumps({"versions": versions.as_json(), "dates": dates})
         if not store.create(f"folds/{before.number + 1}", text):

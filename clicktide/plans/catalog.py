@@ -20,7 +20,13 @@ from clicktide.functions.times import align_to_window, moment_before
 from clicktide.operators.checks import contract_violations
 from clicktide.operators.grid import window_grid
 from clicktide.operators.table import CampaignTable
-from clicktide.operators.windows import campaign_windows, latest_window_end
+from clicktide.operators.windows import (
+    campaign_windows,
+    latest_window_end,
+    merged_sketches,
+    user_sketches,
+    users_of,
+)
 from clicktide.plans import serving
 from clicktide.plans.backfill import backfill, reconcile
 from clicktide.plans.totals import CampaignTotals
@@ -146,6 +152,24 @@ def campaign_windows_approx_users(spark: SparkSession, sf_dir: str) -> DataFrame
     return _users_check(approximate, _exact(spark, sf_dir))
 
 
+@_query
+def campaign_users_by_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users per campaign over all windows, merged from kept sketches; close to the exact number.
+
+    Windows are merged by day first and days then, as a reader of kept sketches would.
+    """
+    events = event_batch(spark, sf_dir)
+    kept = materialize(user_sketches(events, SERVING_WIDTH), "user-sketches")
+    by_day = kept.withColumn("day", F.to_date("window_start"))
+    merged = merged_sketches(merged_sketches(by_day, "day", "campaign_id"), "campaign_id")
+    exact = events.where("event_time is not null").groupBy("campaign_id").agg(
+        F.count_distinct("user_id").alias("exact_users")
+    )
+    off = F.abs(F.col("users") - F.col("exact_users"))
+    close = (off <= F.greatest(F.lit(1), F.ceil(F.col("exact_users") * 0.06))).alias("users_close")
+    return users_of(merged).join(exact, "campaign_id").select("campaign_id", "exact_users", close)
+
+
 @_query
 def _align_to_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_batch(spark, sf_dir, carry=["event_id"]).select("event_id", "event_time")

@@ -94,6 +94,9 @@ ORACLE: dict[str, str] = {
     "campaign_windows_10s": f"{_agg('10 seconds')} SELECT * FROM agg",
     "campaign_windows_1d": f"{_agg('1 day')} SELECT * FROM agg",
     "campaign_windows_approx_users": f"{_HOUR} {_CHECKED}",
+    "campaign_users_by_sketch": f"""WITH {_EV}
+SELECT campaign_id, COUNT(DISTINCT user_id) AS exact_users, TRUE AS users_close
+FROM ev WHERE event_time IS NOT NULL GROUP BY campaign_id""",
     "align_to_window": f"""WITH {_EV}
 SELECT event_id, event_time,
        time_bucket(INTERVAL '10 seconds', event_time, TIMESTAMP '1970-01-01') AS window_start

@@ -38,16 +38,23 @@ def kafka_stream(spark: SparkSession, settings: KafkaSettings) -> DataFrame:
 
 
 def landed_stream(
-    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: int | None = None,
 ) -> DataFrame:
     """Raw messages as JSON lines in files, one message per line, in column ``value``.
 
-    Files are taken oldest first, whatever their age. (Newest first would let the watermark drop
+    A batch takes files up to a number or up to a size, whichever is given; at least one. Files are taken oldest first, whatever their age. (Newest first would let the watermark drop
     what the older files hold.) Folders below the path are read too.
     """
+    if max_files_per_trigger and max_bytes_per_trigger:
+        raise ValueError("bound a batch by files or by bytes, not by both")
     reader = _all_files(spark.readStream.format("text"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
     return reader.load(path)
 
 

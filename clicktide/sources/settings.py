@@ -25,21 +25,30 @@ def required(env: Mapping[str, str], name: str) -> str:
 
 @dataclass(frozen=True)
 class KafkaSettings:
-    """Options of the event topic. ``max_offsets_per_trigger`` bounds one micro-batch."""
+    """Options of the event topic.
+
+    ``max_offsets_per_trigger`` bounds one micro-batch. With ``min_offsets_per_trigger`` a batch waits
+    for so many messages, but no longer than ``max_trigger_delay``.
+    """
 
     bootstrap_servers: str
     topic: str = DEFAULT_TOPIC
     starting_offsets: str = DEFAULT_STARTING_OFFSETS
     max_offsets_per_trigger: int | None = None
+    min_offsets_per_trigger: int | None = None
+    max_trigger_delay: str | None = None
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] = os.environ) -> KafkaSettings:
         limit = env.get("KAFKA_MAX_OFFSETS_PER_TRIGGER", "").strip()
+        least = env.get("KAFKA_MIN_OFFSETS_PER_TRIGGER", "").strip()
         return cls(
             bootstrap_servers=required(env, "KAFKA_BOOTSTRAP_SERVERS"),
             topic=env.get("KAFKA_TOPIC", DEFAULT_TOPIC),
             starting_offsets=env.get("KAFKA_STARTING_OFFSETS", DEFAULT_STARTING_OFFSETS),
             max_offsets_per_trigger=int(limit) if limit else None,
+            min_offsets_per_trigger=int(least) if least else None,
+            max_trigger_delay=env.get("KAFKA_MAX_TRIGGER_DELAY", "").strip() or None,
         )
 
     def source_options(self) -> dict[str, str]:
@@ -50,6 +59,10 @@ class KafkaSettings:
         }
         if self.max_offsets_per_trigger:
             options["maxOffsetsPerTrigger"] = str(self.max_offsets_per_trigger)
+        if self.min_offsets_per_trigger:
+            options["minOffsetsPerTrigger"] = str(self.min_offsets_per_trigger)
+        if self.max_trigger_delay:
+            options["maxTriggerDelay"] = self.max_trigger_delay
         return options
 
     def sink_options(self) -> dict[str, str]:

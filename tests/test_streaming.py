@@ -230,6 +230,22 @@ def test_files_per_batch_are_limited(spark, landing, table, settings):
     assert sizes == [2, 2, 1]
 
 
+def test_bytes_per_batch_are_limited(spark, landing, table, settings):
+    """Files of unequal size: a batch stays below the bound, or is one file."""
+    sizes = [1, 1, 6, 2, 2, 9, 1]
+    for n in sizes:
+        landing.put(*[message(f"10:00:0{i}") for i in range(n)])
+    line = len(message("10:00:01")) + 1
+    raw = landed_stream(spark, landing.path, max_bytes_per_trigger=4 * line)
+    query = start_campaign_stream(decode_events(raw), table_sink(table), settings)
+    finish(query, TIMEOUT)
+    rows = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert sum(rows) == sum(sizes) and all(n <= 4 or n in (6, 9) for n in rows)
+    assert 2 < len(rows) < len(sizes)
+    with pytest.raises(ValueError):
+        landed_stream(spark, landing.path, 1, 1)
+
+
 def test_old_files_are_taken_too(spark, landing, table, settings):
     """A file that is more than a week older than those of the batch before."""
     landing.put(message("10:00:01"))

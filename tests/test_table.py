@@ -16,7 +16,7 @@ from clicktide.contracts import (
 )
 from clicktide.operators.checks import contract_violations, require_contract
 from clicktide.operators.database import DatabaseUpsert, postgres_upsert
-from clicktide.operators.table import CampaignTable, Versions, _last_claims
+from clicktide.operators.table import PAGE_ROWS, CampaignTable, Versions, _last_claims
 from clicktide.plans.serving import (
     register_views,
     stored_latest_window,
@@ -320,6 +320,54 @@ def test_one_campaign_is_looked_up_in_the_files(spark, table):
     assert _clicks(rows) == [(0, "y", 1)]
 
 
+def _rows_scanned(df):
+    """Rows that the scans of a query handed on, after row groups and pages were passed over."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    scans = [leaves.apply(at) for at in range(leaves.size())]
+    return sum(s.metrics().apply("numOutputRows").value() for s in scans if "Scan" in s.nodeName())
+
+
+def _many_campaigns(spark, day, campaigns=10_000, windows=3):
+    start = F.lit(W1 + day) + F.expr("make_dt_interval(0, 0, 0, cast(id % 3 as int) * 10)")
+    return spark.range(campaigns * windows).select(
+        start.alias("window_start"),
+        (start + F.expr("interval 10 seconds")).alias("window_end"),
+        F.format_string("c%05d", F.expr(f"id div {windows}")).alias("campaign_id"),
+        F.col("id").alias("clicks"),
+        F.lit(1).alias("unique_users"),
+        F.lit(None).cast("double").alias("ctr"),
+    )
+
+
+def test_a_campaign_of_many_is_found_in_few_rows(spark, table, monkeypatch):
+    """Folded dates are sorted by campaign, so that one of 10,000 is in a page or two of each."""
+    for day in range(3):
+        table.upsert(_many_campaigns(spark, DAY * day))
+    table.upsert(_many_campaigns(spark, DAY * 2).limit(1))
+    table.compact(spark)
+    # The newest date stays in the order of time.
+    old = table.changelog(spark).where(F.col("window_date") < F.lit((W1 + DAY * 2).date()))
+    one = old.where("campaign_id = 'c04321'")
+    assert one.count() == 6
+    assert old.count() == 60_000 and _rows_scanned(one) <= 4 * PAGE_ROWS
+
+
+def test_row_groups_without_a_campaign_are_passed_over(spark, table, tmp_path):
+    """Campaigns that come and go: by Bloom filters, as their names are in no order."""
+    rows = _many_campaigns(spark, DAY * 0, windows=1)
+    scrambled = rows.withColumn("campaign_id", F.md5("campaign_id")).withColumn(
+        "window_end", F.col("window_start") + F.expr("make_dt_interval(0, 0, 0, cast(clicks as int) + 1)")
+    )
+    path = str(tmp_path / "groups")
+    CampaignTable._write(scrambled, path, ["window_date"], 1, row_group_bytes=8 << 10)
+    stored = spark.read.parquet(path)
+    wanted = stored.select("campaign_id").where("clicks = 4321").first()[0]
+    one = stored.where(F.col("campaign_id") == wanted)
+    assert one.count() == 1
+    assert _rows_scanned(one) < 0.05 * stored.count()
+
+
 def test_trailing_read_prunes_dates_and_stays_a_hash_aggregate(spark, table):
     table.upsert(_rows(spark, *[(W1 - DAY * i, "x", i, i) for i in range(5)]))
     rows = stored_trailing_windows(spark, table, "1 hour", at("10:30:00"))
