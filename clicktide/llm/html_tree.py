@@ -42,15 +42,7 @@ FULL_PAIRS = 2_000_000
 # Sizes of unequal subtrees that are remembered.
 KNOWN_SIZES = 1_000_000
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)"
-    r"((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>",
-    re.DOTALL,
-)
-# For pages in which a quotation mark is never closed.
-_BROKEN_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.DOTALL
-)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 _ATTRIBUTE = re.compile(
     r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?"
 )
@@ -59,7 +51,7 @@ _ATTRIBUTE = re.compile(
 class Node:
     """An element, or a piece of text."""
 
-    __slots__ = ("tag", "attributes", "text", "kids", "label", "shape", "size")
+    __slots__ = ("tag", "attributes", "text", "kids", "label", "shape", "size", "chars", "direct")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None, text: str = "") -> None:
         self.tag, self.attributes, self.text = tag, attributes or {}, text
@@ -67,6 +59,8 @@ class Node:
         names = self.attributes.get("class", "").split()
         self.label = f"{tag}.{'.'.join(sorted(names))}" if names else tag
         self.shape, self.size = 0, 1
+        # Characters below it, and those of them that are in no block below it; set by users.
+        self.chars, self.direct = 0, 0
 
     def walk(self) -> Iterator[Node]:
         """This node and all below it, in the order of the page."""
@@ -98,40 +92,87 @@ class _Stack:
         return max((self._places[tag][-1] for tag in tags if self._places[tag]), default=0)
 
 
+class _Markup:
+    """Finds where tags and comments end, in time that doesn't depend on what never ends."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        # From here on there is no such text, as far as is known.
+        self._missing: dict[str, int] = {}
+
+    def find(self, text: str, at: int) -> int:
+        """Where the next such text starts, or -1."""
+        if at >= self._missing.get(text, len(self.page) + 1):
+            return -1
+        found = self.page.find(text, at)
+        if found < 0:
+            self._missing[text] = at
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """Behind the ``>`` of a tag whose name ends at a place, or -1.
+
+        A ``>`` in quotation marks doesn't end the tag, unless a mark is never closed.
+        """
+        first = self.find(">", at)
+        if first < 0:
+            return -1
+        # A tag without marks before its first ">" ends there.
+        double, single = self.find('"', at), self.find("'", at)
+        if not (0 <= double < first or 0 <= single < first):
+            return first + 1
+        while True:
+            marks = [m for m in (self.find('"', at), self.find("'", at)) if m >= 0]
+            end = self.find(">", at)
+            if end < 0:
+                return first + 1
+            mark = min(marks, default=end)
+            if end <= mark:
+                return end + 1
+            closing = self.find(self.page[mark], mark + 1)
+            if closing < 0:
+                return first + 1
+            at = closing + 1
+
+
 def parse(page: str | None) -> Node:
     """The tree of a page; anything can be parsed, and no text is lost."""
     page = page or ""
     root = Node("#page")
-    stack = _Stack(root)
-    at, markup = 0, _MARKUP
+    stack, markup = _Stack(root), _Markup(page)
+    at = 0
     while at < len(page):
-        found = page.find("<", at)
+        found = markup.find("<", at)
         if found < 0:
             _add_text(stack.nodes[-1], page[at:])
             break
-        match = markup.match(page, found)
-        if match is None and markup is _MARKUP and (match := _BROKEN_MARKUP.match(page, found)):
-            markup = _BROKEN_MARKUP
-        if match is None:
+        name = _NAME.match(page, found)
+        if page.startswith("<!--", found):
+            end = markup.find("-->", found + 4)
+            end = end + 3 if end >= 0 else len(page)
+        elif page.startswith(("<!", "<?"), found):
+            end = markup.find(">", found) + 1
+        else:
+            end = markup.end_of_tag(name.end()) if name else -1
+        if end <= 0:
             # A "<" that opens nothing is text, up to the next one.
-            end = page.find("<", found + 1)
+            end = markup.find("<", found + 1)
             end = len(page) if end < 0 else end
             _add_text(stack.nodes[-1], page[at:end])
             at = end
             continue
         if found > at:
             _add_text(stack.nodes[-1], page[at:found])
-        at = match.end()
-        if match.group(2) is None:
+        at = end
+        if name is None or page[found + 1] == "!":
             continue
-        tag = match.group(2).lower()
-        if match.group(1):
+        tag = name.group(1).lower()
+        if page[found + 1] == "/":
             _close(stack, tag)
             continue
-        node = _open(stack, tag, match.group(3))
+        node = _open(stack, tag, page[name.end() : end - 1])
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b", re.IGNORECASE).search(page, at)
-            stop = end.start() if end else len(page)
+            stop = _end_of_raw(markup, tag, at)
             if stop > at:
                 _add_text(node, page[at:stop])
             at = stop
@@ -139,6 +180,17 @@ def parse(page: str | None) -> Node:
     return root
 
 
+def _end_of_raw(markup: _Markup, tag: str, at: int) -> int:
+    """Where the end tag of an element without markup in it starts, or the page ends."""
+    while (found := markup.find("</", at)) >= 0:
+        end = found + 2 + len(tag)
+        if markup.page[found + 2 : end].lower() == tag:
+            if not markup.page[end : end + 1].isalnum() and markup.page[end : end + 1] != "_":
+                return found
+        at = found + 2
+    return len(markup.page)
+
+
 def _add_text(parent: Node, raw: str) -> None:
     text = html.unescape(raw) if "&" in raw else raw
     if text.strip():

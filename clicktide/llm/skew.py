@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Keys that are sent to all tasks are no more than this, by how they are chosen.
 BROADCAST_KEYS = 50_000
 # Keys with up to this many rows are never sent.
-FEW_ROWS = 128
+FEW_ROWS = 64
 
 
 def frequent_bound(rows: int) -> int:

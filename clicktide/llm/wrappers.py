@@ -1,15 +1,23 @@
 """Main text of pages by wrapper induction.
 
-Pages of one host share a template. Some of them are aligned with a reference page of the host by
-simple tree matching of their DOM trees. A text that is the same wherever its place is aligned
-belongs to the template; places whose text varies, and what has no counterpart, hold content. Of
-these, what stands in menus, notices, adverts, forms and the like isn't part of the article; if the
-page marks its article, content is only looked for there.
+Pages of one host share a template. They are aligned with reference pages of the host by simple tree
+matching of their DOM trees, and what is found at the aligned places is pooled:
 
-Pages are dealt out by host; a host with many pages is dealt out over as many tasks as it has chunks
-of ``CHUNK`` pages, each chunk with a reference of its own, so no task and no host is too large. Only
-hosts above a share of all pages are listed for that, so the list has at most ``MAX_LISTED`` rows,
-and is broadcast; smaller ones are read as a stream and cut into chunks.
+- A text that is the same wherever its place is aligned belongs to the template.
+- The place below which most of the host's text stands, and not in a single block, is the slot of the
+  articles; what stands beside it on the pages (menus, adverts, footers) is no content, whatever its
+  elements and classes are called and however its texts vary. A block before the slot that says what
+  the page's title says is the article's heading.
+
+What is left in the slot is the article, less what stands in menus, notices, adverts, forms and the
+like by its own marks. If a page marks its main part or its articles, those are its slot. Names of
+classes count as whole names, and never against an element with most of the page's text.
+
+Pages are dealt out by host; a host with many pages is dealt out over as many tasks as it has parts
+of ``PART`` pages, chosen by a hash, so no task and no host is too large. Only hosts above a share of
+all pages are listed for that, so the list has at most ``MAX_LISTED`` rows, and is broadcast. Within
+a part the slots are induced from all its pages together: every page is aligned with ``REFERENCES``
+of them, from small to large, and judged by the one that has most in common with it.
 
 A copy of the reference says nothing about the template. So a page that has the reference's content,
 or most of its long texts, has no vote; nor one with its title and most of its characters, if at
@@ -25,8 +33,9 @@ each; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,13 +47,18 @@ from clicktide.llm.arrow import Batches
 from clicktide.llm.html_tree import BLOCK, TEXT, Matching, Node, parse
 from clicktide.llm.url_filters import host_of
 
-CHUNK = 64
-CARRIED = 16
+PART = 256
+REFERENCES = 3
 MAX_LISTED = 100_000
 MIN_VOTES = 3
 MIN_SAME = 0.6
 COPY_SHARE = 0.5
 LONG_TEXT = 80
+# The slot of the articles has at least this share of the text of what it stands in.
+SLOT_SHARE = 0.7
+# Of a teaser's text at least this share is links; a heading has at least so many characters.
+LINK_SHARE = 0.5
+HEADING_CHARS = 8
 
 # Elements, roles and names that aren't part of an article.
 DROPPED = frozenset(
@@ -62,13 +76,31 @@ DROPPED_NAMES = frozenset(
     "pagination popup promo promoted promotion recommended related replies responses share sharing "
     "sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+# Words that only say where or how large a dropped element is.
+PLACES = frozenset(
+    "bar block bottom box buttons items left links list page panel posts right section site slot top "
+    "unit".split()
+)
 MARKED = ("main", "article")
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+
+
+def _named_dropped(name: str) -> bool:
+    """Whether a class or id names something that isn't part of an article, with all its words."""
+    words = {word.lower() for word in _NAME.findall(name)}
+    return bool(words & DROPPED_NAMES) and words <= DROPPED_NAMES | PLACES
 
 
-def is_dropped(node: Node, in_article: bool) -> bool:
-    """Whether an element and all below it isn't part of the article, by its own marks."""
-    if node.tag in DROPPED or (node.tag == "header" and not in_article):
+def _tag_dropped(node: Node, in_article: bool) -> bool:
+    return node.tag in DROPPED or (node.tag == "header" and not in_article)
+
+
+def is_dropped(node: Node, in_article: bool, total: int) -> bool:
+    """Whether an element and all below it isn't part of the article, by its own marks.
+
+    ``total`` is the number of characters of the page.
+    """
+    if _tag_dropped(node, in_article):
         return True
     marks = node.attributes
     if not marks:
@@ -79,24 +111,56 @@ def is_dropped(node: Node, in_article: bool) -> bool:
         return True
     if marks.get("role", "").lower() in DROPPED_ROLES:
         return True
-    if node.tag in ("html", "body", *MARKED) and "comment" not in marks.get("class", ""):
+    names = marks.get("class", "").split() + marks.get("id", "").split()
+    if node.tag in ("html", "body", *MARKED) and not any("comment" in name.lower() for name in names):
         return False
-    names = _NAME.findall(marks.get("class", "") + " " + marks.get("id", ""))
-    return any(name.lower() in DROPPED_NAMES for name in names)
+    if 2 * node.chars > total:
+        return False
+    return any(_named_dropped(name) for name in names)
+
+
+def weigh(tree: Node) -> Node:
+    """Set the characters below each node, and those outside its blocks; dropped tags have none."""
+    for node in reversed(list(tree.walk())):
+        if node.tag == TEXT:
+            node.chars = node.direct = len(node.text.strip())
+        elif node.tag in DROPPED:
+            node.chars = node.direct = 0
+        else:
+            node.chars = sum(kid.chars for kid in node.kids)
+            node.direct = sum(kid.direct for kid in node.kids if kid.tag not in BLOCK)
+    return tree
 
 
 def article_texts(tree: Node) -> list[tuple[Node, int]]:
     """Texts that may belong to the article, each with the number of its block, in page order.
 
-    If the page marks its main part or an article, the largest one's, else the whole page's.
+    If the page marks its main part or articles, those of all of them, else the whole page's.
     """
-    scopes = [_texts_below(node, True) for node in _marked(tree)]
-    largest = max(scopes, key=_length, default=[])
-    return largest if _length(largest) else _texts_below(tree, False)
+    return _marked_texts(tree) or _texts_below(tree, False, tree.chars)
 
 
-def _length(texts: list[tuple[Node, int]]) -> int:
-    return sum(len(node.text) for node, _ in texts)
+def _marked_texts(tree: Node) -> list[tuple[Node, int]]:
+    """The texts of the outermost main parts, or else articles, that aren't only teasers."""
+    found: list[tuple[Node, int]] = []
+    marked = list(_marked(tree))
+    largest = max((node.chars for node in marked), default=0)
+    for node in marked:
+        if node.chars == largest or _link_chars(node) < LINK_SHARE * node.chars:
+            first = found[-1][1] + 1 if found else 0
+            found += [(n, first + at) for n, at in _texts_below(node, True, tree.chars)]
+    return found if any(node.text.strip() for node, _ in found) else []
+
+
+def _link_chars(node: Node) -> int:
+    found, open_nodes = 0, [node]
+    while open_nodes:
+        now = open_nodes.pop()
+        if now.tag == "a":
+            found += now.chars
+        else:
+            open_nodes.extend(now.kids)
+    return found
 
 
 def _marked(tree: Node) -> Iterator[Node]:
@@ -105,10 +169,10 @@ def _marked(tree: Node) -> Iterator[Node]:
         found, open_nodes = False, [tree]
         while open_nodes:
             node = open_nodes.pop()
-            if is_dropped(node, True):
+            if is_dropped(node, True, tree.chars):
                 continue
             if node.tag == tag:
-                found = True
+                found = found or bool(node.chars)
                 yield node
             else:
                 open_nodes.extend(reversed(node.kids))
@@ -116,7 +180,7 @@ def _marked(tree: Node) -> Iterator[Node]:
             return
 
 
-def _texts_below(scope: Node, in_article: bool) -> list[tuple[Node, int]]:
+def _texts_below(scope: Node, in_article: bool, total: int) -> list[tuple[Node, int]]:
     texts, block = [], 0
     # A None ends the block that its element has begun.
     open_nodes: list[Node | None] = [*reversed(scope.kids)]
@@ -128,7 +192,7 @@ def _texts_below(scope: Node, in_article: bool) -> list[tuple[Node, int]]:
             texts.append((node, block))
         elif node.tag == "br":
             texts.append((_BREAK, block))
-        elif not is_dropped(node, in_article):
+        elif not is_dropped(node, in_article, total):
             if node.tag in BLOCK:
                 block += 1
                 open_nodes.append(None)
@@ -159,64 +223,159 @@ def _title(tree: Node) -> str:
     return "".join(_plain(kid) for kid in found.kids) if found else ""
 
 
-def extract_site(trees: list[Node], voters: list[Node] | None = None) -> list[str]:
-    """The main text of pages of one host; ``voters`` are further pages of the host."""
-    contents = [article_texts(tree) for tree in trees]
-    if len(trees) + len(voters or []) <= MIN_VOTES:
-        return [joined(texts) for texts in contents]
-    everyone = [*trees, *(voters or [])]
-    reference = sorted(everyone, key=lambda tree: tree.size)[len(everyone) // 2]
-    own = {id(node): _plain(node) for node in reference.walk() if node.tag == TEXT}
-    content = article_texts(reference)
-    content_of, whole = {id(node) for node, _ in content}, joined(content)
-    title = _title(reference)
-    votes, same = Counter(), Counter()
-    # Per voter: its votes, if it has the reference's title, and if most of its characters.
-    voting: list[tuple[list[tuple[Node, bool]], bool, bool]] = []
-    aligned: list[dict[int, Node]] = []
-    for at, tree in enumerate(everyone):
-        if tree is reference:
-            if at < len(trees):
-                aligned.append({id(node): node for node, _ in contents[at]})
-            continue
-        pairs = [(a, b) for a, b in Matching(tree, reference).pairs() if a.tag == TEXT]
-        if at < len(trees):
-            aligned.append({id(a): b for a, b in pairs})
-        equal = [(b, _plain(a) == own[id(b)]) for a, b in pairs if own[id(b)]]
-        long = [
-            is_same
-            for node, is_same in equal
-            if id(node) in content_of and len(own[id(node)]) >= LONG_TEXT
-        ]
-        texts = contents[at] if at < len(trees) else article_texts(tree)
-        if sum(long) > COPY_SHARE * len(long) or joined(texts) == whole:
-            continue
-        alike = [(len(own[id(node)]), is_same) for node, is_same in equal if id(node) in content_of]
-        most = sum(n for n, is_same in alike if is_same) > COPY_SHARE * sum(n for n, _ in alike)
-        voting.append((equal, bool(title) and _title(tree) == title, most))
-    telling = sum(not titled for _, titled, _ in voting) >= MIN_VOTES
-    for equal, titled, most in voting:
-        if telling and titled and most:
-            continue
-        for node, is_same in equal:
-            votes[id(node)] += 1
-            same[id(node)] += is_same
-    template = {
-        node: own[node]
-        for node, count in same.items()
-        if count >= MIN_VOTES and count >= MIN_SAME * votes[node]
-    }
-    if not template:
-        return [joined(texts) for texts in contents]
+# --- induction -------------------------------------------------------------------------------
+
+
+@dataclass
+class Aligned:
+    """A page aligned with a reference: which of its nodes stand at which place."""
+
+    pairs: list[tuple[Node, Node]]
+
+    def __post_init__(self) -> None:
+        self.place = {id(a): b for a, b in self.pairs}
+        self.at = {id(b): a for a, b in self.pairs}
+
 
-    def in_template(node: Node, matched: dict[int, Node]) -> bool:
-        other = matched.get(id(node))
-        return other is not None and template.get(id(other)) == _plain(node)
+class Template:
+    """What the pages of a part have in common with one of them, the reference."""
 
-    return [
-        joined((node, block) for node, block in texts if not in_template(node, matched))
-        for texts, matched in zip(contents, aligned, strict=True)
-    ]
+    def __init__(self, reference: Node) -> None:
+        self.reference = reference
+        self.own = {id(node): _plain(node) for node in reference.walk() if node.tag == TEXT}
+        content = article_texts(reference)
+        self._content, self._whole = {id(node) for node, _ in content}, joined(content)
+        self._title = _title(reference)
+        self._votes: list[tuple[list[tuple[Node, bool]], bool, bool]] = []
+        # Per place: pages, characters, those outside of blocks, and blocks.
+        self._pooled: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        self.constant: dict[int, str] = {}
+        self.slot: Node | None = None
+
+    def take(self, tree: Node, content: list[tuple[Node, int]], aligned: Aligned) -> None:
+        """Pool what stands at the aligned places of a page; a copy of the reference has no vote."""
+        for a, b in aligned.pairs:
+            if a.tag != TEXT:
+                pooled = self._pooled[id(b)]
+                pooled[0] += 1
+                pooled[1] += a.chars
+                pooled[2] += a.direct
+                pooled[3] += sum(kid.tag in BLOCK and kid.chars > 0 for kid in a.kids)
+        if tree is self.reference:
+            return
+        texts = [(a, b) for a, b in aligned.pairs if a.tag == TEXT]
+        equal = [(b, _plain(a) == self.own[id(b)]) for a, b in texts if self.own[id(b)]]
+        alike = [(len(self.own[id(b)]), is_same) for b, is_same in equal if id(b) in self._content]
+        long = [is_same for n, is_same in alike if n >= LONG_TEXT]
+        if sum(long) > COPY_SHARE * len(long) or joined(content) == self._whole:
+            return
+        most = sum(n for n, is_same in alike if is_same) > COPY_SHARE * sum(n for n, _ in alike)
+        self._votes.append((equal, bool(self._title) and _title(tree) == self._title, most))
+
+    def induce(self) -> None:
+        """Decide which texts are constant and which place is the articles' slot."""
+        votes, same = Counter(), Counter()
+        telling = sum(not titled for _, titled, _ in self._votes) >= MIN_VOTES
+        for equal, titled, most in self._votes:
+            if telling and titled and most:
+                continue
+            for node, is_same in equal:
+                votes[id(node)] += 1
+                same[id(node)] += is_same
+        self.constant = {
+            node: self.own[node]
+            for node, count in same.items()
+            if count >= MIN_VOTES and count >= MIN_SAME * votes[node]
+        }
+        self.slot = self._heaviest()
+
+    def _heaviest(self) -> Node:
+        """Go down to where most of the text stands, as long as that isn't a single block."""
+        node = self.reference
+        while True:
+            heavy = max(node.kids, key=lambda kid: self._pooled[id(kid)][1], default=None)
+            if heavy is None or heavy.tag == TEXT:
+                return node
+            pages, chars, direct, blocks = self._pooled[id(heavy)]
+            if chars < SLOT_SHARE * self._pooled[id(node)][1] or not blocks or 2 * direct > chars:
+                return node
+            if blocks < 1.5 * pages and not self._deeper(heavy):
+                return node
+            node = heavy
+
+    def _deeper(self, node: Node) -> bool:
+        """Whether a place with about one block leads on to one with several."""
+        while True:
+            heavy = max(node.kids, key=lambda kid: self._pooled[id(kid)][1], default=None)
+            if heavy is None or heavy.tag not in BLOCK:
+                return False
+            pages, chars, direct, blocks = self._pooled[id(heavy)]
+            if 2 * direct > chars or not blocks:
+                return False
+            if blocks >= 1.5 * pages:
+                return True
+            node = heavy
+
+    def text(self, tree: Node, content: list[tuple[Node, int]], aligned: Aligned, marked: bool) -> str:
+        """The main text of a page."""
+        if not marked:
+            content = self._in_slot(tree, content, aligned)
+        return joined(
+            (node, block)
+            for node, block in content
+            if (place := aligned.place.get(id(node))) is None
+            or self.constant.get(id(place)) != _plain(node)
+        )
+
+    def _in_slot(
+        self, tree: Node, content: list[tuple[Node, int]], aligned: Aligned
+    ) -> list[tuple[Node, int]]:
+        """What of the content stands in the slot, and the heading before it."""
+        slot = aligned.at.get(id(self.slot))
+        if slot is None:
+            return content
+        inside = {id(node) for node in slot.walk()}
+        kept = {block for node, block in content if id(node) in inside}
+        if not kept:
+            return content
+        title = _title(tree)
+        blocks: dict[int, list[str]] = defaultdict(list)
+        for node, block in content:
+            if block < min(kept) and block not in kept:
+                blocks[block].append(node.text)
+        for block, parts in blocks.items():
+            heading = " ".join("".join(parts).split())
+            if len(heading) >= HEADING_CHARS and title and (
+                heading.startswith(title) or title.startswith(heading)
+            ):
+                kept.add(block)
+        return [(node, block) for node, block in content if block in kept]
+
+
+def extract_site(trees: list[Node]) -> list[str]:
+    """The main text of pages of one host."""
+    contents = [article_texts(weigh(tree)) for tree in trees]
+    if len(trees) <= MIN_VOTES:
+        return [joined(texts) for texts in contents]
+    by_size = sorted(trees, key=lambda tree: tree.size)
+    count = min(REFERENCES, 1 + len(trees) // 16)
+    chosen = [by_size[(2 * at + 1) * len(trees) // (2 * count)] for at in range(count)]
+    templates = [Template(reference) for reference in chosen]
+    aligned: list[list[Aligned]] = []
+    for tree, texts in zip(trees, contents, strict=True):
+        own = []
+        for template in templates:
+            own.append(Aligned(list(Matching(tree, template.reference).pairs())))
+            template.take(tree, texts, own[-1])
+        aligned.append(own)
+    for template in templates:
+        template.induce()
+    found = []
+    for tree, texts, own in zip(trees, contents, aligned, strict=True):
+        best = max(range(count), key=lambda at: (len(own[at].pairs), -at))
+        marked = bool(_marked_texts(tree))
+        found.append(templates[best].text(tree, texts, own[best], marked))
+    return found
 
 
 # --- on Spark --------------------------------------------------------------------------------
@@ -224,17 +383,16 @@ def extract_site(trees: list[Node], voters: list[Node] | None = None) -> list[st
 
 def _extract(batches: Batches, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Texts of pages that are sorted by host and part, a chunk of one host at a time."""
-    held: list[tuple[object, str | None, Node]] = []
-    carried: list[Node] = []
+    held: list[tuple[object, str | None, str | None]] = []
     now: tuple | None = None
 
     def flush() -> pa.RecordBatch:
-        trees = [tree for _, _, tree in held]
+        trees = [parse(page) for _, _, page in held]
         # Without a host, pages needn't have anything in common.
         if now and now[0]:
-            texts = extract_site(trees, carried)
+            texts = extract_site(trees)
         else:
-            texts = [joined(article_texts(tree)) for tree in trees]
+            texts = [joined(article_texts(weigh(tree))) for tree in trees]
         made = pa.RecordBatch.from_arrays(
             [
                 pa.array([row for row, _, _ in held], type=id_type),
@@ -244,7 +402,6 @@ def _extract(batches: Batches, id_type: pa.DataType) -> Iterator[pa.RecordBatch]
             ],
             names=["page_id", "url", "text", "n_chars"],
         )
-        carried[:] = trees[-CARRIED:]
         held.clear()
         return made
 
@@ -252,12 +409,10 @@ def _extract(batches: Batches, id_type: pa.DataType) -> Iterator[pa.RecordBatch]
         names = ("host", "part", "page_id", "url", "html")
         for at in range(batch.num_rows):
             host, part, row, url, page = [batch.column(name)[at].as_py() for name in names]
-            if held and ((host, part) != now or len(held) == CHUNK):
+            if held and ((host, part) != now or len(held) == 2 * PART):
                 yield flush()
-            if (host, part) != now:
-                carried.clear()
-                now = host, part
-            held.append((row, url, parse(page)))
+            now = host, part
+            held.append((row, url, page))
     if held:
         yield flush()
 
@@ -272,9 +427,9 @@ def main_texts(
     per_host = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     total = per_host.agg(F.sum("pages")).first()[0] or 0
     # At most total / listed_from hosts can have more pages, that is MAX_LISTED.
-    listed_from = max(CHUNK, -(-total // MAX_LISTED))
+    listed_from = max(PART, -(-total // MAX_LISTED))
     listed = per_host.where(F.col("pages") > listed_from).select(
-        "host", F.ceil(F.col("pages") / CHUNK).alias("parts")
+        "host", F.ceil(F.col("pages") / PART).alias("parts")
     )
     parts = F.coalesce("parts", F.lit(1))
     dealt = rows.join(F.broadcast(listed), "host", "left").select(

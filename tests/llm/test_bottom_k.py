@@ -150,7 +150,7 @@ def test_listed_values_suffice():
 def test_joins_of_frequent_keys(spark):
     rows = spark.createDataFrame([(k, v) for v in range(900) for k in {0, v % 7 * 100 + v // 9}], "k long, v long")
     once = rows.groupBy("k").count().selectExpr("k", "count as n", "k * 2 as twice")
-    assert frequent_bound(10) == 128 and frequent_bound(10**9) == 20_000
+    assert frequent_bound(10) == 64 and frequent_bound(10**9) == 20_000
     found = join_counted(rows, once.where("k % 2 = 0"), "k", rows.count())
     assert sorted(map(tuple, found.collect())) == sorted(
         map(tuple, rows.join(once.where("k % 2 = 0"), "k").select(*found.columns).collect())

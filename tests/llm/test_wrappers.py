@@ -1,6 +1,7 @@
 import html
 import random
 import re
+import time
 import tracemalloc
 
 import pytest
@@ -210,3 +211,82 @@ def test_long_lists_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == Matching(a, b).size(a, b) and peak < 50_000_000
+
+
+def written(node, raw=False):
+    """A tree as markup in which elements that mark anything are plain divisions without classes."""
+    if node.tag == html_tree.TEXT:
+        return node.text if raw else html.escape(node.text)
+    kept = node.tag in ("html", "head", "title", "script", "style", "body", "br", "meta")
+    tag = node.tag if kept else "div"
+    inside = "".join(written(kid, tag in ("script", "style")) for kid in node.kids)
+    if node.tag == "#page":
+        return inside
+    return f"<{tag}>" if tag in ("br", "meta") else f"<{tag}>{inside}</{tag}>"
+
+
+def test_slots_are_found_without_names(spark):
+    """The whole table with nothing but divisions gives the same texts (blocks aside)."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()
+    hosts = {}
+    for row in pages:
+        hosts.setdefault(row["url"].split("/")[2].lower(), []).append(row["html"])
+    same = total = 0
+    for own in hosts.values():
+        if len(own) > wrappers.MIN_VOTES:
+            marked = wrappers.extract_site([parse(p) for p in own])
+            plain = wrappers.extract_site([parse(written(parse(p))) for p in own])
+            same += sum("".join(a.split()) == "".join(b.split()) for a, b in zip(marked, plain))
+            total += len(own)
+    assert total > 2_000 and same >= 0.97 * total
+
+
+def varied(at, extra=""):
+    """A page whose menu, advert and footer vary in text, and nothing has a name."""
+    menu = "".join(f"<div>Item {at * 7 + n}</div>" for n in range(3 + at % 4))
+    advert = f"<div>Buy number {at} now</div>" if at % 3 else ""
+    body = "".join(f"<div>Paragraph {n} of {at}: {'words of it ' * (5 + (at + n) % 9)}</div>" for n in range(2 + at % 5))
+    return (
+        f"<html><head><title>Headline number {at}</title></head><body><div>{menu}</div>{advert}"
+        f"<div><div>Headline number {at}</div><div>{body}</div></div>"
+        f"<div>Footer {at * 31}</div>{extra}</body></html>"
+    )
+
+
+def test_varying_menus_and_footers_are_left_out():
+    for count in (8, 60):
+        texts = wrappers.extract_site([parse(varied(at)) for at in range(count)])
+        for at, text in enumerate(texts):
+            lines = text.split("\n\n")
+            assert lines[0] == f"Headline number {at}" and len(lines) == 3 + at % 5
+            assert all(line.startswith("Paragraph") for line in lines[1:])
+
+
+def test_names_are_whole_names():
+    words = "<p>" + "long text of the article " * 9 + "</p>"
+    kept = " ".join(("long text of the article " * 9).split())
+    for name in ("page has-sidebar", "no-comments", "widget-area-wrapper", "sidebar", "comments"):
+        page = f"<div class='{name}'><article>{words}<div class='notice-period'><p>a</p></div>" \
+            "<div id='ad-hoc'><p>b</p></div><div class='ad-box'><p>c</p></div></article></div>"
+        assert wrappers.extract_site([parse(page)]) == [f"{kept}\n\na\n\nb"]
+
+
+def test_all_articles_are_kept():
+    page = (
+        "<p>out</p><article><p>one</p></article><div><article><p>two is longer</p>"
+        "<article class='comment'><p>Nice!</p></article></article></div>"
+        "<article><a href='/x'>A teaser</a></article><article><p>three</p></article>"
+    )
+    assert wrappers.extract_site([parse(page)]) == ["one\n\ntwo is longer\n\nthree"]
+    mains = "<main><p>a</p></main><nav>n</nav><main><p>b</p></main><article>c</article>"
+    assert wrappers.extract_site([parse(mains)]) == ["a\n\nb"]
+
+
+@pytest.mark.parametrize(
+    "piece", ["<a ", '<a "', "<!-- x", "</", "<a '\"", "<script>", '<x "a" ', "<b>", "<a href='>"]
+)
+def test_pages_that_never_close_take_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    parse(page)
+    assert time.perf_counter() - start < 5
