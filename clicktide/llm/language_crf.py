@@ -7,7 +7,8 @@ forward and backward pass gives each word's probabilities; a text's are the mean
 that have letters. A chain is a line of text.
 
 Learning sees the ``TRAIN_DOCS`` documents with the smallest hash of their id and, of each of the
-``LANGUAGES`` most frequent languages, the ``PER_LANGUAGE`` with the smallest, but no held-out ones.
+``LANGUAGES`` most frequent languages, the ``PER_LANGUAGE`` with the smallest, but no held-out ones;
+rarer languages can't be predicted.
 Of a document above ``TRAIN_CHARS`` characters it sees ``LONG_CHARS``, of lines from all over it.
 A document's language is that of all its words; lines of different documents are spliced into
 chains, so that switches occur and their weights are learned.
@@ -48,7 +49,11 @@ CHAINS_PER_STEP = 256
 RATE = 0.3
 DECAY = 1e-6
 SEED = 5
+# Parts that the documents of a language are chosen from.
+PARTS = 64
+# Scores that are kept: of words, and of words and languages together.
 KNOWN_WORDS = 200_000
+KNOWN_SCORES = 10_000_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - BUCKET_BITS)
@@ -217,6 +222,8 @@ def fit(docs: list[tuple[str, str]]) -> Crf:
             step = (actual - expected) / n
             seen_steps += n * step**2
             model.transitions += RATE * np.sqrt(n / seen_steps) * step
+    # Half the size for the tasks, which all hold it.
+    model.weights = model.weights.astype(np.float32)
     return model
 
 
@@ -224,12 +231,13 @@ class Labeller:
     """Applies a model to texts; the scores of words are kept between texts, up to a bound."""
 
     def __init__(self, model: Crf, known_words: int = KNOWN_WORDS) -> None:
-        self.model, self.known_words = model, known_words
+        self.model = model
+        self.known_words = min(known_words, KNOWN_SCORES // max(1, len(model.languages)))
         self._forget()
 
     def _forget(self) -> None:
         self._number: dict[str, int] = {}
-        self._scores = np.zeros((0, len(self.model.languages)))
+        self._scores = np.zeros((0, len(self.model.languages)), dtype=np.float32)
         self._lettered = np.zeros(0, dtype=bool)
 
     def _numbers(self, lines: list[list[str]]) -> list[int]:
@@ -247,7 +255,7 @@ class Labeller:
                 found.append(at)
         if new and self.model.languages:
             features = features_of(new, self.model.lexicon)
-            made = _scores(self.model.weights, *features, len(new))
+            made = _scores(self.model.weights, *features, len(new)).astype(np.float32)
             self._scores = np.concatenate([self._scores, made])
         if new:
             lettered = np.array([bool(word) for word in new])
@@ -266,7 +274,7 @@ class Labeller:
         numbers = np.array(self._numbers(lines), dtype=np.int64)
         if len(numbers) and self.model.languages:
             found, _ = forward_backward(
-                self._scores[numbers], self.model.transitions, Chains(lengths)
+                self._scores[numbers].astype(np.float64), self.model.transitions, Chains(lengths)
             )
         else:
             found = np.zeros((len(numbers), len(self.model.languages)))
@@ -335,15 +343,15 @@ def train(
         .limit(LANGUAGES)
         .select("language")
     )
-    in_order = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
-    of_each = (
-        known.select("id", "language")
-        .distinct()
-        .join(F.broadcast(languages), "language")
-        .withColumn("place", F.row_number().over(in_order))
-        .where(F.col("place") <= PER_LANGUAGE)
-        .select("id")
-    )
+    # Of each language the smallest of every part, and of these the smallest: so no task gets more
+    # than a part of a frequent language.
+    part = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(PARTS)).alias("part")
+    of_each = known.select("id", "language", part).distinct().join(F.broadcast(languages), "language")
+    for keys in (("language", "part"), ("language",)):
+        in_order = Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
+        of_each = of_each.withColumn("place", F.row_number().over(in_order))
+        of_each = of_each.where(F.col("place") <= PER_LANGUAGE).drop("place")
+    of_each = of_each.select("id").distinct()
     # Ids first, so that no more texts than needed are moved; at most ``rows`` ids, and
     # PER_LANGUAGE * LANGUAGES, are broadcast.
     chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)

@@ -6,6 +6,8 @@ if the key of one of the url's own host endings (example.com for www.example.com
 rule's key; so each rule is an interval of sorted keys, and intervals are nested or apart. Keys of
 rules and urls are sorted together, and one sweep over them keeps a stack of the rules that are open.
 
+A url has a key for each number of labels that some rule's host has, and one for its whole host.
+
 Keys are dealt out by ranges that a sample of the urls gives. A rule goes to every range that its
 interval touches, and a key so frequent that it takes several ranges is spread over all of them, so
 no range holds more than its share. Of all rules that fit a url, the longest wins.
@@ -78,14 +80,27 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     )
 
 
-def _host_endings(urls: DataFrame) -> DataFrame:
-    """One row for each ending of each url's host, with its key."""
+def _host_endings(urls: DataFrame, depths: list[int]) -> DataFrame:
+    """One row for each ending of each url's host that a rule can have, and for the whole host.
+
+    ``depths`` are the numbers of labels of the rules' hosts, so a host with many labels makes no
+    more rows than others. ``place`` is 0 for the whole host.
+    """
     labels = F.split("host", r"\.")
-    ending = F.slice(labels, F.col("place") + 1, F.size(labels))
+    known = F.array(*[F.lit(depth) for depth in depths]) if depths else F.array().cast("array<int>")
+    own = F.size(labels)
+    wanted = F.array_union(F.filter(known, lambda depth: depth < own), F.array(own))
     return (
         urls.where(F.col("host") != "")
-        .select("*", F.explode(F.sequence(F.lit(0), F.size(labels) - 1)).alias("place"))
-        .select("*", F.concat(_reversed(ending), F.lit(SEPARATOR), "path").alias("key"))
+        .select("*", F.explode(wanted).alias("depth"))
+        .select("*", (own - F.col("depth")).alias("place"))
+        .select(
+            *urls.columns,
+            "place",
+            F.concat(
+                _reversed(F.slice(labels, F.col("place") + 1, F.col("depth"))), F.lit(SEPARATOR), "path"
+            ).alias("key"),
+        )
     )
 
 
@@ -166,7 +181,7 @@ def judge(
         host_of(F.col(url)).alias("host"),
         path_of(F.col(url)).alias("path"),
     )
-    endings = _host_endings(urls)
+    endings = _host_endings(urls, sorted({rule.host.count(".") + 1 for rule in rules}))
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ends = _range_ends(endings, ranges)
     # A key that is the end of several ranges may be in any of them.

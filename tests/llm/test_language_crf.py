@@ -112,3 +112,29 @@ def test_rare_languages_and_those_of_long_documents_are_learned(spark):
     found = {r["doc_id"]: r["lang_pred"] for r in crf.identify(docs, learned).collect()}
     assert sum(found[row] == language for row, _, language in rows) > 0.97 * len(rows)
     assert all(found[row] == language for row, _, language in rows if row >= 2_000)
+
+
+def test_two_hundred_languages_take_bounded_memory():
+    """The model and the scores that a task keeps, with as many languages as are learned."""
+    draw = np.random.default_rng(8)
+    languages = [f"l{at:03d}" for at in range(crf.LANGUAGES)]
+    weights = draw.normal(size=(1 << crf.BUCKET_BITS, len(languages))).astype(np.float32)
+    model = crf.Crf(languages, {}, weights, np.zeros((len(languages),) * 2))
+    labeller = crf.Labeller(model)
+    for part in range(12):
+        words = " ".join(f"word{part}x{at}" for at in range(10_000))
+        assert labeller.text_languages([words])[0][0] in languages
+        assert labeller._scores.nbytes <= 4 * (crf.KNOWN_SCORES + 10_000 * len(languages))
+    assert weights.nbytes + labeller._scores.nbytes < 200_000_000
+
+
+def test_some_of_every_language_are_learned_from(spark):
+    """A frequent language doesn't crowd out rare ones, and ids that repeat count once."""
+    rows = [(at, f"die der das {at}", "de", at % 3) for at in range(3_000)]
+    rows += [(10_000 + at // 2, f"the of and {at // 2}", "en", 0) for at in range(80)]
+    rows += [(20_000 + at, f"le la les {at}", "fr", 0) for at in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, part int")
+    model = crf.train(docs, rows=30)
+    assert model.languages == ["de", "en", "fr"] and model.weights.dtype == np.float32
+    found = crf.Labeller(model).text_languages(["die der", "of the", "les la"])
+    assert [language for language, _ in found] == ["de", "en", "fr"]

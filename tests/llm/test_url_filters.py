@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from clicktide.llm import url_filters as filters
 from clicktide.llm.url_filters import Rule
@@ -75,3 +76,13 @@ def test_long_url(spark):
     url = "http://" + "a." * 500 + "com/" + "x" * 100_000
     pages = spark.createDataFrame([(1, url)], "page_id long, url string")
     assert tuple(filters.judge(pages, RULES).first())[3:] == ("com/", "allow")
+
+
+def test_hosts_with_very_many_labels(spark):
+    """A row for each depth of the rules and one for the whole host, however many labels there are."""
+    urls = ["http://" + "a." * 100_000 + end for end in ("www.example.com/en/x", "b.net/", "other/")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = sorted((row["page_id"], row["rule"], row["verdict"]) for row in filters.judge(pages, RULES).collect())
+    assert found == [(at, *brute(url)[2:]) for at, url in enumerate(urls)]
+    hosts = pages.select(filters.host_of(F.col("url")).alias("host"), filters.path_of(F.col("url")).alias("path"))
+    assert filters._host_endings(hosts, [1, 2, 3]).count() == 12
