@@ -24,7 +24,7 @@ import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from datetime import date, datetime
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +34,7 @@ from clicktide.contracts import AGG_KEYS, AGG_VALUES, CAMPAIGN_AGG_SCHEMA, confo
 from clicktide.functions.store import Store
 from clicktide.functions.times import moment
 from clicktide.operators.checks import require_contract
+from clicktide.session import session_options
 
 CHANGELOG_SCHEMA = T.StructType(
     [
@@ -48,6 +49,17 @@ BLOOM_CAMPAIGNS = 100_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_ROWS = 1_000
 
+# The window's end in microseconds since 1970, a column of the files only.
+END_NUMBER = "window_end_us"
+
+# Times as numbers, whose statistics can be used; by default they are written in a form without.
+FILE_OPTIONS = {"spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
+FOOTER_OPTIONS = {
+    "spark.sql.sources.useV1SourceList": "",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
 # The last number that this process knows to be taken, by table.
 _last_claims: dict[str, int] = {}
 
@@ -150,21 +162,25 @@ class CampaignTable:
         spread by key over that many tasks instead, whatever its size.
         """
         rows = df.withColumn("window_date", F.to_date("window_end"))
+        # Parquet keeps the greatest number of a file in its footer, but Spark asks for no time there,
+        # and looks for the column at its place in the schema that is read: so it comes first.
+        rows = rows.select(F.unix_micros("window_end").alias(END_NUMBER), "*")
         if files:
             rows = rows.repartition("window_date", F.pmod(F.xxhash64(*AGG_KEYS), F.lit(files)))
         else:
             rows = rows.hint("rebalance", "window_date")
         writer = rows.sortWithinPartitions("window_date", *order).write
-        (
-            writer.mode("append")
-            .option("parquet.bloom.filter.enabled#campaign_id", "true")
-            .option("parquet.bloom.filter.expected.ndv#campaign_id", str(BLOOM_CAMPAIGNS))
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .option("parquet.block.size", str(row_group_bytes))
-            .option("parquet.page.row.count.limit", str(PAGE_ROWS))
-            .partitionBy(*folders)
-            .parquet(path)
-        )
+        with session_options(df.sparkSession, FILE_OPTIONS):
+            (
+                writer.mode("append")
+                .option("parquet.bloom.filter.enabled#campaign_id", "true")
+                .option("parquet.bloom.filter.expected.ndv#campaign_id", str(BLOOM_CAMPAIGNS))
+                .option("parquet.bloom.filter.adaptive.enabled", "true")
+                .option("parquet.block.size", str(row_group_bytes))
+                .option("parquet.page.row.count.limit", str(PAGE_ROWS))
+                .partitionBy(*folders)
+                .parquet(path)
+            )
 
     # --- reading -------------------------------------------------------------------------------
 
@@ -211,6 +227,35 @@ class CampaignTable:
         days = {date.fromisoformat(day) for day in self.last_fold(spark).dates}
         return max(days | self.dates_of(spark, self.unfolded(spark)), default=None)
 
+    def newest_end(self, spark: SparkSession) -> datetime | None:
+        """The end of the newest window, from the footers of the last date's files; no row is read."""
+        rows = self._end_numbers(spark)
+        if rows is None:
+            return None
+        # Only the second version of Spark's Parquet source asks the footers.
+        with session_options(spark, FOOTER_OPTIONS):
+            last = self.max_end(rows).first()[0]
+        return None if last is None else _EPOCH + timedelta(microseconds=last)
+
+    @staticmethod
+    def max_end(numbers: DataFrame) -> DataFrame:
+        return numbers.agg(F.max(END_NUMBER).alias(END_NUMBER))
+
+    def _end_numbers(self, spark: SparkSession) -> DataFrame | None:
+        """The ends in the files of the last date."""
+        day = self.newest_date(spark)
+        if day is None:
+            return None
+        store, fold = Store(spark, self.root), self.last_fold(spark)
+        folders = store.paths(f"version=*/window_date={day.isoformat()}")
+        new = {f"version={number}" for number in self.unfolded(spark)}
+        found = [path for path in folders if path.split("/")[0] in new]
+        if name := fold.dates.get(day.isoformat()):
+            found.append(f"folded/window_date={day.isoformat()}/fold={name}")
+        with session_options(spark, FOOTER_OPTIONS):
+            reader = spark.read.schema(f"{END_NUMBER} long")
+            return reader.parquet(*[f"{self.root}/{path}" for path in found])
+
     @staticmethod
     def _newest(rows: DataFrame) -> DataFrame:
         newest = [F.max_by(name, "version").alias(name) for name in AGG_VALUES]

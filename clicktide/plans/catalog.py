@@ -30,7 +30,7 @@ from clicktide.operators.windows import (
 from clicktide.plans import serving
 from clicktide.plans.backfill import backfill, reconcile
 from clicktide.plans.totals import CampaignTotals
-from clicktide.session import ROCKSDB, fresh_folder, materialize, use_utc
+from clicktide.session import ROCKSDB, fresh_folder, materialize, session_options, use_utc
 from clicktide.sources.events import (
     as_events,
     event_batch,
@@ -45,7 +45,6 @@ from clicktide.streaming.runner import (
     BatchSink,
     StreamSettings,
     finish,
-    session_options,
     start_campaign_stream,
     start_rejects_stream,
     table_sink,
@@ -192,14 +191,9 @@ def _stored(spark: SparkSession, sf_dir: str) -> CampaignTable:
     return _stored_tables[key]
 
 
-def _newest_end(spark: SparkSession, table: CampaignTable) -> DataFrame:
-    return serving.newest_end(table.latest(spark, since=table.newest_date(spark)))
-
-
 def _stored_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _stored(spark, sf_dir)
-    newest = _newest_end(spark, table)
-    return serving.stored_trailing_windows(spark, table, SERVING_HORIZON, newest)
+    return serving.stored_trailing_windows(spark, table, SERVING_HORIZON, table.newest_end(spark))
 
 
 @_query

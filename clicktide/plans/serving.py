@@ -172,9 +172,14 @@ def latest_window_ranked(frame: DataFrame) -> DataFrame:
 
 
 def stored_latest_window(spark: SparkSession, table: CampaignTable) -> DataFrame:
-    """``latest_window`` of the file table: only the folder of its last date is read."""
-    day = table.newest_date(spark)
-    return latest_window(table.latest(spark, since=day))
+    """``latest_window`` of the file table: the rows of its last date that end when it ends.
+
+    The end comes from the files' footers, so the rows are filtered at the scan.
+    """
+    newest = table.newest_end(spark)
+    if newest is None:
+        return table.latest(spark)
+    return table.latest(spark, since=newest).where(F.col("window_end") == F.lit(newest))
 
 
 def register_views(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from clicktide.functions.codec import decode_rejects
@@ -14,7 +13,7 @@ from clicktide.operators.database import DatabaseUpsert
 from clicktide.operators.staged import StagedUpsert
 from clicktide.operators.table import CampaignTable
 from clicktide.operators.windows import USERS_RSD, WINDOW_WIDTH, campaign_windows
-from clicktide.session import ROCKSDB
+from clicktide.session import ROCKSDB, session_options
 
 # Allowed lateness and time between micro-batches.
 WATERMARK = "30 seconds"
@@ -40,23 +39,6 @@ class StreamSettings:
     large_state: bool = False
 
 
-@contextmanager
-def session_options(spark: SparkSession, options: dict[str, str | None]) -> Iterator[None]:
-    """Set options for a while. A stream copies its session's settings when it starts."""
-    wanted = {key: value for key, value in options.items() if value is not None}
-    before = {key: spark.conf.get(key, None) for key in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
-
-
 def _triggered(writer: DataStreamWriter, settings: StreamSettings) -> DataStreamWriter:
     writer = writer.option("checkpointLocation", settings.checkpoint)
     if settings.trigger is None:

@@ -16,12 +16,13 @@ from clicktide.contracts import (
 )
 from clicktide.operators.checks import contract_violations, require_contract
 from clicktide.operators.database import DatabaseUpsert, postgres_upsert
-from clicktide.operators.table import PAGE_ROWS, CampaignTable, Versions, _last_claims
+from clicktide.operators.table import FOOTER_OPTIONS, PAGE_ROWS, CampaignTable, Versions, _last_claims
 from clicktide.plans.serving import (
     register_views,
     stored_latest_window,
     stored_trailing_windows,
 )
+from clicktide.session import session_options
 from helpers import agg_rows, at, plan, tuples
 from journal import Connect, notes
 
@@ -368,6 +369,23 @@ def test_row_groups_without_a_campaign_are_passed_over(spark, table, tmp_path):
     assert _rows_scanned(one) < 0.05 * stored.count()
 
 
+def test_a_recent_slice_passes_over_older_rows(spark, table):
+    """Rows are in the order of window ends, whose statistics prune pages and row groups."""
+    table.upsert(_many_campaigns(spark, DAY * 0, campaigns=100, windows=200), files=1)
+    shifted = _many_campaigns(spark, DAY * 0, campaigns=100, windows=200).withColumns(
+        {
+            name: F.col(name) + F.expr("make_dt_interval(0, 0, 0, cast(clicks as int))")
+            for name in ("window_start", "window_end")
+        }
+    )
+    table.upsert(shifted, files=1)
+    rows = table.changelog(spark).where(F.col("version") == 1)
+    end = rows.agg(F.max("window_end")).first()[0]
+    recent = rows.where(F.col("window_end") > F.lit(end - timedelta(minutes=15)))
+    assert 0 < recent.count() < 1_000 and rows.count() == 20_000
+    assert _rows_scanned(recent) <= 2 * PAGE_ROWS
+
+
 def test_trailing_read_prunes_dates_and_stays_a_hash_aggregate(spark, table):
     table.upsert(_rows(spark, *[(W1 - DAY * i, "x", i, i) for i in range(5)]))
     rows = stored_trailing_windows(spark, table, "1 hour", at("10:30:00"))
@@ -387,6 +405,21 @@ def test_latest_window_reads_the_last_date_only(spark, table):
     assert "PartitionFilters: []" not in text
 
 
+def test_the_newest_end_comes_from_footers(spark, table):
+    assert table.newest_end(spark) is None and stored_latest_window(spark, table).count() == 0
+    table.upsert(_rows(spark).where("false"))
+    assert table.newest_end(spark) is None
+    table.upsert(_rows(spark, *[(W1 - DAY * i, "x", i, i) for i in range(3)]))
+    table.upsert(_rows(spark, (W2, "y", 1, 1), (W1, "y", 1, 1)))
+    for _ in range(2):
+        assert table.newest_end(spark) == W2 + STEP
+        assert _clicks(stored_latest_window(spark, table)) == [(10, "y", 1)]
+        with session_options(spark, FOOTER_OPTIONS):
+            text = plan(CampaignTable.max_end(table._end_numbers(spark)))
+        assert "PushedAggregation: [MAX(window_end_us)]" in text
+        table.compact(spark)
+
+
 def test_slice_over_midnight(spark, table):
     midnight = at("00:00:00")
     table.upsert(_rows(spark, (midnight - STEP * 2, "x", 1, 1), (midnight, "x", 2, 1)))
