@@ -16,8 +16,8 @@ classes count as whole names, and never against an element with most of the page
 Pages are dealt out by host; a host with many pages is dealt out over as many tasks as it has parts
 of ``PART`` pages, chosen by a hash, so no task and no host is too large. Only hosts above a share of
 all pages are listed for that, so the list has at most ``MAX_LISTED`` rows, and is broadcast. Within
-a part the slots are induced from all its pages together: every page is aligned with ``REFERENCES``
-of them, from small to large, and judged by the one that has most in common with it.
+a part the slots are induced from all its pages together: they are aligned with the one of middle
+size, and those that have little in common with it with one of their own, up to ``REFERENCES`` times.
 
 A copy of the reference says nothing about the template. So a page that has the reference's content,
 or most of its long texts, has no vote; nor one with its title and most of its characters, if at
@@ -47,8 +47,10 @@ from clicktide.llm.arrow import Batches
 from clicktide.llm.html_tree import BLOCK, TEXT, Matching, Node, parse
 from clicktide.llm.url_filters import host_of
 
-PART = 256
+PART = 128
 REFERENCES = 3
+# A page is like a reference if at least this share of the smaller one's nodes are aligned.
+FIT_SHARE = 0.5
 MAX_LISTED = 100_000
 MIN_VOTES = 3
 MIN_SAME = 0.6
@@ -357,24 +359,29 @@ def extract_site(trees: list[Node]) -> list[str]:
     contents = [article_texts(weigh(tree)) for tree in trees]
     if len(trees) <= MIN_VOTES:
         return [joined(texts) for texts in contents]
-    by_size = sorted(trees, key=lambda tree: tree.size)
-    count = min(REFERENCES, 1 + len(trees) // 16)
-    chosen = [by_size[(2 * at + 1) * len(trees) // (2 * count)] for at in range(count)]
-    templates = [Template(reference) for reference in chosen]
-    aligned: list[list[Aligned]] = []
-    for tree, texts in zip(trees, contents, strict=True):
-        own = []
-        for template in templates:
-            own.append(Aligned(list(Matching(tree, template.reference).pairs())))
-            template.take(tree, texts, own[-1])
-        aligned.append(own)
-    for template in templates:
+    found = [""] * len(trees)
+    rest = list(range(len(trees)))
+    for left in range(REFERENCES - 1, -1, -1):
+        reference = trees[sorted(rest, key=lambda at: trees[at].size)[len(rest) // 2]]
+        aligned = {at: Aligned(list(Matching(trees[at], reference).pairs())) for at in rest}
+        unlike = [
+            at
+            for at in rest
+            if len(aligned[at].pairs) < FIT_SHARE * min(trees[at].size, reference.size)
+        ]
+        if not left or len(unlike) <= MIN_VOTES:
+            unlike = []
+        template, apart = Template(reference), set(unlike)
+        fitting = [at for at in rest if at not in apart]
+        for at in fitting:
+            template.take(trees[at], contents[at], aligned[at])
         template.induce()
-    found = []
-    for tree, texts, own in zip(trees, contents, aligned, strict=True):
-        best = max(range(count), key=lambda at: (len(own[at].pairs), -at))
-        marked = bool(_marked_texts(tree))
-        found.append(templates[best].text(tree, texts, own[best], marked))
+        for at in fitting:
+            marked = bool(_marked_texts(trees[at]))
+            found[at] = template.text(trees[at], contents[at], aligned[at], marked)
+        rest = unlike
+        if not rest:
+            break
     return found
 
 
