@@ -249,7 +249,7 @@ def join_tree(path: str, parts: list[np.ndarray], within: list[bool]) -> np.ndar
 Digest = Callable[[list[list[int]]], list[tuple]]
 
 
-def _pieces(long: DataFrame, path: str) -> DataFrame:
+def _pieces(long: DataFrame, path: str, piece_chars: int) -> DataFrame:
     """One row for each piece of every long text, with its place."""
     fields = [long.schema["row"], long.schema["doc_id"]]
     schema = StructType(
@@ -265,7 +265,7 @@ def _pieces(long: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             rows, ids = batch.column("row"), batch.column("doc_id")
             for at, text in enumerate(batch.column("text").to_pylist()):
-                parts = cut(path, text)
+                parts = cut(path, text, piece_chars)
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -288,11 +288,14 @@ def encode(
     text: str = "text",
     finish: Digest | None = None,
     result: StructType | None = None,
+    long_chars: int = LONG_CHARS,
+    piece_chars: int = PIECE_CHARS,
 ) -> DataFrame:
     """Per row: the id and what ``finish`` makes of the ids of its text; by default ``ids`` itself.
 
     ``finish`` gets lists of ids and returns as many tuples with the fields of ``result``. Ids of a
-    long text meet in one task only at the end, a text at a time.
+    long text meet in one task only at the end, a text at a time. Texts above ``long_chars`` are cut
+    into pieces of ``piece_chars``; neither changes the result.
     """
     finish = finish or (lambda lists: [(ids,) for ids in lists])
     result = result or StructType([StructField("ids", ArrayType(IntegerType()))])
@@ -300,7 +303,7 @@ def encode(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     schema = StructType([rows.schema["doc_id"], *result.fields])
-    is_long = F.length("text") > LONG_CHARS
+    is_long = F.length("text") > long_chars
 
     def make_short() -> Callable[[list], list]:
         return lambda texts: finish(encode_whole(path, texts))
@@ -312,7 +315,7 @@ def encode(
     numbered = rows.where(is_long).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "text"
     )
-    pieces = _pieces(numbered, path).repartition("row", "place")
+    pieces = _pieces(numbered, path, piece_chars).repartition("row", "place")
     kept = [pieces.schema[name] for name in ("row", "doc_id", "place", "within")]
     part_schema = StructType([*kept, StructField("ids", ids_type)])
 
@@ -374,7 +377,20 @@ def digests(path: str) -> Digest:
 
 
 def encode_digests(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text: str = "text",
+    long_chars: int = LONG_CHARS,
+    piece_chars: int = PIECE_CHARS,
 ) -> DataFrame:
     """Per row: the id, ``n_tokens`` and the hashes of the ids and of the decoded text."""
-    return encode(docs, path, id_col, text, digests(path), DIGESTS)
+    return encode(docs, path, id_col, text, digests(path), DIGESTS, long_chars, piece_chars)
+
+
+# What is left of a text without white space, in SQL.
+UNSPLIT_SQL = """
+SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS decoded_sha256,
+       TRUE AS same_as_whole
+FROM documents
+"""

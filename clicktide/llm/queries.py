@@ -39,6 +39,9 @@ URL_RULES = [
     url_filters.Rule("block", "net", "/fr/"),
 ]
 
+# White space between words, as the other side of WORD_PATTERN.
+WORD_GAP = r"[\x20\x09-\x0D]+"
+
 _registered: dict[str, Query] = {}
 
 
@@ -138,6 +141,31 @@ def quotation_of_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "root_turn", "depth", "reply_to", "linked", "text")
 
 
+@_query
+def quotation_of_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations rewritten as mail in which each message quotes one of the five before it."""
+    mail = quotation.as_branching_mail(table(spark, sf_dir, "conversations"))
+    found = quotation.reply_order(mail)
+    return found.select("conv_id", "turn", "root_turn", "depth", "reply_to", "linked", "text")
+
+
+@_query
+def bpe_of_unsplit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without white space, cut into short pieces and joined, against texts in one piece."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), WORD_GAP, "").alias("text")
+    )
+    joined = bpe.encode_digests(docs, BYTE_BPE, long_chars=256, piece_chars=64)
+    whole = bpe.encode_digests(docs, BYTE_BPE, long_chars=1 << 30)
+    of_whole = whole.dropDuplicates().select(
+        "doc_id", "decoded_sha256", F.col("ids_sha256").alias("whole_sha256")
+    )
+    same = (F.col("ids_sha256") == F.col("whole_sha256")).alias("same_as_whole")
+    return joined.join(of_whole, ["doc_id", "decoded_sha256"], "left").select(
+        "doc_id", "decoded_sha256", F.coalesce(same, F.lit(False)).alias("same_as_whole")
+    )
+
+
 ORACLE = {
     "op5_url_filters": url_filters.oracle_sql(URL_RULES),
     "op8_mixing": mixing.DECIDE_SQL,
@@ -145,4 +173,6 @@ ORACLE = {
     "op12_vector_codes": vector_codes.CODES_SQL,
     "op13_bottom_k": bottom_k.COMPONENTS_SQL,
     "quotation_of_mail": quotation.MAIL_SQL,
+    "quotation_of_branches": quotation.BRANCHES_SQL,
+    "bpe_of_unsplit_text": bpe.UNSPLIT_SQL,
 }

@@ -325,6 +325,47 @@ def as_quoting_mail(
     return joined.withColumn(text, own).select(*messages.columns)
 
 
+# A message of the branching mail answers one of so many before it.
+BRANCHES = 5
+
+
+def as_branching_mail(
+    messages: DataFrame,
+    conv: str = "conv_id",
+    turn: str = "turn",
+    text: str = "text",
+) -> DataFrame:
+    """The same messages as mail in which each quotes one of the ``BRANCHES`` before it, by a hash.
+
+    The message that is quoted stands at the first level, the one that it quotes itself at the
+    second, both above the message's own text. For turns that are numbered from 0 on.
+    """
+    digest = F.md5(F.concat_ws(":", F.col(conv).cast("string"), F.col(turn).cast("string")))
+    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    back = F.pmod(number, F.least(F.col(turn).cast("long"), F.lit(BRANCHES)))
+    target = F.when(F.col(turn) > 0, F.col(turn) - 1 - back)
+    own = messages.withColumn("__target", target)
+    first = own.select(
+        F.col(conv),
+        F.col(turn).alias("__target"),
+        F.col(text).alias("__first"),
+        F.col("__target").alias("__second_target"),
+    )
+    second = messages.select(
+        F.col(conv), F.col(turn).alias("__second_target"), F.col(text).alias("__second")
+    )
+    joined = own.join(first, [conv, "__target"], "left")
+    joined = joined.join(second, [conv, "__second_target"], "left")
+
+    def quoted(name: str, level: int) -> Column:
+        lines = F.regexp_replace(F.col(name), r"(?md)^", "> " * level)
+        return F.coalesce(F.concat(lines, F.lit("\n")), F.lit(""))
+
+    # The nested quote comes first, as in mail that is answered below.
+    whole = F.concat(quoted("__second", 2), quoted("__first", 1), F.col(text))
+    return joined.withColumn(text, whole).select(*messages.columns)
+
+
 # Where no message of the table quotes, each answers the one before it.
 ORDER_SQL = """
 SELECT conv_id, min(turn) OVER (PARTITION BY conv_id) AS root_turn,
@@ -344,3 +385,24 @@ SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS root_turn,
 FROM conversations
 WINDOW places AS (PARTITION BY conv_id ORDER BY turn)
 """
+
+# In the branching mail a message answers the latest earlier one with the text that it quotes.
+BRANCHES_SQL = f"""
+WITH RECURSIVE aimed AS (
+  SELECT *, CASE WHEN turn > 0 THEN turn - 1 -
+      CAST('0x' || substr(md5(conv_id || ':' || turn), 1, 8) AS BIGINT) % least(turn, {BRANCHES}) END AS target
+  FROM conversations),
+replies AS (
+  SELECT a.conv_id, a.turn, any_value(a.text) AS text, max(o.turn) AS reply_to
+  FROM aimed a
+  LEFT JOIN conversations t ON t.conv_id = a.conv_id AND t.turn = a.target
+  LEFT JOIN conversations o ON o.conv_id = a.conv_id AND o.turn < a.turn AND o.text = t.text
+  GROUP BY a.conv_id, a.turn),
+ways AS (
+  SELECT conv_id, turn, turn AS root_turn, CAST(0 AS BIGINT) AS depth FROM replies WHERE reply_to IS NULL
+  UNION ALL
+  SELECT r.conv_id, r.turn, w.root_turn, w.depth + 1
+  FROM replies r JOIN ways w ON w.conv_id = r.conv_id AND w.turn = r.reply_to)
+SELECT conv_id, turn, root_turn, depth, reply_to, reply_to IS NOT NULL AS linked, text
+FROM replies JOIN ways USING (conv_id, turn)
+"""

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from clicktide.llm import bpe
+from clicktide.llm import bpe, queries
 from clicktide.llm.queries import BYTE_BPE
 
 PIECES = ["a", "b", "the", "é", "ß", " ", "  ", "\n", "!", "'", "'s", "1", "23", "漢", "😀", "ing"]
@@ -85,3 +85,19 @@ def test_whole_table_like_the_library(spark):
     found = {row["doc_id"]: tuple(row)[1:] for row in bpe.encode_digests(docs, BYTE_BPE).collect()}
     texts = {row["doc_id"]: row["text"] for row in docs.collect()}
     assert found == {key: digest(text or "") for key, text in texts.items()}
+
+
+def test_unsplit_texts_are_joined_by_windows(spark, monkeypatch):
+    """The registered twin: whole texts without white space, most of them joined piece by piece."""
+    found = queries.all_queries()["bpe_of_unsplit_text"](spark, "/root/testdata/sf0.001").collect()
+    assert found and all(row["same_as_whole"] for row in found)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    texts = ["".join((row["text"] or "").split()) for row in docs][:60]
+    joins = []
+    join = bpe.join_ids
+    monkeypatch.setattr(bpe, "join_ids", lambda *args: joins.append(1) or join(*args))
+    for text in texts:
+        pieces = bpe.cut(BYTE_BPE, text, 8)
+        ids = [np.array(x, dtype=np.int32) for x in bpe.encode_whole(BYTE_BPE, [p for p, _ in pieces])]
+        assert bpe.join_tree(BYTE_BPE, ids, [within for _, within in pieces]).tolist() == library(text)
+    assert len(joins) > 100

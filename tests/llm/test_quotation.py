@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -121,3 +122,22 @@ def test_edge_rows(spark):
         (2, None): (None, 0, None), (3, 5): (5, 0, None),
     }
     assert quotation.reply_order(frame.where("false")).collect() == []
+
+
+def test_branching_mail_is_put_back(spark):
+    """Replies are not to the message before, and differ from what a reader without quotes would say."""
+    messages = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    mail = quotation.as_branching_mail(messages)
+    assert mail.where("text like '> > %' and text like '%\n> %'").count() > 0
+    found = {(r["conv_id"], r["turn"]): r for r in quotation.reply_order(mail).collect()}
+    texts = {(r["conv_id"], r["turn"]): r["text"] for r in messages.collect()}
+    other = 0
+    for (conv, turn), row in found.items():
+        assert row["text"] == texts[conv, turn] and row["linked"] == bool(turn)
+        if turn:
+            digest = hashlib.md5(f"{conv}:{turn}".encode()).hexdigest()
+            target = turn - 1 - int(digest[:8], 16) % min(turn, quotation.BRANCHES)
+            same = [t for (c, t), text in texts.items() if c == conv and t < turn and text == texts[conv, target]]
+            assert row["reply_to"] == max(same)
+            other += row["reply_to"] != turn - 1
+    assert other > 0.3 * len(found)
