@@ -11,8 +11,10 @@ As the inner product also grows with length, indexed vectors get one more coordi
 of them equally long; queries have zero there. Planes don't depend on the data. The floor and the
 number of candidates do, for each dimension: on up to ``TUNING_QUERIES`` queries, compared with all
 vectors, the deepest floor and the fewest candidates are chosen that find the target share of the
-true neighbours. That is done for the ``TUNED`` dimensions with most vectors; in others every query
-is compared with all vectors.
+true neighbours. The number of trees is one of ``TREE_CHOICES``: that with the least estimated cost
+of moving vectors and comparing them, as more trees move each vector more often and, for the same
+share of neighbours found, compare fewer. All this is done for the ``TUNED`` dimensions with most
+vectors; in others every query is compared with all vectors.
 
 The trees are dealt out by their first bits, up to the floor, and into blocks of at most
 ``BLOCK`` vectors; a block is held by one task, queries pass by in a stream. Equal vectors are one,
@@ -30,17 +32,22 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from clicktide.llm.arrow import Batches
 from clicktide.session import materialize
 
 TREES = 16
+TREE_CHOICES = (4, 8, 16)
 BITS = 32
+# Microseconds to move a vector to a tree, and to compare two vectors.
+MOVE_COST, COMPARE_COST = 20.0, 0.06
 # Prefixes are dealt out by a list of all of them, which this keeps small.
 MAX_FLOOR = 10
 BLOCK = 32_768
@@ -52,20 +59,22 @@ SEED = 17
 _ROW = "key binary, dim int, vector binary, norm double, vec_id long"
 
 
+@lru_cache(maxsize=4)
 def planes(dim: int) -> np.ndarray:
     """The planes of all trees for vectors of this dimension and their added coordinate."""
     return np.random.default_rng([SEED, dim]).standard_normal((dim + 1, TREES * BITS))
 
 
-def codes(vectors: np.ndarray, longest: float, queries: bool) -> np.ndarray:
-    """The strings of bits of vectors in every tree, as whole numbers."""
+def codes(vectors: np.ndarray, longest: float, queries: bool, trees: int = TREES) -> np.ndarray:
+    """The strings of bits of vectors in the first trees, as whole numbers."""
     lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     if queries:
         placed = np.column_stack([vectors / lengths[:, None], np.zeros(len(vectors))])
     else:
         added = np.sqrt(np.maximum(0.0, 1 - (lengths / longest) ** 2))
         placed = np.column_stack([vectors / longest, added])
-    bits = (placed @ planes(vectors.shape[1]) > 0).reshape(len(vectors), TREES, BITS)
+    sides = placed @ planes(vectors.shape[1])[:, : trees * BITS]
+    bits = (sides > 0).reshape(len(vectors), trees, BITS)
     weights = np.left_shift(np.int64(1), np.arange(BITS - 1, -1, -1, dtype=np.int64))
     return bits @ weights
 
@@ -81,7 +90,8 @@ def shared_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _valid(rows: DataFrame) -> DataFrame:
-    """Rows with an id and a vector that takes part."""
+    """Rows with an id and a vector that takes part; its numbers stay in the precision they have."""
+    kind = np.float32 if rows.schema["vector"].dataType == ArrayType(FloatType()) else np.float64
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +105,8 @@ def _valid(rows: DataFrame) -> DataFrame:
                     # Zeros of either sign are one.
                     data = (vector + 0.0).tobytes()
                     length = float(np.sqrt(vector @ vector))
-                    made.append((hashlib.md5(data).digest(), len(vector), data, length, row))
+                    kept = (vector + 0.0).astype(kind).tobytes()
+                    made.append((hashlib.md5(data).digest(), len(vector), kept, length, row))
             columns = list(zip(*made)) or [[]] * 5
             kinds = [pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -174,9 +185,15 @@ def _distinct_vectors(valid: DataFrame, keep: int, every: int) -> DataFrame:
     return materialize(numbered, "vectors")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype=np.float64).reshape(len(values), -1)
+def _matrix(values: list[bytes], dim: int) -> np.ndarray:
+    """Vectors of one dimension in double precision, from either precision."""
+    kind = np.float32 if values and len(values[0]) == 4 * dim else np.float64
+    return np.frombuffer(b"".join(values), dtype=kind).astype(np.float64).reshape(len(values), dim)
+
+
+def _vectors(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """The vectors of rows of one dimension."""
+    return _matrix(rows.column("vector").to_pylist(), rows.column("dim")[0].as_py())
 
 
 def _by_dimension(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -193,6 +210,7 @@ class Plan:
     """Prefixes are no shorter than ``floor``; a query stops at ``enough`` candidates."""
 
     longest: float
+    trees: int
     floor: int
     enough: int
 
@@ -204,7 +222,7 @@ class Plans:
     tuned: dict[int, Plan]
 
     def of(self, dim: int) -> Plan:
-        return self.tuned.get(dim, Plan(1.0, 0, 1 << 62))
+        return self.tuned.get(dim, Plan(1.0, 1, 0, 1 << 62))
 
     def column(self, name: str) -> Column:
         """A number of the plan that belongs to a row's ``dim``."""
@@ -216,14 +234,20 @@ class Plans:
 
 def _tune(vectors: DataFrame, k: int, target: float) -> Plans:
     """Choose floors and numbers of candidates by comparing some queries with all vectors."""
-    longest = {
-        row["dim"]: row["longest"] or 1.0
-        for row in vectors.groupBy("dim")
-        .agg(F.max("norm").alias("longest"), F.count(F.lit(1)).alias("vectors"))
+    dims = (
+        vectors.groupBy("dim")
+        .agg(
+            F.max("norm").alias("longest"),
+            F.count(F.lit(1)).alias("vectors"),
+            F.count_if("is_query").alias("queries"),
+        )
         .orderBy(F.col("vectors").desc(), "dim")
         .limit(TUNED)
         .collect()
-    }
+    )
+    longest = {row["dim"]: row["longest"] or 1.0 for row in dims}
+    queries_of = {row["dim"]: row["queries"] for row in dims}
+    size_of = {row["dim"]: row["vectors"] for row in dims}
     # At most TUNED * TUNING_QUERIES vectors go to the tasks.
     asked = {}
     for dim in longest:
@@ -237,7 +261,7 @@ def _tune(vectors: DataFrame, k: int, target: float) -> Plans:
         if chosen:
             asked[dim] = (
                 np.array([row["number"] for row in chosen]),
-                np.array([np.frombuffer(row["vector"]) for row in chosen]),
+                _matrix([bytes(row["vector"]) for row in chosen], dim),
             )
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -248,29 +272,36 @@ def _tune(vectors: DataFrame, k: int, target: float) -> Plans:
                     continue
                 numbers, queries = asked[dim]
                 own = part.column("number").to_numpy()
-                points = _matrix(part.column("vector"))
+                points = _vectors(part)
                 scores = queries @ points.T
                 query_codes = codes(queries, longest[dim], queries=True)
                 point_codes = codes(points, longest[dim], queries=False)
                 for at, number in enumerate(numbers):
                     shared = shared_bits(query_codes[at][None, :], point_codes)
                     others = own != number
-                    counts = np.bincount(shared[others].ravel(), minlength=BITS + 1)
+                    # Per number of trees, how many vectors share so many bits in one of them.
+                    counts = [
+                        np.bincount(shared[others, :trees].ravel(), minlength=BITS + 1).tolist()
+                        for trees in TREE_CHOICES
+                    ]
                     best = np.argsort(-np.where(others, scores[at], -np.inf), kind="stable")[:k]
                     best = best[others[best]]
+                    most = np.stack(
+                        [shared[best, :trees].max(axis=1, initial=0) for trees in TREE_CHOICES], axis=1
+                    )
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([number] * (len(best) + 1), pa.int64()),
                             pa.array([*scores[at][best].tolist(), None], pa.float64()),
-                            pa.array([*shared[best].max(axis=1).tolist(), None], pa.int32()),
-                            pa.array([None] * len(best) + [counts.tolist()], pa.list_(pa.int64())),
+                            pa.array([*most.tolist(), None], pa.list_(pa.int32())),
+                            pa.array([None] * len(best) + [sum(counts, [])], pa.list_(pa.int64())),
                         ],
                         names=["number", "score", "shared", "counts"],
                     )
 
     seen = materialize(
         vectors.select("number", "dim", "vector").mapInArrow(
-            run, "number long, score double, shared int, counts array<long>"
+            run, "number long, score double, shared array<int>, counts array<long>"
         ),
         "tuning",
     )
@@ -282,21 +313,44 @@ def _tune(vectors: DataFrame, k: int, target: float) -> Plans:
         .select("number", "shared")
         .collect()
     )
-    sums = [F.sum(F.col("counts")[at]).alias(f"c{at}") for at in range(BITS + 1)]
+    width = BITS + 1
+    sums = [F.sum(F.col("counts")[at]).alias(f"c{at}") for at in range(width * len(TREE_CHOICES))]
     counted = seen.where("counts is not null").groupBy("number").agg(*sums).collect()
     shared = {row["number"]: [] for row in counted}
     for row in nearest:
         shared[row["number"]].append(row["shared"])
-    # Per query, how many candidates have a prefix of each length or more.
-    found = {r["number"]: np.cumsum(list(r)[1:][::-1])[::-1] for r in counted}
     tuned = {}
     for dim, (numbers, _) in asked.items():
-        own = {number: shared[number] for number in numbers.tolist()}
-        if any(own.values()):
-            tuned[dim] = Plan(longest[dim], *_choose(own, {n: found[n] for n in own}, target))
+        plans = []
+        for at, trees in enumerate(TREE_CHOICES):
+            own = {number: [bits[at] for bits in shared[number]] for number in numbers.tolist()}
+            # Per query, how many candidates have a prefix of each length or more.
+            found = {
+                row["number"]: np.cumsum(list(row)[1:][at * width : (at + 1) * width][::-1])[::-1]
+                for row in counted
+                if row["number"] in own
+            }
+            if any(own.values()):
+                floor, enough = _choose(own, found, target)
+                cost = trees * MOVE_COST * size_of[dim]
+                cost += queries_of[dim] * COMPARE_COST * _compared(found, floor, enough)
+                plans.append((cost, Plan(longest[dim], trees, floor, enough)))
+        if plans:
+            tuned[dim] = min(plans, key=lambda plan: plan[0])[1]
     return Plans(tuned)
 
 
+def _level(found: np.ndarray, floor: int, enough: float) -> int:
+    """The length of prefix that a query goes up to, given how many candidates each has."""
+    deep = np.flatnonzero(found >= enough)
+    return max(floor, int(deep[-1]) if len(deep) else 0)
+
+
+def _compared(found: dict[int, np.ndarray], floor: int, enough: float) -> float:
+    """How many vectors a query is compared with, on average."""
+    return float(np.mean([own[_level(own, floor, enough)] for own in found.values()]))
+
+
 def _choose(
     shared: dict[int, list[int]], found: dict[int, np.ndarray], target: float
 ) -> tuple[int, int]:
@@ -306,8 +360,7 @@ def _choose(
     def recall(floor: int, enough: float) -> float:
         hits = 0
         for number, own in shared.items():
-            deep = np.flatnonzero(found[number] >= enough)
-            level = max(floor, int(deep[-1]) if len(deep) else 0)
+            level = _level(found[number], floor, enough)
             hits += sum(bits >= level for bits in own)
         return hits / max(1, len(everything))
 
@@ -335,12 +388,12 @@ def _tree_rows(vectors: DataFrame, plans: Plans, queries: bool) -> DataFrame:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _by_dimension(batch):
-                plan, points = plans.of(part.column("dim")[0].as_py()), _matrix(part.column("vector"))
-                made = codes(points, plan.longest, queries)
+                plan, points = plans.of(part.column("dim")[0].as_py()), _vectors(part)
+                made = codes(points, plan.longest, queries, plan.trees)
                 own = np.zeros_like(made)
                 if queries:
-                    own = shared_bits(made, codes(points, plan.longest, queries=False))
-                for tree in range(TREES):
+                    own = shared_bits(made, codes(points, plan.longest, False, plan.trees))
+                for tree in range(plan.trees):
                     code = made[:, tree]
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -533,7 +586,7 @@ def _own_scores(vectors: DataFrame) -> DataFrame:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _by_dimension(batch):
-                points = _matrix(part.column("vector"))
+                points = _vectors(part)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("number")] * 2 + [pa.array(np.einsum("ij,ij->i", points, points))],
                     names=["query", "number", "own"],
@@ -550,9 +603,9 @@ def _nearest(blocks: DataFrame, k: int) -> DataFrame:
         of, points = None, None
         for block, part in _passing_queries(batches):
             if block is not of:
-                of, points = block, _matrix(block.column("vector"))
+                of, points = block, _vectors(block)
                 own, numbers = block.column("code").to_numpy(), block.column("number").to_numpy()
-            queries, levels = _matrix(part.column("vector")), part.column("level").to_numpy()
+            queries, levels = _vectors(part), part.column("level").to_numpy()
             starts, ends = _ranges(own, part.column("code").to_numpy(), levels.astype(np.int64))
             asked = part.column("number").to_numpy()
             for at in range(0, len(asked), 256):

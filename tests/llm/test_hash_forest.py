@@ -153,3 +153,39 @@ def test_other_ids_of_a_short_query_vector(spark, monkeypatch):
     scores = [s for _, s in found[1_000]]
     # Whatever else is found, nothing below the score of the vector's other ids is.
     assert min(scores) >= 0.25
+
+
+def test_a_query_sees_few_vectors_of_clusters(spark):
+    """The plan that is chosen for clustered vectors compares a query with less than a fifth."""
+    random = np.random.default_rng(11)
+    centres = random.normal(size=(60, 16))
+    vectors = centres[random.integers(0, 60, 3_000)] + 0.05 * random.normal(size=(3_000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    rows = [(at, vector.tolist()) for at, vector in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    distinct = forest._distinct_vectors(forest._valid(frame), 21, 20)
+    plan = forest._tune(distinct, 20, forest.TARGET).of(16)
+    queries = forest.codes(vectors[::20], plan.longest, True, plan.trees)
+    points = forest.codes(vectors, plan.longest, False, plan.trees)
+    rest = forest.BITS - plan.floor
+    same = (queries[:, None, :] >> rest) == (points[None, :, :] >> rest)
+    assert same.any(axis=2).mean() < 0.2, plan
+
+
+def test_recall_of_all_queries(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(row["vec_id"], row["embedding"]) for row in frame.collect()]
+    found, expected = searched(frame), brute(rows)
+    assert {q: len(own) for q, own in found.items()} == {q: len(own) for q, own in expected.items()}
+    assert recall(found, expected) >= 0.95
+
+
+def test_precision_of_numbers(spark):
+    """Numbers in single precision are kept as such, and scored in double precision."""
+    random = np.random.default_rng(12)
+    rows = [(at, vector.tolist()) for at, vector in enumerate(random.normal(size=(60, 8)).astype(np.float32))]
+    for kind in ("float", "double"):
+        frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        found, expected = searched(frame), brute(rows)
+        for query, own in expected.items():
+            assert [s for _, s in found[query]] == pytest.approx([s for _, s in own][: len(found[query])], rel=1e-14)
