@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clicktide.llm.words import WORD_PATTERN
+from clicktide.session import materialize
 
 # The weights of the sources in order, repeating, and the cap on a target.
 WEIGHTS = (1, 2, 3)
@@ -86,6 +87,8 @@ def _draw(id_col: str, text: str) -> Column:
 
 def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """Join the targets to rows by their source; null is a source too."""
+    # One row per source, counted and read without adding up the documents again.
+    targets = materialize(targets, "targets")
     named = targets.select(
         F.col("source").alias("__target_source"), "source_size", "target", "rate"
     )
@@ -105,6 +108,11 @@ def _decided(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
         F.col(source).alias(_SOURCE),
         _draw(id_col, text).alias("__mix_draw"),
     )
+    return _copied(sized)
+
+
+def _copied(sized: DataFrame) -> DataFrame:
+    """Rows with a size, source and draw, with their targets and copies."""
     targets = source_targets(sized.select(_SOURCE, _SIZE), _SOURCE, _SIZE)
     renamed = _with_targets(sized, targets)
     whole = F.floor("rate")
@@ -119,7 +127,14 @@ def decide(
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")
     )
-    return _decided(rows, "doc_id", "text", "source").select(
+    # Without texts, so that each is looked at once.
+    sized = rows.select(
+        "doc_id",
+        size_of("text").alias(_SIZE),
+        F.col("source").alias(_SOURCE),
+        _draw("doc_id", "text").alias("__mix_draw"),
+    )
+    return _copied(materialize(sized, "sizes")).select(
         "doc_id",
         F.col(_SIZE).alias("size"),
         "source_size",
