@@ -320,6 +320,20 @@ def _excerpt() -> Column:
     return F.substring(F.array_join(some, "\n"), 1, LONG_CHARS)
 
 
+def _smallest(known: DataFrame, rows: int) -> DataFrame:
+    """The ids with the smallest hashes; of a large table only those below a bound are ordered."""
+    total = known.count()
+    share = min(1.0, 4 * rows / max(1, total))
+    bound = min(2**63 - 1, int(share * 2**64) - 2**63)
+    below = known.where(F.xxhash64("id") <= F.lit(bound))
+    for some in (below, known):
+        found = some.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+        # Ids that repeat may leave too few below the bound.
+        if share == 1.0 or found.count() == rows:
+            break
+    return found
+
+
 def train(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -354,8 +368,7 @@ def train(
     of_each = of_each.select("id").distinct()
     # Ids first, so that no more texts than needed are moved; at most ``rows`` ids, and
     # PER_LANGUAGE * LANGUAGES, are broadcast.
-    chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
-    chosen = chosen.union(of_each).distinct()
+    chosen = _smallest(known, rows).union(of_each).distinct()
     once = (
         known.join(F.broadcast(chosen), "id")
         .withColumn("text", F.when(F.length("text") <= TRAIN_CHARS, F.col("text")).otherwise(_excerpt()))

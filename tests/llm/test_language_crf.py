@@ -2,6 +2,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clicktide.llm import language_crf as crf
 
@@ -138,3 +139,12 @@ def test_some_of_every_language_are_learned_from(spark):
     assert model.languages == ["de", "en", "fr"] and model.weights.dtype == np.float32
     found = crf.Labeller(model).text_languages(["die der", "of the", "les la"])
     assert [language for language, _ in found] == ["de", "en", "fr"]
+
+
+def test_the_smallest_ids_of_a_large_table(spark):
+    for rows, ids in ((50, 5_000), (50, 60), (50, 20), (5, 5_000)):
+        known = spark.range(ids).select(F.floor(F.col("id") / 2).alias("id"))
+        expected = known.distinct().orderBy(F.xxhash64("id"), "id").limit(rows).collect()
+        assert crf._smallest(known, rows).collect() == expected
+    many = spark.range(4_000).select((F.col("id") % 60).alias("id"))
+    assert crf._smallest(many, 50).count() == 50
