@@ -113,7 +113,10 @@ def _report(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.table:
         rows = serving.stored_trailing_windows(spark, CampaignTable(args.table), ago, as_of)
     else:
-        rows = serving.trailing_windows(read_database(spark, jdbc_options()), ago, as_of)
+        # Readers share the slice's time between them; the filter itself is the database's.
+        first = as_of - timedelta(minutes=args.minutes)
+        stored = read_database(spark, jdbc_options(), first, as_of, args.readers)
+        rows = serving.trailing_windows(stored, ago, as_of)
     rows = materialize(rows, "report")
     if rows.isEmpty():
         print("No data yet.")
@@ -172,6 +175,7 @@ def parser() -> argparse.ArgumentParser:
     report = commands.add_parser("report", help="show KPIs, clicks over time, newest window")
     report.add_argument("--table", help="folder of the file table; the database when not given")
     report.add_argument("--minutes", type=int, default=serving.HORIZON_DEFAULT)
+    report.add_argument("--readers", type=int, default=4, help="connections that read the database")
     report.set_defaults(run=_report)
 
     compact = commands.add_parser("compact", help="fold the changelog into one version per date")

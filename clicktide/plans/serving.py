@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from clicktide.functions.times import first_start, moment_before
 from clicktide.operators.rank import global_rank
@@ -16,6 +17,9 @@ from clicktide.operators.windows import campaign_windows, latest_window_end
 # Horizon choices of the dashboard, in minutes.
 HORIZON_MIN, HORIZON_MAX, HORIZON_STEP, HORIZON_DEFAULT = 5, 120, 5, 15
 
+# Windows that ``clicks_by_campaign`` shows at most; two hours have 720.
+MAX_SHOWN_WINDOWS = 100_000
+
 
 def horizon(minutes: int = HORIZON_DEFAULT) -> str:
     """Duration text for a horizon the dashboard offers."""
@@ -128,8 +132,15 @@ def clicks_by_campaign(frame: DataFrame, campaigns: Sequence[str] | None = None)
         wanted = frame.sparkSession.createDataFrame([(name,) for name in campaigns], "campaign_id string")
         names = names.unionByName(wanted).distinct()
     clicks = frame.groupBy("window_start", "campaign_id").agg(F.sum("clicks").alias("clicks"))
-    # Both lists are a few hundred rows at most: the windows of two hours, the campaigns.
-    times = frame.select("window_start").distinct().agg(F.collect_list("window_start").alias("at"))
+    # The windows meet in one row, so a frame that is too long to be shown is refused.
+    starts = frame.select("window_start").distinct()
+    too_many = F.raise_error(F.lit(f"more than {MAX_SHOWN_WINDOWS} windows to show"))
+    listed = F.collect_list("window_start")
+    times = starts.limit(MAX_SHOWN_WINDOWS + 1).agg(
+        F.when(F.count(F.lit(1)) <= MAX_SHOWN_WINDOWS, listed)
+        .otherwise(too_many.cast(ArrayType(frame.schema["window_start"].dataType)))
+        .alias("at")
+    )
     grid = names.withColumn("window_start", F.explode(times.scalar()))
     filled = grid.join(clicks, ["window_start", "campaign_id"], "left")
     return filled.select(

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from clicktide.__main__ import main
+from clicktide.contracts import CAMPAIGN_AGG_SCHEMA
 from clicktide.operators.table import CampaignTable
 from helpers import message
 
@@ -49,3 +50,18 @@ def test_entry_returns_the_flagship_query(spark):
         "window_start", "window_end", "campaign_id", "clicks", "unique_users", "ctr",
     ]
     assert result.count() > 0
+
+
+def test_report_reads_the_database_with_several_readers(spark, monkeypatch):
+    """What is asked of the database's reader; no database is reached."""
+    asked = {}
+
+    def read(session, options, lower, upper, readers):
+        asked.update(readers=readers, minutes=(upper - lower).total_seconds() / 60)
+        return session.createDataFrame([], CAMPAIGN_AGG_SCHEMA)
+
+    monkeypatch.setattr("clicktide.__main__.read_database", read)
+    monkeypatch.setenv("JDBC_URL", "jdbc:postgresql://none/none")
+    monkeypatch.setenv("DB_USER", "nobody")
+    main(["report", "--minutes", "30", "--readers", "6"])
+    assert asked == {"readers": 6, "minutes": 30.0}

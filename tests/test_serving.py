@@ -162,3 +162,10 @@ def test_backfill_from_events(spark):
     assert sum(r.clicks for r in rows) == 3 and sum(r.unique_users for r in rows) == 3
     # Without names, those of the events in these windows.
     assert backfill(events, None, 3, "10 seconds", W3 + STEP).count() == 6
+
+
+def test_frames_that_are_too_long_to_show_are_refused(frame, monkeypatch):
+    assert serving.clicks_by_campaign(frame).count() == 9
+    monkeypatch.setattr(serving, "MAX_SHOWN_WINDOWS", 2)
+    with pytest.raises(Exception, match="more than 2 windows"):
+        serving.clicks_by_campaign(frame).collect()
