@@ -3,7 +3,9 @@
 Each rule is a cheap test of one text. The cost (seconds) and the selectivity (share of texts that
 it rejects) of every rule are estimated on a sample; rules then run in the order of rejections per
 cost, and a text is rejected by the first rule that it breaks, the rest being skipped. The order
-decides the time, never the verdict: a text is kept if and only if it breaks no rule.
+decides the time, never the verdict: a text is kept if and only if it breaks no rule. As costs are
+measured, another run may have another order and then name another rule that a text breaks
+(``broken_rule``); an ``order`` that is given fixes that.
 
 Defined cases: a null text counts as empty; an empty text has no words and breaks ``few_words``;
 repeated rows get the same verdict each; an empty table gives an empty result and the rules run in
