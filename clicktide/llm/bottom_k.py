@@ -13,11 +13,11 @@ one set from the first step on. A set's sketch is its ``SKETCH`` smallest hashes
    the union up to where both sketches reach, the share that both have estimates the similarity.
    Pairs below the threshold by more than ``ERRORS`` standard errors are left out, all others are
    confirmed on full sets. This joins most copies to their group with one link each.
-3. What remains are lists with members of several groups. There all members of different groups are
-   compared by their sketches, long lists in blocks, each pair of blocks in a task. Sets that may be
-   linked across groups meet in the same pairs of blocks with their full sets, and only links that
-   join groups leave a task. No step writes pairs of a list: leaders give one row per member, blocks
-   one per member and block.
+3. What remains are lists with members of several groups. Of each, the members outside its largest
+   group are compared with all others by their sketches, in blocks, each pair of blocks in a task.
+   Sets that may be linked across groups meet in the same pairs of blocks with their full sets, and
+   only links that join groups leave a task. No step writes pairs of a list: leaders give one row per
+   member, blocks one per member and block.
 4. Components of the links are the groups.
 
 Links are confirmed on full sets in whole numbers, so there are no false ones; hashes have 64 bits.

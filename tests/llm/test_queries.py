@@ -55,6 +55,12 @@ SHAPES = {
     "op6_": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
     "op7_": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     "op9_": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op11_": {"doc_id": "bigint", "n_runs": "bigint", "start": "bigint", "length": "bigint",
+              "period": "bigint", "exponent_milli": "bigint", "runs_sha256": "string",
+              "collapsed_sha256": "string"},
+    "op12_": {"vec_id": "bigint", "code": "string", "error": "bigint", "label_error": "bigint",
+              "codebooks_sha256": "string"},
+    "op13_": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
 }
 
 
@@ -63,6 +69,6 @@ def test_shapes(spark, start):
     name = next(name for name in driver.queries() if name.startswith(start))
     found = driver.queries()[name](spark, SF_DIR)
     assert SHAPES[start].items() <= dict(found.dtypes).items()
-    table = {"op6_": "embeddings", "op7_": "pages"}.get(start, "documents")
-    if table != "embeddings":
+    table = {"op6_": "embeddings", "op7_": "pages", "op12_": "embeddings"}.get(start, "documents")
+    if start != "op6_":
         assert found.count() == spark.read.parquet(f"{SF_DIR}/{table}.parquet").count()
