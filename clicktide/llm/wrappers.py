@@ -58,6 +58,9 @@ COPY_SHARE = 0.5
 LONG_TEXT = 80
 # The slot of the articles has at least this share of the text of what it stands in.
 SLOT_SHARE = 0.7
+# How many words the last blocks of pages begin with alike, and the share of different ones.
+CLOSING_WORDS = 2
+CLOSING_SHARE = 0.1
 # Of a teaser's text at least this share is links; a heading has at least so many characters.
 LINK_SHARE = 0.5
 HEADING_CHARS = 8
@@ -360,6 +363,7 @@ def extract_site(trees: list[Node]) -> list[str]:
     if len(trees) <= MIN_VOTES:
         return [joined(texts) for texts in contents]
     found = [""] * len(trees)
+    unmarked: list[int] = []
     rest = list(range(len(trees)))
     for left in range(REFERENCES - 1, -1, -1):
         reference = trees[sorted(rest, key=lambda at: trees[at].size)[len(rest) // 2]]
@@ -379,12 +383,46 @@ def extract_site(trees: list[Node]) -> list[str]:
         for at in fitting:
             marked = bool(_marked_texts(trees[at]))
             found[at] = template.text(trees[at], contents[at], aligned[at], marked)
+            if not marked:
+                unmarked.append(at)
         rest = unlike
         if not rest:
             break
+    closings = closings_of([joined(contents[at]) for at in unmarked])
+    for at in unmarked:
+        found[at] = without_closing(found[at], closings)
     return found
 
 
+def closings_of(pages: list[str]) -> set[tuple[str, ...]]:
+    """The words that the last blocks of most pages begin with alike, if they go on differently.
+
+    Such are footers, wherever they stand: inside the slot, if a tag before them isn't closed.
+    """
+    # Pages that begin with the same block are copies and have one vote.
+    last_of = {page.partition("\n\n")[0]: page.rpartition("\n\n")[2] for page in pages}
+    ends: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for last in last_of.values():
+        ends[_opening(last)].append(last)
+    return {
+        words
+        for words, blocks in ends.items()
+        if len(words) == CLOSING_WORDS
+        and len(blocks) > max(MIN_VOTES, MIN_SAME * len(last_of))
+        and len(set(blocks)) >= max(MIN_VOTES, CLOSING_SHARE * len(blocks))
+    }
+
+
+def _opening(block: str) -> tuple[str, ...]:
+    return tuple(block.split(None, CLOSING_WORDS)[:CLOSING_WORDS])
+
+
+def without_closing(text: str, closings: set[tuple[str, ...]]) -> str:
+    """The text without a last block that begins as a closing; a single block stays."""
+    rest, _, last = text.rpartition("\n\n")
+    return rest if rest and _opening(last) in closings else text
+
+
 # --- on Spark --------------------------------------------------------------------------------
 
 
