@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from contextlib import nullcontext
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
@@ -26,6 +27,7 @@ from clicktide.sources.settings import (
     database_url,
     jdbc_options,
 )
+from clicktide.streaming.accounts import RowAccounts, observed, row_accounts
 from clicktide.streaming.refresh import ServingRefresh
 from clicktide.streaming.replay import publish_to_topic
 from clicktide.streaming.runner import (
@@ -71,9 +73,12 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.rejects:
         own = replace(settings, checkpoint=f"{args.checkpoint}-rejects")
         started.append(start_rejects_stream(raw, args.rejects, own))
-    events = decode_events(raw, fields=AGGREGATE_FIELDS)
-    started.append(start_campaign_stream(events, sink, settings))
-    finish_all(started, refresh and refresh.by_clock)
+    watch = observed if args.accounts else None
+    events = decode_events(raw, fields=AGGREGATE_FIELDS, watch=watch)
+    with RowAccounts(spark, args.accounts) if args.accounts else nullcontext() as accounts:
+        query = start_campaign_stream(events, sink, settings)
+        started.append(accounts.follow(query) if accounts else query)
+        finish_all(started, refresh and refresh.by_clock)
 
 
 def _publish(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -132,6 +137,11 @@ def _report(spark: SparkSession, args: argparse.Namespace) -> None:
         print()
 
 
+def _accounts(spark: SparkSession, args: argparse.Namespace) -> None:
+    row = row_accounts(spark, args.accounts, CampaignTable(args.table)).first()
+    print(*[f"{name}: {count}" for name, count in row.asDict().items()], sep="\n")
+
+
 def _compact(spark: SparkSession, args: argparse.Namespace) -> None:
     table = CampaignTable(args.table)
     CampaignTotals(table).compact(spark)
@@ -157,6 +167,7 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--max-bytes", type=int, help="bytes of files per micro-batch")
     stream.add_argument("--state-partitions", type=int)
     stream.add_argument("--views", help="keep serving views with this prefix up to date")
+    stream.add_argument("--accounts", help="folder for what becomes of each batch's messages")
     stream.add_argument("--large-state", action="store_true", help="keep state in RocksDB")
     stream.set_defaults(run=_stream)
 
@@ -178,6 +189,11 @@ def parser() -> argparse.ArgumentParser:
     report.add_argument("--readers", type=int, default=4, help="connections that read the database")
     report.set_defaults(run=_report)
 
+    books = commands.add_parser("accounts", help="messages kept, late and rejected so far")
+    books.add_argument("--table", required=True, help="folder of the table that the stream writes")
+    books.add_argument("--accounts", required=True, help="folder of the stream's accounts")
+    books.set_defaults(run=_accounts)
+
     compact = commands.add_parser("compact", help="fold the changelog into one version per date")
     compact.add_argument("--table", required=True)
     compact.add_argument("--vacuum", action="store_true", help="delete what was folded an hour ago")

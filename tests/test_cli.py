@@ -27,11 +27,14 @@ def test_stream_report_backfill_compact(spark, tmp_path, capsys):
     checkpoint = str(tmp_path / "checkpoint")
     main(["stream", "--events", str(events), "--table", table, "--checkpoint", checkpoint,
           "--drain", "--state-partitions", "2", "--rejects", str(tmp_path / "rejects"),
-          "--views", "cli_"])
+          "--views", "cli_", "--accounts", str(tmp_path / "books")])
     stored = spark.read.parquet(str(tmp_path / "rejects"))
     assert [r.reason for r in stored.collect()] == ["not_an_event"]
     assert CampaignTable(table).latest(spark).agg(F.sum("clicks")).first()[0] == 3
 
+    main(["accounts", "--table", table, "--accounts", str(tmp_path / "books")])
+    assert "messages: 4\nrejected: 1\nlate: 0\nkept: 3\n" in capsys.readouterr().out
+
     main(["report", "--table", table, "--minutes", "30"])
     assert "latest_unique_users" in capsys.readouterr().out
 
