@@ -58,6 +58,8 @@ LEADERS = 8
 # A block has up to about so many sets, and so many shingles.
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 1 << 20
+# Full sets leave a task in batches of about so many bytes.
+BATCH_BYTES = 4 << 20
 # Sketches, and values of them, that are compared at once.
 ROWS, COLUMNS = 512, 2_048
 # Confirmed together with a leader are up to about so many sets.
@@ -302,21 +304,31 @@ def _full(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.join(of, same).select("set_id", "set_key", "text")
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(WIDTH)
+        shingler, held, size = Shingler(WIDTH), [], 0
         for batch in batches:
             ids, keys, texts = (batch.column(name) for name in ("set_id", "set_key", "text"))
             for at in range(batch.num_rows):
                 shingles = _shingles(shingler, texts[at].as_py())
                 if _key(shingles) == keys[at].as_py():
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.slice(at, 1), pa.array([shingles.tobytes()], pa.binary())],
-                        names=["set_id", "shingles"],
-                    )
+                    held.append((ids[at].as_py(), shingles.tobytes()))
+                    size += shingles.nbytes
+                if size > BATCH_BYTES:
+                    yield _set_rows(held)
+                    held, size = [], 0
+        if held:
+            yield _set_rows(held)
 
     # Repeated rows are the same text twice.
     return texts.mapInArrow(run, "set_id long, shingles binary").dropDuplicates(["set_id"])
 
 
+def _set_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    ids, sets = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["set_id", "shingles"]
+    )
+
+
 def common_with(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of a sorted set with others."""
     flat = np.concatenate(others)
