@@ -1,7 +1,9 @@
 """Byte-pair encoding of long texts by tree concatenation, and decoding.
 
 A text up to ``LONG_CHARS`` is encoded in one piece. A longer one is cut into pieces that are
-encoded in parallel, as rows of their own, and joined pairwise up a tree. At a join the ids of the
+encoded in parallel, in rows of up to ``ROW_CHARS`` characters, and joined pairwise up a tree, first
+within a row and then over the rows of a text; a text that is no longer than a row isn't moved. At a
+join the ids of the
 two sides needn't be those of the whole text, so a window around the join is encoded again, and
 grows until it begins with an id that the left side has at the same place and ends with one that
 the right side has. Neighbouring ids of the result then are neighbours either in a side or in the
@@ -26,17 +28,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import (
     ArrayType,
+    BooleanType,
     IntegerType,
     LongType,
     StringType,
@@ -55,9 +60,24 @@ SPLIT = (
 # Characters beyond the Latin blocks, whose classes have changed between versions of Unicode.
 RARE = re.compile("[^\\x00-\\u024f\\u2010-\\u2027]")
 
+
+def _of_category(kind: str) -> str:
+    return "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c).startswith(kind))
+
+
+# The same split for texts without such characters; what \s stands for differs between libraries.
+_L, _N, _S = _of_category("L"), _of_category("N"), "\\x09-\\x0d\\x20\\x85\\xa0"
+WORDS = re.compile(
+    f"'(?:[sdmt]|ll|ve|re)| ?[{_L}]++| ?[{_N}]++| ?[^{_S}{_L}{_N}]++|[{_S}]+(?![^{_S}])|[{_S}]"
+)
+# Where a text may be cut: ASCII white space behind an ASCII letter or digit.
+PLAIN_CUT = re.compile(r"[\x20\x09-\x0D](?<=[0-9A-Za-z].)", re.DOTALL)
+
 # Characters: longer texts are cut, and this is the length of a piece.
 LONG_CHARS = 65_536
 PIECE_CHARS = 16_384
+# Pieces that are shorter than this share a row.
+ROW_CHARS = 16_384
 # Ids on each side of a join that are encoded again at first.
 WINDOW_IDS = 8
 
@@ -96,18 +116,34 @@ def _fast(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("bpe", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=4)
+def _specials(path: str) -> re.Pattern:
+    """Any special token; a vocabulary without such has a pattern that is nowhere."""
+    tokens = [re.escape(t.content) for t in load(path).get_added_tokens_decoder().values()]
+    return re.compile("|".join(tokens) or r"(?!)")
+
+
 def encode_whole(path: str, texts: list[str]) -> list[list[int]]:
     """The ids of each text.
 
     Where the two libraries may know different versions of Unicode, the slower one decides.
     """
-    fast = _fast(path)
-    return [
-        load(path).encode(text, add_special_tokens=False).ids
-        if RARE.search(text)
-        else fast.encode(text, allowed_special="all")
-        for text in texts
-    ]
+    slow, fast, specials = load(path), _fast(path), _specials(path)
+    found = []
+    for text in texts:
+        if _has_rare(text):
+            ids = slow.encode(text, add_special_tokens=False).ids
+        elif specials.search(text):
+            ids = fast.encode(text, allowed_special="all")
+        else:
+            # Looking for special tokens would cost as much again as a short text.
+            ids = fast.encode_ordinary(text)
+        found.append(ids)
+    return found
+
+
+def _has_rare(text: str) -> bool:
+    return not text.isascii() and RARE.search(text) is not None
 
 
 # --- cutting ---------------------------------------------------------------------------------
@@ -152,11 +188,8 @@ def _cut_plain(path: str, text: str, piece_chars: int) -> list[tuple[str, bool]]
         end = _plain_cut(text, at, at + piece_chars)
         if end < 0:
             # No such place: up to the next one, by words of the split, long ones in parts.
-            end = at + piece_chars
-            while end < len(text) and not (
-                text[end] in SPACES and text[end - 1].isascii() and text[end - 1].isalnum()
-            ):
-                end += 1
+            following = PLAIN_CUT.search(text, at + piece_chars)
+            end = following.start() if following else len(text)
             pieces.extend(_cut_words(path, text[at:end], piece_chars))
         else:
             pieces.append((text[at:end], False))
@@ -166,6 +199,13 @@ def _cut_plain(path: str, text: str, piece_chars: int) -> list[tuple[str, bool]]
     return pieces
 
 
+def _word_ends(path: str, text: str) -> Iterable[int]:
+    """Where the words of the split end."""
+    if _has_rare(text):
+        return [end for _, (_, end) in load(path).pre_tokenizer.pre_tokenize_str(text)]
+    return accumulate(map(len, WORDS.findall(text)))
+
+
 def _cut_words(path: str, text: str, piece_chars: int) -> list[tuple[str, bool]]:
     """Pieces that end at words of the split, and parts of words that are longer than a piece.
 
@@ -184,7 +224,8 @@ def _cut_words(path: str, text: str, piece_chars: int) -> list[tuple[str, bool]]
             held.clear()
         pieces.extend((text[start:end], False) for start, end in reversed(alone))
 
-    for _, (start, end) in load(path).pre_tokenizer.pre_tokenize_str(text):
+    start = 0
+    for end in _word_ends(path, text):
         if held and end - held[0][0] > piece_chars:
             flush()
         if end - start > piece_chars:
@@ -192,20 +233,66 @@ def _cut_words(path: str, text: str, piece_chars: int) -> list[tuple[str, bool]]
                 pieces.append((text[part : min(part + piece_chars, end)], part > start))
         else:
             held.append((start, end))
+        start = end
     flush()
     return pieces
 
 
+def rows_of(
+    pieces: list[tuple[str, bool]], row_chars: int = ROW_CHARS
+) -> list[list[tuple[str, bool]]]:
+    """The pieces of a text dealt out in rows: of whole words, or else of parts of one word only.
+
+    So a row, like a piece, either begins with a word or goes on within the last row's only one.
+    """
+    rows: list[list[tuple[str, bool]]] = []
+    row: list[tuple[str, bool]] = []
+    size = at = 0
+    while at < len(pieces):
+        end, chars = at + 1, len(pieces[at][0])
+        while end < len(pieces) and pieces[end][1]:
+            chars += len(pieces[end][0])
+            end += 1
+        if row and size + chars > row_chars:
+            rows.append(row)
+            row, size = [], 0
+        if chars <= row_chars:
+            row.extend(pieces[at:end])
+            size += chars
+        else:
+            for piece in pieces[at:end]:
+                if row and size + len(piece[0]) > row_chars:
+                    rows.append(row)
+                    row, size = [], 0
+                row.append(piece)
+                size += len(piece[0])
+            rows.append(row)
+            row, size = [], 0
+        at = end
+    if row:
+        rows.append(row)
+    return rows
+
+
 # --- joining ---------------------------------------------------------------------------------
 
 
-def join_ids(path: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+Ids = list[int] | np.ndarray
+
+
+def _glued(parts: list[Ids]) -> Ids:
+    """Lists make a list, for short parts, where a call of numpy costs more than the ids."""
+    if isinstance(parts[0], list):
+        return list(chain.from_iterable(parts))
+    return np.concatenate(parts, dtype=np.int32)
+
+
+def join_ids(path: str, left: Ids, right: Ids) -> Ids:
     """The ids of a word, from those of its two parts."""
     size, of = WINDOW_IDS, _id_bytes(path)
     while True:
         low, high = max(0, len(left) - size), min(len(right), size)
-        window = [*left[low:].tolist(), *right[:high].tolist()]
-        data = b"".join(map(of.__getitem__, window))
+        data = b"".join(map(of.__getitem__, [*left[low:], *right[:high]]))
         # A window may begin or end inside a character; such windows must grow.
         try:
             again = encode_part(path, data.decode())
@@ -216,7 +303,7 @@ def join_ids(path: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             (not low or again[0] == left[low])
             and (high == len(right) or again[-1] == right[high - 1])
         ):
-            return np.concatenate([left[:low], np.array(again, dtype=np.int32), right[high:]])
+            return _glued([left[:low], again, right[high:]])
         if whole:
             raise ValueError("the parts of a word aren't text")
         size *= 2
@@ -227,9 +314,9 @@ def encode_part(path: str, part: str) -> list[int]:
     return encode_whole(path, [part])[0]
 
 
-def join_tree(path: str, parts: list[np.ndarray], within: list[bool]) -> np.ndarray:
+def join_tree(path: str, parts: list[Ids], within: list[bool]) -> Ids:
     """Join the ids of all pieces of a text; ``within``: a piece goes on in the last one's word."""
-    words: list[list[np.ndarray]] = []
+    words: list[list[Ids]] = []
     for ids, goes_on in zip(parts, within, strict=True):
         if goes_on:
             words[-1].append(ids)
@@ -241,7 +328,20 @@ def join_tree(path: str, parts: list[np.ndarray], within: list[bool]) -> np.ndar
             pairs = [join_ids(path, a, b) for a, b in zip(level[::2], level[1::2])]
             level = pairs + level[len(level) - len(level) % 2 :]
         joined.append(level[0])
-    return np.concatenate(joined) if joined else np.empty(0, dtype=np.int32)
+    return _glued(joined) if joined else np.empty(0, dtype=np.int32)
+
+
+def encode_pieces(path: str, pieces: list[str], within: list[bool]) -> list[int]:
+    """The ids of a row of pieces, each encoded by itself; the first may go on in an earlier row."""
+    return join_tree(path, encode_whole(path, pieces), [False, *within[1:]])
+
+
+def encode_text(path: str, text: str, long_chars: int, piece_chars: int) -> list[int]:
+    """The ids of a text that fits a row; above ``long_chars`` by its pieces."""
+    if len(text) <= long_chars:
+        return encode_whole(path, [text])[0]
+    pieces, within = zip(*cut(path, text, piece_chars))
+    return encode_pieces(path, list(pieces), list(within))
 
 
 # --- on Spark --------------------------------------------------------------------------------
@@ -249,38 +349,57 @@ def join_tree(path: str, parts: list[np.ndarray], within: list[bool]) -> np.ndar
 Digest = Callable[[list[list[int]]], list[tuple]]
 
 
+PARTS = StructType(
+    [
+        StructField("pieces", ArrayType(StringType())),
+        StructField("within", ArrayType(BooleanType())),
+    ]
+)
+
+
 def _pieces(long: DataFrame, path: str, piece_chars: int) -> DataFrame:
-    """One row for each piece of every long text, with its place."""
+    """The pieces of every long text in rows of up to ``ROW_CHARS``, each row with its place."""
     fields = [long.schema["row"], long.schema["doc_id"]]
     schema = StructType(
         [
             *fields,
             StructField("place", IntegerType()),
             StructField("within", LongType()),
-            StructField("piece", StringType()),
+            StructField("parts", PARTS),
         ]
     )
+    parts_type = to_arrow_schema(schema).field("parts").type
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, ids = batch.column("row"), batch.column("doc_id")
             for at, text in enumerate(batch.column("text").to_pylist()):
-                parts = cut(path, text, piece_chars)
-                n = len(parts)
+                made = rows_of(cut(path, text, piece_chars))
+                n = len(made)
+                parts = [
+                    {"pieces": [piece for piece, _ in row], "within": [within for _, within in row]}
+                    for row in made
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.repeat(rows[at], n),
                         pa.repeat(ids[at], n),
                         pa.array(range(n), type=pa.int32()),
-                        pa.array([int(within) for _, within in parts], type=pa.int64()),
-                        pa.array([part for part, _ in parts], type=pa.string()),
+                        pa.array([int(row[0][1]) for row in made], type=pa.int64()),
+                        pa.array(parts, type=parts_type),
                     ],
-                    names=["row", "doc_id", "place", "within", "piece"],
+                    names=["row", "doc_id", "place", "within", "parts"],
                 )
 
     return long.mapInArrow(run, schema)
 
 
+def _rows_where(rows: DataFrame, condition: Column) -> DataFrame:
+    """A filter that isn't pushed below the text's expression, which would be computed twice."""
+    fields = F.struct(*rows.columns)
+    return rows.select(F.inline(F.when(condition, F.array(fields))))
+
+
 def encode(
     docs: DataFrame,
     path: str,
@@ -295,7 +414,8 @@ def encode(
 
     ``finish`` gets lists of ids and returns as many tuples with the fields of ``result``. Ids of a
     long text meet in one task only at the end, a text at a time. Texts above ``long_chars`` are cut
-    into pieces of ``piece_chars``; neither changes the result.
+    into pieces of ``piece_chars``; neither changes the result. Those of more than a row's characters
+    are spread over tasks, row by row.
     """
     finish = finish or (lambda lists: [(ids,) for ids in lists])
     result = result or StructType([StructField("ids", ArrayType(IntegerType()))])
@@ -303,16 +423,16 @@ def encode(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
     )
     schema = StructType([rows.schema["doc_id"], *result.fields])
-    is_long = F.length("text") > long_chars
+    in_task = max(long_chars, ROW_CHARS)
 
-    def make_short() -> Callable[[list], list]:
-        return lambda texts: finish(encode_whole(path, texts))
+    def make_near() -> Callable[[list], list]:
+        return lambda texts: finish([encode_text(path, t, long_chars, piece_chars) for t in texts])
 
-    short = per_row(rows.where(~is_long), "text", schema, make_short)
+    near = per_row(_rows_where(rows, F.length("text") <= in_task), "text", schema, make_near)
 
     ids_type = ArrayType(IntegerType())
     # Rows may repeat, ids may be null: the row's number in the scan tells texts apart.
-    numbered = rows.where(is_long).select(
+    numbered = _rows_where(rows, F.length("text") > in_task).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "text"
     )
     pieces = _pieces(numbered, path, piece_chars).repartition("row", "place")
@@ -320,9 +440,9 @@ def encode(
     part_schema = StructType([*kept, StructField("ids", ids_type)])
 
     def make_part() -> Callable[[list], list]:
-        return lambda parts: [(ids,) for ids in encode_whole(path, parts)]
+        return lambda rows: [(encode_pieces(path, r["pieces"], r["within"]),) for r in rows]
 
-    encoded = per_row(pieces, "piece", part_schema, make_part)
+    encoded = per_row(pieces, "parts", part_schema, make_part)
 
     def join(batches: Batches) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["row"]):
@@ -337,12 +457,13 @@ def encode(
             yield pa.RecordBatch.from_arrays([first, *made], schema=arrow)
 
     whole = encoded.repartition("row").sortWithinPartitions("row", "place")
-    return short.unionByName(whole.mapInArrow(join, schema))
+    return near.unionByName(whole.mapInArrow(join, schema))
 
 
 def decode(path: str, lists: list[list[int]]) -> list[str]:
     """The text of each list of ids, special tokens included."""
-    return _fast(path).decode_batch(lists, num_threads=1)
+    fast = _fast(path)
+    return [fast.decode(ids) for ids in lists]
 
 
 DIGESTS = StructType(

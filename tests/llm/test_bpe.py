@@ -101,3 +101,39 @@ def test_unsplit_texts_are_joined_by_windows(spark, monkeypatch):
         ids = [np.array(x, dtype=np.int32) for x in bpe.encode_whole(BYTE_BPE, [p for p, _ in pieces])]
         assert bpe.join_tree(BYTE_BPE, ids, [within for _, within in pieces]).tolist() == library(text)
     assert len(joins) > 100
+
+
+@pytest.mark.parametrize("seed", range(100))
+def test_words_of_the_split_like_the_library(seed):
+    draw = random.Random(seed)
+    latin = [*map(chr, range(0x250)), *map(chr, range(0x2010, 0x2028)), *[" ", "\n", "'s", "'ll", "a"] * 40]
+    for text in [made_up(seed), "".join(draw.choice(latin) for _ in range(400))]:
+        spans = bpe.load(BYTE_BPE).pre_tokenizer.pre_tokenize_str(text)
+        assert list(bpe._word_ends(BYTE_BPE, text)) == [end for _, (_, end) in spans]
+
+
+@pytest.mark.parametrize("seed", range(100))
+def test_rows_of_pieces_like_the_library(seed, monkeypatch):
+    """Pieces joined within rows, whose ids then are joined over rows."""
+    monkeypatch.setattr(bpe, "WINDOW_IDS", 1)
+    text, draw = made_up(seed), random.Random(seed)
+    pieces = bpe.cut(BYTE_BPE, text, draw.choice([2, 3, 5]))
+    rows = bpe.rows_of(pieces, draw.choice([1, 7, 16, 64]))
+    assert [piece for row in rows for piece in row] == pieces
+    ids = [np.array(bpe.encode_pieces(BYTE_BPE, *map(list, zip(*row))), dtype=np.int32) for row in rows]
+    assert bpe.join_tree(BYTE_BPE, ids, [row[0][1] for row in rows]).tolist() == library(text)
+
+
+def test_short_pieces_share_rows(spark):
+    """Rows that are shuffled and sorted grow with the characters, however short the pieces are."""
+    texts = ["abcde" * 8_000, "ab, " * 10_000, "x" * 100]
+    long = spark.createDataFrame([(n, n, t) for n, t in enumerate(texts)], "row long, doc_id long, text string")
+    rows = bpe._pieces(long, BYTE_BPE, 64).groupBy("doc_id").count().collect()
+    assert {row["doc_id"]: row["count"] for row in rows} == {0: 3, 1: 3, 2: 1}
+
+
+def test_short_pieces_over_several_rows_on_spark(spark):
+    texts = [*long_texts(), "漢é" * 3_000, "ab" * 200, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = bpe.encode_digests(docs, BYTE_BPE, long_chars=256, piece_chars=64).collect()
+    assert sorted(map(tuple, found)) == [(at, *digest(text or "")) for at, text in enumerate(texts)]
