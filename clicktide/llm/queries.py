@@ -23,6 +23,7 @@ from clicktide.llm import (
     vector_codes,
     wrappers,
 )
+from clicktide.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -155,6 +156,8 @@ def bpe_of_unsplit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), WORD_GAP, "").alias("text")
     )
+    # Read four times: written once, as the replacement takes longer than reading.
+    docs = materialize(docs, "unsplit")
     joined = bpe.encode_digests(docs, BYTE_BPE, long_chars=256, piece_chars=64)
     whole = bpe.encode_digests(docs, BYTE_BPE, long_chars=1 << 30)
     of_whole = whole.dropDuplicates().select(
